@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import bpe, decontam, jaccard, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op3_bpe": bpe.op3_bpe,
+    "op5_quality": quality.op5_quality,
+    "op6_decontaminate": decontam.op6_decontaminate,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_url_filter": url_filter.OP10_SQL,
+}
