@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, quality, sharding, suffix_dedup, url_filter
+from . import bpe, ctw, decontam, html_extract, jaccard, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_ctw": ctw.op4_ctw,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_url_filter": url_filter.op10_url_filter,
