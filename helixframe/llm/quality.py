@@ -3,10 +3,11 @@
 Features of a text are hashed into a fixed number of slots: its words (ASCII letters lower-cased),
 their shape (capitals, symbols), neighbouring words' shapes, and byte 4-grams of the lower-cased
 text; the value of a kind is its mean weight over the text.  Two heads: quality (label 1) and
-toxicity (label 1).  For toxicity the presence of a word, its first four and first five bytes count, since one word
-can decide, and each has three slots of a larger table, so that a shared slot alone does not make it toxic.  Slots
-found in fewer than LEAST training rows, or whose chi-square against the label is under CHI2, have no weight, and values are scaled by the slot's log-odds
-between the classes before the fit.  Heads are trained by full-batch gradient descent on a bounded
+toxicity (label 1).  For toxicity the presence of a word, of its first four and of its first five
+bytes counts, since one word can decide, and each has three slots of a larger table, so that a shared
+slot alone does not make it toxic.  Slots found in fewer than LEAST training rows, or whose chi-square
+against the label is under CHI2, have no weight, and values are scaled by the slot's log-odds between
+the classes before the fit.  Heads are trained by full-batch gradient descent on a bounded
 sample of labelled rows (the smallest hashes of doc_id: TRAIN_ROWS of them), calibrated by Platt's
 method on rows left out of the training, and scored in Arrow batches against the fixed thresholds
 KEEP and TOXIC.  Plain counts (few words, repeated words) reject a text beforehand.
@@ -30,7 +31,7 @@ from . import common as C
 SLOTS = 1 << 17
 TOXIC_SLOTS = 1 << 20
 #: Bound on the labelled rows that are fitted, and on their bytes (longer texts are left out of the fit).
-TRAIN_ROWS, TRAIN_BYTES = 4000, 20_000
+TRAIN_ROWS, TRAIN_BYTES = 3000, 8_000
 LEAST, CHI2 = 5, 20.0
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
@@ -119,17 +120,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def compact(f: tuple[np.ndarray, ...], slots: int, first: int = 0) -> tuple[np.ndarray, ...]:
+    """One entry for each slot of a row, in small types; rows are numbered from ``first``."""
+    row, slot, value = f
+    key, inverse = np.unique(row * slots + slot, return_inverse=True)
+    return (key // slots + first).astype(np.int32), (key % slots).astype(np.int32), np.bincount(inverse, value).astype(np.float32)
+
+
 def fit(f: tuple[np.ndarray, ...], label: np.ndarray, held: np.ndarray, slots: int, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
     """Logistic regression with classes of equal weight (Adagrad steps over all rows), then Platt's calibration on held rows."""
-    row, slot, value = f
+    row, slot, value = f  # as compact() gives them
     n = len(label)
     head = Head(np.zeros(slots, np.float32), 0.0)
     use = ~held if (~held).any() else np.ones(n, bool)
     if len(np.unique(label[use])) < 2:
         return head
     weight = np.where(use, np.where(label == 1, 0.5 / max(1, (label[use] == 1).sum()), 0.5 / max(1, (label[use] == 0).sum())), 0.0)
-    key, inverse = np.unique(row * slots + slot, return_inverse=True)  # one entry for each slot of a row
-    row, slot, value = key // slots, key % slots, np.bincount(inverse, value)
     own = use[row]
     yes = np.bincount(slot[own & (label[row] == 1)], minlength=slots)
     no = np.bincount(slot[own & (label[row] == 0)], minlength=slots)
@@ -196,7 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     if not rows:
         return Model(Head(np.zeros(SLOTS), 40.0), Head(np.zeros(TOXIC_SLOTS), -40.0))
     buf, offs = C.flat(pa.array([r.text for r in rows], pa.large_string()))
-    quality, toxic = features(buf, offs)
+    own: tuple[list, list] = ([], [])
+    for i, j in C.blocks(offs, 1 << 18):
+        for f, slots, to in zip(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), (SLOTS, TOXIC_SLOTS), own, strict=True):
+            to.append(compact(f, slots, i))
+    quality, toxic = (tuple(map(np.concatenate, zip(*x, strict=True))) for x in own)
     held = np.arange(len(rows)) % 5 == 4
     q, t = np.array([r._q for r in rows]), np.array([r._t for r in rows])
     heads = []
