@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,12 +328,15 @@ def compare(texts: DataFrame, cuts: Splitters, n: int) -> DataFrame:
     return rows.mapInArrow(sort, PARTS).select("did", "crc", "first", "count")
 
 
+REMOVED, _DID, _CRC = "__removed_spans", "__own_did", "__own_crc"
+
+
 def with_removed(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """docs with ``_removed``: an array of (first, count) byte spans, null if nothing goes."""
-    own = parts.groupBy("did", "crc").agg(F.collect_list(F.struct("first", "count")).alias("_removed"))
+    """docs with REMOVED: an array of (first, count) byte spans, null if nothing goes."""
+    own = parts.groupBy("did", "crc").agg(F.collect_list(F.struct("first", "count")).alias(REMOVED))
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_crc": F.crc32(text.cast("binary"))})
-    return left.join(own.withColumnsRenamed({"did": "_did", "crc": "_crc"}), ["_did", "_crc"], "left").drop("_did", "_crc")
+    left = docs.withColumns({_DID: F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), _CRC: F.crc32(text.cast("binary"))})
+    return left.join(own.withColumnsRenamed({"did": _DID, "crc": _CRC}), [_DID, _CRC], "left").drop(_DID, _CRC)
 
 
 def spans_of(column: pa.Array) -> list[np.ndarray]:
@@ -364,7 +368,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
-            spans = spans_of(batch.column("_removed"))
+            spans = spans_of(batch.column(REMOVED))
             data = [buf[offs[i] : offs[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(offs)), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([kept_bytes(d, s) for d, s in zip(data, spans, strict=True)], pa.binary())],
@@ -375,6 +379,30 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     return with_removed(slim, removed_parts(slim)).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """All rows of docs with their own columns: text without its repeated bytes (bytes of cut characters go too), n_chars to match.
+
+    Null texts stay null; a text of which nothing is left is empty."""
+    columns = docs.columns
+
+    def finish(batches):
+        for batch in batches:
+            buf, offs = C.flat(batch.column("text"))
+            spans = spans_of(batch.column(REMOVED))
+            null = np.asarray(batch.column("text").is_null())
+            texts = [None if null[i] else kept_bytes(buf[offs[i] : offs[i + 1]].tobytes(), s).decode(errors="ignore") for i, s in enumerate(spans)]
+            arrays = [batch.column(c) for c in columns]
+            arrays[columns.index("text")] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                kind = batch.schema.field("n_chars").type
+                sizes = [len(t) if t is not None else None for t in texts]
+                changed = pa.array([len(s) > 0 for s in spans])
+                arrays[columns.index("n_chars")] = pa.compute.if_else(changed, pa.array(sizes, pa.int64()).cast(kind), batch.column("n_chars"))
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return with_removed(docs, removed_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).mapInArrow(finish, docs.schema)
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
