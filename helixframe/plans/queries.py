@@ -178,3 +178,21 @@ QUERIES = {
     "t1_sam": lambda s, d: sam_rows(s, d).select("read_ord", "line"),
     "b5_variant_differences": b5_variant_differences,
 }
+
+
+def map_long_reads(spark, d):
+    """Whole mapping of reads that were cut from contigs and changed: alignments with text CIGARs."""
+    from ..operators import mapper
+
+    found = mapper.map_reads(data.long_reads(spark, d), data.contigs(spark, d), policy(max_secondary=1))
+    return found.select("read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"), "edit_distance")
+
+
+def map_short_reads(spark, d):
+    from ..operators import mapper
+
+    found = mapper.map_reads(data.reads(spark, d), data.contigs(spark, d), P)
+    return found.select("read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"), "edit_distance")
+
+
+QUERIES |= {"k9_map_long_reads": map_long_reads, "k9_map_short_reads": map_short_reads}

@@ -1 +1,9 @@
+"""Readers and writers of sequencing formats as Python data sources; ``register(spark)`` makes them known by name."""
 
+from .bam import BamSource
+from .fastx import FastxSource
+
+
+def register(spark) -> None:
+    spark.dataSource.register(FastxSource)
+    spark.dataSource.register(BamSource)
