@@ -53,6 +53,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``did`` (doc_id, or NO_ID), ``crc`` (tells apart different texts under one id) and ``text`` (null: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -146,7 +151,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     edge = np.empty(len(buf) + 1, bool)
     edge[0], edge[-1] = word[0], word[-1]
     np.not_equal(word[1:], word[:-1], out=edge[1:-1])
-    cuts = offs[1:-1]
+    cuts = np.unique(offs[1:-1])  # empty texts repeat an offset
     cuts = cuts[(cuts > 0) & (cuts < len(buf))]
     both = cuts[word[cuts] & word[cuts - 1]]  # a word ends and another begins where two texts meet
     at = np.flatnonzero(edge)
