@@ -26,7 +26,6 @@ with the page.
 from __future__ import annotations
 
 import html as H
-import math
 import re
 
 import numpy as np
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 LOW, MIN_PAGES, BROADCAST = 0.25, 12, 1_000_000
 
 # HTML's elements by how they are laid out, and words that name what is not the article.
+UNSEEN = frozenset("script style noscript template link meta input param source track".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -121,7 +121,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if text and tag == "br":
                 text.append(" ")
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or tag in UNSEEN
         if m.group(1):  # an end tag
             if not inline:
                 flush()
@@ -163,8 +163,6 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             inside = max(inside, 2 if tag == "article" else 1)
             best = max(best, inside)
         stack.append((tag, path, dropped, inside))
-        if inline and drop and text and not where[1]:
-            pass  # text before an inline advert goes on after it
     flush()
     return [(p, t) for p, t, k in out if k >= best]
 
@@ -251,5 +249,3 @@ def by_join(slim: DataFrame, low: DataFrame, out, schema: str) -> DataFrame:
 def op7_html_extract(spark, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
-
-assert math.log(MIN_PAGES) > 0

@@ -64,7 +64,10 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     placed = None
     for level in levels:
         own = rows.withColumn("prefix", F.shiftrightunsigned("hash", BITS - level)).join(leaves.where(F.col("level") == level).drop("level"), "prefix")
+        own = own.drop("prefix")
         placed = own if placed is None else placed.unionByName(own)
+    if placed is None:  # no rows at all
+        placed = rows.withColumn("depth", F.lit(0))
     shard = F.substring(F.lpad(F.bin("hash"), BITS, "0"), F.lit(1), F.col("depth"))
     # copies are numbered inside salted parts, so that even a third of all rows spreads over the tasks
     parts = C.partitions(docs.sparkSession)
