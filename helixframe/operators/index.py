@@ -11,14 +11,18 @@ from ..functions import kmers
 HIT = "struct<contig_id:bigint,ref_pos:bigint,is_rc:boolean>"
 
 
-def build(contigs: DataFrame, k: int = 15, max_stored_hits: int = 256) -> DataFrame:
+def build(contigs: DataFrame, k: int = 15, max_stored_hits: int = 256, wanted: DataFrame | None = None) -> DataFrame:
     """code, total, capped, hits: every canonical k-mer with its true number of places and the first of them.
 
     Totals combine before the shuffle.  Stored hits are the first by (contig, place): Spark limits
-    each group to ``max_stored_hits`` rows before the shuffle, so a frequent k-mer stays small."""
+    each group to ``max_stored_hits`` rows before the shuffle, so a frequent k-mer stays small.
+    ``wanted`` (code) restricts the index to the k-mers that queries ask for, for an index that is
+    used once: if Spark finds those few enough to broadcast, other k-mers are not shuffled at all."""
     if max_stored_hits < 1:
         raise ValueError("max_stored_hits must be positive")
     dense = kmers.dense_kmers(contigs, k)
+    if wanted is not None:
+        dense = dense.join(wanted.select("code").distinct(), "code", "left_semi")
     totals = dense.groupBy("code").agg(F.count("*").alias("total"))
     order = Window.partitionBy("code").orderBy("contig_id", "ref_pos")
     stored = dense.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_stored_hits)

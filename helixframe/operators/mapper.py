@@ -257,8 +257,8 @@ def align(reads: DataFrame, found: DataFrame, contigs: DataFrame, p: Policy) ->
 
 def map_reads(reads: DataFrame, contigs: DataFrame, p: Policy, seed_index: DataFrame | None = None) -> DataFrame:
     """Reads to alignments; ``seed_index`` may be one that was built and stored before."""
-    built = seed_index if seed_index is not None else index.build(contigs, p.k, p.max_stored_hits)
     seeds = kmers.query_minimizers(reads, p.k, p.window)
+    built = seed_index if seed_index is not None else index.build(contigs, p.k, p.max_stored_hits, seeds)
     looked = lookup.seeds_with_totals(seeds, built)
     found = candidates.find(reads, probes.read_probes(reads, looked, p), built, p)
     return align(reads, found, contigs, p)

@@ -17,12 +17,17 @@ def _index(spark, d) -> DataFrame:
     return index.build(data.contigs(spark, d), P.k, P.max_stored_hits)
 
 
+def _asked(spark, d) -> DataFrame:
+    """The index's rows that the reads' seeds ask for."""
+    return index.build(data.contigs(spark, d), P.k, P.max_stored_hits, _seeds(spark, d))
+
+
 def _seeds(spark, d, persisted: bool = False, w: int = P.window) -> DataFrame:
     return kmers.query_minimizers(data.reads(spark, d), P.k, w, persisted)
 
 
 def _looked(spark, d) -> DataFrame:
-    return lookup.seeds_with_totals(_seeds(spark, d), _index(spark, d))
+    return lookup.seeds_with_totals(_seeds(spark, d), _asked(spark, d))
 
 
 def f1_f5_bases(spark: SparkSession, d: str) -> DataFrame:
@@ -77,23 +82,23 @@ def i2_isolated(spark, d):
 
 
 def j3_seed_hits(spark, d):
-    return lookup.seed_hits(_seeds(spark, d), _index(spark, d), P.cached_hits)
+    return lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits)
 
 
 def _candidates(spark, d) -> DataFrame:
-    r, i = data.reads(spark, d), _index(spark, d)
+    r, i = data.reads(spark, d), _asked(spark, d)
     return candidates.find(r, probes.read_probes(r, lookup.seeds_with_totals(_seeds(spark, d), i), P), i, P)
 
 
 def j5_hits_in_windows(spark, d):
-    hits = lookup.seed_hits(_seeds(spark, d), _index(spark, d), P.cached_hits).where("not capped").select("read_ord", "contig_id", "ref_pos", (F.col("q_rc") != F.col("r_rc")).alias("is_rc"))
+    hits = lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits).where("not capped").select("read_ord", "contig_id", "ref_pos", (F.col("q_rc") != F.col("r_rc")).alias("is_rc"))
     c = _candidates(spark, d).select("read_ord", "contig_id", "is_rc", "rank", "ref_start", "ref_end")
     near = F.col("ref_pos").between(F.col("ref_start") - P.flank, F.col("ref_end") + P.flank - P.k)
     return hits.join(c, ["read_ord", "contig_id", "is_rc"]).where(near).groupBy("read_ord", "rank").agg(F.count("*").alias("hits"))
 
 
 def _exact(spark, d):
-    return lookup.exact_placements(data.reads(spark, d), _seeds(spark, d), _index(spark, d), data.contigs(spark, d), P.k)
+    return lookup.exact_placements(data.reads(spark, d), _seeds(spark, d), _asked(spark, d), data.contigs(spark, d), P.k)
 
 
 def a4_seed_coverage(spark, d):
