@@ -41,7 +41,7 @@ from . import common as C
 
 DEPTH = 5
 NODES = 1 << 19
-BLOCK = 1 << 20
+BLOCK = 1 << 20  # bytes of text that are worked on at once
 END = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,7 +95,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
         shift = np.where(small, shift + np.log(np.where(small, y, 1.0)), shift)
         y = np.where(small, y + 1, y)
     z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z / 1260)) / y - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
 class Scorer:
     """Remembers what grams cost, sorted by gram; forgets all when there are too many."""
 
-    MEMO = 3_000_000
+    MEMO = 2_000_000
 
     def __init__(self, tree: Tree):
         self.tree = tree
@@ -248,10 +248,10 @@ def _training(batches):
     held = 0
     for batch in batches:
         buf, offs = C.flat(batch.column("text"))
-        for i, j in C.blocks(offs, BLOCK * 4):
+        for i, j in C.blocks(offs, BLOCK):
             parts.append(tally(grams(*canonical(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))))
             held += len(parts[-1][0])
-            if held > 4_000_000:
+            if held > 2_000_000:
                 parts = [tally(*map(np.concatenate, zip(*parts, strict=True)))]
                 held = len(parts[0][0])
     if parts:
@@ -323,7 +323,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
             ids = batch.column("doc_id")
             null, ids = np.asarray(ids.is_null()), C.longs(ids.fill_null(0))
             out = np.asarray(batch.column("out").to_numpy(zero_copy_only=False)).astype(bool)
-            for i, j in C.blocks(offs, BLOCK * 4):
+            for i, j in C.blocks(offs, BLOCK):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 own = uid + np.arange(j - i)
                 uid += j - i
