@@ -49,7 +49,10 @@ class Policy:
     structural_min: int = 2000
     structural_max: int = 100_000
     structural_penalty: int = 40
-    islands_k: int = 13
+    snp_anchors: bool = False
+    near_exact: bool = False
+    near_exact_drift: int = 256
+    near_exact_divergence: float = 0.10
     small_gap: int = 1024
     small_delta: int = 256
     medium_gap: int = 2048

@@ -150,3 +150,35 @@ def bridge(left: Chain, right: Chain, read_length: int, p: Policy, context: int
     whole.score = left.score + right.score - p.structural_penalty
     whole.bridged = True
     return whole
+
+
+def over_mismatches(anchors: np.ndarray, read: bytes, window: bytes, offset: int, relock: int = 24, most: int = 32, rate: float = 0.08) -> np.ndarray:
+    """Anchors grown across single mismatches: each needs ``relock`` equal bases after it, and there are at most ``most`` and ``rate`` of the length.
+
+    Growth stops where the bases also go on after a shift by one, which a one-base indel would do."""
+    q, r = np.frombuffer(read, np.uint8), np.frombuffer(window, np.uint8)
+
+    def equal(i: int, j: int, step: int) -> int:
+        n = min(len(q) - i, len(r) - j) if step > 0 else min(i, j) + 1
+        if n <= 0:
+            return 0
+        a, b = (q[i : i + n], r[j : j + n]) if step > 0 else (q[i - n + 1 : i + 1][::-1], r[j - n + 1 : j + 1][::-1])
+        different = np.flatnonzero(a != b)
+        return int(different[0]) if len(different) else n
+
+    out = anchors.copy()
+    for a in out:
+        misses = 0
+        for step, qi, ri in ((1, QUERY_END, REF_END), (-1, QUERY, REF)):
+            while misses < most:
+                i, j = (int(a[qi]), int(a[ri]) - offset) if step > 0 else (int(a[qi]) - 1, int(a[ri]) - offset - 1)
+                n = equal(i + step, j + step, step)
+                longer = int(a[QUERY_END] - a[QUERY]) + 1 + n
+                shifted = max(equal(i + step, j, step), equal(i, j + step, step))
+                if n < relock or (misses + 1) > rate * longer or shifted >= relock:
+                    break
+                misses += 1
+                a[qi] += step * (1 + n)
+                a[ri] += step * (1 + n)
+        a[SCORE] = a[QUERY_END] - a[QUERY] - misses
+    return out

@@ -169,6 +169,8 @@ def align_read(read: bytes, loci: list[dict], p: Policy) -> list[dict]:
     for locus in loci:
         own = reverse_complement(read) if locus["is_rc"] else read
         anchors = chain.find_anchors(own, locus["window"], locus["offset"], p)
+        if p.snp_anchors:
+            anchors = chain.without_contained(chain.over_mismatches(anchors, own, locus["window"], locus["offset"]), p.max_anchors)
         made = chain.chains(anchors, n, p)
         for c in list(made):
             for other in made:
@@ -225,6 +227,32 @@ def align_read(read: bytes, loci: list[dict], p: Policy) -> list[dict]:
     return out
 
 
+def near_exact_mapq(divergence: float, drift: int, frequency: int, p: Policy) -> int:
+    ceiling = max(p.near_exact_divergence, 0.02 + 1e-6)
+    sequence = min(1.0, max(0.0, (ceiling - divergence) / (ceiling - 0.02)))
+    geometry = 1 - 0.5 * min(1.0, drift / max(p.near_exact_drift, 1))
+    return math.floor(min(60.0, 60 * sequence * geometry * (1.0 if frequency <= 1 else 0.85)) + 0.5)
+
+
+def whole_read(read: bytes, locus: dict, p: Policy) -> dict | None:
+    """The whole read against one two-ended locus in a band a little wider than its drift; None if they differ too much.
+
+    locus: contig_id, is_rc, offset, window, drift (of its pair of seeds), frequency."""
+    own = reverse_complement(read) if locus["is_rc"] else read
+    if locus["drift"] > p.near_exact_drift:
+        return None
+    got = dp.align_banded(own, locus["window"], locus["drift"] + 64, p)
+    if isinstance(got, str) or got.edits > p.near_exact_divergence * len(read):
+        return None
+    ops = cg.left_aligned(cg.merged_gaps(got.cigar, own, locus["window"], p), own, locus["window"])
+    ops, start = cg.clean_edges(ops, 0)
+    score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[ops[0][1] if ops[0][0] == "S" else 0 :], locus["window"][start:], p)
+    return {
+        "record_type": "primary", "contig_id": locus["contig_id"], "ref_start": locus["offset"] + start, "ref_end": locus["offset"] + start + cg.ref_length(ops), "query_start": 0, "query_end": len(read),
+        "is_rc": locus["is_rc"], "score": score, "mapq": near_exact_mapq(edits / max(1, len(read)), locus["drift"], locus["frequency"], p), "cigar": [{"op": o, "len": k} for o, k in ops], "edit_distance": edits,
+    }
+
+
 def windows(reads: DataFrame, found: DataFrame, contigs: DataFrame, p: Policy) -> DataFrame:
     """Each candidate with the window of its contig that the whole read could lie on."""
     n = F.length("sequence")

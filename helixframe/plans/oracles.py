@@ -177,3 +177,24 @@ kept as (select policy, kmer, off from ranked, pol where total <= 16 or (policy
     "t1_sam": sql(EXACT + ", e as (select reads.*, exact.contig_id, ref_start, is_rc from reads left join exact using (read_ord))", "select read_ord, read_name || chr(9) || case when contig_id is null then '4' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' else case when is_rc then '16' else '0' end || chr(9) || 'c' || contig_id || chr(9) || (ref_start + 1) || chr(9) || '60' || chr(9) || length(sequence) || 'M' end || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || case when is_rc then translate(reverse(sequence), 'ACGT', 'TGCA') else sequence end || chr(9) || '*' || case when contig_id is null then '' else chr(9) || 'NM:i:0' || chr(9) || 'AS:i:' || 2 * length(sequence) end || chr(9) || 'RG:Z:g' || read_ord % 3 || chr(9) || 'XI:i:' || read_ord || case when contig_id is null then chr(9) || 'NM:i:9' else '' end as line from e"),
     "b5_variant_differences": "with a as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber = 1 group by all), b as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber = 2 group by all), lost as (select * from a anti join b using (contig, pos, ref, alt)), n as (select lost.*, min(abs(b.pos - lost.pos)) as distance from lost left join b on b.contig = lost.contig and abs(b.pos - lost.pos) <= 50 group by all) select *, case when distance is null then 'missed' else 'shifted' end as kind from n",
 }
+
+ORACLES |= {
+    "j8_two_ended_loci": sql(LOOKUP + """,
+us as (select l.*, length(r.sequence) as n from looked l join reads r using (read_ord) where completeness = 'complete' and total between 1 and 32),
+sd as (select *, 0 as side from us where query_pos + 15 <= least(1000, n) union all select *, 1 from us where query_pos >= greatest(n - 1000, 0)),
+tp as (select * from (select *, row_number() over (partition by read_ord, side order by total, query_pos, code) as rn from sd) where rn <= 8),
+pl as (select t.read_ord, side, query_pos as q, contig_id, ref_pos as r, t.is_rc <> k.is_rc as is_rc from tp t join ranked k using (kmer)),
+pr as (select a.read_ord, a.contig_id, a.is_rc, a.q as q1, a.r as r1, b.q as q2, b.r as r2, case when a.is_rc then a.r - b.r else b.r - a.r end as far
+  from pl a join pl b on a.side = 0 and b.side = 1 and a.read_ord = b.read_ord and a.contig_id = b.contig_id and a.is_rc = b.is_rc and b.q > a.q),
+bd as (select *, abs(far - (q2 - q1)) as drift, floor(case when is_rc then q1 + r1 else r1 - q1 end / 2000.0)::bigint as band from pr where far > 0 and abs(far - (q2 - q1)) <= 1000),
+bs as (select read_ord, contig_id, is_rc, band, min(struct_pack(drift := drift, q1 := q1, r1 := r1, q2 := q2, r2 := r2)) as b from bd group by all)
+""", "select * from (select read_ord, contig_id, is_rc, band, b.drift as drift, b.q1 as q1, b.r1 as r1, b.q2 as q2, b.r2 as r2, row_number() over (partition by read_ord order by b.drift, contig_id, is_rc, band) as rank from bs) where rank <= 8"),
+    "a7_seed_votes": sql(LOOKUP + """,
+v as (select q.read_ord, r.contig_id, q.is_rc <> r.is_rc as is_rc, floor(case when q.is_rc <> r.is_rc then query_pos + ref_pos else ref_pos - query_pos end / 2000.0)::bigint as band, count(distinct query_pos) as support
+  from qseeds q join ranked r using (kmer) where off < 128 and total <= 250 group by all having count(distinct query_pos) >= 2)
+""", "select read_ord, contig_id, is_rc, band, support from (select *, row_number() over (partition by read_ord order by support desc, contig_id, is_rc, band) as k from v) where k = 1"),
+    "c21_cigar_lengths": "with o as (select l_orderkey, l_linenumber, [l_partkey, l_suppkey, l_linenumber] as c from lineitem) select l_orderkey, l_linenumber, list_aggregate(list_transform(c, lambda x: (x % 40 + 1)::varchar || case x % 3 when 0 then 'M' when 1 then 'I' else 'D' end), 'string_agg', '') as cigar, list_sum(list_transform(c, lambda x: case when x % 3 in (0, 1) then x % 40 + 1 else 0 end))::int as query_length, list_sum(list_transform(c, lambda x: case when x % 3 in (0, 2) then x % 40 + 1 else 0 end))::int as ref_length from o",
+    "st_event_sessions": "with l as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events), m as (select *, sum(case when gap is null or gap >= interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from l) select user_id, min(ts) as start, max(ts) + interval 30 minutes as \"end\", count(*) as n from m group by user_id, s",
+    "b4_indel_kinds": "select a.p_partkey, case when a.p_brand = b.p_brand and a.p_type = b.p_type then 'same' when sign(length(a.p_type) - length(a.p_brand)) <> sign(length(b.p_type) - length(b.p_brand)) then 'direction' when length(a.p_type) - length(a.p_brand) <> length(b.p_type) - length(b.p_brand) then 'length' else 'spelling' end as kind from part a join part b on b.p_partkey = a.p_partkey + 1",
+    "i2_isolated": sql(KMERS + ", small as (select distinct contig_id, ref_pos from ranked where total <= 16), big as (select contig_id, ref_pos from ranked where total > 16), near as (select b.contig_id, b.ref_pos, count(s.ref_pos) as k from big b left join small s on s.contig_id = b.contig_id and s.ref_pos between b.ref_pos - 512 and b.ref_pos + 512 group by all)", "select b.contig_id, count(*) as hits from big b join near n using (contig_id, ref_pos) where n.k = 0 group by 1"),
+}

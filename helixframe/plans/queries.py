@@ -201,3 +201,47 @@ def map_short_reads(spark, d):
 
 
 QUERIES |= {"k9_map_long_reads": map_long_reads, "k9_map_short_reads": map_short_reads}
+
+
+def j8_two_ended_loci(spark, d):
+    r = data.reads(spark, d)
+    return lookup.two_ended_loci(r, _looked(spark, d), _asked(spark, d), P.k)
+
+
+def a7_seed_votes(spark, d):
+    return lookup.seed_votes(lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits))
+
+
+def c21_cigar_lengths(spark, d):
+    """Operations made from line items: their text, and the lengths on read and reference."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    op = lambda c: F.when(c % 3 == 0, "M").when(c % 3 == 1, "I").otherwise("D")
+    ops = F.array(*(F.struct(op(c).alias("op"), (c % 40 + 1).cast("int").alias("len")) for c in (F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"))))
+    total = lambda kinds: F.aggregate("ops", F.lit(0), lambda s, o: s + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0))
+    return li.withColumn("ops", ops).select("l_orderkey", "l_linenumber", sam.cigar_text(F.col("ops")).alias("cigar"), total("MI").alias("query_length"), total("MD").alias("ref_length"))
+
+
+def st_event_sessions(spark, d):
+    """Sessions of the events by user: the batch form of the streaming query."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"), "n")
+
+
+def b4_indel_kinds(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("ref"), F.col("p_type").alias("alt"))
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("ref").alias("other_ref"), F.col("alt").alias("other_alt"))
+    return p.join(other, "p_partkey").select("p_partkey", analytics.indel_kind(F.col("ref"), F.col("alt"), F.col("other_ref"), F.col("other_alt")).alias("kind"))
+
+
+def j13_truth(spark, d):
+    """The changed long reads against where they were cut from: right and wrong by confidence."""
+    from ..operators import mapper
+
+    r = data.long_reads(spark, d)
+    found = mapper.map_reads(r, data.contigs(spark, d), P).where("record_type = 'primary'")
+    got = found.select(F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), F.col("ref_start").alias("start"), F.when(F.col("is_rc"), "-").otherwise("+").alias("strand"), "mapq")
+    truth = r.select(F.col("read_ord").alias("read"), F.col("read_ord").alias("contig"), F.lit(100).alias("start"), F.lit("+").alias("strand"))
+    return analytics.judged(got, truth, 5)
+
+
+QUERIES |= {"j8_two_ended_loci": j8_two_ended_loci, "a7_seed_votes": a7_seed_votes, "c21_cigar_lengths": c21_cigar_lengths, "st_event_sessions": st_event_sessions, "b4_indel_kinds": b4_indel_kinds, "j13_truth": j13_truth}
