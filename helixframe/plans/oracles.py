@@ -198,3 +198,7 @@ v as (select q.read_ord, r.contig_id, q.is_rc <> r.is_rc as is_rc, floor(case wh
     "b4_indel_kinds": "select a.p_partkey, case when a.p_brand = b.p_brand and a.p_type = b.p_type then 'same' when sign(length(a.p_type) - length(a.p_brand)) <> sign(length(b.p_type) - length(b.p_brand)) then 'direction' when length(a.p_type) - length(a.p_brand) <> length(b.p_type) - length(b.p_brand) then 'length' else 'spelling' end as kind from part a join part b on b.p_partkey = a.p_partkey + 1",
     "i2_isolated": sql(KMERS + ", small as (select distinct contig_id, ref_pos from ranked where total <= 16), big as (select contig_id, ref_pos from ranked where total > 16), near as (select b.contig_id, b.ref_pos, count(s.ref_pos) as k from big b left join small s on s.contig_id = b.contig_id and s.ref_pos between b.ref_pos - 512 and b.ref_pos + 512 group by all)", "select b.contig_id, count(*) as hits from big b join near n using (contig_id, ref_pos) where n.k = 0 group by 1"),
 }
+ORACLES["a8_diagnostics"] = sql(
+    PROBES + ", e as (select read_ord, count(*) as seeds, sum((completeness = 'complete')::int) as complete, sum((completeness = 'sampled')::int) as sampled, sum(stored) as hits from looked group by 1), p as (select read_ord, count(*) as probes from probes group by 1)",
+    "select count(*) as reads, coalesce(sum(seeds), 0)::bigint as seeds, coalesce(sum(complete), 0)::bigint as complete, coalesce(sum(sampled), 0)::bigint as sampled, coalesce(sum(hits), 0)::bigint as hits, coalesce(sum(probes), 0)::bigint as probes, max(coalesce(hits, 0))::bigint as max_hits, max(coalesce(probes, 0))::bigint as max_probes from reads left join e using (read_ord) left join p using (read_ord)",
+)

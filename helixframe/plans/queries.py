@@ -245,3 +245,18 @@ def j13_truth(spark, d):
 
 
 QUERIES |= {"j8_two_ended_loci": j8_two_ended_loci, "a7_seed_votes": a7_seed_votes, "c21_cigar_lengths": c21_cigar_lengths, "st_event_sessions": st_event_sessions, "b4_indel_kinds": b4_indel_kinds, "j13_truth": j13_truth}
+
+
+def a8_diagnostics(spark, d):
+    """Counters of the stages over all reads: one row of sums and maxima."""
+    r = data.reads(spark, d)
+    looked = _looked(spark, d)
+    each = looked.groupBy("read_ord").agg(
+        F.count("*").alias("seeds"), F.sum((F.col("completeness") == "complete").cast("long")).alias("complete"), F.sum((F.col("completeness") == "sampled").cast("long")).alias("sampled"), F.sum("stored").alias("hits")
+    )
+    probes_ = probes.read_probes(r, looked, P).groupBy("read_ord").agg(F.count("*").alias("probes"))
+    joined = r.select("read_ord").join(each, "read_ord", "left").join(probes_, "read_ord", "left").na.fill(0)
+    return joined.agg(F.count("*").alias("reads"), *(F.sum(c).alias(c) for c in ("seeds", "complete", "sampled", "hits", "probes")), F.max("hits").alias("max_hits"), F.max("probes").alias("max_probes"))
+
+
+QUERIES["a8_diagnostics"] = a8_diagnostics

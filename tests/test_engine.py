@@ -154,3 +154,24 @@ def test_entry_imports_without_the_subpackage():
     names = set(e.queries())
     assert {"i1_index", "a1_a3_candidates", "t1_sam"} <= names and set(e.oracle_sql()) <= names
     assert (importlib.util.find_spec("helixframe.llm") is not None) == any(n.startswith("op") for n in names)
+
+
+def test_split_reads_name_each_other(spark):
+    a, b = lcg32(9000, 61), lcg32(9000, 62)
+    [x, y] = lines(spark, reads(spark, (a[1000:4000] + rc(b[2000:5000]), None, "CO:Z:c SA:Z:old")), contigs(spark, a, b), policy())
+    assert {x[1], y[1]} <= {"0", "16", "2048", "2064"} and int(y[1]) & 2048 and not int(x[1]) & 2048
+    entry = lambda r: ",".join([r[2], r[3], "-" if int(r[1]) & 16 else "+", r[5], r[4], next(t for t in r if t.startswith("NM:i:"))[5:]]) + ";"
+    assert f"SA:Z:{entry(y)}" in x and f"SA:Z:{entry(x)}" in y and "SA:Z:old" not in x and "CO:Z:c" in x
+
+
+def test_sessions_stream_as_they_batch(tmp_path, spark):
+    rows = [(k, f"2024-01-01 0{k % 5}:{(k * 7) % 60:02d}:00", k % 3, float(k)) for k in range(60)] + [(99, "2024-02-01 00:00:00", 1, 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = mapping.user_sessions(spark, str(tmp_path / "e"), watermark="1 hour")
+    q = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in spark.sql("select * from sessions").collect()}
+    e = spark.read.parquet(str(tmp_path / "e")).where("event_id <> 99")
+    want = e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("t"))
+    assert got == {tuple(r) for r in want.select("user_id", "session_window.start", "session_window.end", "n", "t").collect()}

@@ -151,3 +151,29 @@ def test_minimizers():
     assert all(not (p <= 100 < p + 15) for p in kmers.minimizers(broken.encode(), 15, 8, kmers.xxh64, True)[0])
     codes = np.array([449396736, 943947776], np.uint64)
     assert set((kmers.xxh64(codes) & np.uint64(2**32 - 1)).tolist()) == {636675604}
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_whole_read_in_a_band(turn):
+    ref = lcg32(6000, 345)
+    read = list(ref[200:3200])
+    for k in range(50, 2950, 300):
+        read[k] = "ACGT"[("ACGT".index(read[k]) + 1) % 4]
+    read = "".join(read[:1500] + read[1510:])
+    locus_ = {"contig_id": 3, "is_rc": turn, "offset": 200, "window": ref[200:3200].encode(), "drift": 10, "frequency": 1}
+    got = mapper.whole_read((rc(read) if turn else read).encode(), locus_, P)
+    assert got["ref_start"] == 200 and got["ref_end"] == 3200 and got["edit_distance"] == 20 and got["mapq"] == 59
+    assert mapper.whole_read(lcg32(3000, 8).encode(), locus_, P) is None
+    assert mapper.whole_read(read.encode(), locus_ | {"drift": 300}, P) is None
+
+
+def test_anchors_over_mismatches():
+    ref = lcg32(900, 12)
+    read = ref[:300] + "ACGT"["ACGT".index(ref[300]) - 1] + ref[301:600]
+    got = chain.over_mismatches(chain.find_anchors(read.encode(), ref.encode(), 0, P), read.encode(), ref.encode(), 0)
+    assert any((a[chain.QUERY], a[chain.QUERY_END], a[chain.SCORE]) == (0, 600, 599) for a in got)
+    gap = ref[:300] + ref[301:600]
+    got = chain.over_mismatches(chain.find_anchors(gap.encode(), ref.encode(), 0, P), gap.encode(), ref.encode(), 0)
+    assert all(a[chain.QUERY_END] - a[chain.QUERY] < 330 for a in got)
+    [x] = mapper.align_read(read.encode(), [locus(ref)], policy(snp_anchors=True))
+    assert x["edit_distance"] == 1 and x["cigar"] == [{"op": "M", "len": 600}]
