@@ -12,6 +12,10 @@ the hash of the anchor's GRAM words, and the windows are verified by a second, i
 words.  Where the anchors agree and the covered words do not, only some windows can be equal: the
 words themselves are fetched and each window is compared word by word.
 
+A gram that a fixed share of the records have (hot, from a bounded sample of the first batch) is not
+used: its windows are records of their own, dealt out by the hash of all their words, so no gram
+fills one task.  Before the shuffle each task keeps only its own first documents of a fingerprint.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A word goes if it lies in a window whose words also start
 in a document with a smaller doc_id; windows are judged on the input.  Null texts have no words; null
 ids come last; rows with one id are one document and do not remove each other's words.
@@ -34,6 +38,8 @@ from .suffix_dedup import COMPARE, PARTS, REMOVE, merged, part_rows
 WINDOW, GRAM = 13, 4
 FANOUT = 2
 BLOCK, PIECE = 1 << 20, 1 << 22
+#: Records of a task in the sample for hot grams, and the share of the sample that makes a gram hot.
+SAMPLE, HOT = 2048, 1 / 512
 #: Shares of the documents after which a new batch begins.
 CUTS = (0.5, 0.75)
 RECORD = {"gram": "<u8", "span": "<u8", "did": "<i8", "tag": "<u2", "first": "<u4", "count": "<u1", "back": "<u1"}
@@ -44,8 +50,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return C.keyed(docs).withColumn("crc", F.col("crc").bitwiseAND(F.lit(0xFFFF)))
 
 
-def records(did, crc, buf, offs):
-    """Records of each block of texts; long texts in pieces of words that overlap by a window."""
+def records(did, crc, buf, offs, hot: np.ndarray | None = None):
+    """Records of each block of texts; long texts in pieces of words that overlap by a window.
+
+    The windows of hot grams are records of their own, with hashes of their 13 words as gram and span."""
     for i, j in C.blocks(offs, BLOCK):
         b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         starts, ends, at = C.words_of(b, o)
@@ -55,19 +63,47 @@ def records(did, crc, buf, offs):
             s = np.arange(0, len(word), PIECE - WINDOW + 1)
             e, base = np.minimum(s + PIECE, len(word)), np.zeros(len(s), np.int64)
             for a, z in zip(s, e, strict=True):
-                yield from _records(word[a:z], np.array([0]), np.array([z - a]), np.array([i]), np.array([a]), did, crc)
+                yield from _records(word[a:z], np.array([0]), np.array([z - a]), np.array([i]), np.array([a]), did, crc, hot)
             continue
-        yield from _records(word, s, e, i + base, np.zeros(j - i, np.int64), did, crc)
+        yield from _records(word, s, e, i + base, np.zeros(j - i, np.int64), did, crc, hot)
 
 
-def _records(word, s, e, row, shift, did, crc):
+def _records(word, s, e, row, shift, did, crc, hot):
     r = S.find(word, s, e, WINDOW, GRAM)
-    if r is not None:
-        own = row[r.row]
-        yield {
-            "gram": r.gram & _48, "span": r.span & _48, "did": did[own], "tag": crc[own].astype(np.uint16), "first": (r.first - s[r.row] + shift[r.row]).astype(np.uint32),
-            "count": r.count.astype(np.uint8), "back": (r.anchor - r.first).astype(np.uint8),
-        }
+    if r is None:
+        return
+    gram, span, piece, first, count, back = r.gram & _48, r.span & _48, r.row, r.first, r.count, r.anchor - r.first
+    if hot is not None and len(hot) and (often := np.isin(gram, hot)).any():
+        at = C.runs_to_rows(first[often], count[often])
+        one = np.repeat(piece[often], count[often])
+        own, other = (C.range_hash(C.prefix_hash(w), at, at + WINDOW) & _48 for w in (word, C.mix(word)))
+        gram, span, piece, first = (np.concatenate([x[~often], y]) for x, y in ((gram, own), (span, other), (piece, one), (first, at)))
+        count, back = np.append(count[~often], np.ones(len(at), np.int64)), np.append(back[~often], np.zeros(len(at), np.int64))
+    own = row[piece]
+    yield {
+        "gram": gram, "span": span, "did": did[own], "tag": crc[own].astype(np.uint16), "first": (first - s[piece] + shift[piece]).astype(np.uint32),
+        "count": count.astype(np.uint8), "back": back.astype(np.uint8),
+    }
+
+
+def hot_grams(docs: DataFrame, share: int = 16) -> np.ndarray:
+    """Grams that a fixed share (HOT) of sampled records have: at most 1 / HOT of them.
+
+    The sample is the texts whose hash is 0 modulo ``share``, and of each task at most SAMPLE records."""
+
+    def sample(batches):
+        rng, got = np.random.default_rng(7), np.empty(0, np.uint64)
+        for batch in batches:
+            buf, offs = C.flat(batch.column("text"))
+            for r in records(C.longs(batch.column("did")), C.longs(batch.column("crc")), buf, offs):
+                got = np.concatenate([got, r["gram"]])
+                if len(got) > 64 * SAMPLE:
+                    got = rng.choice(got, SAMPLE, replace=False)
+        yield pa.RecordBatch.from_arrays([pa.array([rng.choice(got, min(SAMPLE, len(got)), replace=False).tobytes()], pa.binary())], names=["g"])
+
+    rows = keyed(docs).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(sample, "g binary").collect()
+    grams, times = np.unique(np.concatenate([np.frombuffer(x.g, np.uint64) for x in rows] or [np.empty(0, np.uint64)]), return_counts=True)
+    return grams[(times >= 16) & (times > HOT * times.sum())]
 
 
 def sort(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -120,6 +156,7 @@ class FingerprintIndex:
         self.path = path or f"{C.shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or C.partitions(spark)
         self.runs: list[tuple[str, int]] = []  # folder, documents in it
+        self.hot: np.ndarray | None = None  # found in the first batch; the same for all runs
 
     def rows(self, folder: str, run: int) -> DataFrame:
         return self.spark.read.schema("bucket int, pack binary").parquet(folder).select("bucket", "pack", *(F.lit(run if c == "did" else 0).cast(t).alias(c) for c, t in (x.split(" ") for x in PARTS.split(", "))))
@@ -130,15 +167,20 @@ class FingerprintIndex:
         The caller passes batches in ascending order of doc_id: all that is in the index counts as earlier."""
         n = self.buckets
         outcome = f"{self.path}/batch-{uuid.uuid4().hex}"
-        moved = keyed(docs).mapInArrow(_batch(n), STEP)
+        if self.hot is None:
+            self.hot = hot_grams(docs)
+        moved = keyed(docs).mapInArrow(_batch(n, self.hot), STEP)
         for k, (folder, _) in enumerate(self.runs):
             moved = moved.unionByName(self.rows(folder, k))
         joined = moved.repartition(n, "bucket").mapInArrow(_merge_join, STEP)
         joined.withColumn("is_run", F.col("pack").isNotNull()).write.partitionBy("is_run").parquet(outcome)
-        self.runs.append((f"{outcome}/is_run=true", weight))
+        if C.exists(self.spark, f"{outcome}/is_run=true"):  # a batch without windows makes no run
+            self.runs.append((f"{outcome}/is_run=true", weight))
         if len(self.runs) > FANOUT:
             self.compact()
-        return self.spark.read.schema(f"{STEP}, is_run boolean").parquet(outcome).where("not is_run").select(*(x.split(" ")[0] for x in PARTS.split(", ")))
+        if not C.exists(self.spark, f"{outcome}/is_run=false"):
+            return self.spark.createDataFrame([], PARTS)
+        return self.spark.read.schema(STEP).parquet(f"{outcome}/is_run=false").select(*(x.split(" ")[0] for x in PARTS.split(", ")))
 
     def compact(self) -> None:
         """Merge the two smallest runs, bucket by bucket."""
@@ -152,12 +194,12 @@ class FingerprintIndex:
             C.remove(self.spark, old)
 
 
-def _batch(n: int):
+def _batch(n: int, hot: np.ndarray):
     def run(batches):
         parts = []
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
-            parts += records(C.longs(batch.column("did")), C.longs(batch.column("crc")), buf, offs)
+            parts += records(C.longs(batch.column("did")), C.longs(batch.column("crc")), buf, offs, hot)
         if not parts:
             return
         r, same, _ = sort(C.joined(parts))
@@ -195,20 +237,26 @@ def _merge_join(batches):
         fresh = same.copy()
         for packs in runs.values():
             h = C.joined([C.unpack(x, **RECORD) for x in packs])
-            low, high = np.searchsorted(h["gram"], r["gram"], "left"), np.searchsorted(h["gram"], r["gram"], "right")
-            met = high > low
-            # among the run's few records of the gram: the same span, or other words
-            count = (high - low)[met]
-            own, other = np.repeat(np.flatnonzero(met), count), C.runs_to_rows(low[met], count)
-            equal = h["span"][other] == r["span"][own]
-            known = np.zeros(len(met), bool)
-            known[own[equal]] = True
-            later |= known
-            fresh &= ~known
-            differs = np.bincount(own[~equal], minlength=len(met)) > 0
-            open_ |= differs
-            asked = np.unique(other[~equal])
-            yield with_pack(part_rows(*(take(h, asked)[c] for c in ("did", "tag")), COMPARE, *(take(h, asked)[c] for c in ("first", "count", "back"))))
+            inside = np.isin(h["gram"], r["gram"][gram])  # both are sorted sets of one bucket
+            h = take(h, inside)
+            if not len(h["gram"]):
+                continue
+            # the run's rows and the new ones, sorted together: equal fingerprints, and grams with several
+            n = len(h["gram"])
+            order, group = C.multikey([np.concatenate([h["gram"], r["gram"]]), np.concatenate([h["span"], r["span"]])])
+            head = np.append(True, group[1:] != group[:-1])
+            of = np.cumsum(head) - 1
+            old = np.bincount(of, order < n) > 0
+            every = np.concatenate([h["gram"], r["gram"]])[order]
+            first = np.append(True, every[1:] != every[:-1])
+            several = np.bincount(np.cumsum(first) - 1, head) > 1
+            known, differs = np.empty(len(order), bool), np.empty(len(order), bool)
+            known[order], differs[order] = old[of], several[np.cumsum(first) - 1]
+            later |= known[n:]
+            fresh &= ~known[n:]
+            open_ |= differs[n:]
+            asked = take(h, differs[:n])
+            yield with_pack(part_rows(asked["did"], asked["tag"], COMPARE, asked["first"], asked["count"], asked["back"]))
         yield with_pack(removal_rows(take(r, later)))
         rest = take(r, open_ & same)
         # an open record needs the comparison for the first document that has it, and for others that are not decided
@@ -246,32 +294,40 @@ def resolve(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
     def fetch(batches):
         for batch in batches:
-            buf, offs = C.flat(batch.column("text"))
-            starts, ends, at = C.words_of(buf, offs)
+            whole, offs = C.flat(batch.column("text"))
             spans = batch.column("spans")
             per = np.asarray(pa.compute.list_value_length(spans))
-            f, c, k = (np.asarray(spans.flatten().field(i)).astype(np.int64) for i in range(3))
-            row = np.repeat(np.arange(len(per)), per)
-            if not len(row):
-                continue
-            first, size = at[row] + f, c - 1 + WINDOW
-            whole = first + size <= at[row + 1]
-            row, f, c, k, first, size = (x[whole] for x in (row, f, c, k, first, size))
-            word = C.range_hash(C.prefix_hash(C.BYTE[buf]), starts, ends)
-            gram = S.gram_hashes(word, GRAM)[first + k] if len(row) else np.empty(0, np.uint64)
-            bucket = (gram % C.U64(n)).astype(np.int64)
-            did, crc = C.longs(batch.column("did"))[row], C.longs(batch.column("crc"))[row]
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                own = by[cuts[i] : cuts[i + 1]]
-                w = C.runs_to_rows(first[own], size[own])
-                length = ends[w] - starts[w] + 1  # with one white space byte after it, or the text's end
-                text = np.full(int(length.sum()), 32, np.uint8)
-                to = np.cumsum(length) - length
-                text[C.runs_to_rows(to, length - 1)] = buf[C.runs_to_rows(starts[w], length - 1)]
-                head = C.pack(did=did[own], crc=crc[own].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8), back=k[own].astype(np.uint8), gram=gram[own])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([text.tobytes()], pa.binary())], names=["bucket", "head", "data"])
+            last = np.concatenate([[0], np.cumsum(per)])
+            fields = [np.asarray(spans.flatten().field(i)).astype(np.int64) for i in range(3)]
+            did, crc = C.longs(batch.column("did")), C.longs(batch.column("crc"))
+            for i, j in C.blocks(offs, BLOCK):
+                row = np.repeat(np.arange(j - i), per[i:j])
+                if len(row):
+                    own = slice(last[i], last[j])
+                    yield from cut_out(whole[offs[i] : offs[j]], offs[i : j + 1] - offs[i], row, did[i:j], crc[i:j], *(f[own] for f in fields))
+
+    def cut_out(buf, offs, row, did, crc, f, c, k):
+        """The words of the asked spans, one space after each, packed by bucket of their anchor's gram."""
+        starts, ends, at = C.words_of(buf, offs)
+        first, size = at[row] + f, c - 1 + WINDOW
+        fits = first + size <= at[row + 1]
+        row, f, c, k, first, size = (x[fits] for x in (row, f, c, k, first, size))
+        if not len(row):
+            return
+        gram = S.gram_hashes(C.range_hash(C.prefix_hash(C.BYTE[buf]), starts, ends), GRAM)[first + k]
+        bucket = (gram % C.U64(n)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(n + 1))
+        length = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        for i in np.flatnonzero(np.diff(cuts)):
+            own = by[cuts[i] : cuts[i + 1]]
+            w = C.runs_to_rows(first[own], size[own])
+            long = ends[w] - starts[w] + 1
+            text = np.full(int(long.sum()), 32, np.uint8)
+            text[C.runs_to_rows(np.cumsum(long) - long, long - 1)] = buf[C.runs_to_rows(starts[w], long - 1)]
+            n_bytes = length[first[own] + size[own]] - length[first[own]]
+            head = C.pack(did=did[row[own]], crc=crc[row[own]].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8), gram=gram[own], size=n_bytes.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([text.tobytes()], pa.binary())], names=["bucket", "head", "data"])
 
     def compare(batches):
         held: dict[int, list] = {}
@@ -280,41 +336,47 @@ def resolve(docs: DataFrame, parts: DataFrame) -> DataFrame:
                 held.setdefault(x["bucket"], []).append((x["head"], x["data"]))
         for bucket in list(held):
             got = held.pop(bucket)
-            r = C.joined([C.unpack(h, did="<i8", crc="<u4", first="<u4", count="<u1", back="<u1", gram="<u8") for h, _ in got])
+            r = C.joined([C.unpack(h, did="<i8", crc="<u4", first="<u4", count="<u1", gram="<u8", size="<u4") for h, _ in got])
             data = np.frombuffer(b"".join(d for _, d in got), np.uint8)
-            starts, ends, _ = C.words_of(data, np.array([0, len(data)]))
-            words = r["count"].astype(np.int64) - 1 + WINDOW
-            base = np.cumsum(words) - words
-            prefix = C.prefix_hash(C.BYTE[data])
-            count = r["count"].astype(np.int64)
+            del got
+            size = r["size"].astype(np.int64)
+            begin = np.cumsum(size) - size
             order = np.argsort(r["gram"], kind="stable")
-            work = np.cumsum(count[order])
+            work = np.cumsum(size[order])
             at = 0
-            while at < len(order):  # whole groups of equal grams, about a million windows at once
-                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000)))
+            while at < len(order):  # whole groups of equal grams, about BLOCK bytes at once
+                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + BLOCK)))
                 while to < len(order) and r["gram"][order[to]] == r["gram"][order[to - 1]]:
                     to += 1
                 own = order[at:to]
                 at = to
-                w = C.runs_to_rows(base[own], count[own])
-                row = np.repeat(own, count[own])
-                first = r["first"][row] + (w - base[row])
-                a, z = starts[w], ends[w + WINDOW - 1]
-                key = C.range_hash(prefix, a, z)
-                by = np.lexsort((first, r["did"][row], key))
-                key, row, first, a, z = key[by], row[by], first[by], a[by], z[by]
-                same = np.append(True, key[1:] != key[:-1])
-                lead = np.flatnonzero(same)[np.cumsum(same) - 1]
-                later = r["did"][row] > r["did"][row[lead]]
-                gone = np.flatnonzero(later)
-                size = z[gone] - a[gone]
-                fits = size == z[lead[gone]] - a[lead[gone]]
-                gone, size = gone[fits], size[fits]
-                if len(gone):  # verified byte by byte
-                    wrong = data[C.runs_to_rows(a[gone], size)] != data[C.runs_to_rows(a[lead[gone]], size)]
-                    gone = gone[np.add.reduceat(wrong, np.cumsum(size) - size) == 0]
-                one = {"did": r["did"][row[gone]], "tag": r["crc"][row[gone]].astype(np.uint16), "first": first[gone], "count": np.ones(len(gone), np.int64)}
-                yield removal_rows(one)
+                yield removal_rows(repeated({c: v[own] for c, v in r.items()}, data[C.runs_to_rows(begin[own], size[own])]))
+
+    def repeated(r, data):
+        """Windows whose words start in a document with a smaller id; equal hashes are verified byte by byte."""
+        starts, ends, _ = C.words_of(data, np.array([0, len(data)]))
+        count = r["count"].astype(np.int64)
+        words = count - 1 + WINDOW
+        base = np.cumsum(words) - words
+        w = C.runs_to_rows(base, count)
+        row = np.repeat(np.arange(len(count)), count)
+        first = r["first"][row] + (w - base[row])
+        a, z = starts[w], ends[w + WINDOW - 1]
+        key = C.range_hash(C.prefix_hash(C.BYTE[data]), a, z)
+        by = np.lexsort((first, r["did"][row], key))
+        key, row, first, a, z = key[by], row[by], first[by], a[by], z[by]
+        same = np.append(True, key[1:] != key[:-1])
+        lead = np.flatnonzero(same)[np.cumsum(same) - 1]
+        gone = np.flatnonzero(r["did"][row] > r["did"][row[lead]])
+        gone = gone[z[gone] - a[gone] == z[lead[gone]] - a[lead[gone]]]
+        good = []
+        for part in np.array_split(gone, max(1, len(gone) // 20_000)):
+            size = z[part] - a[part]
+            if len(part):
+                wrong = data[C.runs_to_rows(a[part], size)] != data[C.runs_to_rows(a[lead[part]], size)]
+                good.append(part[np.add.reduceat(wrong, np.cumsum(size) - size) == 0])
+        gone = np.concatenate(good) if good else gone
+        return {"did": r["did"][row[gone]], "tag": r["crc"][row[gone]].astype(np.uint16), "first": first[gone], "count": np.ones(len(gone), np.int64)}
 
     rows = texts.mapInArrow(fetch, "bucket int, head binary, data binary").repartition(n, "bucket").mapInArrow(compare, PARTS)
     return parts.where(f"kind = {REMOVE}").select("did", "crc", "first", "count").unionByName(rows.select("did", "crc", "first", "count"))
@@ -347,28 +409,32 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     def finish(batches):
         for batch in batches:
-            buf, offs = C.flat(batch.column("text"))
-            starts, ends, at = C.words_of(buf, offs)
-            gone = np.zeros(len(starts) + 1, np.int64)
-            column = batch.column("removed")
-            per = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
-            f, c = (np.asarray(column.flatten().field(i)).astype(np.int64) for i in range(2))
-            row = np.repeat(np.arange(len(per)), per)
-            np.add.at(gone, at[row] + f, 1)
-            np.add.at(gone, np.minimum(at[row] + f + c, at[row + 1]), -1)
-            stay = np.cumsum(gone[:-1]) == 0
-            kept = []
-            for i in range(batch.num_rows):
-                own = at[i] + np.flatnonzero(stay[at[i] : at[i + 1]])
-                length = ends[own] - starts[own] + 1
-                text = np.full(int(length.sum()), 32, np.uint8)
-                text[C.runs_to_rows(np.cumsum(length) - length, length - 1)] = buf[C.runs_to_rows(starts[own], length - 1)]
-                kept.append(text[:-1].tobytes())
-            n = np.diff(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(np.concatenate([[0], np.cumsum(stay)])[at])), pa.array([k.decode() for k in kept], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
-            )
+            all_bytes, all_offs = C.flat(batch.column("text"))
+            for i, j in C.blocks(all_offs, BLOCK):
+                yield kept_rows(all_bytes[all_offs[i] : all_offs[j]], all_offs[i : j + 1] - all_offs[i], batch.slice(i, j - i))
+
+    def kept_rows(buf, offs, batch):
+        starts, ends, at = C.words_of(buf, offs)
+        gone = np.zeros(len(starts) + 1, np.int64)
+        column = batch.column("removed")
+        per = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+        f, c = (np.asarray(column.flatten().field(i)).astype(np.int64) for i in range(2))
+        row = np.repeat(np.arange(len(per)), per)
+        np.add.at(gone, at[row] + f, 1)
+        np.add.at(gone, np.minimum(at[row] + f + c, at[row + 1]), -1)
+        stay = np.cumsum(gone[:-1]) == 0
+        kept = []
+        for i in range(batch.num_rows):
+            own = at[i] + np.flatnonzero(stay[at[i] : at[i + 1]])
+            length = ends[own] - starts[own] + 1
+            text = np.full(int(length.sum()), 32, np.uint8)
+            text[C.runs_to_rows(np.cumsum(length) - length, length - 1)] = buf[C.runs_to_rows(starts[own], length - 1)]
+            kept.append(text[:-1].tobytes().decode())
+        n = np.diff(at)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(np.concatenate([[0], np.cumsum(stay)])[at])), pa.array(kept, pa.string())],
+            names=["doc_id", "n_words", "n_removed", "kept"],
+        )
 
     return whole.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 

@@ -59,6 +59,18 @@ def test_substrings_of_long_texts_and_repeated_rows(spark, monkeypatch):
     assert next(n for i, n in got if i == 2) == len(a.split()) - 10
 
 
+def test_hot_grams_are_dealt_out_by_window(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 1 / 100000)
+    rnd = random.Random(31)
+    rows = [(i, text(rnd, 20) + " licensed under the terms of this very long licence text " + text(rnd, rnd.randint(3, 6)) + " and so it goes on for all of us") for i in range(300)]
+    rows += [(300 + i, rows[i][1].split(" ", 3)[3]) for i in range(40)]
+    import hashlib
+
+    assert len(substring_dedup.hot_grams(frame(spark, rows).select("doc_id", "text"), 1)) > 0
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == substring_dedup.brute_force(rows)
+
+
 def test_index_runs_are_compacted(spark):
     index = substring_dedup.FingerprintIndex(spark)
     rnd = random.Random(3)
