@@ -152,6 +152,7 @@ class FingerprintIndex:
     """Immutable sorted runs under a folder of the shared file system."""
 
     def __init__(self, spark, path: str | None = None, buckets: int | None = None):
+        C.short_batches(spark)
         self.spark = spark
         self.path = path or f"{C.shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or C.partitions(spark)
