@@ -202,19 +202,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     if not rows:
         return Model(Head(np.zeros(SLOTS), 40.0), Head(np.zeros(TOXIC_SLOTS), -40.0))
     buf, offs = C.flat(pa.array([r.text for r in rows], pa.large_string()))
-    own: tuple[list, list] = ([], [])
-    for i, j in C.blocks(offs, 1 << 18):
-        for f, slots, to in zip(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), (SLOTS, TOXIC_SLOTS), own, strict=True):
-            to.append(compact(f, slots, i))
-    quality, toxic = (tuple(map(np.concatenate, zip(*x, strict=True))) for x in own)
     held = np.arange(len(rows)) % 5 == 4
     q, t = np.array([r._q for r in rows]), np.array([r._t for r in rows])
+    del rows
     heads = []
-    for f, label, empty, slots in ((quality, q, 1, SLOTS), (toxic, t, 0, TOXIC_SLOTS)):
+    for which, (label, empty, slots) in enumerate(((q, 1, SLOTS), (t, 0, TOXIC_SLOTS))):
         if len(np.unique(label[~held])) < 2:
             heads.append(Head(np.zeros(slots), 40.0 if (label[0] if len(np.unique(label)) == 1 else empty) else -40.0))
-        else:
-            heads.append(fit(f, label, held, slots))
+            continue
+        parts = []  # one head's features at a time: this runs on the driver
+        for i, j in C.blocks(offs, 1 << 18):
+            parts.append(compact(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[which], slots, i))
+        heads.append(fit(tuple(map(np.concatenate, zip(*parts, strict=True))), label, held, slots))
+        del parts
     return Model(*heads)
 
 
