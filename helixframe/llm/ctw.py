@@ -13,15 +13,15 @@ followed by a space, and a final end byte (0), so it is a distribution over sequ
 
 Training counts are gathered from every training text: each task counts its distinct grams of
 DEPTH + 1 bytes, which are then summed over tasks and dealt out by the two nearest context bytes, so
-each part holds whole subtrees and mixes them with all their counts.  For prediction a node is kept
-if at least 1 / NODES of the training bytes pass it; beyond the longest kept context its own estimate
-holds.  At each depth and bit at most NODES nodes can pass that bar, so the model that is collected and
-broadcast has a proven bound, (DEPTH + 1) * 8 * NODES nodes, whatever the input's size; the bar is the
-same share at every size.
+each part holds whole subtrees and mixes them with all their counts.  Every node is kept: the model is
+the written table of grams and grows with the input.  Only the nodes of depth 0 and 1 (at most 65,535,
+whatever the input) are collected and broadcast.  Texts are written once, in chunks of about CHUNK
+bytes; a chunk's distinct grams go to the parts that hold their subtrees, and what they cost comes
+back to the chunk.
 
 The base score needs each word's training count.  Words are far too many to broadcast: each task
 packs its words by bucket of their hash, each bucket sums the counts and returns each row's part of
-the sum, and the parts meet by row.  No text is shuffled.
+the sum, and the parts meet by row.
 
 Every row gets one row, repeated rows too; null or empty texts have one token, the end.  Rows with
 a null doc_id have no remainder: they are scored, not learnt from, and held_out is true.  Without
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH = 5
-NODES = 1 << 19
 BLOCK = 1 << 20  # bytes of text that are worked on at once
+CHUNK = 8 << 20  # bytes of text whose distinct grams are asked for together
+ASKED = 1_000_000  # grams that a part looks up at once
 END = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -160,27 +161,30 @@ def subtrees(gram: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, ...]
     return out
 
 
-def finished(deep: list[tuple[np.ndarray, ...]], first: tuple[np.ndarray, ...]) -> Tree:
-    """deep: kept (key, zeros, ones, stop) of depths DEPTH .. 2, sorted; first: summed (key, zeros, ones, kids) of depth 1."""
-    keys, one, stop = [None] * (DEPTH + 1), [None] * (DEPTH + 1), [None] * (DEPTH + 1)
-    p_one = lambda z, o: ((o + 0.5) / (z + o + 1)).astype(np.float32)
-    for depth, (k, z, o, w) in zip(range(DEPTH, 1, -1), deep, strict=True):
-        keys[depth], one[depth], stop[depth] = k, p_one(z, o), w.astype(np.float32)
+def p_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
+
+
+def topmost(first: tuple[np.ndarray, ...]) -> Tree:
+    """Depths 0 and 1 from the summed (key, zeros, ones, kids) of depth 1."""
     k, z, o, kids = first
     log_w, w = mixed(log_kt(z, o), kids)
-    keys[1], one[1], stop[1] = k, p_one(z, o), w.astype(np.float32)
     names, inverse = np.unique(k & C.U64(255), return_inverse=True)
-    z, o, kids = (np.bincount(inverse, x, len(names)) if len(names) else np.empty(0) for x in (z, o, log_w))
-    _, w = mixed(log_kt(z, o), kids)
-    keys[0], one[0], stop[0] = names, p_one(z, o), w.astype(np.float32)
-    return Tree(keys, one, stop)
+    zeros, ones, below = (np.bincount(inverse, x, len(names)) if len(names) else np.empty(0) for x in (z, o, log_w))
+    _, top = mixed(log_kt(zeros, ones), below)
+    return Tree([names, k], [p_one(zeros, ones), p_one(z, o)], [top.astype(np.float32), w.astype(np.float32)])
+
+
+def completed(top: Tree, deep: list[tuple[np.ndarray, ...]]) -> Tree:
+    """top with the nodes of depths DEPTH .. 2 as subtrees() gives them."""
+    up = deep[::-1]
+    return Tree(top.keys + [x[0] for x in up], top.one + [p_one(x[1], x[2]) for x in up], top.stop + [x[4].astype(np.float32) for x in up])
 
 
 def grow(gram: np.ndarray, count: np.ndarray) -> Tree:
     """The tree of all training grams at once (for small inputs and tests)."""
     *deep, first = subtrees(gram, count)
-    bar = max(1, -(-int(count.sum()) // NODES))
-    return finished([(k[z + o >= bar], z[z + o >= bar], o[z + o >= bar], w[z + o >= bar]) for k, z, o, _, w in deep], first)
+    return completed(topmost(first), deep)
 
 
 def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
@@ -207,39 +211,41 @@ def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-class Scorer:
-    """Remembers what grams cost, sorted by gram; forgets all when there are too many."""
+@dataclass
+class Model:
+    """The training grams (gram, n, part; a written table) and the nodes of depths 0 and 1."""
+
+    table: DataFrame
+    top: Tree
+
+    def tree(self) -> Tree:
+        """All nodes on the driver (for small inputs and tests)."""
+        got = self.table.select("gram", "n").orderBy("gram").toArrow()
+        return grow(C.longs(got["gram"].combine_chunks()).astype(np.uint64), C.longs(got["n"].combine_chunks()))
+
+    keys = property(lambda self: self.tree().keys)
+    one = property(lambda self: self.tree().one)
+    stop = property(lambda self: self.tree().stop)
+
 
-    MEMO = 2_000_000
+def part_of(gram, n: int):
+    """The part of a gram (a numpy array of int64, or a column) by its two nearest context bytes, so a part holds whole subtrees."""
+    if isinstance(gram, np.ndarray):
+        return (((gram >> 8) & 0xFFFF) * 2654435761 >> 12) % n
+    return F.pmod(F.shiftright(F.shiftright(gram, 8).bitwiseAND(F.lit(0xFFFF).cast("long")) * F.lit(2654435761), 12), F.lit(n)).cast("int")
 
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.gram, self.cost = np.empty(0, np.uint64), np.empty(0)
 
-    def __call__(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 P of each text."""
-        key = grams(data, offs)
-        order = np.argsort(key)
-        s = key[order]
-        head = np.append(True, s[1:] != s[:-1]) if len(s) else np.empty(0, bool)
-        names = s[head]
-        at = np.searchsorted(self.gram, names)
-        known = self.gram[np.minimum(at, len(self.gram) - 1)] == names if len(self.gram) else np.zeros(len(names), bool)
-        cost = np.empty(len(names))
-        cost[known] = self.cost[at[known]]
-        cost[~known] = log10_probability(self.tree, names[~known])
-        if len(self.gram) > self.MEMO:
-            self.gram, self.cost = names, cost
-        else:
-            both = np.concatenate([self.gram, names[~known]])
-            by = np.argsort(both, kind="stable")
-            self.gram, self.cost = both[by], np.concatenate([self.cost, cost[~known]])[by]
-        each = np.empty(len(key))
-        each[order] = cost[np.cumsum(head) - 1]
-        return np.add.reduceat(each, offs[:-1]) if len(offs) > 1 else np.empty(0)  # no text is empty: each has its end
+def split(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Each value of key (0 .. n - 1) that occurs, and where, in ascending order."""
+    by = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[by], np.arange(n + 1))
+    return [(int(k), by[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
 
 
-_scorers: dict[int, Scorer] = {}
+def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[k]) for c, (_, k) in enumerate(fields)], names=[f for f, _ in fields])
 
 
 def _training(batches):
@@ -259,39 +265,22 @@ def _training(batches):
         yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
 
 
-def train(docs: DataFrame) -> Tree:
-    """The tree of docs' texts. Only nodes above the bar, and those of depth 1, reach the driver: a bounded number."""
-    spark = docs.sparkSession
-    n = C.partitions(spark)
-    # the two nearest context bytes decide the part, so a part holds whole subtrees
-    part = F.pmod(F.xxhash64(F.col("gram").bitwiseAND(F.lit(0xFFFF00))), F.lit(n)).cast("int")
-    gathered = C.cut(docs.select("text").mapInArrow(_training, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("part", part), "grams")
-    total = gathered.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bar = max(1, -(-total // NODES))
+def train(docs: DataFrame) -> Model:
+    """The model of docs' texts. Only the nodes of depth 1 reach the driver, at most 256 * 255."""
+    n = C.partitions(docs.sparkSession)
+    gathered = docs.select("text").mapInArrow(_training, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    gathered = C.cut(gathered.withColumn("part", part_of(F.col("gram"), n)), "grams")
 
     def nodes(batches):
         got = [(C.longs(b.column("gram")).astype(np.uint64), C.longs(b.column("n"))) for b in batches if b.num_rows]
-        if not got:
-            return
-        *deep, first = subtrees(*map(np.concatenate, zip(*got, strict=True)))
-        packs = []
-        for k, z, o, _, w in deep:
-            keep = z + o >= bar
-            packs.append(C.pack(key=k[keep], zeros=z[keep], ones=o[keep], stop=w[keep]))
-        packs.append(C.pack(key=first[0], zeros=first[1], ones=first[2], stop=first[3]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DEPTH, 0, -1, dtype=np.int32)), pa.array(packs, pa.binary())], names=["depth", "pack"])
-
-    held: dict[int, list] = {d: [] for d in range(1, DEPTH + 1)}
-    for r in gathered.repartition(n, "part").select("gram", "n").mapInArrow(nodes, "depth int, pack binary").toLocalIterator():
-        held[r.depth].append(C.unpack(r.pack, key="<u8", zeros="<f8", ones="<f8", stop="<f8"))
-    whole = {d: C.joined(x) or C.unpack(C.pack(key=np.empty(0)), key="<u8", zeros="<f8", ones="<f8", stop="<f8") for d, x in held.items()}
-    deep = []
-    for d in range(DEPTH, 1, -1):
-        by = np.argsort(whole[d]["key"])
-        deep.append(tuple(whole[d][c][by] for c in ("key", "zeros", "ones", "stop")))
-    names, inverse = np.unique(whole[1]["key"], return_inverse=True)
-    first = (names, *(np.bincount(inverse, whole[1][c], len(names)) if len(names) else np.empty(0) for c in ("zeros", "ones", "stop")))
-    return finished(deep, first)
+        if got:
+            key, *rest = subtrees(*map(np.concatenate, zip(*got, strict=True)))[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(x.astype(float)) for x in rest)], names=["key", "zeros", "ones", "kids"])
+
+    first = gathered.repartition(n, "part").select("gram", "n").mapInArrow(nodes, "key long, zeros double, ones double, kids double")
+    got = first.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "kids"))).orderBy("key").toArrow()
+    key, *rest = (got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "zeros", "ones", "kids"))
+    return Model(gathered, topmost((key.astype(np.uint64), *rest)))
 
 
 def held_out():
@@ -302,57 +291,166 @@ def held_out():
 END_TOKEN = C.U64(0x5851F42D4C957F2D)  # stands for the end among the words' hashes
 META = {"uid": "<i8", "id": "<i8", "null": "<u1", "out": "<u1", "tokens": "<i8", "score": "<f8"}
 PART = {"uid": "<i8", "log": "<f8", "known": "<i8"}
+TEXTS = {"id": "<i8", "null": "<u1", "out": "<u1", "size": "<i8"}
 
 
-def score(docs: DataFrame, tree: Tree) -> DataFrame:
-    """One row for each row of docs (doc_id, text): the columns of ROW."""
-    spark = docs.sparkSession
-    n = C.partitions(spark)
-    shared = spark.sparkContext.broadcast(tree)
+def chunks(docs: DataFrame) -> DataFrame:
+    """docs' canonical texts, written once: for each chunk its first row's number, its rows and their bytes."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("out"))
+    schema = "chunk long, meta binary, text binary"
 
-    def pieces(batches):
+    def texts(batches):
         from pyspark import TaskContext
 
-        scorer = _scorers.get(id(shared.value)) or Scorer(shared.value)
-        _scorers.clear()
-        _scorers[id(shared.value)] = scorer
         uid = TaskContext.get().partitionId() << 36
+        held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+        size = 0
+
+        def whole():
+            m = C.joined([m for _, m in held])
+            return table(schema, [(uid, C.pack(**m), C.pack(text=np.concatenate([d for d, _ in held])))]), len(m["id"])
+
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
             ids = batch.column("doc_id")
             null, ids = np.asarray(ids.is_null()), C.longs(ids.fill_null(0))
             out = np.asarray(batch.column("out").to_numpy(zero_copy_only=False)).astype(bool)
             for i, j in C.blocks(offs, BLOCK):
-                b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                own = uid + np.arange(j - i)
-                uid += j - i
-                low = _LOWER[b]
-                starts, ends, at = C.words_of(b, o)
-                words = np.diff(at)
-                word = np.concatenate([C.range_hash(C.prefix_hash(C.BYTE[low]), starts, ends), np.full(j - i, END_TOKEN)])
-                row = np.concatenate([np.repeat(np.arange(j - i), words), np.arange(j - i)])
-                rows = [("meta", C.pack(uid=own, id=ids[i:j], null=null[i:j].astype(np.uint8), out=out[i:j].astype(np.uint8), tokens=words + 1, score=scorer(*canonical(b, o))), None, int(C.mix(own[:1].astype(np.uint64))[0] % C.U64(n)))]
-                bucket = (word % C.U64(n)).astype(np.int64)
-                by = np.lexsort((word, bucket))
-                cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-                for k in np.flatnonzero(np.diff(cuts)):
-                    part = by[cuts[k] : cuts[k + 1]]
+                data, o = canonical(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                held.append((data, {"id": ids[i:j], "null": null[i:j].astype(np.uint8), "out": out[i:j].astype(np.uint8), "size": np.diff(o)}))
+                size += len(data)
+                if size >= CHUNK:
+                    done, many = whole()
+                    yield done
+                    uid, held, size = uid + many, [], 0
+        if held:
+            yield whole()[0]
+
+    return C.cut(slim.mapInArrow(texts, schema), "texts")
+
+
+def blocks_of(chunk: int, meta: bytes, text: bytes):
+    """A chunk's rows, a block at a time: their numbers, META's other columns, canonical text and offsets."""
+    m, data = C.unpack(meta, **TEXTS), C.unpack(text, text="<u1")["text"]
+    offs = np.concatenate([[0], np.cumsum(m["size"])])
+    for i, j in C.blocks(offs, BLOCK):
+        yield chunk + np.arange(i, j), {c: m[c][i:j] for c in ("id", "null", "out")}, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+def rows_of(batches, *columns: str):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in columns)
+
+
+def costs(texts: DataFrame, model: Model) -> DataFrame:
+    """For each chunk and part (chunk, pack): the chunk's distinct grams of that part and log10 of what they are given."""
+    n = C.partitions(texts.sparkSession)
+    top = texts.sparkSession.sparkContext.broadcast(model.top)
+    schema = "part int, turn int, chunk long, pack binary"
+
+    def learnt(batches):
+        for batch in batches:
+            g, c = C.longs(batch.column("gram")), C.longs(batch.column("n"))
+            yield table(schema, [(k, 0, 0, C.pack(gram=g[at], n=c[at])) for k, at in split(part_of(g, n), n)])
+
+    def asked(batches):
+        for chunk, meta, text in rows_of(batches, "chunk", "meta", "text"):
+            g = np.unique(np.concatenate([np.unique(grams(data, o)) for _, _, data, o in blocks_of(chunk, meta, text)])).astype(np.int64)
+            yield table(schema, [(k, 1, chunk, C.pack(gram=g[at])) for k, at in split(part_of(g, n), n)])
+
+    def answered(held, tree):
+        names, inverse = np.unique(np.concatenate([g for _, g in held]), return_inverse=True)
+        cost = log10_probability(tree, names)[inverse]
+        at = 0
+        for chunk, g in held:
+            yield table("chunk long, pack binary", [(chunk, C.pack(gram=g, cost=cost[at : at + len(g)]))])
+            at += len(g)
+
+    def run(batches):
+        part, tree, known, held, size = -1, None, [], [], 0
+        for k, turn, chunk, pack in rows_of(batches, "part", "turn", "chunk", "pack"):
+            if k != part:
+                if held:
+                    yield from answered(held, tree)
+                part, tree, known, held, size = k, None, [], [], 0
+            if turn == 0:
+                known.append(C.unpack(pack, gram="<u8", n="<i8"))
+                continue
+            if tree is None:
+                got = C.joined(known) or {"gram": np.empty(0, np.uint64), "n": np.empty(0, np.int64)}
+                tree, known = completed(top.value, subtrees(got["gram"], got["n"])[:-1]), []
+            held.append((chunk, C.unpack(pack, gram="<u8")["gram"]))
+            size += len(held[-1][1])
+            if size >= ASKED:
+                yield from answered(held, tree)
+                held, size = [], 0
+        if held:
+            yield from answered(held, tree)
+
+    both = model.table.select("gram", "n").mapInArrow(learnt, schema).unionByName(texts.mapInArrow(asked, schema))
+    return both.repartition(n, "part").sortWithinPartitions("part", "turn").mapInArrow(run, "chunk long, pack binary")
+
+
+def scored(texts: DataFrame, model: Model, home) -> DataFrame:
+    """Packs of META dealt out by home(uid): the texts with the sums of their grams' costs."""
+    n = C.partitions(texts.sparkSession)
+    schema = "part int, kind string, a binary"
+
+    def run(batches):
+        chunk, held = -1, []
+        for c, turn, a, b in rows_of(batches, "chunk", "turn", "a", "b"):
+            if c != chunk:
+                chunk, held = c, []
+            if turn == 0:
+                held.append(C.unpack(a, gram="<u8", cost="<f8"))
+                continue
+            names, cost = (C.joined(held)[x] for x in ("gram", "cost"))
+            held = []
+            by = np.argsort(names)
+            names, cost = names[by], cost[by]
+            for uid, m, data, o in blocks_of(c, a, b):
+                key = grams(data, o)
+                order = np.argsort(key)
+                each = np.empty(len(key))
+                each[order] = cost[np.searchsorted(names, key[order])]
+                starts, _, at = C.words_of(data, o)
+                m |= {"uid": uid, "tokens": np.diff(at), "score": np.add.reduceat(each, o[:-1])}  # no text is empty: each has its end
+                yield table(schema, [(k, "meta", C.pack(**{x: m[x][rows] for x in META})) for k, rows in split(home(uid), n)])
+
+    asked = costs(texts, model).select("chunk", F.lit(0).alias("turn"), F.col("pack").alias("a"), F.lit(None).cast("binary").alias("b"))
+    both = asked.unionByName(texts.select("chunk", F.lit(1).alias("turn"), F.col("meta").alias("a"), F.col("text").alias("b")))
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "turn").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """One row for each row of docs (doc_id, text): the columns of ROW."""
+    spark = docs.sparkSession
+    n = C.partitions(spark)
+    texts = chunks(docs)
+
+    def pieces(batches):
+        for chunk in rows_of(batches, "chunk", "meta", "text"):
+            for own, m, data, o in blocks_of(*chunk):
+                starts, ends, at = C.words_of(data, o)
+                last = at[1:] - 1  # each text's end
+                word = C.range_hash(C.prefix_hash(C.BYTE[data]), starts, ends)
+                word[last] = END_TOKEN
+                row = np.repeat(np.arange(len(own)), np.diff(at))
+                rows = []
+                for k, part in split((word % C.U64(n)).astype(np.int64), n):
                     names, inverse = np.unique(word[part], return_inverse=True)
-                    learnt = np.bincount(inverse, ~out[i:j][row[part]], len(names)).astype(np.int64)
+                    learnt = np.bincount(inverse, m["out"][row[part]] == 0, len(names)).astype(np.int64)
                     pair, times = np.unique(row[part] * len(names) + inverse, return_counts=True)
-                    rows.append(("word", C.pack(name=names, n=learnt), C.pack(uid=own[pair // len(names)], name=(pair % len(names)).astype(np.uint32), times=times.astype(np.uint32)), int(k)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in ((3, pa.int32()), (0, pa.string()), (1, pa.binary()), (2, pa.binary()))], names=["bucket", "kind", "a", "b"])
+                    rows.append((k, C.pack(name=names, n=learnt), C.pack(uid=own[pair // len(names)], name=(pair % len(names)).astype(np.uint32), times=times.astype(np.uint32))))
+                yield table("bucket int, a binary, b binary", rows)
 
     def sums(batches):
         """For each bucket of words: training counts over all tasks, then each row's part of the base score."""
         held: dict[int, list] = {}
         for batch in batches:
             for x in batch.to_pylist():
-                if x["kind"] == "meta":
-                    yield pa.RecordBatch.from_arrays([pa.array([x["bucket"]], pa.int32()), pa.array(["meta"]), pa.array([x["a"]], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=["part", "kind", "a", "tokens", "names"])
-                else:
-                    held.setdefault(x["bucket"], []).append((C.unpack(x["a"], name="<u8", n="<i8"), x["b"]))
+                held.setdefault(x["bucket"], []).append((C.unpack(x["a"], name="<u8", n="<i8"), x["b"]))
         for k in list(held):
             got = held.pop(k)
             names, inverse = np.unique(np.concatenate([a["name"] for a, _ in got]), return_inverse=True)
@@ -382,26 +480,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         """Rows of one block may go to several parts: by their own number."""
         return (C.mix(uid.astype(np.uint64)) % C.U64(n)).astype(np.int64)
 
-    def metas(batches):
-        """Meta packs are dealt out by row as the parts are."""
-        for batch in batches:
-            keep = np.array([k != "meta" for k in batch.column("kind").to_pylist()], bool)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-            for blob in batch.filter(pa.array(~keep)).column("a").to_pylist():
-                m = C.unpack(blob, **META)
-                part = home(m["uid"])
-                by = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[by], np.arange(n + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                zero = pa.array(np.zeros(len(full), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(["meta"] * len(full)), pa.array([C.pack(**{c: m[c][by[cuts[i] : cuts[i + 1]]] for c in META}) for i in full], pa.binary()), zero, zero],
-                    names=["part", "kind", "a", "tokens", "names"],
-                )
-
     schema = "part int, kind string, a binary, tokens long, names long"
-    summed = slim.mapInArrow(pieces, "bucket int, kind string, a binary, b binary").repartition(n, "bucket").mapInArrow(sums, schema).mapInArrow(metas, schema)
+    summed = texts.mapInArrow(pieces, "bucket int, a binary, b binary").repartition(n, "bucket").mapInArrow(sums, schema)
     summed = C.cut(summed, "base")
     tokens, names = summed.where("kind = 'size'").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("names"), F.lit(0))).first()
     scale = float(np.log10(tokens + 0.5 * (names + 1)))
@@ -427,7 +507,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return summed.where("kind <> 'size'").repartition(n, "part").select("part", "kind", "a").mapInArrow(rows, ROW)
+    both = summed.where("kind <> 'size'").select("part", "kind", "a").unionByName(scored(texts, model, home))
+    return both.repartition(n, "part").mapInArrow(rows, ROW)
 
 
 def op4_ctw(spark, sf_dir: str) -> DataFrame:

@@ -310,6 +310,22 @@ def test_scores(spark):
     assert r.n_tokens == 1 and abs(r.score - 8 * math.log10(0.5)) < 1e-9
 
 
+def test_rare_contexts_are_kept(spark):
+    """More than 2 ** 20 training bytes, and a passage that stands there once: its nodes count as they would in a small input."""
+    rnd = random.Random(14)
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = itertools.count()
+    rows = [(next(i for i in ids if not out(i)), "aaaa bbbb " * 12_000) for _ in range(12)]
+    rare = " ".join("".join(rnd.choices("qxzvjkw", k=6)) for _ in range(30))
+    rows.append((next(i for i in ids if not out(i)), rare))
+    docs = frame(spark, rows)
+    [r] = ctw.score(frame(spark, [(next(i for i in ids if out(i)), rare)]), ctw.train(docs)).collect()
+    names, n = zip(*(ctw.tally(ctw.grams(*ctw.canonical(*C.flat(__import__("pyarrow").array([t]))))) for _, t in rows), strict=True)
+    *deep, first = ctw.subtrees(*ctw.tally(np.concatenate(names), np.concatenate(n)))
+    whole = ctw.completed(ctw.topmost(first), deep)
+    assert math.isclose(r.score, ctw.log10_probability(whole, ctw.grams(*ctw.canonical(*C.flat(__import__("pyarrow").array([rare]))))).sum(), rel_tol=1e-5)
+
+
 # -- quality -------------------------------------------------------------------------------------
 
 
