@@ -8,7 +8,8 @@ bytes counts, since one word can decide, and each has three slots of a larger ta
 slot alone does not make it toxic.  Slots found in fewer than LEAST training rows, or whose chi-square
 against the label is under CHI2, have no weight, and values are scaled by the slot's log-odds between
 the classes before the fit.  Heads are trained by full-batch gradient descent on a bounded
-sample of labelled rows (the smallest hashes of doc_id: TRAIN_ROWS of them), calibrated by Platt's
+sample of labelled rows (the smallest hashes of doc_id: TRAIN_ROWS of them, among the labels of
+documents that are there and have at most TRAIN_BYTES bytes), calibrated by Platt's
 method on rows left out of the training, and scored in Arrow batches against the fixed thresholds
 KEEP and TOXIC.  Plain counts (few words, repeated words) reject a text beforehand.
 
@@ -31,7 +32,7 @@ from . import common as C
 SLOTS = 1 << 17
 TOXIC_SLOTS = 1 << 20
 #: Bound on the labelled rows that are fitted, and on their bytes (longer texts are left out of the fit).
-TRAIN_ROWS, TRAIN_BYTES = 3000, 8_000
+TRAIN_ROWS, TRAIN_BYTES = 4000, 20_000
 LEAST, CHI2 = 5, 20.0
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
@@ -127,28 +128,34 @@ def compact(f: tuple[np.ndarray, ...], slots: int, first: int = 0) -> tuple[np.n
     return (key // slots + first).astype(np.int32), (key % slots).astype(np.int32), np.bincount(inverse, value).astype(np.float32)
 
 
-def fit(f: tuple[np.ndarray, ...], label: np.ndarray, held: np.ndarray, slots: int, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
+@dataclass
+class Found:
+    """In how many training rows of each class a slot is found, of ny and nn rows."""
+
+    yes: np.ndarray
+    no: np.ndarray
+    ny: int
+    nn: int
+
+    def good(self) -> np.ndarray:
+        """The slots that have a weight."""
+        yes, no, ny, nn = self.yes, self.no, self.ny, self.nn
+        miss = yes * (nn - no) - no * (ny - yes)
+        chi2 = miss.astype(float) ** 2 * (ny + nn) / np.maximum((yes + no) * (ny + nn - yes - no) * float(ny) * nn, 1)
+        good = (yes + no >= min(LEAST, max(1, (ny + nn) // 20))) & (chi2 >= CHI2)
+        return good if good.any() else yes + no > 0
+
+
+def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.ndarray, slots: int, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
     """Logistic regression with classes of equal weight (Adagrad steps over all rows), then Platt's calibration on held rows."""
-    row, slot, value = f  # as compact() gives them
+    row, slot, value = f  # of good slots only, as compact() gives them
     n = len(label)
     head = Head(np.zeros(slots, np.float32), 0.0)
-    use = ~held if (~held).any() else np.ones(n, bool)
-    if len(np.unique(label[use])) < 2:
-        return head
-    weight = np.where(use, np.where(label == 1, 0.5 / max(1, (label[use] == 1).sum()), 0.5 / max(1, (label[use] == 0).sum())), 0.0)
-    own = use[row]
-    yes = np.bincount(slot[own & (label[row] == 1)], minlength=slots)
-    no = np.bincount(slot[own & (label[row] == 0)], minlength=slots)
-    ny, nn = (label[use] == 1).sum(), (label[use] == 0).sum()
-    miss = yes * (nn - no) - no * (ny - yes)
-    chi2 = miss.astype(float) ** 2 * (ny + nn) / np.maximum((yes + no) * (ny + nn - yes - no) * float(ny) * nn, 1)
-    good = (yes + no >= min(LEAST, max(1, use.sum() // 20))) & (chi2 >= CHI2)
-    good = good if good.any() else yes + no > 0
-    often = good[slot]
-    row, slot, value = row[often], slot[often], value[often]
+    use = ~held
+    weight = np.where(use, np.where(label == 1, 0.5 / max(1, found.ny), 0.5 / max(1, found.nn)), 0.0)
     names, slot = np.unique(slot, return_inverse=True)
     f = (row, names[slot], value)
-    odds = np.log((yes[names] + 0.5) / (ny + 1)) - np.log((no[names] + 0.5) / (nn + 1))
+    odds = np.log((found.yes[names] + 0.5) / (found.ny + 1)) - np.log((found.no[names] + 0.5) / (found.nn + 1))
     value = value * odds[slot]
     w, b = np.zeros(len(names)), 0.0
     g2, b2 = np.full(len(names), 1e-8), 1e-8
@@ -197,24 +204,39 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).dropna()
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length(text) <= TRAIN_BYTES)
-    some = slim.join(good.orderBy(F.xxhash64("doc_id"), "doc_id", "_q", "_t").limit(2 * most), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "_q", "_t").limit(most)
-    rows = some.collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    drawn = good.join(slim.select("doc_id"), "doc_id", "left_semi").orderBy(*order, "_q", "_t").limit(most)
+    rows = slim.join(drawn, "doc_id").orderBy(*order, "text", "_q", "_t").limit(most).collect()
     if not rows:
         return Model(Head(np.zeros(SLOTS), 40.0), Head(np.zeros(TOXIC_SLOTS), -40.0))
     buf, offs = C.flat(pa.array([r.text for r in rows], pa.large_string()))
     held = np.arange(len(rows)) % 5 == 4
-    q, t = np.array([r._q for r in rows]), np.array([r._t for r in rows])
+    labels_of = [np.array([r._q for r in rows]), np.array([r._t for r in rows])]
     del rows
+    sizes = (SLOTS, TOXIC_SLOTS)
+
+    def parts():
+        """For each head the features of a block of rows: this runs on the driver, so no more are held at once."""
+        for i, j in C.blocks(offs, 1 << 18):
+            yield tuple(compact(f, slots, i) for f, slots in zip(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), sizes, strict=True))
+
+    two = [len(np.unique(label[~held])) == 2 for label in labels_of]
+    found = [Found(np.zeros(slots, np.int64), np.zeros(slots, np.int64), int((label[~held] == 1).sum()), int((label[~held] == 0).sum())) for label, slots in zip(labels_of, sizes, strict=True)]
+    for part in parts() if any(two) else ():
+        for (row, slot, _), label, at in zip(part, labels_of, found, strict=True):
+            for total, which in ((at.yes, 1), (at.no, 0)):
+                np.add.at(total, slot[~held[row] & (label[row] == which)], 1)
+    good = [at.good() if ok else np.zeros(slots, bool) for at, ok, slots in zip(found, two, sizes, strict=True)]
+    own: tuple[list, list] = ([], [])
+    for part in parts() if any(two) else ():
+        for (row, slot, value), often, to in zip(part, good, own, strict=True):
+            to.append((row[often[slot]], slot[often[slot]], value[often[slot]]))
     heads = []
-    for which, (label, empty, slots) in enumerate(((q, 1, SLOTS), (t, 0, TOXIC_SLOTS))):
-        if len(np.unique(label[~held])) < 2:
+    for label, empty, slots, at, ok, mine in zip(labels_of, (1, 0), sizes, found, two, own, strict=True):
+        if not ok:
             heads.append(Head(np.zeros(slots), 40.0 if (label[0] if len(np.unique(label)) == 1 else empty) else -40.0))
             continue
-        parts = []  # one head's features at a time: this runs on the driver
-        for i, j in C.blocks(offs, 1 << 18):
-            parts.append(compact(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[which], slots, i))
-        heads.append(fit(tuple(map(np.concatenate, zip(*parts, strict=True))), label, held, slots))
-        del parts
+        heads.append(fit(tuple(map(np.concatenate, zip(*mine, strict=True))), at, label, held, slots))
     return Model(*heads)
 
 

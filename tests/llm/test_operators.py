@@ -379,6 +379,19 @@ def test_quality_learns(spark):
     assert {r.doc_id for r in quality.keep(docs, model).collect()} == {i for i, k in got.items() if k}
 
 
+def test_quality_sample(spark):
+    """Labels of absent or overlong documents take no place in the sample, and texts of 8,000 to 20,000 bytes are fitted."""
+    rnd = random.Random(15)
+    rows = [(i, " ".join(x + "###" * (i % 2) for x in text(rnd, 2000).split(" "))[:15_000]) for i in range(40)]
+    labels = [(i, 1 - i % 2, i % 2) for i in range(40)] + [(i, 1, 0) for i in range(1000, 6000)] + [(-1, 1, 0)] * 50
+    docs = frame(spark, rows + [(-1, "x " * quality.TRAIN_BYTES)])
+    assert min(len(t) for _, t in rows) > 8_000
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 40)
+    assert model.quality.weights.any() and model.toxic.weights.any()
+    got = {r.doc_id: r.p_quality >= 0.5 for r in quality.judge(frame(spark, rows), model).collect()}
+    assert got == {i: i % 2 == 0 for i in range(40)}
+
+
 @pytest.mark.parametrize("n", [1, 5, 64])
 def test_packing(n):
     a = {"x": np.arange(n, dtype=np.uint64) * 3, "y": np.arange(n, dtype=np.uint8)}
