@@ -10,9 +10,10 @@ numbers, names or units were changed, and not when the wording merely looks alik
 document if consistent alignments cover COVER of its windows.
 
 The benchmark is taken in blocks of a bounded number of items, each as one broadcast, against all
-documents.  An item of fewer than WINDOW tokens is one window of all its tokens; an item of fewer
-than LEAST tokens is never found.  A window counts if at least LITERAL of its tokens (half of a shorter window) are
-plain words.  Null or empty texts are clean.  Rows of the benchmark with a null item_id are left
+documents.  An item of fewer than WINDOW tokens is one window of all its tokens, and documents are
+looked up by windows of each size that occurs.  A window counts if at least LITERAL of its tokens (half of a
+shorter window) are plain words.  An item of fewer than LEAST tokens, or without a window that counts, is found
+by windows of its exact tokens (numbers, names and units as they stand).  Null or empty texts are clean.  Rows of the benchmark with a null item_id are left
 out; rows that repeat an item_id are matched each on its own.  Every row of docs gives one row.
 """
 
@@ -105,61 +106,70 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> Template:
     return Template(token, value, kind, np.searchsorted(row, np.arange(len(offs))))
 
 
-def windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first token, length and text of every window with enough plain words."""
-    count = np.diff(t.at)
-    size = np.where(count >= WINDOW, WINDOW, np.where(count >= LEAST, count, 0))
-    many = np.where(size > 0, count - size + 1, 0)
+def windows(t: Template, size: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first token and text of every window of ``size`` tokens: of exact tokens, or of those with enough plain words."""
+    many = np.maximum(np.diff(t.at) - size + 1, 0)
     first = C.runs_to_rows(t.at[:-1], many)
-    row = np.repeat(np.arange(len(count)), many)
-    size = size[row]
-    plain = np.concatenate([[0], np.cumsum(t.kind == WORD)])
-    ok = plain[first + size] - plain[first] >= np.minimum(LITERAL, size // 2)
-    first, size, row = first[ok], size[ok], row[ok]
-    return C.range_hash(C.prefix_hash(t.token), first, first + size), first, size, row
+    row = np.repeat(np.arange(len(many)), many)
+    if not exact:
+        plain = np.concatenate([[0], np.cumsum(t.kind == WORD)])
+        ok = plain[first + size] - plain[first] >= min(LITERAL, size // 2)
+        first, row = first[ok], row[ok]
+    return C.range_hash(C.prefix_hash(t.value if exact else t.token), first, first + size), first, row
 
 
 @dataclass
 class Items:
-    """The benchmark's windows by hash, and its templates."""
+    """The benchmark's templates and, by size and whether tokens are exact, its windows by hash: hash, first token, item."""
 
     template: Template
     item: np.ndarray
     total: np.ndarray
-    hashes: np.ndarray
-    first: np.ndarray
-    size: np.ndarray
-    row: np.ndarray
+    tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def items(rows: list[tuple[int, str]]) -> Items:
     buf, offs = C.flat(pa.array([t for _, t in rows], pa.large_string()))
     t = canonical(buf, offs)
-    h, first, size, row = windows(t)
-    by = np.argsort(h, kind="stable")
-    return Items(t, np.array([i for i, _ in rows], np.int64), np.bincount(row, minlength=len(rows)), h[by], first[by], size[by], row[by])
+    size = np.minimum(np.diff(t.at), WINDOW)
+    total = np.zeros(len(rows), np.int64)
+    tables = {}
+    for exact in (False, True):
+        todo = total == 0  # exact ones for items without a window that counts
+        for n in np.unique(size[todo & (size >= (1 if exact else LEAST))]).tolist():
+            h, first, row = windows(t, n, exact)
+            own = todo[row] & (size[row] == n)
+            h, first, row = h[own], first[own], row[own]
+            if len(h):
+                by = np.argsort(h, kind="stable")
+                tables[(n, exact)] = h[by], first[by], row[by]
+                total += np.bincount(row, minlength=len(rows))
+    return Items(t, np.array([i for i, _ in rows], np.int64), total, tables)
 
 
 def matches(t: Template, bench: Items) -> dict[int, list[tuple[int, int, int, bool]]]:
     """For each text with a match: (item, covered windows, item's windows, whether a slot differs)."""
-    if not len(bench.hashes):
+    found = []
+    for (size, exact), (hashes, places, item_rows) in bench.tables.items():
+        h, first, row = windows(t, size, exact)
+        low = np.searchsorted(hashes, h)
+        hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+        if not len(hit):
+            continue
+        many = np.searchsorted(hashes, h[hit], "right") - low[hit]
+        own, other = np.repeat(hit, many), C.runs_to_rows(low[hit], many)
+        here, there = first[own], places[other]
+        a, b = (t.value, bench.template.value) if exact else (t.token, bench.template.token)
+        same = np.ones(len(own), bool)
+        for d in range(size):  # verified token by token
+            same &= a[here + d] == b[there + d]
+        found.append((row[own][same], item_rows[other][same], here[same], there[same], np.full(int(same.sum()), size)))
+    if not found:
         return {}
-    h, first, size, row = windows(t)
-    low = np.searchsorted(bench.hashes, h)
-    hit = np.flatnonzero(bench.hashes[np.minimum(low, len(bench.hashes) - 1)] == h)
-    if not len(hit):
-        return {}
-    many = np.searchsorted(bench.hashes, h[hit], "right") - low[hit]
-    own, other = np.repeat(hit, many), C.runs_to_rows(low[hit], many)
-    whole = size[own] == bench.size[other]
-    own, other = own[whole], other[whole]
-    here, there, n = first[own], bench.first[other], size[own]
-    part = np.repeat(np.arange(len(own)), n)
-    a, b = C.runs_to_rows(here, n), C.runs_to_rows(there, n)
-    same = np.bincount(part, t.token[a] != bench.template.token[b], len(own)) == 0  # verified token by token
+    text, item_row, here, there, n = map(np.concatenate, zip(*found, strict=True))
     groups: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-    for k in np.flatnonzero(same):
-        groups[(int(row[own[k]]), int(bench.row[other[k]]), int(here[k] - there[k]))].append(int(k))
+    for k in range(len(text)):
+        groups[(int(text[k]), int(item_row[k]), int(here[k] - there[k]))].append(k)
     covered: dict[tuple[int, int], set[int]] = defaultdict(set)
     changed: dict[tuple[int, int], bool] = defaultdict(bool)
     for (r, item, _), members in groups.items():

@@ -168,6 +168,14 @@ def test_templates(spark):
     assert decontam.clean(frame(spark, docs), bench.where("false")).count() == len(docs)
 
 
+def test_short_and_wordless_items(spark):
+    items = [(1, "which planet has most moons today"), (2, "cheap red kite"), (3, "17 42 99 3 8 21 7 5 64 12 30"), (4, "1 2 3 4 5 6")]
+    noise = "some plain words that stand before and after what is looked for here "
+    docs = [(i, noise + t + ". " + noise) for i, t in items] + [(5, noise + "which planet has most rings today " + noise), (6, noise + "17 42 99 3 8 22 7 5 64 12 31 " + noise), (7, noise + "1 2 3 4 5 7 " + noise), (8, "Cheap, red kite!")]
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: [2]}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS", 2)
     rnd = random.Random(6)
