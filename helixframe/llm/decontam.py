@@ -194,7 +194,13 @@ def matches(t: Template, bench: Items) -> dict[int, list[tuple[int, int, int, bo
 ROW = "doc_id long, contaminated boolean, items array<long>, changed_items array<long>, n_matches long"
 
 
-def _judge(bench_of, keep_schema: bool):
+#: What one of several blocks finds in a row of docs.
+PART = "row long, items array<long>, changed_items array<long>, n_matches long"
+
+
+def _judge(bench_of, keep_schema: bool, numbered: bool = False):
+    """numbered: only what is found, by the row's number."""
+
     def run(batches):
         bench = bench_of.value
         for batch in batches:
@@ -206,16 +212,17 @@ def _judge(bench_of, keep_schema: bool):
                 if keep_schema:
                     yield own.filter(pa.array([not r for r in rows], pa.bool_()))
                     continue
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
-                        own.column("doc_id"),
+                        own.column("row" if numbered else "doc_id"),
                         pa.array([bool(r) for r in rows], pa.bool_()),
                         pa.array([sorted({m[0] for m in r}) for r in rows], pa.list_(pa.int64())),
                         pa.array([sorted({m[0] for m in r if m[3]}) for r in rows], pa.list_(pa.int64())),
                         pa.array([sum(m[1] for m in found.get(k, ())) for k in range(j - i)], pa.int64()),
                     ],
-                    names=["doc_id", "contaminated", "items", "changed_items", "n_matches"],
+                    names=["row" if numbered else "doc_id", "contaminated", "items", "changed_items", "n_matches"],
                 )
+                yield out.select(["row", "items", "changed_items", "n_matches"]).filter(pa.array([k in found for k in range(j - i)], pa.bool_())) if numbered else out
 
     return run
 
@@ -234,14 +241,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): contaminated, the items found (and those of them with changed slots), windows matched."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = [slim.mapInArrow(_judge(spark.sparkContext.broadcast(b), False), ROW) for b in item_blocks(benchmark)]
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
     if len(blocks) == 1:
-        return blocks[0]
-    whole = blocks[0]
-    for b in blocks[1:]:
+        return slim.mapInArrow(_judge(blocks[0], False), ROW)
+    rows = C.cut(slim.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so each block sees the same numbers
+    parts = [rows.select("row", "text").mapInArrow(_judge(b, False, True), PART) for b in blocks]
+    whole = parts[0]
+    for b in parts[1:]:
         whole = whole.unionByName(b)
     merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return whole.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), merge("items"), merge("changed_items"), F.sum("n_matches").alias("n_matches"))
+    found = whole.groupBy("row").agg(merge("items"), merge("changed_items"), F.sum("n_matches").alias("n_matches"))
+    none = F.array().cast("array<long>")
+    out = rows.select("row", "doc_id").join(found, "row", "left").withColumn("items", F.coalesce("items", none))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", F.coalesce("changed_items", none).alias("changed_items"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -185,6 +185,19 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert got == {i: [i] for i in range(7)}
 
 
+def test_blocks_keep_rows(spark, monkeypatch):
+    """One row for each row of docs, also for null and repeated ids, in however many blocks the benchmark is."""
+    rnd = random.Random(16)
+    items = [(i, text(rnd, 20)) for i in range(5)]
+    docs = [(None, items[0][1]), (None, "nothing here"), (None, None), (7, items[1][1]), (7, items[2][1]), (7, "clean"), (7, "clean"), (8, items[3][1] + " " + items[4][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for most in (2, 20_000):
+        monkeypatch.setattr(decontam, "ITEMS", most)
+        got.append(sorted((tuple(r) for r in decontam.decontaminate(frame(spark, docs), bench).collect()), key=repr))
+    assert got[0] == got[1] and len(got[0]) == len(docs)
+
+
 # -- url filter ----------------------------------------------------------------------------------
 
 
