@@ -5,7 +5,8 @@ words without a letter or digit are dropped, and numbers, names and units become
 that remember what stood there.  Every window of WINDOW template tokens of a document is looked up in the sorted
 window hashes of the benchmark (a hash join).  Matching windows are verified token by token and
 grouped by document, item and alignment; on each alignment the slots must be consistent: one value
-of the item always has the same value in the document.  That finds a question again when its
+of the item always has the same value in the document; where it has several, that of the most windows (of
+equally many, the first) holds and the windows with another are dropped.  That finds a question again when its
 numbers, names or units were changed, and not when the wording merely looks alike.  An item is in a
 document if consistent alignments cover COVER of its windows.
 
@@ -173,18 +174,22 @@ def matches(t: Template, bench: Items) -> dict[int, list[tuple[int, int, int, bo
     covered: dict[tuple[int, int], set[int]] = defaultdict(set)
     changed: dict[tuple[int, int], bool] = defaultdict(bool)
     for (r, item, _), members in groups.items():
-        slots: dict[tuple[int, int], int] = {}
-        places = {(int(here[k]) + d, int(there[k]) + d) for k in members for d in range(int(n[k]))}
-        consistent, differs = True, False
-        for x, y in sorted(places):
-            kind = int(t.kind[x])
-            if kind != WORD:
-                key = (kind, int(bench.template.value[y]))
-                consistent &= slots.setdefault(key, int(t.value[x])) == int(t.value[x])
-                differs |= int(t.value[x]) != int(bench.template.value[y])
-        if consistent:
-            covered[(r, item)] |= {int(there[k]) for k in members}
-            changed[(r, item)] |= differs
+        slots: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        members.sort(key=lambda k: int(here[k]))
+        for k in members:
+            for d in range(int(n[k])):
+                x, y = int(here[k]) + d, int(there[k]) + d
+                if t.kind[x] != WORD:
+                    slots[(int(t.kind[x]), int(bench.template.value[y]))][int(t.value[x])].add(k)
+        dropped: set[int] = set()
+        for values in slots.values():
+            if len(values) > 1:
+                best = max(values, key=lambda v: len(values[v]))
+                dropped.update(*(ks for v, ks in values.items() if v != best))
+        kept = [k for k in members if k not in dropped]
+        if kept:
+            covered[(r, item)] |= {int(there[k]) for k in kept}
+            changed[(r, item)] |= any(t.value[int(here[k]) + d] != bench.template.value[int(there[k]) + d] for k in kept for d in range(int(n[k])))
     out: dict[int, list] = defaultdict(list)
     for (r, item), places in covered.items():
         out[r].append((int(bench.item[item]), len(places), int(bench.total[item]), changed[(r, item)]))

@@ -168,6 +168,16 @@ def test_templates(spark):
     assert decontam.clean(frame(spark, docs), bench.where("false")).count() == len(docs)
 
 
+def test_clashing_slots(spark):
+    """One of two equal numbers changed: the windows of the larger consistent set still count, the others do not."""
+    item = "A train leaves Boston at 5 pm and travels 120 miles while Mary counts 5 apples in the red basket nearby."
+    close = "We add 5 mugs and 5 cups and 5 pots and 5 pans to it."
+    bench = spark.createDataFrame([(1, item), (2, close)], "item_id long, text string")
+    docs = [(3, item.replace("5 pm", "7 pm").replace("5 apples", "9 apples")), (4, close.replace("5 cups", "6 cups").replace("5 pots", "7 pots").replace("5 pans", "8 pans"))]
+    got = {r.doc_id: (r["items"], r.changed_items) for r in decontam.decontaminate(frame(spark, docs), bench).collect()}
+    assert got == {3: ([1], [1]), 4: ([], [])}
+
+
 def test_short_and_wordless_items(spark):
     items = [(1, "which planet has most moons today"), (2, "cheap red kite"), (3, "17 42 99 3 8 21 7 5 64 12 30"), (4, "1 2 3 4 5 6")]
     noise = "some plain words that stand before and after what is looked for here "
