@@ -31,13 +31,26 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def windows(spark: SparkSession, sf_dir: str, length: int = 3000, overlap: int = 200) -> DataFrame:
+    """Every contig over its whole length (contig_id, read_ord, start, s): windows of ``length`` bases that overlap by
+    ``overlap`` or more, the last one up to the end; a shorter contig is one window."""
+    c = contigs(spark, sf_dir).where(F.length("sequence") > 0)
+    rest = F.greatest(F.length("sequence") - length, F.lit(0))
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(rest / (length - overlap)).cast("int")), lambda i: F.least(i * (length - overlap), rest))).alias("turn", "start")
+    c = c.select("contig_id", "sequence", at)
+    # a contig has fewer than 2 ** 20 windows, as a text has fewer than 2 ** 31 bytes
+    return c.select("contig_id", (F.col("contig_id") * (1 << 20) + F.col("turn")).alias("read_ord"), "start", F.substring("sequence", F.col("start") + 1, F.lit(length)).alias("s"))
+
+
 def long_reads(spark: SparkSession, sf_dir: str, length: int = 3000) -> DataFrame:
-    """A slice of each long contig with every 211th base changed, and one deletion and one insertion of a few bases."""
-    c = contigs(spark, sf_dir).where(F.length("sequence") >= length + 200).where(F.col("contig_id") % 5 == 0)
-    s = F.substring("sequence", 101, length)
-    at = F.lit(length // 3)
-    cut = F.concat(F.substring(s, F.lit(1), at), F.substring(s, at + 8, F.lit(length)), F.lit(""))
-    grown = F.concat(F.substring(cut, F.lit(1), 2 * at), F.lit("ACGTTGCA"), F.substring(cut, 2 * at + 1, F.lit(length)))
+    """windows() with every 211th base changed, and one deletion and one insertion of a few bases."""
+    c = windows(spark, sf_dir, length)
+    s = F.col("s")
+    at = F.floor(F.length(s) / 3).cast("int")
+    cut = F.concat(F.substring(s, F.lit(1), at), F.substring(s, at + 8, F.lit(length)))
+    c = c.withColumn("grown", F.concat(F.substring(cut, F.lit(1), 2 * at), F.lit("ACGTTGCA"), F.substring(cut, 2 * at + 1, F.lit(length))))
+    grown = F.col("grown")
     changed = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(grown) - 1) / 211)), lambda i: F.concat(
         F.translate(F.substring(grown, (i * 211 + 1).cast("int"), F.lit(1)), "ACGT", "CGTA"), F.substring(grown, (i * 211 + 2).cast("int"), F.lit(210)))), "")
-    return c.select(F.col("contig_id").alias("read_ord"), F.concat(F.lit("l"), F.col("contig_id").cast("string")).alias("read_name"), changed.alias("sequence"), F.lit(None).cast("string").alias("qualities"), F.lit(None).cast("string").alias("tags"))
+    name = F.concat(F.lit("l"), F.col("contig_id").cast("string"), F.lit("_"), F.col("start").cast("string"))
+    return c.select("read_ord", name.alias("read_name"), changed.alias("sequence"), F.lit(None).cast("string").alias("qualities"), F.lit(None).cast("string").alias("tags"))

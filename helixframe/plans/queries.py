@@ -240,7 +240,7 @@ def j13_truth(spark, d):
     r = data.long_reads(spark, d)
     found = mapper.map_reads(r, data.contigs(spark, d), P).where("record_type = 'primary'")
     got = found.select(F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), F.col("ref_start").alias("start"), F.when(F.col("is_rc"), "-").otherwise("+").alias("strand"), "mapq")
-    truth = r.select(F.col("read_ord").alias("read"), F.col("read_ord").alias("contig"), F.lit(100).alias("start"), F.lit("+").alias("strand"))
+    truth = data.windows(spark, d).select(F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), "start", F.lit("+").alias("strand"))
     return analytics.judged(got, truth, 5)
 
 
