@@ -7,9 +7,10 @@ columns (one row for each task and bucket), which keeps row overhead out of the
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ U64 = np.uint64
 NO_ID = (1 << 63) - 1
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _own_dir: list[str] = []
+_to_delete: list[str] = []
+_places: dict[int, str] = {}
 
 
 def partitions(spark: SparkSession) -> int:
@@ -29,21 +32,41 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower the session's rows in an Arrow batch, so that a batch of long texts stays a few megabytes on both sides."""
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs that run inside take at most ``rows`` rows in an Arrow batch, so that a batch of long texts stays a few megabytes on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="helixframe-"))
-    return "file://" + _own_dir[0]
+    """This application's part of the folder that all executors share (``spark.checkpoint.dir``), deleted when the driver ends.
+
+    Where the setting is unset, a folder of our own is used in local mode only: on a cluster it would be another one on each machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="helixframe-"))
+        found = "file://" + _own_dir[0]
+    path = f"{found.rstrip('/')}/helixframe-{context.applicationId}"
+    if path not in _to_delete:
+        _to_delete.append(path)
+        atexit.register(_delete_at_end, spark, path)
+    return path
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        remove(spark, path)
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
@@ -51,7 +74,16 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for this very frame; nothing may read it, or what was made from it, any more."""
+    path = _places.pop(id(df), None)
+    if path is not None:
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -65,6 +97,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Keys that may be broadcast because they are hot: a fixed number, whatever the input.
+HOT_KEYS = 50_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows above which a key is hot. Of ``total`` rows at most HOT_KEYS keys can have more."""
+    return max(256, -(-total // HOT_KEYS))
+
+
+def join_each(rows: DataFrame, about: DataFrame, key: str | list[str], total: int, size: str) -> DataFrame:
+    """rows joined with about (one row for each key; ``size``: how many of the ``total`` rows have it).
+
+    The few hot keys are broadcast, so none of them brings its rows into one task; the others are joined as Spark sees fit."""
+    limit, keys = hot_limit(total), [key] if isinstance(key, str) else key
+    if total <= limit:
+        return rows.join(about, keys)
+    hot = about.where(F.col(size) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(about.where(F.col(size) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, total: int, by: str, salts: int) -> DataFrame:
+    """Inner join of ``total`` rows with a table that may have several rows for a key.
+
+    A hot key's rows are dealt over ``salts`` parts by hash of ``by``, and the table's rows of that key are in each part; the
+    hot keys themselves (a bounded number) are broadcast, nothing else is."""
+    limit = hot_limit(total)
+    if total <= limit:
+        return rows.join(table, key)
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > limit).select(key, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("__salt", part).drop("__hot")
+    right = table.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``did`` (doc_id, or NO_ID), ``crc`` (tells apart different texts under one id) and ``text`` (null: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -75,6 +144,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Texts in a sample, and places taken from each: a fixed number in all, whatever the input and its tasks.
+SAMPLE_TEXTS, SAMPLE_EACH = 20_000, 16
+
+
+def some_texts(keys: DataFrame) -> DataFrame:
+    """About SAMPLE_TEXTS rows of ``keyed`` documents (all, if there are fewer), by hash of id and CRC."""
+    share = max(1, keys.count() // SAMPLE_TEXTS)
+    return keys.where(F.pmod(F.xxhash64("did", "crc"), F.lit(share)) == 0)
+
+
+def some_of_each(row: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Random places, at most SAMPLE_EACH for each value of row (ascending)."""
+    by = np.lexsort((rng.random(len(row)), row))
+    head = np.flatnonzero(np.append(True, row[by][1:] != row[by][:-1])) if len(row) else np.empty(0, np.int64)
+    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    return by[rank < SAMPLE_EACH]
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -221,7 +308,3 @@ def runs_to_rows(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(count.sum())
     ends = np.cumsum(count)
     return np.arange(total) + np.repeat(first - (ends - count), count)
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -16,24 +16,26 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b long) -> (node, root): root is the smallest node of the component. Nodes without an edge are absent.
 
-    Only edges are shuffled, never groups: the least neighbour of a node is an aggregate, which
-    combines before the shuffle, so a star of any width stays small.  Each round is written out."""
+    The least neighbour of a node is an aggregate, which combines before the shuffle; a hub's edges learn it from
+    a broadcast of the few hubs (``common.join_each``), so a star of any width fills no task.  Each round is written
+    out and the one before it deleted.  Raises RuntimeError if ``rounds`` are not enough (they halve paths, so a
+    path of n edges takes about log2 n)."""
     now = C.cut(_stars(edges), "edges")
     for _ in range(rounds):
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
         # large star: larger neighbours of a node go to its least neighbour (or itself)
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = C.join_each(both.where("b > a"), least, "a", total, "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours, and itself, go to the least of them
         down = _stars(large)
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = C.join_each(down, low, "a", total, "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = C.cut(_stars(small), "edges")
-        # done when every edge leads to a node that has no smaller neighbour
-        lower = new.select(F.col("a").alias("b")).distinct()
-        more = new.join(lower, "b", "left_semi").limit(1).count() or new.groupBy("a").count().where("count > 1").limit(1).count()
+        C.forget(now)
         now = new
-        if not more:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
+        # done when every edge leads to a node that has no smaller neighbour
+        lower = now.select(F.col("a").alias("b")).distinct()
+        if not (now.join(lower, "b", "left_semi").limit(1).count() or now.groupBy("a").count().where("count > 1").limit(1).count()):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"components: {rounds} rounds did not finish")
