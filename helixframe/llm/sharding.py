@@ -25,13 +25,18 @@ ROW_BYTES = 16
 STEP, BITS = 8, 62
 
 
-def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_bytes, shard (bits of the prefix, '' at depth 0), depth, volume, oversized."""
+#: Columns that the operator adds to rows while it works on them.
+_HASH, _BYTES = "__shard_hash", "__shard_bytes"
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with the hash of their id and text, and their weight."""
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + ROW_BYTES).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS).alias("hash"))
-    rows = C.cut(rows, "weights")
-    # one weight for each hash: repeated rows meet here, in the aggregate before the shuffle
-    weights = rows.groupBy("hash").agg(F.sum("n_bytes").alias("w"), F.count("*").alias("n"))
+    return docs.withColumns({_BYTES: size, _HASH: F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), 64 - BITS)})
+
+
+def _directory(weights: DataFrame, limit: int) -> DataFrame:
+    """The leaves (prefix, level, depth): rows whose hash begins with the prefix of ``level`` bits are in the bucket of its first ``depth`` bits."""
     leaves = None
     open_ = C.cut(weights.withColumn("depth", F.lit(0)), "open")  # hashes that are not in a fitting bucket yet
     depth = 0
@@ -47,44 +52,67 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         for d in range(depth, depth + step):
             own = Window.partitionBy(f"p{d}")
             sums = sums.withColumn(f"w{d}", F.sum("w").over(own)).withColumn(f"k{d}", F.sum("k").over(own))
-        fit = None
+        fit = F.when((F.col("w") <= limit) | (F.col("k") == 1), F.lit(depth + step))
         for d in reversed(range(depth, depth + step)):
-            ok = (F.col(f"w{d}") <= limit) | (F.col(f"k{d}") == 1)
-            fit = F.when(ok, F.lit(d)).otherwise(fit if fit is not None else F.when((F.col("w") <= limit) | (F.col("k") == 1), F.lit(depth + step)))
+            fit = F.when((F.col(f"w{d}") <= limit) | (F.col(f"k{d}") == 1), F.lit(d)).otherwise(fit)
         level = sums.select(F.col(f"p{depth + step}").alias("prefix"), fit.alias("depth"))
-        closed = level.where("depth is not null").select("prefix", F.lit(depth + step).alias("level"), "depth")
-        closed = C.cut(closed, "directory")
+        closed = C.cut(level.where("depth is not null").select("prefix", F.lit(depth + step).alias("level"), "depth"), "directory")
         leaves = closed if leaves is None else leaves.unionByName(closed)
         still = level.where("depth is null").select("prefix")
         depth += step
-        open_ = C.cut(open_.withColumn("prefix", F.shiftrightunsigned("hash", BITS - depth)).join(still, "prefix", "left_semi").select("hash", "w", "n", "depth"), "open")
+        rest = C.cut(open_.withColumn("prefix", F.shiftrightunsigned("hash", BITS - depth)).join(still, "prefix", "left_semi").select("hash", "w", "n", "depth"), "open")
+        C.forget(open_)
+        open_ = rest
         if open_.limit(1).count() == 0:
             break
+    C.forget(open_)
+    return leaves
+
+
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (of ``_sized``) with shard, depth, volume and oversized; no row is added or lost."""
+    # one weight for each hash: repeated rows meet here, in the aggregate before the shuffle
+    weights = C.cut(rows.groupBy(F.col(_HASH).alias("hash")).agg(F.sum(_BYTES).alias("w"), F.count("*").alias("n")), "weights")
+    leaves = _directory(weights, limit)
     levels = sorted(r.level for r in leaves.select("level").distinct().collect())  # at most BITS / STEP
     placed = None
     for level in levels:
-        own = rows.withColumn("prefix", F.shiftrightunsigned("hash", BITS - level)).join(leaves.where(F.col("level") == level).drop("level"), "prefix")
-        own = own.drop("prefix")
+        own = leaves.where(F.col("level") == level).select(F.col("prefix").alias("__shard_prefix"), F.col("depth").alias("__shard_depth"))
+        own = rows.withColumn("__shard_prefix", F.shiftrightunsigned(_HASH, BITS - level)).join(own, "__shard_prefix").drop("__shard_prefix")
         placed = own if placed is None else placed.unionByName(own)
     if placed is None:  # no rows at all
-        placed = rows.withColumn("depth", F.lit(0))
-    shard = F.substring(F.lpad(F.bin("hash"), BITS, "0"), F.lit(1), F.col("depth"))
+        placed = rows.withColumn("__shard_depth", F.lit(0))
+    shard = F.substring(F.lpad(F.bin(_HASH), BITS, "0"), F.lit(1), F.col("__shard_depth"))
     # copies are numbered inside salted parts, so that even a third of all rows spreads over the tasks
-    parts = C.partitions(docs.sparkSession)
-    copies = Window.partitionBy("hash", "salt").orderBy("doc_id", "n_bytes")
-    fits = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes")))
-    one_hash = weights.where("n > 1").where(F.col("w") > limit).select("hash")
-    heavy = placed.join(one_hash, "hash", "left_semi").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-    heavy = heavy.withColumn("volume", (F.floor((F.row_number().over(copies) - 1) / fits) * parts + F.col("salt")).cast("long")).drop("salt")
-    light = placed.join(one_hash, "hash", "left_anti").withColumn("volume", F.lit(0).cast("long"))
-    return light.unionByName(heavy).select("doc_id", "n_bytes", shard.alias("shard"), F.col("depth"), "volume", (F.col("n_bytes") > limit).alias("oversized"))
+    parts = C.partitions(rows.sparkSession)
+    copies = Window.partitionBy(_HASH, "__shard_salt").orderBy(_BYTES)
+    fits = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(_BYTES)))
+    one_hash = weights.where("n > 1").where(F.col("w") > limit).select(F.col("hash").alias(_HASH))
+    heavy = placed.join(one_hash, _HASH, "left_semi").withColumn("__shard_salt", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+    number = F.floor((F.row_number().over(copies) - 1) / fits) * parts + F.col("__shard_salt")
+    heavy = heavy.withColumn("__shard_volume", number.cast("long")).drop("__shard_salt")
+    light = placed.join(one_hash, _HASH, "left_anti").withColumn("__shard_volume", F.lit(0).cast("long"))
+    return light.unionByName(heavy).withColumns({"__shard": shard, "__shard_oversized": F.col(_BYTES) > limit})
+
+
+def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_bytes, shard (bits of the prefix, '' at depth 0), depth, volume, oversized."""
+    rows = C.cut(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "rows")
+    return _placed(rows, limit).select(
+        "doc_id", F.col(_BYTES).alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__shard_depth").alias("depth"), F.col("__shard_volume").alias("volume"), F.col("__shard_oversized").alias("oversized")
+    )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write docs as Parquet, one folder for each shard and volume."""
-    placed = shards(docs, limit).select(F.col("doc_id").alias("_id"), "shard", "volume").distinct()
-    keyed = docs.join(placed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    keyed.repartition("shard", "volume").write.partitionBy("shard", "volume").parquet(path)
+    """Write docs as Parquet, one folder for each shard and volume: every row once, with its own columns (none of which may be
+    called shard or volume).
+
+    The rows themselves pass through the assignment, so repeated ids, texts or whole rows are neither lost nor multiplied."""
+    taken = {"shard", "volume"} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} name the folders")
+    placed = _placed(_sized(docs), limit).withColumns({"shard": F.col("__shard"), "volume": F.col("__shard_volume")})
+    placed.select(*docs.columns, "shard", "volume").repartition("shard", "volume").write.partitionBy("shard", "volume").parquet(path)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
