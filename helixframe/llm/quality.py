@@ -1,25 +1,31 @@
-"""Quality rules: hashed n-gram logistic regression, calibrated, against fixed thresholds.
-
-Features of a text are hashed into a fixed number of slots: its words (ASCII letters lower-cased),
-their shape (capitals, symbols), neighbouring words' shapes, and byte 4-grams of the lower-cased
-text; the value of a kind is its mean weight over the text.  Two heads: quality (label 1) and
-toxicity (label 1).  For toxicity the presence of a word, of its first four and of its first five
-bytes counts, since one word can decide, and each has three slots of a larger table, so that a shared
-slot alone does not make it toxic.  Slots found in fewer than LEAST training rows, or whose chi-square
-against the label is under CHI2, have no weight, and values are scaled by the slot's log-odds between
-the classes before the fit.  Heads are trained by full-batch gradient descent on a bounded
-sample of labelled rows (the smallest hashes of doc_id: TRAIN_ROWS of them, among the labels of
-documents that are there and have at most TRAIN_BYTES bytes), calibrated by Platt's
-method on rows left out of the training, and scored in Arrow batches against the fixed thresholds
-KEEP and TOXIC.  Plain counts (few words, repeated words) reject a text beforehand.
-
-Null texts are empty: they have no words and are not kept.  Labels with null doc_id, quality or
-toxic are left out of training; repeated labels count as often as they stand there.  Without any
-labels, or with one class only, a head always says yes (quality) or no (toxicity).
+"""Quality rules: hashed word and character n-gram logistic regression, calibrated, against fixed thresholds.
+
+Features of a text are hashed into a fixed number of slots: its words and pairs of neighbouring words (letters
+only, ASCII ones lower-cased), shapes of words (capitals, digits, symbols) and of pairs of words, whether a word repeats
+the one before it, and byte 4-grams of the lower-cased text; the value of a kind is its mean weight over the text.
+Two heads: quality (label 1) and toxicity (label 1).  For toxicity the presence of a word, of its first four and of
+its first five bytes, and of a pair of words counts, since one word can decide, and each has three slots of a larger
+table, so that a shared slot alone does not make it toxic.  Slots found in fewer than LEAST training rows, or whose
+log-likelihood ratio against the label is under GAIN (so that rare slots do not pass by chance), have no weight, and values are scaled by the slot's log-odds between the
+classes before the fit.
+
+Heads are trained by full-batch gradient descent on a bounded sample of labelled rows: TRAIN_ROWS labels with the
+smallest hashes of doc_id, among those of documents that are there and have at most TRAIN_BYTES bytes.  Executors make
+the features, count slots and send the few with a weight; the driver fits.  Four fifths of the sample are fitted, the
+rest calibrates (Platt's method: Newton steps with a line search).  A head whose scores do not rise with the held-out
+label has learnt nothing: it warns and gives every text the sample's share of its label.  Texts are scored in Arrow
+batches against the fixed thresholds KEEP and TOXIC; plain counts (few words, repeated words) reject a text beforehand.
+
+Null texts are empty: they have no words and are not kept.  Very long texts are scored whole.  Every row is judged by
+its own text, so repeated rows are judged alike.  Labels with null doc_id, quality or toxic, or without a document,
+are left out of training; repeated labels count as often as they stand there, and of several texts under
+one doc_id the least is fitted.  Without any labels, or with one class only, a head always says yes (quality) or
+no (toxicity).
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +38,10 @@ from . import common as C
 SLOTS = 1 << 17
 TOXIC_SLOTS = 1 << 20
 #: Bound on the labelled rows that are fitted, and on their bytes (longer texts are left out of the fit).
-TRAIN_ROWS, TRAIN_BYTES = 4000, 20_000
-LEAST, CHI2 = 5, 20.0
+TRAIN_ROWS, TRAIN_BYTES = 8000, 20_000
+#: Tasks that make the sample's features.
+SAMPLE_PARTS = 16
+LEAST, GAIN = 5, 28.0
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -50,12 +58,11 @@ _LETTER = ((_SHAPE == 1) | (_SHAPE == 2) | (_SHAPE == 5)).astype(np.uint64)
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """For each kind of feature (row, slot, value): of quality, and of toxicity. Values of a row have length about one."""
+    """Of quality: for each feature (row, slot, value), values of a kind adding up to one in a row; of toxicity: (row, hash) of each token, repeats too."""
     n = len(offs) - 1
     low = _LOWER[buf]
     starts, ends, at = C.words_of(buf, offs)
-    words = np.diff(at)
-    row = np.repeat(np.arange(n), words)
+    row = np.repeat(np.arange(n), np.diff(at))
     prefix = C.prefix_hash(np.where(_LETTER[low] > 0, C.BYTE[low], C.U64(0)))
     word = C.range_hash(prefix, starts, ends)  # letters only, so punctuation does not hide a word
     kinds = np.zeros(len(buf) + 1, np.uint64)
@@ -64,40 +71,50 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[tuple[np.ndarray, ...],
     few = np.zeros(len(starts), np.uint64)
     for k in range(6):  # each count of a kind of byte in a word as 0, 1, 2 or more
         few = few * C.U64(3) + np.minimum((shape >> C.U64(10 * k)) & C.U64(1023), C.U64(2))
-    after = np.append(few[1:], C.U64(0)) if len(few) else few
-    pair = C.mix(few * C.U64(1000003) + after + C.U64(77))
-    same = np.zeros(len(word), np.uint64)
-    if len(word):
-        same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-    again = C.mix(same + C.U64(991))
-    gram = np.empty(0, np.uint64)
-    grow = np.empty(0, np.int64)
+    inside = row[1:] == row[:-1]  # neighbours in one text
+    with np.errstate(over="ignore"):
+        two = C.mix(word[:-1] * C.U64(0x9E3779B97F4A7C15) + word[1:])[inside]
+        shapes = C.mix(few[:-1] * C.U64(1000003) + few[1:] + C.U64(77))[inside]
+    again = np.zeros(len(word), np.uint64)
+    again[1:] = (word[1:] == word[:-1]) & inside
+    gram, grow = np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(buf) >= 4:
         x = low.astype(np.uint64)
         gram = C.mix(x[:-3] | (x[1:-2] << C.U64(8)) | (x[2:-1] << C.U64(16)) | (x[3:] << C.U64(24)) | C.U64(1 << 40))
         grow = np.repeat(np.arange(n), np.diff(offs))[: len(gram)]
-        inside = np.arange(len(gram)) + 4 <= offs[1:][grow]
-        gram, grow = gram[inside], grow[inside]
+        whole = np.arange(len(gram)) + 4 <= offs[1:][grow]
+        gram, grow = gram[whole], grow[whole]
     mask = C.U64(SLOTS - 1)
+    pair_row = row[:-1][inside]
     quality = []
-    for h, r in ((word, row), (pair, row), (again, row), (gram, grow)):
+    for h, r in ((word, row), (two, pair_row), (C.mix(few + C.U64(55)), row), (shapes, pair_row), (C.mix(again + C.U64(991)), row), (gram, grow)):
         total = np.bincount(r, minlength=n)
         quality.append((r, (h & mask).astype(np.int64), 1.0 / np.maximum(total, 1)[r]))
-    part = [word]
+    tokens, rows = [word, two], [row, pair_row]
     if len(buf):
         pad = np.concatenate([low, np.zeros(4, np.uint8)])
         lead = [pad[starts + k].astype(np.uint64) for k in range(5)]
         four = lead[0] | (lead[1] << C.U64(8)) | (lead[2] << C.U64(16)) | (lead[3] << C.U64(24))
-        part += [C.mix(four + C.U64(1 << 41)), C.mix((four | (lead[4] << C.U64(32))) + C.U64(1 << 42))]
-        part = [word, part[1][ends - starts >= 4], part[2][ends - starts >= 5]]
-        prow = np.concatenate([row, row[ends - starts >= 4], row[ends - starts >= 5]])
-    else:
-        prow = row
-    distinct = np.unique(C.mix(np.concatenate(part)) >> C.U64(20) << C.U64(20) | prow.astype(np.uint64))  # blocks have fewer rows than 2**20
-    r = (distinct & C.U64((1 << 20) - 1)).astype(np.int64)
-    h = C.mix(distinct >> C.U64(20))
-    toxic = [(r, ((h >> C.U64(21 * k)) & C.U64(TOXIC_SLOTS - 1)).astype(np.int64), np.full(len(h), 1 / 3)) for k in range(3)]
-    return tuple(map(np.concatenate, zip(*quality, strict=True))), tuple(map(np.concatenate, zip(*toxic, strict=True)))
+        for size, h in ((4, C.mix(four + C.U64(1 << 41))), (5, C.mix((four | (lead[4] << C.U64(32))) + C.U64(1 << 42)))):
+            long = ends - starts >= size
+            tokens.append(h[long])
+            rows.append(row[long])
+    return tuple(map(np.concatenate, zip(*quality, strict=True))), (np.concatenate(rows), C.mix(np.concatenate(tokens)))
+
+
+def toxic_slots(h: np.ndarray) -> list[np.ndarray]:
+    """The three slots of each token."""
+    return [((h >> C.U64(21 * k + 1)) & C.U64(TOXIC_SLOTS - 1)).astype(np.int64) for k in range(3)]
+
+
+def present(tokens: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of the different tokens of each row."""
+    row, h = tokens
+    by = np.lexsort((h, row))
+    row, h = row[by], h[by]
+    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(row) else np.empty(0, bool)
+    row, slots = row[new], toxic_slots(h[new])
+    return np.tile(row, 3), np.concatenate(slots), np.full(3 * len(row), 1 / 3)
 
 
 @dataclass
@@ -121,16 +138,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def compact(f: tuple[np.ndarray, ...], slots: int, first: int = 0) -> tuple[np.ndarray, ...]:
-    """One entry for each slot of a row, in small types; rows are numbered from ``first``."""
+def compact(f: tuple[np.ndarray, ...], slots: int) -> tuple[np.ndarray, ...]:
+    """One entry for each slot of a row, in small types."""
     row, slot, value = f
     key, inverse = np.unique(row * slots + slot, return_inverse=True)
-    return (key // slots + first).astype(np.int32), (key % slots).astype(np.int32), np.bincount(inverse, value).astype(np.float32)
+    return (key // slots).astype(np.int32), (key % slots).astype(np.int32), np.bincount(inverse, value).astype(np.float32)
 
 
 @dataclass
 class Found:
-    """In how many training rows of each class a slot is found, of ny and nn rows."""
+    """In how many fitted rows of each class a slot is found, of ny and nn rows."""
 
     yes: np.ndarray
     no: np.ndarray
@@ -140,13 +157,16 @@ class Found:
     def good(self) -> np.ndarray:
         """The slots that have a weight."""
         yes, no, ny, nn = self.yes, self.no, self.ny, self.nn
-        miss = yes * (nn - no) - no * (ny - yes)
-        chi2 = miss.astype(float) ** 2 * (ny + nn) / np.maximum((yes + no) * (ny + nn - yes - no) * float(ny) * nn, 1)
-        good = (yes + no >= min(LEAST, max(1, (ny + nn) // 20))) & (chi2 >= CHI2)
+        n, seen = ny + nn, yes + no
+        gain = np.zeros(len(yes))
+        for k, margin in ((yes, ny), (no, nn)):
+            for times, rows in ((k, seen), (margin - k, n - seen)):
+                gain += 2 * times * np.log(np.maximum(times, 1) * n / np.maximum(rows * float(margin), 1))
+        good = (seen >= min(LEAST, max(1, n // 20))) & (gain >= min(GAIN, n / 4))
         return good if good.any() else yes + no > 0
 
 
-def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.ndarray, slots: int, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
+def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.ndarray, slots: int, what: str, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
     """Logistic regression with classes of equal weight (Adagrad steps over all rows), then Platt's calibration on held rows."""
     row, slot, value = f  # of good slots only, as compact() gives them
     n = len(label)
@@ -154,14 +174,13 @@ def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.nda
     use = ~held
     weight = np.where(use, np.where(label == 1, 0.5 / max(1, found.ny), 0.5 / max(1, found.nn)), 0.0)
     names, slot = np.unique(slot, return_inverse=True)
-    f = (row, names[slot], value)
     odds = np.log((found.yes[names] + 0.5) / (found.ny + 1)) - np.log((found.no[names] + 0.5) / (found.nn + 1))
-    value = value * odds[slot]
+    scaled = value * odds.astype(np.float32)[slot]
     w, b = np.zeros(len(names)), 0.0
     g2, b2 = np.full(len(names), 1e-8), 1e-8
     for _ in range(rounds):
-        miss = (sigmoid(np.bincount(row, w[slot] * value, n) + b) - label) * weight
-        g = np.bincount(slot, miss[row] * value, len(names)) + decay * w
+        miss = (sigmoid(np.bincount(row, w[slot] * scaled, n) + b) - label) * weight
+        g = np.bincount(slot, miss[row] * scaled, len(names)) + decay * w
         g2 += g * g
         w -= rate * g / np.sqrt(g2)
         gb = miss.sum()
@@ -169,28 +188,47 @@ def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.nda
         b -= rate * gb / np.sqrt(b2)
     head.weights[names], head.bias = w * odds, float(b)
     fold = held if held.any() and len(np.unique(label[held])) == 2 else use
-    head.slope, head.shift = platt(head.raw(f, n)[fold], label[fold])
+    score = np.bincount(row, w[slot] * scaled, n) + b
+    head.slope, head.shift = platt(score[fold], label[fold])
+    if head.slope <= 0:  # higher scores do not mean the label
+        warnings.warn(f"the {what} head has learnt nothing from {n} labelled rows; it gives every text the label's share", stacklevel=2)
+        share = (label.sum() + 1) / (n + 2)
+        return Head(np.zeros(slots, np.float32), float(np.log(share / (1 - share))))
     return head
 
 
 def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Newton's method for P = sigmoid(slope * score + shift), with Platt's smoothed targets."""
-    pos, neg = (label == 1).sum(), (label == 0).sum()
+    """slope and shift of P = sigmoid(slope * score + shift) with Platt's smoothed targets.
+
+    Newton's method; a step is halved until the loss falls, so it cannot run away where classes are far apart."""
+    pos, neg = int((label == 1).sum()), int((label == 0).sum())
     target = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * score + b)
-        d, h = p - target, p * (1 - p) + 1e-9
-        ga, gb = (d * score).sum() + 1e-3 * (a - 1), d.sum()
-        haa, hab, hbb = (h * score * score).sum() + 1e-3, (h * score).sum(), h.sum()
-        det = haa * hbb - hab * hab
-        if det <= 0:
+    scale = max(float(np.std(score)), 1e-9)
+    x = score / scale
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
+    now = loss(a, b)
+    for _ in range(100):
+        p = sigmoid(a * x + b)
+        d, h = p - target, p * (1 - p) + 1e-12
+        ga, gb = float((d * x).sum()), float(d.sum())
+        if abs(ga) < 1e-6 and abs(gb) < 1e-6:
             break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -5, 5)
-        if abs(da) + abs(db) < 1e-8:
+        haa, hab, hbb = float((h * x * x).sum()) + 1e-9, float((h * x).sum()), float(h.sum()) + 1e-9
+        det = haa * hbb - hab * hab
+        da, db = (-(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det) if det > 0 else (-ga, -gb)
+        step = 1.0
+        while step > 1e-10 and loss(a + step * da, b + step * db) > now + 1e-4 * step * (ga * da + gb * db):
+            step /= 2
+        if step <= 1e-10:
             break
-    return float(max(a, 1e-3)), float(b)
+        a, b = a + step * da, b + step * db
+        now = loss(a, b)
+    return a / scale, b
 
 
 @dataclass
@@ -198,45 +236,102 @@ class Model:
     quality: Head
     toxic: Head
 
+    def __post_init__(self):
+        self.active = self.toxic.weights != 0
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``most`` labelled rows, those with the smallest hashes of doc_id (ties by doc_id)."""
+    def probabilities(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of quality and of toxicity, for each text."""
+        n = len(offs) - 1
+        quality, (row, h) = features(buf, offs)
+        a, b, c = toxic_slots(h)
+        hit = np.flatnonzero(self.active[a] | self.active[b] | self.active[c])  # others add nothing
+        return self.quality.probability(quality, n), self.toxic.probability(present((row[hit], h[hit])), n)
+
+
+SIZES = (SLOTS, TOXIC_SLOTS)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[tuple[int, int]], DataFrame | None]:
+    """The labels (quality, toxic) of the sampled rows, and their texts (row, text), written once."""
+    spark = docs.sparkSession
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).dropna()
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length(text) <= TRAIN_BYTES)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    drawn = good.join(slim.select("doc_id"), "doc_id", "left_semi").orderBy(*order, "_q", "_t").limit(most)
-    rows = slim.join(drawn, "doc_id").orderBy(*order, "text", "_q", "_t").limit(most).collect()
-    if not rows:
-        return Model(Head(np.zeros(SLOTS), 40.0), Head(np.zeros(TOXIC_SLOTS), -40.0))
-    buf, offs = C.flat(pa.array([r.text for r in rows], pa.large_string()))
-    held = np.arange(len(rows)) % 5 == 4
-    labels_of = [np.array([r._q for r in rows]), np.array([r._t for r in rows])]
-    del rows
-    sizes = (SLOTS, TOXIC_SLOTS)
-
-    def parts():
-        """For each head the features of a block of rows: this runs on the driver, so no more are held at once."""
-        for i, j in C.blocks(offs, 1 << 18):
-            yield tuple(compact(f, slots, i) for f, slots in zip(features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), sizes, strict=True))
-
-    two = [len(np.unique(label[~held])) == 2 for label in labels_of]
-    found = [Found(np.zeros(slots, np.int64), np.zeros(slots, np.int64), int((label[~held] == 1).sum()), int((label[~held] == 0).sum())) for label, slots in zip(labels_of, sizes, strict=True)]
-    for part in parts() if any(two) else ():
-        for (row, slot, _), label, at in zip(part, labels_of, found, strict=True):
-            for total, which in ((at.yes, 1), (at.no, 0)):
-                np.add.at(total, slot[~held[row] & (label[row] == which)], 1)
-    good = [at.good() if ok else np.zeros(slots, bool) for at, ok, slots in zip(found, two, sizes, strict=True)]
-    own: tuple[list, list] = ([], [])
-    for part in parts() if any(two) else ():
-        for (row, slot, value), often, to in zip(part, good, own, strict=True):
-            to.append((row[often[slot]], slot[often[slot]], value[often[slot]]))
+    drawn = good.join(slim.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "_q", "_t").limit(most).collect()
+    if not drawn:
+        return [], None
+    rows = spark.createDataFrame([(r.doc_id, k) for k, r in enumerate(drawn)], "doc_id long, row int")  # at most TRAIN_ROWS
+    texts = slim.join(F.broadcast(rows), "doc_id").groupBy("row").agg(F.min("text").alias("text"))
+    return [(r._q, r._t) for r in drawn], C.cut(texts.repartition(SAMPLE_PARTS, "row"), "sample")
+
+
+def _counted(label_of: list[np.ndarray], held: np.ndarray):
+    """For each head the number of fitted rows of each class in which a slot is found, over the rows of a task."""
+
+    def run(batches):
+        total = [np.zeros((2, s), np.int32) for s in SIZES]
+        for row, f in _features(batches):
+            for (r, slot, _), to, label in zip(f, total, label_of, strict=True):
+                own = ~held[row[r]]
+                for k in (0, 1):
+                    to[k] += np.bincount(slot[own & (label[row[r]] == k)], minlength=to.shape[1]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(t.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for t in total], names=["quality", "toxic"])
+
+    return run
+
+
+def _features(batches):
+    """The rows of blocks of texts, and for each head one entry for each slot of a row."""
+    for batch in batches:
+        buf, offs = C.flat(batch.column("text"))
+        row = C.longs(batch.column("row"))
+        for i, j in C.blocks(offs, 1 << 19):
+            quality, toxic = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield row[i:j], (compact(quality, SLOTS), compact(present(toxic), TOXIC_SLOTS))
+
+
+def _entries(good: list[np.ndarray]):
+    """Entries of slots with a weight, packed."""
+
+    def run(batches):
+        for row, f in _features(batches):
+            packs = []
+            for (r, slot, value), ok in zip(f, good, strict=True):
+                own = ok[slot]
+                packs.append(pa.array([C.pack(row=row[r[own]].astype(np.int32), slot=slot[own], value=value[own])], pa.binary()))
+            yield pa.RecordBatch.from_arrays(packs, names=["quality", "toxic"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """Fit on at most ``most`` labelled rows, those with the smallest hashes of doc_id (ties by doc_id)."""
+    label_rows, texts = _sample(docs, labels, most)
+    if texts is None:
+        return Model(Head(np.zeros(SLOTS, np.float32), 40.0), Head(np.zeros(TOXIC_SLOTS, np.float32), -40.0))
+    label_of = [np.array([r[k] for r in label_rows]) for k in (0, 1)]
+    held = np.arange(len(label_rows)) % 5 == 4
+    totals = [np.zeros((2, s), np.int64) for s in SIZES]
+    for r in texts.mapInArrow(_counted(label_of, held), "quality binary, toxic binary").toLocalIterator():  # SAMPLE_PARTS rows
+        for to, name in zip(totals, ("quality", "toxic"), strict=True):
+            to += np.frombuffer(pa.decompress(r[name], decompressed_size=to.size * 4, codec="zstd", asbytes=True), np.int32).reshape(to.shape)
+    two = [len(np.unique(label[~held])) == 2 for label in label_of]
+    found = [Found(t[1], t[0], int((label[~held] == 1).sum()), int((label[~held] == 0).sum())) for t, label in zip(totals, label_of, strict=True)]
+    good = [x.good() if ok else np.zeros(s, bool) for x, ok, s in zip(found, two, SIZES, strict=True)]
+    parts: tuple[list, list] = ([], [])
+    for r in texts.mapInArrow(_entries(good), "quality binary, toxic binary").toLocalIterator():
+        for to, name in zip(parts, ("quality", "toxic"), strict=True):
+            to.append(C.unpack(r[name], row="<i4", slot="<i4", value="<f4"))
+    C.forget(texts)
     heads = []
-    for label, empty, slots, at, ok, mine in zip(labels_of, (1, 0), sizes, found, two, own, strict=True):
+    for label, empty, slots, x, ok, own, what in zip(label_of, (1, 0), SIZES, found, two, parts, ("quality", "toxic"), strict=True):
         if not ok:
-            heads.append(Head(np.zeros(slots), 40.0 if (label[0] if len(np.unique(label)) == 1 else empty) else -40.0))
+            heads.append(Head(np.zeros(slots, np.float32), 40.0 if (label[0] if len(np.unique(label)) == 1 else empty) else -40.0))
             continue
-        heads.append(fit(tuple(map(np.concatenate, zip(*mine, strict=True))), at, label, held, slots))
+        f = C.joined(own)
+        own.clear()
+        by = np.lexsort((f["slot"], f["row"]))  # the same sums whatever the order of tasks
+        heads.append(fit((f["row"][by], f["slot"][by], f["value"][by]), x, label, held, slots, what))
     return Model(*heads)
 
 
@@ -304,8 +399,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 c = counts(b, o)
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-                quality, toxic = features(b, o)
-                pq, pt = m.quality.probability(quality, j - i), m.toxic.probability(toxic, j - i)
+                pq, pt = m.probabilities(b, o)
                 kept = ~failed & (pq >= KEEP) & (pt < TOXIC)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), *(pa.array(np.asarray(x, np.int64)) for x in c.values()), pa.array(failed), pa.array(pq), pa.array(pt), pa.array(kept)],
@@ -327,9 +421,8 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in C.blocks(offs, 1 << 20):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 c = counts(b, o)
-                quality, toxic = features(b, o)
-                ok = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
-                ok &= (m.quality.probability(quality, j - i) >= KEEP) & (m.toxic.probability(toxic, j - i) < TOXIC)
+                pq, pt = m.probabilities(b, o)
+                ok = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= 50 * c["n_words"]) & (pq >= KEEP) & (pt < TOXIC)
                 yield batch.slice(i, j - i).filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)
