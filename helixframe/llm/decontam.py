@@ -2,25 +2,29 @@
 
 Both sides become token templates: words are stripped of outer punctuation and lower-cased (ASCII),
 words without a letter or digit are dropped, and numbers, names and units become typed placeholders
-that remember what stood there.  Every window of WINDOW template tokens of a document is looked up in the sorted
-window hashes of the benchmark (a hash join).  Matching windows are verified token by token and
+that remember what stood there.  Windows of WINDOW template tokens are hash-joined: the benchmark's windows are a
+written table; a document's windows that pass a Bloom filter of the table's hashes (a bounded broadcast) are
+joined with it by hash, a hot hash in salted parts.  Matching windows are verified token by token and
 grouped by document, item and alignment; on each alignment the slots must be consistent: one value
 of the item always has the same value in the document; where it has several, that of the most windows (of
 equally many, the first) holds and the windows with another are dropped.  That finds a question again when its
 numbers, names or units were changed, and not when the wording merely looks alike.  An item is in a
 document if consistent alignments cover COVER of its windows.
 
-The benchmark is taken in blocks of a bounded number of items, each as one broadcast, against all
-documents.  An item of fewer than WINDOW tokens is one window of all its tokens, and documents are
+An item of fewer than WINDOW tokens is one window of all its tokens, and documents are
 looked up by windows of each size that occurs.  A window counts if at least LITERAL of its tokens (half of a
 shorter window) are plain words.  An item of fewer than LEAST tokens, or without a window that counts, is found
 by windows of its exact tokens (numbers, names and units as they stand).  Null or empty texts are clean.  Rows of the benchmark with a null item_id are left
-out; rows that repeat an item_id are matched each on its own.  Every row of docs gives one row.
+out; rows that repeat an item_id are matched each on its own.  Every row of docs gives one row: rows that repeat an id or
+a whole row, and rows without an id, are each judged by their own text.  Very long texts are judged whole; of
+equally frequent values of a slot the one that comes first in the text holds.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,18 +35,24 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, LEAST, LITERAL, COVER = 8, 5, 4, 0.5
-#: Items in one broadcast, and bytes of an item's text that go into one.
-ITEMS, BYTES = 20_000, 64 << 20
+#: Bits of the filter for each window of the benchmark, and the most it has (32 MB); beyond that more windows pass it, and none is lost.
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
 
-# Words for units and for numbers.
+# Words for units and for numbers, in English, German, French and Spanish.
 UNITS = (
     "mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons mm cm m km inch inches foot feet ft yard yards "
     "mile miles meter meters metre metres ml l liter liters litre litres gallon gallons cup cups second seconds minute minutes min hour hours "
-    "h day days week weeks month months year years cent cents dollar dollars euro euros pound percent degree degrees mph kmh kwh watt watts volt volts"
+    "h day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh kwh watt watts volt volts "
+    "gramm kilogramm pfund tonne tonnen kilometer meile meilen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate jahr jahre prozent grad "
+    "gramme grammes kilogramme kilogrammes tonnes kilom\u00e8tre kilom\u00e8tres seconde secondes heure heures jour jours semaine semaines mois ann\u00e9e ann\u00e9es an ans pourcent degr\u00e9s "
+    "gramo gramos kilogramo kilogramos tonelada toneladas kil\u00f3metro kil\u00f3metros metro metros litro litros segundo segundos minuto minutos hora horas d\u00eda d\u00edas semana semanas mes meses a\u00f1o a\u00f1os grados"
 ).split()
 NUMBERS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null eins zwei drei vier f\u00fcnf sechs sieben acht neun zehn elf zw\u00f6lf zwanzig drei\u00dfig vierzig f\u00fcnfzig hundert tausend "
+    "z\u00e9ro deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante cent mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil"
 ).split()
 
 _BYTES = np.arange(256)
@@ -119,154 +129,215 @@ def windows(t: Template, size: int, exact: bool) -> tuple[np.ndarray, np.ndarray
     return C.range_hash(C.prefix_hash(t.value if exact else t.token), first, first + size), first, row
 
 
+def _mixed(h: np.ndarray, size: int, exact: bool) -> np.ndarray:
+    """Windows of another size, or of exact tokens, are others."""
+    with np.errstate(over="ignore"):
+        return C.mix(h + C.U64(size * 2 + exact) * C.U64(0xD1342543DE82EF95)).astype(np.int64)
+
+
+def _spread(t: Template, first: np.ndarray, size: int, exact: bool) -> list[pa.Array]:
+    """For each window what must be equal, the values and the kinds of its tokens, as bytes."""
+    at = first[:, None] + np.arange(size)
+    arrays = []
+    for x in (t.value if exact else t.token, t.value, t.kind):
+        raw = x[at] if len(first) else np.empty((0, size), x.dtype)
+        arrays.append(pa.array([r.tobytes() for r in raw], pa.binary()))
+    return arrays
+
+
+WINDOWS = "h long, same binary, values binary, kinds binary"
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """The windows of the benchmark's rows: WINDOWS, the item's row, its item_id, number of windows, size, exact, and the window's first token."""
+    schema = f"{WINDOWS}, item_row long, item long, total int, size int, exact boolean, there int"
+    slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        before = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            buf, offs = C.flat(batch.column("text"))
+            ids = C.longs(batch.column("item_id"))
+            for i, j in C.blocks(offs, 1 << 18):
+                t = canonical(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                long = np.minimum(np.diff(t.at), WINDOW)
+                found = np.zeros(j - i, bool)
+                for exact in (False, True):  # exact ones for items without a window that counts
+                    todo = ~found
+                    for size in np.unique(long[todo & (long >= (1 if exact else LEAST))]).tolist():
+                        h, first, row = windows(t, size, exact)
+                        own = todo[row] & (long[row] == size)
+                        h, first, row = h[own], first[own], row[own]
+                        found[row] = True
+                        n = len(h)
+                        number = np.cumsum(np.bincount(row, minlength=j - i))
+                        total = np.diff(np.concatenate([[0], number]))[row]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(_mixed(h, size, exact)), *_spread(t, first, size, exact), pa.array(before + i + row), pa.array(ids[i + row]), pa.array(total.astype(np.int32)),
+                                pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, exact)), pa.array((first - t.at[row]).astype(np.int32)),
+                            ],
+                            names=["h", "same", "values", "kinds", "item_row", "item", "total", "size", "exact", "there"],
+                        )
+            before += batch.num_rows
+
+    return C.cut(slim.mapInArrow(run, schema), "item-windows")
+
+
 @dataclass
-class Items:
-    """The benchmark's templates and, by size and whether tokens are exact, its windows by hash: hash, first token, item."""
-
-    template: Template
-    item: np.ndarray
-    total: np.ndarray
-    tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def items(rows: list[tuple[int, str]]) -> Items:
-    buf, offs = C.flat(pa.array([t for _, t in rows], pa.large_string()))
-    t = canonical(buf, offs)
-    size = np.minimum(np.diff(t.at), WINDOW)
-    total = np.zeros(len(rows), np.int64)
-    tables = {}
-    for exact in (False, True):
-        todo = total == 0  # exact ones for items without a window that counts
-        for n in np.unique(size[todo & (size >= (1 if exact else LEAST))]).tolist():
-            h, first, row = windows(t, n, exact)
-            own = todo[row] & (size[row] == n)
-            h, first, row = h[own], first[own], row[own]
-            if len(h):
-                by = np.argsort(h, kind="stable")
-                tables[(n, exact)] = h[by], first[by], row[by]
-                total += np.bincount(row, minlength=len(rows))
-    return Items(t, np.array([i for i, _ in rows], np.int64), total, tables)
-
-
-def matches(t: Template, bench: Items) -> dict[int, list[tuple[int, int, int, bool]]]:
-    """For each text with a match: (item, covered windows, item's windows, whether a slot differs)."""
-    found = []
-    for (size, exact), (hashes, places, item_rows) in bench.tables.items():
-        h, first, row = windows(t, size, exact)
-        low = np.searchsorted(hashes, h)
-        hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
-        if not len(hit):
-            continue
-        many = np.searchsorted(hashes, h[hit], "right") - low[hit]
-        own, other = np.repeat(hit, many), C.runs_to_rows(low[hit], many)
-        here, there = first[own], places[other]
-        a, b = (t.value, bench.template.value) if exact else (t.token, bench.template.token)
-        same = np.ones(len(own), bool)
-        for d in range(size):  # verified token by token
-            same &= a[here + d] == b[there + d]
-        found.append((row[own][same], item_rows[other][same], here[same], there[same], np.full(int(same.sum()), size)))
-    if not found:
-        return {}
-    text, item_row, here, there, n = map(np.concatenate, zip(*found, strict=True))
-    groups: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-    for k in range(len(text)):
-        groups[(int(text[k]), int(item_row[k]), int(here[k] - there[k]))].append(k)
-    covered: dict[tuple[int, int], set[int]] = defaultdict(set)
-    changed: dict[tuple[int, int], bool] = defaultdict(bool)
-    for (r, item, _), members in groups.items():
-        slots: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        members.sort(key=lambda k: int(here[k]))
-        for k in members:
-            for d in range(int(n[k])):
-                x, y = int(here[k]) + d, int(there[k]) + d
-                if t.kind[x] != WORD:
-                    slots[(int(t.kind[x]), int(bench.template.value[y]))][int(t.value[x])].add(k)
-        dropped: set[int] = set()
-        for values in slots.values():
-            if len(values) > 1:
-                best = max(values, key=lambda v: len(values[v]))
-                dropped.update(*(ks for v, ks in values.items() if v != best))
-        kept = [k for k in members if k not in dropped]
-        if kept:
-            covered[(r, item)] |= {int(there[k]) for k in kept}
-            changed[(r, item)] |= any(t.value[int(here[k]) + d] != bench.template.value[int(there[k]) + d] for k in kept for d in range(int(n[k])))
-    out: dict[int, list] = defaultdict(list)
-    for (r, item), places in covered.items():
-        out[r].append((int(bench.item[item]), len(places), int(bench.total[item]), changed[(r, item)]))
-    return out
+class Filter:
+    """A Bloom filter with one hash: a bit for the low bits of each window's hash; and the windows' sizes."""
+
+    bits: np.ndarray
+    sizes: list[tuple[int, bool]]
 
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        at = h & (len(self.bits) * 64 - 1)
+        return (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & C.U64(1) == 1
 
-ROW = "doc_id long, contaminated boolean, items array<long>, changed_items array<long>, n_matches long"
 
+def window_filter(table: DataFrame) -> Filter:
+    """Built by executors: words of 64 bits, of which at most FILTER_MOST / 64 reach the driver."""
+    n = table.count()
+    size = min(FILTER_MOST, 1 << max(10, int(n * FILTER_BITS).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(size - 1))
+    words = table.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[C.longs(words["word"].combine_chunks())] = C.longs(words["bits"].combine_chunks()).astype(np.uint64)
+    return Filter(bits, sorted((r.size, r.exact) for r in table.select("size", "exact").distinct().collect()))
 
-#: What one of several blocks finds in a row of docs.
-PART = "row long, items array<long>, changed_items array<long>, n_matches long"
 
+SKETCH = "row long, id long, tag long, windows binary"
 
-def _judge(bench_of, keep_schema: bool, numbered: bool = False):
-    """numbered: only what is found, by the row's number."""
+
+def _passing(shared):
+    """One row for each row of docs (id, tag, text): its number, and the windows that pass the filter."""
 
     def run(batches):
-        bench = bench_of.value
+        from pyspark import TaskContext
+
+        keep, row = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
             for i, j in C.blocks(offs, 1 << 20):
-                found = matches(canonical(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), bench)
-                rows = [[m for m in found.get(k, ()) if m[1] >= COVER * m[2]] for k in range(j - i)]
-                own = batch.slice(i, j - i)
-                if keep_schema:
-                    yield own.filter(pa.array([not r for r in rows], pa.bool_()))
-                    continue
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        own.column("row" if numbered else "doc_id"),
-                        pa.array([bool(r) for r in rows], pa.bool_()),
-                        pa.array([sorted({m[0] for m in r}) for r in rows], pa.list_(pa.int64())),
-                        pa.array([sorted({m[0] for m in r if m[3]}) for r in rows], pa.list_(pa.int64())),
-                        pa.array([sum(m[1] for m in found.get(k, ())) for k in range(j - i)], pa.int64()),
-                    ],
-                    names=["row" if numbered else "doc_id", "contaminated", "items", "changed_items", "n_matches"],
+                t = canonical(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                held: list[list[tuple]] = [[] for _ in range(j - i)]
+                for size, exact in keep.sizes:
+                    h, first, own = windows(t, size, exact)
+                    h = _mixed(h, size, exact)
+                    hit = np.flatnonzero(keep.passes(h))
+                    for k, x, y, r in zip(h[hit].tolist(), first[hit].tolist(), t.at[own[hit]].tolist(), own[hit].tolist(), strict=True):
+                        same = (t.value if exact else t.token)[x : x + size].tobytes()
+                        held[r].append((k, x - y, same, t.value[x : x + size].tobytes(), t.kind[x : x + size].tobytes()))
+                packs = [pickle.dumps(x) if x else None for x in held]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + j - i)), batch.column("id").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(packs, pa.binary())], names=["row", "id", "tag", "windows"]
                 )
-                yield out.select(["row", "items", "changed_items", "n_matches"]).filter(pa.array([k in found for k in range(j - i)], pa.bool_())) if numbered else out
+                row += j - i
 
     return run
 
 
-def item_blocks(benchmark: DataFrame):
-    """The benchmark in blocks that fit a broadcast, chosen by hash of item_id and text."""
-    slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
-    n, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    k = max(1, -(-n // ITEMS), -(-size // BYTES))
-    for b in range(k):
-        own = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b) if k > 1 else slim
-        yield items([tuple(r) for r in own.orderBy("item_id", "text").collect()])
+def _unpacked(batches):
+    for batch in batches:
+        rows = [(r, *x) for r, pack in zip(batch.column("row").to_pylist(), batch.column("windows").to_pylist(), strict=True) for x in pickle.loads(pack)]
+        for k in range(0, len(rows), 20_000):
+            part = list(zip(*rows[k : k + 20_000], strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["row", "h", "here", "d_same", "d_values", "d_kinds"])
+
+
+def decide(matches: Iterator[tuple]) -> tuple[list[int], list[int], int]:
+    """Items found, those of them with changed slots, and the number of windows matched, from the matches of one text:
+
+    (item's row, item, item's windows, there, here, the text's values and kinds, the item's values)."""
+    groups: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+    for m in matches:
+        groups[(m[0], m[4] - m[3])].append(m)
+    covered: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    changed: dict[tuple[int, int, int], bool] = defaultdict(bool)
+    for members in groups.values():
+        members.sort(key=lambda m: m[4])
+        slots: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for k, (*_, values, kinds, theirs) in enumerate(members):
+            for kind, own, other in zip(kinds.tolist(), values.tolist(), theirs.tolist(), strict=True):
+                if kind != WORD:
+                    slots[(kind, other)][own].add(k)
+        dropped: set[int] = set()
+        for values in slots.values():
+            if len(values) > 1:
+                best = max(values, key=lambda v: len(values[v]))
+                dropped.update(*(ks for v, ks in values.items() if v != best))
+        for k, (item_row, item, total, there, _, values, _, theirs) in enumerate(members):
+            if k not in dropped:
+                covered[(item_row, item, total)].add(there)
+                changed[(item_row, item, total)] |= bool((values != theirs).any())
+    whole = [x for x, places in covered.items() if len(places) >= COVER * x[2]]
+    return sorted({x[1] for x in whole}), sorted({x[1] for x in whole if changed[x]}), sum(map(len, covered.values()))
+
+
+FOUND = "row long, items array<long>, changed_items array<long>, n_matches long"
+
+
+def _decided(batches):
+    """Matches sorted by row: the rows of a text follow each other."""
+    row, held, out = None, [], []
+
+    def batch_of(out):
+        row, items, changed, n = zip(*out, strict=True)
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(items, lists), pa.array(changed, lists), pa.array(n, pa.int64())], names=["row", "items", "changed_items", "n_matches"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("row", "item_row", "item", "total", "there", "here", "d_values", "d_kinds", "values")]
+        for r, item_row, item, total, there, here, values, kinds, theirs in zip(*columns, strict=True):
+            if r != row:
+                if held:
+                    out.append((row, *decide(held)))
+                row, held = r, []
+            held.append((item_row, item, total, there, here, np.frombuffer(values, np.uint64), np.frombuffer(kinds, np.uint8), np.frombuffer(theirs, np.uint64)))
+        if out:
+            yield batch_of(out)
+            out = []
+    if held:
+        yield batch_of([(row, *decide(held))])
+
+
+def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows of docs (id, tag, text) as (row, id, tag), and what is found in them (FOUND; rows without a match are absent)."""
+    spark = docs.sparkSession
+    table = item_windows(benchmark)
+    shared = spark.sparkContext.broadcast(window_filter(table))  # at most FILTER_MOST bits
+    sketch = C.cut(docs.mapInArrow(_passing(shared), SKETCH), "passing")
+    own = sketch.where("windows is not null").select("row", "windows").mapInArrow(_unpacked, "row long, h long, here int, d_same binary, d_values binary, d_kinds binary")
+    own = C.cut(own, "windows")
+    n = C.partitions(spark)
+    met = C.salted_join(own, table, "h", own.count(), "row", n).where("d_same = same")
+    sorted_ = met.select("row", "item_row", "item", "total", "there", "here", "d_values", "d_kinds", "values").repartition(n, "row").sortWithinPartitions("row")
+    return sketch.select("row", "id", "tag"), sorted_.mapInArrow(_decided, FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): contaminated, the items found (and those of them with changed slots), windows matched."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
-    if len(blocks) == 1:
-        return slim.mapInArrow(_judge(blocks[0], False), ROW)
-    rows = C.cut(slim.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so each block sees the same numbers
-    parts = [rows.select("row", "text").mapInArrow(_judge(b, False, True), PART) for b in blocks]
-    whole = parts[0]
-    for b in parts[1:]:
-        whole = whole.unionByName(b)
-    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    found = whole.groupBy("row").agg(merge("items"), merge("changed_items"), F.sum("n_matches").alias("n_matches"))
+    rows, found = _search(docs.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), "text"), benchmark)
     none = F.array().cast("array<long>")
-    out = rows.select("row", "doc_id").join(found, "row", "left").withColumn("items", F.coalesce("items", none))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", F.coalesce("changed_items", none).alias("changed_items"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
+    out = rows.join(found, "row", "left").withColumn("items", F.coalesce("items", none))
+    return out.select(
+        F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), "items", F.coalesce("changed_items", none).alias("changed_items"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their own columns."""
-    out = docs
-    for b in item_blocks(benchmark):
-        out = out.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(b), True), docs.schema)
-    return out
+    """The rows of docs that hold no benchmark item, with their own columns.
+
+    A row is decided by its text alone, so rows are told apart by two hashes of it (96 bits)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({"__decontam_id": F.xxhash64(text), "__decontam_tag": F.crc32(text.cast("binary"))})
+    rows, found = _search(keyed.select(F.col("__decontam_id").alias("id"), F.col("__decontam_tag").alias("tag"), "text"), benchmark)
+    bad = rows.join(found.where(F.size("items") > 0).select("row"), "row", "left_semi").select(F.col("id").alias("__decontam_id"), F.col("tag").alias("__decontam_tag")).distinct()
+    return keyed.join(bad, ["__decontam_id", "__decontam_tag"], "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
