@@ -1,11 +1,13 @@
 """Substring dedup: remove the words of 13-word windows that earlier documents hold.
 
 Method (log-structured fingerprint index).  Historical windows are kept as immutable runs: Parquet
-folders of packed records, dealt out by hash into buckets and sorted by fingerprint.  Documents come
-in batches, ascending by id.  A batch's records are sorted by bucket and merge-joined with each run and with
-themselves; what is new becomes the next run; when there are more than FANOUT runs, the two smallest are
-merged into one (compaction) and deleted.  ``FingerprintIndex`` holds the runs and can be reopened for
-the next batch.
+tables bucketed by a hash of the fingerprint, in which each bucket is a sorted sequence of packs of records.  Documents come
+in batches, ascending by id.  A batch's records are dealt out to the same buckets and sorted; a bucket's packs of each
+run then stream past them in order and are merge-joined by binary search, so history is neither shuffled nor sorted again, and
+only the batch's own bucket and one pack are in memory.  What is new becomes the next run; when there are more than
+FANOUT runs, the two smallest are merged into one (compaction: a streaming merge of sorted packs) and deleted.
+``FingerprintIndex`` holds the runs; a manifest beside them names the runs, their weights, the number of buckets and the
+hot grams, so an index can be reopened by its path in another session for the next batch.
 
 A record stands for a run of neighbouring windows that share an anchor (``spans``): its fingerprint is
 the hash of the anchor's GRAM words, and the windows are verified by a second, independent hash of all covered
@@ -18,12 +20,15 @@ fills one task.  Before the shuffle each task keeps only its own first documents
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A word goes if it lies in a window whose words also start
 in a document with a smaller doc_id; windows are judged on the input.  Null texts have no words; null
-ids come last; rows with one id are one document and do not remove each other's words.
+ids come last; rows with one id do not remove each other's words, whether they repeat a text or not (their texts are
+told apart by CRC).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +43,14 @@ from .suffix_dedup import COMPARE, PARTS, REMOVE, merged, part_rows
 WINDOW, GRAM = 13, 4
 FANOUT = 2
 BLOCK, PIECE = 1 << 20, 1 << 22
-#: Records of a task in the sample for hot grams, and the share of the sample that makes a gram hot.
-SAMPLE, HOT = 2048, 1 / 512
+#: Records in a pack, and the share of the sampled records that makes a gram hot.
+PACK, HOT = 1 << 16, 1 / 512
 #: Shares of the documents after which a new batch begins.
 CUTS = (0.5, 0.75)
-RECORD = {"gram": "<u8", "span": "<u8", "did": "<i8", "tag": "<u2", "first": "<u4", "count": "<u1", "back": "<u1"}
+RECORD = {"gram": "<u8", "span": "<u8", "did": "<i8", "tag": "<u4", "first": "<u4", "count": "<u1", "back": "<u1"}
 _48 = C.U64((1 << 48) - 1)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return C.keyed(docs).withColumn("crc", F.col("crc").bitwiseAND(F.lit(0xFFFF)))
-
-
 def records(did, crc, buf, offs, hot: np.ndarray | None = None):
     """Records of each block of texts; long texts in pieces of words that overlap by a window.
 
@@ -81,28 +82,24 @@ def _records(word, s, e, row, shift, did, crc, hot):
         count, back = np.append(count[~often], np.ones(len(at), np.int64)), np.append(back[~often], np.zeros(len(at), np.int64))
     own = row[piece]
     yield {
-        "gram": gram, "span": span, "did": did[own], "tag": crc[own].astype(np.uint16), "first": (first - s[piece] + shift[piece]).astype(np.uint32),
+        "gram": gram, "span": span, "did": did[own], "tag": crc[own].astype(np.uint32), "first": (first - s[piece] + shift[piece]).astype(np.uint32),
         "count": count.astype(np.uint8), "back": back.astype(np.uint8),
     }
 
 
-def hot_grams(docs: DataFrame, share: int = 16) -> np.ndarray:
-    """Grams that a fixed share (HOT) of sampled records have: at most 1 / HOT of them.
-
-    The sample is the texts whose hash is 0 modulo ``share``, and of each task at most SAMPLE records."""
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """Grams that a fixed share (HOT) of sampled records have: at most 1 / HOT of them. The sample is of a fixed size (``common.some_texts``)."""
 
     def sample(batches):
-        rng, got = np.random.default_rng(7), np.empty(0, np.uint64)
+        rng = np.random.default_rng(7)
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
-            for r in records(C.longs(batch.column("did")), C.longs(batch.column("crc")), buf, offs):
-                got = np.concatenate([got, r["gram"]])
-                if len(got) > 64 * SAMPLE:
-                    got = rng.choice(got, SAMPLE, replace=False)
-        yield pa.RecordBatch.from_arrays([pa.array([rng.choice(got, min(SAMPLE, len(got)), replace=False).tobytes()], pa.binary())], names=["g"])
-
-    rows = keyed(docs).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(sample, "g binary").collect()
-    grams, times = np.unique(np.concatenate([np.frombuffer(x.g, np.uint64) for x in rows] or [np.empty(0, np.uint64)]), return_counts=True)
+            for r in records(np.arange(batch.num_rows), C.longs(batch.column("crc")), buf, offs):
+                own = C.some_of_each(r["did"], rng)
+                yield pa.RecordBatch.from_arrays([pa.array([r["gram"][own].tobytes()], pa.binary())], names=["g"])
+
+    rows = C.some_texts(C.keyed(docs)).mapInArrow(sample, "g binary").toArrow()["g"].to_pylist()
+    grams, times = np.unique(np.frombuffer(b"".join(rows), np.uint64), return_counts=True)
     return grams[(times >= 16) & (times > HOT * times.sum())]
 
 
@@ -131,68 +128,113 @@ def removal_rows(r) -> pa.RecordBatch:
     return part_rows(did, crc, REMOVE, start, end - start, np.zeros(len(did)))
 
 
-def with_pack(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of results carry no pack; they pass through a bucket of their own number."""
+def with_pack(rows: pa.RecordBatch, bucket=None) -> pa.RecordBatch:
+    """Rows of results carry no pack; they pass through a bucket of their own number, or stay in one."""
     n = rows.num_rows
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.binary()), *rows.columns], names=["bucket", "pack", *rows.schema.names])
+    own = np.arange(n, dtype=np.int32) if bucket is None else np.full(n, bucket, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), *rows.columns], names=["bucket", "turn", "low", "pack", *rows.schema.names])
 
 
-def pack_rows(bucket, packs, run: int) -> pa.RecordBatch:
+def pack_rows(bucket, low, packs) -> pa.RecordBatch:
     n = len(packs)
     zero = np.zeros(n)
-    rows = part_rows(np.full(n, run), zero, 0, zero, zero, zero)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(bucket, np.int32)), pa.array(packs, pa.binary()), *rows.columns], names=["bucket", "pack", *rows.schema.names])
+    rows = part_rows(zero, zero, 0, zero, zero, zero)
+    columns = [pa.array(np.asarray(bucket, np.int32)), pa.array(np.full(n, NEW, np.int32)), pa.array(np.asarray(low, np.int64)), pa.array(packs, pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *rows.columns], names=["bucket", "turn", "low", "pack", *rows.schema.names])
 
 
-STEP = f"bucket int, pack binary, {PARTS}"
-NEW = -1
+def sorted_packs(bucket: int, r: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Sorted records of a bucket in packs, each with its first gram."""
+    at = range(0, len(r["gram"]), PACK)
+    return pack_rows([bucket] * len(at), [int(r["gram"][k]) for k in at], [C.pack(**take(r, slice(k, k + PACK))) for k in at])
+
+
+STEP = f"bucket int, turn int, low long, pack binary, {PARTS}"
+_STEP = [c.split(" ")[0] for c in STEP.split(", ")]
+RUN = "bucket int, turn int, low long, pack binary"
+#: Turns of the rows of a bucket: results that pass through, the batch's packs, then the runs.
+NEW, OLD = 1, 2
 
 
 class FingerprintIndex:
-    """Immutable sorted runs under a folder of the shared file system."""
+    """Immutable sorted runs under a folder of the shared file system; an index that is there is reopened."""
 
     def __init__(self, spark, path: str | None = None, buckets: int | None = None):
-        C.short_batches(spark)
         self.spark = spark
         self.path = path or f"{C.shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or C.partitions(spark)
-        self.runs: list[tuple[str, int]] = []  # folder, documents in it
+        self.runs: list[tuple[str, int]] = []  # name of its table and folder, documents in it
         self.hot: np.ndarray | None = None  # found in the first batch; the same for all runs
+        self._load()
 
-    def rows(self, folder: str, run: int) -> DataFrame:
-        return self.spark.read.schema("bucket int, pack binary").parquet(folder).select("bucket", "pack", *(F.lit(run if c == "did" else 0).cast(t).alias(c) for c, t in (x.split(" ") for x in PARTS.split(", "))))
+    def _manifest(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _load(self) -> None:
+        if not C.exists(self.spark, f"{self.path}/manifest.json"):
+            return
+        [row] = self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).collect()
+        got = json.loads(row.value)
+        if got["pack"] != list(RECORD.items()) and got["pack"] != [list(x) for x in RECORD.items()]:
+            raise ValueError(f"{self.path} holds another kind of index")
+        self.buckets, self.hot = got["buckets"], np.array(got["hot"], np.uint64)
+        self.runs = [(name, weight) for name, weight in got["runs"]]
+        for name, _ in self.runs:
+            if not self.spark.catalog.tableExists(name):
+                columns = RUN + ", " + PARTS + ", is_run boolean"
+                self.spark.sql(f"create table {name} ({columns}) using parquet partitioned by (is_run) clustered by (bucket) into {self.buckets} buckets location '{self.path}/{name}'")
+                self.spark.sql(f"msck repair table {name}")
+
+    def _save(self) -> None:
+        """A new manifest takes the old one's place by renaming."""
+        path, fs = self._manifest()
+        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{uuid.uuid4().hex}")
+        text = json.dumps({"buckets": self.buckets, "hot": [int(x) for x in self.hot], "runs": self.runs, "pack": list(RECORD.items())})
+        out = fs.create(new)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(new, path)
+
+    def _table(self, df: DataFrame) -> str:
+        """Write rows (bucket, ..., is_run) as a bucketed table of the index."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", f"{self.path}/{name}").partitionBy("is_run").bucketBy(self.buckets, "bucket").saveAsTable(name)
+        return name
+
+    def _rows(self, name: str, turn: int) -> DataFrame:
+        return self.spark.table(name).where("is_run").select("bucket", F.lit(turn).alias("turn"), "low", "pack", *(F.lit(0).cast(t).alias(c) for c, t in (x.split(" ") for x in PARTS.split(", "))))
 
     def add(self, docs: DataFrame, weight: int = 1) -> DataFrame:
         """Merge-join a batch with the runs, write its run, compact; returns decided and open parts (PARTS).
 
         The caller passes batches in ascending order of doc_id: all that is in the index counts as earlier."""
         n = self.buckets
-        outcome = f"{self.path}/batch-{uuid.uuid4().hex}"
         if self.hot is None:
             self.hot = hot_grams(docs)
-        moved = keyed(docs).mapInArrow(_batch(n, self.hot), STEP)
-        for k, (folder, _) in enumerate(self.runs):
-            moved = moved.unionByName(self.rows(folder, k))
-        joined = moved.repartition(n, "bucket").mapInArrow(_merge_join, STEP)
-        joined.withColumn("is_run", F.col("pack").isNotNull()).write.partitionBy("is_run").parquet(outcome)
-        if C.exists(self.spark, f"{outcome}/is_run=true"):  # a batch without windows makes no run
-            self.runs.append((f"{outcome}/is_run=true", weight))
+        with C.short_batches(self.spark):
+            moved = C.keyed(docs).mapInArrow(_batch(n, self.hot), STEP).repartition(n, "bucket")
+            for k, (name, _) in enumerate(self.runs):  # bucketed as the batch is: the union needs no exchange
+                moved = moved.unionByName(self._rows(name, OLD + k))
+            joined = moved.sortWithinPartitions("bucket", "turn", "low").groupBy("bucket").applyInArrow(_merge_join, STEP)
+            name = self._table(joined.withColumn("is_run", F.col("pack").isNotNull()))
+        self.runs.append((name, weight))
         if len(self.runs) > FANOUT:
             self.compact()
-        if not C.exists(self.spark, f"{outcome}/is_run=false"):
-            return self.spark.createDataFrame([], PARTS)
-        return self.spark.read.schema(STEP).parquet(f"{outcome}/is_run=false").select(*(x.split(" ")[0] for x in PARTS.split(", ")))
+        self._save()
+        return self.spark.read.schema(STEP + ", is_run boolean").parquet(f"{self.path}/{name}").where("not is_run").select(*(x.split(" ")[0] for x in PARTS.split(", ")))
 
     def compact(self) -> None:
-        """Merge the two smallest runs, bucket by bucket."""
+        """Merge the two smallest runs, bucket by bucket, without a shuffle. Results that were given out stay readable."""
         self.runs.sort(key=lambda x: -x[1])
         (a, wa), (b, wb) = self.runs[-2:]
-        folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        both = self.rows(a, 0).unionByName(self.rows(b, 1)).select("bucket", "pack")
-        both.repartition(self.buckets, "bucket").mapInArrow(_merge, "bucket int, pack binary").write.parquet(folder)
-        self.runs[-2:] = [(folder, wa + wb)]
+        both = self._rows(a, OLD).unionByName(self._rows(b, OLD)).sortWithinPartitions("bucket", "low")
+        merged_run = both.groupBy("bucket").applyInArrow(_merge, STEP)
+        self.runs[-2:] = [(self._table(merged_run.withColumn("is_run", F.lit(True))), wa + wb)]
         for old in (a, b):
-            C.remove(self.spark, old)
+            self.spark.sql(f"drop table if exists {old}")
+            C.remove(self.spark, f"{self.path}/{old}/is_run=true")
 
 
 def _batch(n: int, hot: np.ndarray):
@@ -212,69 +254,101 @@ def _batch(n: int, hot: np.ndarray):
         by = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[by], np.arange(n + 1))
         full = np.flatnonzero(np.diff(ends))
-        yield pack_rows(full, [C.pack(**take(r, by[ends[i] : ends[i + 1]])) for i in full], NEW)
+        yield pack_rows(full, np.zeros(len(full)), [C.pack(**take(r, by[ends[i] : ends[i + 1]])) for i in full])
 
     return run
 
 
-def _merge_join(batches):
-    held: dict[int, dict[int, list]] = {}
+def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    yield from zip(batch.column("turn").to_pylist(), (x.as_py() for x in batch.column("pack")), strict=True)
+
+
+def _merge_join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: results that pass through, the batch's packs, then the runs' packs, sorted."""
+    bucket, new, r = key[0].as_py(), [], None
     for batch in batches:
         done = batch.filter(batch.column("pack").is_null())
         if done.num_rows:
-            yield done
-        packs = batch.filter(batch.column("pack").is_valid())
-        for bucket, run, pack in zip(packs.column("bucket").to_pylist(), packs.column("did").to_pylist(), packs.column("pack"), strict=True):
-            held.setdefault(bucket, {}).setdefault(run, []).append(pack.as_py())
-    for bucket in list(held):
-        runs = held.pop(bucket)
-        if NEW not in runs:
-            continue
-        r, same, gram = sort(C.joined([C.unpack(x, **RECORD) for x in runs.pop(NEW)]))
-        later = within(r, same)
-        # the gram occurs with other words in this batch
-        many = np.bincount(np.cumsum(gram) - 1, same)
-        open_ = many[np.cumsum(gram) - 1] > 1
-        fresh = same.copy()
-        for packs in runs.values():
-            h = C.joined([C.unpack(x, **RECORD) for x in packs])
-            inside = np.isin(h["gram"], r["gram"][gram])  # both are sorted sets of one bucket
-            h = take(h, inside)
-            if not len(h["gram"]):
+            yield done.select(_STEP)
+        for turn, pack in _of_batch(batch.filter(batch.column("pack").is_valid())):
+            if turn == NEW:
+                new.append(C.unpack(pack, **RECORD))
                 continue
-            # the run's rows and the new ones, sorted together: equal fingerprints, and grams with several
-            n = len(h["gram"])
-            order, group = C.multikey([np.concatenate([h["gram"], r["gram"]]), np.concatenate([h["span"], r["span"]])])
-            head = np.append(True, group[1:] != group[:-1])
-            of = np.cumsum(head) - 1
-            old = np.bincount(of, order < n) > 0
-            every = np.concatenate([h["gram"], r["gram"]])[order]
-            first = np.append(True, every[1:] != every[:-1])
-            several = np.bincount(np.cumsum(first) - 1, head) > 1
-            known, differs = np.empty(len(order), bool), np.empty(len(order), bool)
-            known[order], differs[order] = old[of], several[np.cumsum(first) - 1]
-            later |= known[n:]
-            fresh &= ~known[n:]
-            open_ |= differs[n:]
-            asked = take(h, differs[:n])
-            yield with_pack(part_rows(asked["did"], asked["tag"], COMPARE, asked["first"], asked["count"], asked["back"]))
-        yield with_pack(removal_rows(take(r, later)))
-        rest = take(r, open_ & same)
+            if not new and r is None:
+                continue  # the batch has nothing in this bucket
+            if r is None:
+                r, new = _Batch(C.joined(new)), []
+            asked = r.meet(C.unpack(pack, **RECORD))
+            if len(asked["gram"]):
+                yield with_pack(part_rows(asked["did"], asked["tag"], COMPARE, asked["first"], asked["count"], asked["back"]), bucket)
+    if r is None and new:
+        r = _Batch(C.joined(new))
+    if r is not None:
+        for x in r.settled():
+            yield with_pack(x, bucket)
+        yield sorted_packs(bucket, take(r.r, r.fresh))
+
+
+class _Batch:
+    """A bucket's records of the batch, sorted, and what is known of each."""
+
+    def __init__(self, records: dict[str, np.ndarray]):
+        self.r, self.same, gram = sort(records)
+        self.later = within(self.r, self.same)
+        many = np.bincount(np.cumsum(gram) - 1, self.same)
+        self.open = many[np.cumsum(gram) - 1] > 1  # the gram occurs with other words in this batch
+        self.fresh = self.same.copy()
+
+    def meet(self, h: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Merge with a sorted pack of a run: both are sorted by gram, so each finds its partners by binary search. Returns the run's records to compare."""
+        own = self.r["gram"]
+        low, high = np.searchsorted(own, h["gram"], "left"), np.searchsorted(own, h["gram"], "right")
+        h = take(h, high > low)
+        if not len(h["gram"]):
+            return h
+        first, last = np.searchsorted(h["gram"], own, "left"), np.searchsorted(h["gram"], own, "right")
+        at = np.flatnonzero(last > first)  # the batch's records with a partner
+        n = len(h["gram"])
+        order, group = C.multikey([np.concatenate([h["gram"], own[at]]), np.concatenate([h["span"], self.r["span"][at]])])
+        head = np.append(True, group[1:] != group[:-1])
+        of = np.cumsum(head) - 1
+        old = np.bincount(of, order < n) > 0
+        every = np.concatenate([h["gram"], own[at]])[order]
+        begin = np.append(True, every[1:] != every[:-1])
+        several = np.bincount(np.cumsum(begin) - 1, head) > 1
+        known, differs = np.empty(len(order), bool), np.empty(len(order), bool)
+        known[order], differs[order] = old[of], several[np.cumsum(begin) - 1]
+        self.later[at] |= known[n:]
+        self.fresh[at] &= ~known[n:]
+        self.open[at] |= differs[n:]
+        return take(h, differs[:n])
+
+    def settled(self) -> Iterator[pa.RecordBatch]:
+        yield removal_rows(take(self.r, self.later))
         # an open record needs the comparison for the first document that has it, and for others that are not decided
-        also = take(r, open_ & ~same & ~later)
-        for x in (rest, also):
-            yield with_pack(part_rows(x["did"], x["tag"], COMPARE, x["first"], x["count"], x["back"]))
-        yield pack_rows([bucket], [C.pack(**take(r, fresh))], 0)
+        for own in (self.open & self.same, self.open & ~self.same & ~self.later):
+            x = take(self.r, own)
+            yield part_rows(x["did"], x["tag"], COMPARE, x["first"], x["count"], x["back"])
 
 
-def _merge(batches):
-    held: dict[int, list] = {}
+def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's packs of two runs, in the order of their first grams: what lies before the next pack's is final."""
+    bucket, held = key[0].as_py(), None
     for batch in batches:
-        for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
-            held.setdefault(bucket, []).append(C.unpack(pack.as_py(), **RECORD))
-    for bucket in list(held):
-        r, same, _ = sort(C.joined(held.pop(bucket)))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([C.pack(**take(r, same))], pa.binary())], names=["bucket", "pack"])
+        for low, (_, pack) in zip(batch.column("low").to_pylist(), _of_batch(batch), strict=True):
+            if held is not None:
+                done = int(np.searchsorted(held["gram"], np.uint64(low), "left"))
+                if done >= PACK:
+                    yield sorted_packs(bucket, take(held, slice(0, done)))
+                    held = take(held, slice(done, None))
+            now = C.unpack(pack, **RECORD)
+            if held is None:
+                held = now
+                continue
+            r, same, _ = sort(C.joined([held, now]))
+            held = take(r, same)
+    if held is not None:
+        yield sorted_packs(bucket, held)
 
 
 def based(docs: DataFrame) -> DataFrame:
@@ -282,7 +356,7 @@ def based(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("did"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)).alias("crc"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
 
@@ -377,7 +451,7 @@ def resolve(docs: DataFrame, parts: DataFrame) -> DataFrame:
                 wrong = data[C.runs_to_rows(a[part], size)] != data[C.runs_to_rows(a[lead[part]], size)]
                 good.append(part[np.add.reduceat(wrong, np.cumsum(size) - size) == 0])
         gone = np.concatenate(good) if good else gone
-        return {"did": r["did"][row[gone]], "tag": r["crc"][row[gone]].astype(np.uint16), "first": first[gone], "count": np.ones(len(gone), np.int64)}
+        return {"did": r["did"][row[gone]], "tag": r["crc"][row[gone]].astype(np.uint32), "first": first[gone], "count": np.ones(len(gone), np.int64)}
 
     rows = texts.mapInArrow(fetch, "bucket int, head binary, data binary").repartition(n, "bucket").mapInArrow(compare, PARTS)
     return parts.where(f"kind = {REMOVE}").select("did", "crc", "first", "count").unionByName(rows.select("did", "crc", "first", "count"))
