@@ -14,8 +14,8 @@ the hash of their 100 bytes, so a boundary never separates equal windows and no
 task.  Before the shuffle each task keeps only the first of its own equal suffixes.
 
 The order of strings is that of (doc_id, start); null ids come last; different texts under one id
-are told apart by their CRC.  A row that repeats a whole row (id and text) is the same document: it
-gets the same result.  Texts of fewer than 100 bytes and null texts lose nothing.
+are told apart by their CRC and do not remove each other's bytes, as neither has the smaller id.  A row that repeats a
+whole row (id and text) is the same document: it gets the same result.  Texts of fewer than 100 bytes and null texts lose nothing.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ WINDOW = 100
 GRAM = 24
 #: Texts are cut into pieces of at most so many windows, and worked on in blocks of so many bytes.
 PIECE, BLOCK = 1 << 24, 1 << 18
-#: Suffixes that a task gives to the sample, and the share of sampled suffixes that makes a prefix hot.
-SAMPLE, HOT = 512, 1 / 256
+#: Share of sampled suffixes that makes a prefix hot.
+HOT = 1 / 256
 RECORD = {"t1": "<u8", "t2": "<u8", "t3": "<u8", "span": "<u8", "did": "<i8", "crc": "<u4", "first": "<u4", "count": "<u1", "back": "<u1"}
 REMOVE, COMPARE = 1, 2
 PARTS = "did long, crc long, kind int, first long, count int, back int"
@@ -50,8 +50,8 @@ def leading(buf: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [t[:, 0].copy(), t[:, 1].copy(), t[:, 2].copy()]
 
 
-def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-    """Records of each block of texts, with the block's bytes and the windows' places in them."""
+def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Records of each block of texts, with the block's bytes, the windows' places in them and the texts' rows."""
     for i, j in C.blocks(offs, BLOCK):
         long = j == i + 1 and offs[j] - offs[i] > PIECE
         for at in range(int(offs[i]), int(offs[j]), PIECE) if long else (int(offs[i]),):
@@ -67,7 +67,7 @@ def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray)
             yield {
                 "t1": t1, "t2": t2, "t3": t3, "span": r.span, "did": did[own], "crc": crc[own].astype(np.uint32),
                 "first": (r.first - begin).astype(np.uint32), "count": r.count.astype(np.uint8), "back": (r.anchor - r.first).astype(np.uint8),
-            }, b, r.first
+            }, b, (r.first, own)
 
 
 def earlier_first(r: dict[str, np.ndarray]) -> np.ndarray:
@@ -77,14 +77,14 @@ def earlier_first(r: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def decide(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
-    """The first of each set of equal suffixes; the others, which are removed; and where leading tokens are equal but spans are not."""
+    """The first of each set of equal suffixes; the others, which are removed; and where leading tokens are equal but spans are not.
+
+    Of texts that share the least id, each keeps its first: none of them has a smaller id."""
     by = earlier_first(r)
     order, group = C.multikey([r["t1"], r["t2"], r["t3"], r["span"]], by)
-    head = np.append(True, group[1:] != group[:-1])
-    first = order[np.flatnonzero(head)][np.cumsum(head) - 1]  # each row's first equal
-    later = (r["did"][order] != r["did"][first]) | (r["crc"][order] != r["crc"][first]) | (r["first"][order] != r["first"][first])
+    head, later = firsts(r["did"][order], r["crc"][order], r["first"][order], np.append(True, group[1:] != group[:-1]))
     heads = {k: v[order[head]] for k, v in r.items()}
-    gone = {k: v[order[~head & later]] for k, v in r.items()}
+    gone = {k: v[order[later]] for k, v in r.items()}
     same = np.ones(max(0, len(heads["t1"]) - 1), bool)
     for k in ("t1", "t2", "t3"):
         same &= heads[k][1:] == heads[k][:-1]
@@ -92,6 +92,18 @@ def decide(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, n
     return heads, gone, open_ if len(heads["t1"]) else np.empty(0, bool)
 
 
+def firsts(did: np.ndarray, crc: np.ndarray, first: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of sets of equals (each begins where ``new``; sorted by did, crc, first) are the first of their text under the
+    set's least id, and which have an equal that starts earlier."""
+    if not len(did):
+        return np.empty(0, bool), np.empty(0, bool)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = did == did[lead]
+    text = new | np.append(True, (crc[1:] != crc[:-1]) | (did[1:] != did[:-1]))
+    begin = first[np.flatnonzero(text)[np.cumsum(text) - 1]]
+    return own & text, ~own | (first > begin)
+
+
 def merged(did: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """The union of the spans of each document, in order."""
     if len(did) == 0:
@@ -172,25 +184,18 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return C.longs(batch.column("did")), C.longs(batch.column("crc")), buf, offs
 
 
-def splitters(keys: DataFrame, buckets: int, share: int = 16) -> Splitters:
-    """Sample suffixes from one text in ``share`` (by hash of the text; a bounded number from each task)."""
+def splitters(keys: DataFrame, buckets: int) -> Splitters:
+    """From a sample of a fixed number of suffixes (``common.some_texts``)."""
 
     def sample(batches):
-        got, seen = np.empty((0, 3), np.uint64), 0
         rng = np.random.default_rng(7)
         for batch in batches:
-            for r, _, _ in records(*_columns(batch)):
-                t = np.stack([r["t1"], r["t2"], r["t3"]], 1)
-                seen += len(t)
-                take = min(len(t), max(8, SAMPLE * len(t) // max(seen, 1)))
-                got = np.concatenate([got, t[rng.choice(len(t), take, replace=False)]])
-        if len(got) > SAMPLE:
-            got = got[rng.choice(len(got), SAMPLE, replace=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], names=["t"])
+            for r, _, (_, row) in records(*_columns(batch)):
+                own = C.some_of_each(row, rng)
+                yield pa.RecordBatch.from_arrays([pa.array([np.stack([r[k][own] for k in ("t1", "t2", "t3")], 1).tobytes()], pa.binary())], names=["t"])
 
-    chosen = keys.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    rows = chosen.mapInArrow(sample, "t binary").collect()  # at most SAMPLE prefixes of 24 bytes from a task
-    return Splitters(np.concatenate([np.frombuffer(x.t, np.uint64).reshape(-1, 3) for x in rows] or [np.empty((0, 3), np.uint64)]), buckets)
+    rows = C.some_texts(keys).mapInArrow(sample, "t binary").toArrow()["t"].to_pylist()
+    return Splitters(np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 3), buckets)
 
 
 def removed_parts(docs: DataFrame) -> DataFrame:
@@ -203,7 +208,7 @@ def removed_parts(docs: DataFrame) -> DataFrame:
     def suffixes(batches):
         parts = []
         for batch in batches:
-            for r, b, first in records(*_columns(batch)):
+            for r, b, (first, _) in records(*_columns(batch)):
                 hot = cuts.is_hot([r["t1"], r["t2"], r["t3"]]) if cuts.hot else np.zeros(0, bool)
                 if hot.any():
                     parts.append(one_by_one(r, hot, b, first))
@@ -318,9 +323,7 @@ def compare(texts: DataFrame, cuts: Splitters, n: int) -> DataFrame:
                 return np.ascontiguousarray(view[at[index] + self.place]).view(">u8").reshape(-1).astype(np.uint64)
 
         order, group = C.multikey([slot, *(Token(p) for p in places)], by)
-        head = np.append(True, group[1:] != group[:-1])
-        lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-        later = ~head & ((did[order] != did[lead]) | (crc[order] != crc[lead]) | (first[order] != first[lead]))
+        _, later = firsts(did[order], crc[order], first[order], np.append(True, group[1:] != group[:-1]))
         gone = order[later]
         return removal_rows({"did": did[gone], "crc": crc[gone], "first": first[gone], "count": np.ones(len(gone), np.int64)})
 
