@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import difflib
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,18 @@ class Policy:
     max_supplementary: int = 4
     max_secondary: int = 0
     secondary_ratio: float = 0.80
+    competitive_score: float = 0.40
+    full_search_score: float = 0.0
+    weak_candidate: float = 0.50
+    without_placement: int = 3
+    high_coverage: float = 0.90
+    low_coverage: float = 0.40
+    ambiguity_score: float = 0.60
+    ambiguity_count: int = 4
+    ambiguity_budget: int = 3
+    reseed: bool = False
+    reseed_intervals: int = 4
+    reseed_hits: int = 2
     limited_cap: int = 50
     ambiguity_cap: int = 5
     mapq_mode: str = "mm2"
@@ -52,6 +65,7 @@ class Policy:
     snp_anchors: bool = False
     near_exact: bool = False
     near_exact_drift: int = 256
+    near_exact_slack: int = 64
     near_exact_divergence: float = 0.10
     small_gap: int = 1024
     small_delta: int = 256
@@ -75,6 +89,11 @@ def policy(mode: str = "standard", **options) -> Policy:
     if mode not in _MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {', '.join(_MODES)}")
     own = replace(Policy(mode=mode), **_MODES[mode])
+    if options.pop("tiered_candidates", False):
+        own = replace(own, full_search_score=0.70)
+    unknown = sorted(set(options) - {f.name for f in fields(Policy)})
+    if unknown:
+        raise ValueError(f"unknown option {unknown[0]!r}; did you mean {closest(unknown[0])!r}?")
     out = replace(own, **options)
     if out.k < 1 or out.k > 31:
         raise ValueError("k must be from 1 to 31")
@@ -85,3 +104,19 @@ def policy(mode: str = "standard", **options) -> Policy:
     if out.mapq_mode not in ("mm2", "legacy"):
         raise ValueError("mapq_mode must be mm2 or legacy")
     return out
+
+
+def closest(name: str) -> str:
+    """The option whose name is most like a misspelt one."""
+    names = [f.name for f in fields(Policy)] + ["tiered_candidates"]
+    return max(names, key=lambda n: difflib.SequenceMatcher(None, name, n).ratio())
+
+
+def parse_size(text: str) -> int:
+    """Bytes of a size such as 768, 64M or 2GiB: K, M, G and T are powers of 1024, in either case."""
+    t = text.strip().upper().removesuffix("IB").removesuffix("B")
+    power = "KMGT".find(t[-1:]) + 1 if t[-1:] else 0
+    number = t[:-1] if power else t
+    if not number.isascii() or not number.isdigit():
+        raise ValueError(f"invalid size {text!r}")
+    return int(number) << (10 * power)

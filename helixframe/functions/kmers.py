@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 _CODE = np.full(256, 4, np.uint8)
@@ -19,14 +20,39 @@ def codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n <= 0:
         return np.empty(0, U), np.empty(0, bool), np.empty(0, bool)
     x = (c & 3).astype(U)
-    forward, backward = np.zeros(n, U), np.zeros(n, U)
-    for j in range(k):
-        forward = (forward << U(2)) | x[j : j + n]
-        backward |= (U(3) - x[j : j + n]) << U(2 * j)
+    forward, backward = _doubled(x, k, False), _doubled(U(3) - x, k, True)
     bad = np.concatenate([[0], np.cumsum(c > 3)])
     return np.minimum(forward, backward), backward < forward, bad[k:] == bad[:-k]
 
 
+def forward(seq: bytes, k: int) -> np.ndarray:
+    """Code of every k-mer as it stands, -1 where a base is ambiguous."""
+    c = _CODE[np.frombuffer(seq, np.uint8)]
+    if len(c) < k:
+        return np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(c > 3)])
+    return np.where(bad[k:] == bad[:-k], _doubled((c & 3).astype(U), k, False).astype(np.int64), -1)
+
+
+def _doubled(x: np.ndarray, k: int, turned: bool) -> np.ndarray:
+    """Codes of k neighbours from codes of 1, 2, 4, ... neighbours; ``turned``: the first neighbour is the lowest."""
+    parts, size = {1: x}, 1
+
+    def joined(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
+        return a | (b << U(2 * na)) if turned else (a << U(2 * nb)) | b
+
+    while size * 2 <= k:
+        parts[size * 2] = joined(parts[size][:-size], size, parts[size][size:], size)
+        size *= 2
+    n, out, done = len(x) - k + 1, None, 0
+    for size in sorted(parts, reverse=True):
+        if k & size:
+            part = parts[size][done : done + n]
+            out = part if out is None else joined(out, done, part, size)
+            done += size
+    return out
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finalizer that orders minimizers of the in-memory index."""
     x = x ^ (x >> U(30))
@@ -76,20 +102,40 @@ def minimizers(seq: bytes, k: int, w: int, hashed=splitmix, restart: bool = Fals
     return at, code[at], rc[at]
 
 
+#: Bases in a piece of a contig that is worked on at once.
+PIECE = 1 << 20
+
+
+def pieces(contigs: DataFrame, overlap: int, size: int = PIECE) -> DataFrame:
+    """contig_id, start, sequence: contigs of more than ``size`` bases in pieces that share ``overlap``, dealt out over all tasks.
+
+    A chromosome is many rows then; short contigs, which files already deal out, stay where they are."""
+    own = contigs.select("contig_id", "sequence")
+    n = F.length("sequence")
+    short = own.where(n <= size).select("contig_id", F.lit(0).cast("long").alias("start"), "sequence")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), (n - 1 - overlap).cast("long"), F.lit(size).cast("long")))
+    long = own.where(n > size).select("contig_id", at.alias("start"), "sequence")
+    long = long.select("contig_id", "start", F.substring("sequence", (F.col("start") + 1).cast("int"), F.lit(size + overlap)).alias("sequence"))
+    return short.unionByName(long.repartition("contig_id", "start"))
+
+
 def _table(df: DataFrame, key: str, of, schema: str) -> DataFrame:
+    """Rows that ``of`` makes of each sequence; places count from ``start`` where the frame has it."""
+
     def run(batches):
         for batch in batches:
+            starts = batch.column("start").to_pylist() if "start" in batch.schema.names else [0] * batch.num_rows
             ids, pos, code, rc = [], [], [], []
-            for i, s in zip(batch.column(key).to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+            for i, start, s in zip(batch.column(key).to_pylist(), starts, batch.column("sequence").to_pylist(), strict=True):
                 p, c, r = of((s or "").encode())
                 ids.append(np.full(len(p), i, np.int64))
-                pos.append(p)
+                pos.append(p + start)
                 code.append(c.astype(np.int64))
                 rc.append(r)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, code)] + [pa.array(np.concatenate(rc).astype(bool))], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return df.select(key, "sequence").mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def dense_kmers(contigs: DataFrame, k: int) -> DataFrame:
@@ -100,10 +146,10 @@ def dense_kmers(contigs: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(ok)
         return at, code[at], rc[at]
 
-    return _table(contigs, "contig_id", of, "contig_id long, ref_pos long, code long, is_rc boolean")
+    return _table(pieces(contigs, k - 1), "contig_id", of, "contig_id long, ref_pos long, code long, is_rc boolean")
 
 
 def query_minimizers(reads: DataFrame, k: int, w: int, persisted: bool = False) -> DataFrame:
     """read_ord, query_pos, code, is_rc of each read's minimizers, for the in-memory or the persisted index."""
     hashed = xxh64 if persisted else splitmix
-    return _table(reads, "read_ord", lambda s: minimizers(s, k, w, hashed, persisted), "read_ord long, query_pos long, code long, is_rc boolean")
+    return _table(reads.select("read_ord", "sequence"), "read_ord", lambda s: minimizers(s, k, w, hashed, persisted), "read_ord long, query_pos long, code long, is_rc boolean")

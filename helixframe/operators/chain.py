@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..config import Policy
-from ..functions.kmers import _CODE
+from ..functions import kmers
 
 #: Columns of an anchor array: reference start, end; query start, end (of the oriented read); score.
 REF, REF_END, QUERY, QUERY_END, SCORE = range(5)
@@ -32,25 +32,18 @@ class Chain:
         return min(1.0, self.covered / max(1, self.q_end - self.q_start))
 
 
-def _forward_codes(seq: bytes, k: int) -> np.ndarray:
-    """Code of each k-mer, -1 if it has an ambiguous base."""
-    c = _CODE[np.frombuffer(seq, np.uint8)].astype(np.int64)
-    n = len(c) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    out = np.zeros(n, np.int64)
-    for j in range(k):
-        out = (out << 2) | (c[j : j + n] & 3)
-    bad = np.concatenate([[0], np.cumsum(c > 3)])
-    return np.where(bad[k:] == bad[:-k], out, -1)
-
-
-def find_anchors(read: bytes, window: bytes, offset: int, p: Policy, max_bucket: int = 128) -> np.ndarray:
+def find_anchors(read: bytes, window: bytes, offset: int, p: Policy, max_bucket: int = 128, sparse: bool = False) -> np.ndarray:
     """Maximal exact matches of at least ``min_anchor`` bases of an oriented read in a window that begins at ``offset``.
 
+    ``sparse``: only matches that hold one of the read's minimizers.
+
     Every k-mer of the read meets those of the window (k-mers more frequent than ``max_bucket`` in it are left out);
     matches that follow each other on one diagonal are one anchor.  Anchors inside a better one are dropped."""
-    q, r = _forward_codes(read, p.k), _forward_codes(window, p.k)
+    q, r = kmers.forward(read, p.k), kmers.forward(window, p.k)
+    if sparse:
+        marked = np.zeros(len(q) + 1, np.int64)
+        marked[kmers.minimizers(read, p.k, p.window)[0]] = 1
+        marked = np.concatenate([[0], np.cumsum(marked)])
     order = np.argsort(r, kind="stable")
     low, high = np.searchsorted(r[order], q, "left"), np.searchsorted(r[order], q, "right")
     count = np.where((q >= 0) & (high - low <= max_bucket), high - low, 0)
@@ -65,6 +58,8 @@ def find_anchors(read: bytes, window: bytes, offset: int, p: Policy, max_bucket:
     tail = np.append(head[1:], len(qi)) - 1
     size = qi[tail] - qi[head] + p.k
     ok = size >= p.min_anchor
+    if sparse:
+        ok &= marked[qi[tail] + 1] > marked[qi[head]]
     qs, rs, size = qi[head][ok], ri[head][ok] + offset, size[ok]
     out = np.stack([rs, rs + size, qs, qs + size, size], 1).astype(np.int64)
     return without_contained(out, p.max_anchors)
@@ -73,13 +68,18 @@ def find_anchors(read: bytes, window: bytes, offset: int, p: Policy, max_bucket:
 def without_contained(anchors: np.ndarray, most: int) -> np.ndarray:
     """Longest first; one inside another on both axes goes; at most ``most`` stay, in query order."""
     anchors = anchors[np.lexsort((anchors[:, REF], anchors[:, QUERY], -anchors[:, SCORE]))]
-    kept = np.empty((0, 5), np.int64)
-    for a in anchors:
-        inside = (kept[:, QUERY] <= a[QUERY]) & (kept[:, QUERY_END] >= a[QUERY_END]) & (kept[:, REF] <= a[REF]) & (kept[:, REF_END] >= a[REF_END])
-        if not inside.any():
-            kept = np.vstack([kept, a])
-            if len(kept) == most:
-                break
+    for first in (64, len(anchors)):  # inside of what is inside is inside: the longest few rule out most
+        better = anchors[:first]
+        gone = np.zeros(len(anchors), bool)
+        for k in range(0, len(anchors), 512):
+            a = anchors[k : k + 512, None]
+            inside = (better[:, QUERY] <= a[..., QUERY]) & (better[:, QUERY_END] >= a[..., QUERY_END]) & (better[:, REF] <= a[..., REF]) & (better[:, REF_END] >= a[..., REF_END])
+            inside &= np.arange(len(better)) < np.arange(k, k + len(a))[:, None]
+            gone[k : k + 512] = inside.any(1)
+        anchors = anchors[~gone]
+        if len(anchors) <= 64:
+            break
+    kept = anchors[:most]
     return kept[np.lexsort((kept[:, REF_END], kept[:, REF], kept[:, QUERY_END], kept[:, QUERY]))]
 
 
@@ -93,37 +93,84 @@ def fast_log2(x: np.ndarray) -> np.ndarray:
 
 def chains(anchors: np.ndarray, read_length: int, p: Policy) -> list[Chain]:
     """Best first. Each anchor takes its best predecessor of the ``max_iter`` before it within ``max_dist``; ways back are disjoint."""
-    if not len(anchors):
-        return []
-    a = anchors[np.lexsort((anchors[:, QUERY_END], anchors[:, REF], anchors[:, QUERY]))]
-    n = len(a)
-    dp, before = np.maximum(a[:, SCORE], 0).astype(np.int64), np.full(n, -1)
-    block = np.searchsorted(a[:, QUERY], a[:, QUERY], "left")
+    return chains_of_many([anchors], [read_length], p)[0]
+
+
+def chains_of_many(sets: list[np.ndarray], read_lengths: list[int], p: Policy, best: int | None = None, covered: int = 0) -> list[list[Chain]]:
+    """``chains`` of many sets of anchors; the n-th anchors of all sets are joined in one step.
+
+    ``best``: only that many chains of a set are built, and all that cover ``covered`` bases."""
+    out: list[list[Chain]] = [[] for _ in sets]
+    order = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: len(sets[k]))
+    at = 0
+    while at < len(order):  # sets of about one size together: no more than a quarter of the steps is idle
+        to = at + 1
+        most = len(sets[order[at]]) * 4 // 3 + 8
+        while to < len(order) and len(sets[order[to]]) <= most and to - at < 128:
+            to += 1
+        own = [sets[k][np.lexsort((sets[k][:, QUERY_END], sets[k][:, REF], sets[k][:, QUERY]))] for k in order[at:to]]
+        for k, a, (dp, before) in zip(order[at:to], own, _joined(own, p), strict=True):
+            out[k] = _traced(a, dp, before, read_lengths[k], best, covered)
+        at = to
+    return out
+
+
+def _joined(sets: list[np.ndarray], p: Policy) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sorted set the best score of a chain that ends at each anchor, and the anchor before it (-1: none)."""
+    n = max(map(len, sets))
+    size = np.array([len(a) for a in sets])
+    a = np.zeros((len(sets), n, 5), np.int64)
+    for k, x in enumerate(sets):
+        a[k, : len(x)] = x
+    dp, before = np.maximum(a[..., SCORE], 0), np.full((len(sets), n), -1)
+    # places before the first with an equal query start, and not too far away
+    block = np.stack([np.searchsorted(x[:, QUERY], np.append(x[:, QUERY], np.full(n - len(x), -1)), "left") for x in sets])
+    near = np.stack([np.searchsorted(x[:, QUERY], np.append(x[:, QUERY], np.full(n - len(x), -1)) - p.max_dist) for x in sets])
+    low = np.maximum(np.maximum(block - p.max_iter, near), 0)
+    rows = np.arange(len(sets))[:, None]
     for i in range(n):
-        low = max(0, int(block[i]) - p.max_iter, int(np.searchsorted(a[:, QUERY], a[i, QUERY] - p.max_dist)))
-        b = a[low : block[i]][::-1]
-        if not len(b):
+        wide = int((block[:, i] - low[:, i])[size > i].max(initial=0))
+        if wide <= 0:
             continue
-        dq, dr = a[i, QUERY] - b[:, QUERY], a[i, REF] - b[:, REF]
+        live = np.flatnonzero((size > i) & (block[:, i] > low[:, i]))
+        own, row = a[live, i][:, None], rows[live]
+        j = block[live, i][:, None] - 1 - np.arange(wide)
+        ok = j >= low[live, i][:, None]
+        j = np.maximum(j, 0)
+        b = a[row, j]
+        dq, dr = own[..., QUERY] - b[..., QUERY], own[..., REF] - b[..., REF]
         gap = np.abs(dq - dr)
-        ok = (dr > 0) & (dr <= p.max_dist) & (gap <= max(p.diagonal_tolerance, 0))
-        fresh = np.where(a[i, QUERY] >= b[:, QUERY_END], a[i, SCORE], np.clip(np.minimum(a[i, QUERY_END] - b[:, QUERY_END], a[i, SCORE]), 0, None))
+        ok &= (dr > 0) & (dr <= p.max_dist) & (gap <= max(p.diagonal_tolerance, 0))
+        fresh = np.where(own[..., QUERY] >= b[..., QUERY_END], own[..., SCORE], np.clip(np.minimum(own[..., QUERY_END] - b[..., QUERY_END], own[..., SCORE]), 0, None))
         cost = np.float32(0.5) * gap.astype(np.float32) + np.float32(0.5) * fast_log2((gap + 1).astype(np.float32))
-        total = np.where(ok, dp[low : block[i]][::-1] + fresh - np.where(gap > 0, cost.astype(np.int64), 0), -(1 << 60))
-        k = int(total.argmax())
-        if total[k] > dp[i]:
-            dp[i], before[i] = total[k], block[i] - 1 - k
-    used, out = np.zeros(n, bool), []
-    for s in sorted(range(n), key=lambda i: (-dp[i], a[i, QUERY])):
+        total = np.where(ok, dp[row, j] + fresh - np.where(gap > 0, cost.astype(np.int64), 0), -(1 << 60))
+        k = total.argmax(1)
+        score = total[np.arange(len(live)), k]
+        better = score > dp[live, i]
+        dp[live[better], i] = score[better]
+        before[live[better], i] = j[better, k[better]]
+    return [(dp[k, :s], before[k, :s]) for k, s in enumerate(size)]
+
+
+def _traced(a: np.ndarray, dp: np.ndarray, before: np.ndarray, read_length: int, best: int | None, covered: int) -> list[Chain]:
+    used, paths, way = [False] * len(a), [], before.tolist()
+    for s in np.lexsort((np.arange(len(a)), a[:, QUERY], -dp)).tolist():
         if used[s] or dp[s] <= 15:
             continue
         path, at = [], s
         while at >= 0 and not used[at]:
             path.append(at)
             used[at] = True
-            at = int(before[at])
-        out.append(built(a[path[::-1]], read_length))
-    return sorted(out, key=lambda c: (-c.score, -c.covered, c.q_start))
+            at = way[at]
+        paths.append(path[::-1])
+    if best is not None and len(paths) > best:
+        flat = np.concatenate(paths)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in paths])[:-1]])
+        score, size = np.add.reduceat(a[flat, SCORE], first), np.add.reduceat((a[:, QUERY_END] - a[:, QUERY])[flat], first)
+        # a penalty takes at most 200 off a score
+        top = np.flatnonzero((score >= np.sort(score)[-best] - 200) | (size >= max(covered, 1)))
+        paths = [paths[k] for k in top]
+    return sorted((built(a[x], read_length) for x in paths), key=lambda c: (-c.score, -c.covered, c.q_start))
 
 
 def built(a: np.ndarray, read_length: int) -> Chain:

@@ -2,32 +2,125 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kmers
+from ..functions import kmers, packs
 
 HIT = "struct<contig_id:bigint,ref_pos:bigint,is_rc:boolean>"
 
 
+#: K-mers of a task that are sorted at once; codes that an index may be restricted to by a broadcast, a bounded number.
+BLOCK, WANTED = 2_000_000, 500_000
+ROW = f"code long, total long, capped boolean, hits array<{HIT}>"
+_HITS = {"code": "<i8", "contig_id": "<i8", "ref_pos": "<i8", "is_rc": "<u1"}
+
+
 def build(contigs: DataFrame, k: int = 15, max_stored_hits: int = 256, wanted: DataFrame | None = None) -> DataFrame:
     """code, total, capped, hits: every canonical k-mer with its true number of places and the first of them.
 
-    Totals combine before the shuffle.  Stored hits are the first by (contig, place): Spark limits
-    each group to ``max_stored_hits`` rows before the shuffle, so a frequent k-mer stays small.
-    ``wanted`` (code) restricts the index to the k-mers that queries ask for, for an index that is
-    used once: if Spark finds those few enough to broadcast, other k-mers are not shuffled at all."""
+    Contigs are read once.  A task sorts its k-mers in blocks and keeps of each the first ``max_stored_hits`` by (contig,
+    place) and the number of the others, so a frequent k-mer stays small; records go packed to the bucket of
+    their code, where they are sorted together.  ``wanted`` (code) restricts the index to the k-mers that queries ask for, for
+    an index that is used once: up to WANTED codes are broadcast; more are joined with the finished index."""
     if max_stored_hits < 1:
         raise ValueError("max_stored_hits must be positive")
-    dense = kmers.dense_kmers(contigs, k)
+    spark = contigs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = None
     if wanted is not None:
-        dense = dense.join(wanted.select("code").distinct(), "code", "left_semi")
-    totals = dense.groupBy("code").agg(F.count("*").alias("total"))
-    order = Window.partitionBy("code").orderBy("contig_id", "ref_pos")
-    stored = dense.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_stored_hits)
-    hits = stored.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("contig_id", "ref_pos", "is_rc"))).alias("hits"))
-    return totals.join(hits, "code").select("code", "total", (F.col("total") > max_stored_hits).alias("capped"), "hits")
+        codes = wanted.select("code").distinct()
+        some = codes.limit(WANTED + 1).toArrow()["code"]
+        if len(some) <= WANTED:
+            asked = spark.sparkContext.broadcast(np.sort(np.array(some.to_numpy(), np.int64)))
+    schema = "bucket int, hits binary, others binary"
+    packed = kmers.pieces(contigs, k - 1).mapInArrow(_packed(k, max_stored_hits, n, asked), schema)
+    built = packed.repartition(n, "bucket").mapInArrow(_bucket(max_stored_hits), ROW)
+    return built if wanted is None or asked is not None else built.join(codes, "code", "left_semi")
+
+
+def _limited(r: dict[str, np.ndarray], most: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Records sorted by (code, contig, place), the first ``most`` of each code; the codes and their numbers of records."""
+    by = np.lexsort((r["ref_pos"], r["contig_id"], r["code"]))
+    r = {c: v[by] for c, v in r.items()}
+    head = np.flatnonzero(np.append(True, r["code"][1:] != r["code"][:-1])) if len(by) else np.empty(0, np.int64)
+    many = np.diff(np.append(head, len(by)))
+    codes = r["code"][head]
+    if len(many) and many.max() > most:
+        keep = np.arange(len(by)) - np.repeat(head, many) < most
+        r = {c: v[keep] for c, v in r.items()}
+    return r, codes, many
+
+
+def _packed(k: int, most: int, n: int, asked):
+    def rows(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        r, codes, many = _limited({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, most)
+        over = many > most
+        codes, others = codes[over], many[over] - most
+        hits = dict(packs.dealt(_home(r["code"], n), n))
+        rest = dict(packs.dealt(_home(codes, n), n))
+        none = np.empty(0, np.int64)
+        out = [(b, packs.pack(**{c: v[at] for c, v in r.items()}), packs.pack(code=codes[rest.get(b, none)], others=others[rest.get(b, none)])) for b, at in hits.items()]
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "hits", "others"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for i, start, s in zip(batch.column("contig_id").to_pylist(), batch.column("start").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+                code, rc, ok = kmers.codes((s or "").encode(), k)
+                code = code.astype(np.int64)
+                if asked is not None:
+                    ok = ok & _among(code, asked.value)
+                at = np.flatnonzero(ok)
+                if len(at):
+                    parts.append({"code": code[at], "contig_id": np.full(len(at), i, np.int64), "ref_pos": at + start, "is_rc": rc[at].astype(np.uint8)})
+                    held += len(at)
+                if held > BLOCK:
+                    yield rows(parts)
+                    parts, held = [], 0
+        if parts:
+            yield rows(parts)
+
+    return run
+
+
+def _among(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which are in the sorted names."""
+    return names[np.minimum(np.searchsorted(names, x), len(names) - 1)] == x if len(names) else np.zeros(len(x), bool)
+
+
+def _home(code: np.ndarray, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (kmers.splitmix(code.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _bucket(most: int):
+    def run(batches):
+        held: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            for b, hits, others in zip(batch.column("bucket").to_pylist(), batch.column("hits").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                own = held.setdefault(b, ([], []))
+                own[0].append(packs.unpack(hits, **_HITS))
+                own[1].append(packs.unpack(others, code="<i8", others="<i8"))
+        for b in list(held):
+            hits, others = held.pop(b)
+            r, codes, many = _limited({c: np.concatenate([p[c] for p in hits]) for c in _HITS}, most)
+            stored = np.minimum(many, most)
+            for o in others:
+                np.add.at(many, np.searchsorted(codes, o["code"]), o["others"])
+            ends = np.concatenate([[0], np.cumsum(stored)])
+            for i in range(0, len(codes), 20_000):
+                j = min(i + 20_000, len(codes))
+                own = slice(ends[i], ends[j])
+                fields = pa.StructArray.from_arrays([pa.array(r["contig_id"][own]), pa.array(r["ref_pos"][own]), pa.array(r["is_rc"][own].astype(bool))], ["contig_id", "ref_pos", "is_rc"])
+                lists = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), fields)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i:j]), pa.array(many[i:j]), pa.array(many[i:j] > most), lists], names=["code", "total", "capped", "hits"])
+
+    return run
 
 
 def ranked(contigs: DataFrame, k: int = 15) -> DataFrame:

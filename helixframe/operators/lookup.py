@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import dna
+from . import reference
+
 
 def seeds_with_totals(seeds: DataFrame, index: DataFrame) -> DataFrame:
     """Each query seed with total, stored hits and completeness (complete, sampled, absent). No hit list is read."""
@@ -26,8 +29,6 @@ def exact_placements(reads: DataFrame, seeds: DataFrame, index: DataFrame, conti
 
     The first ``tries`` seeds with one place are projected; one that would begin before its contig ends
     the search, one that would end after it is passed over.  Only the reads' own windows of contigs are compared."""
-    from ..functions import dna
-
     one = index.where((F.col("total") == 1) & ~F.col("capped")).select("code", F.element_at("hits", 1).alias("h"))
     met = seeds.join(one, "code").select("read_ord", "query_pos", (F.col("is_rc") != F.col("h.is_rc")).alias("is_rc"), "h.contig_id", "h.ref_pos")
     order = Window.partitionBy("read_ord").orderBy("query_pos")
@@ -37,9 +38,12 @@ def exact_placements(reads: DataFrame, seeds: DataFrame, index: DataFrame, conti
     start = F.when(F.col("is_rc"), F.col("ref_pos") - (n - F.col("query_pos") - k)).otherwise(F.col("ref_pos") - F.col("query_pos"))
     placed = sized.withColumn("ref_start", start.cast("long")).withColumn("ref_end", (F.col("ref_start") + n).cast("long"))
     placed = placed.withColumn("under", F.max((F.col("ref_start") < 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("under = 0")
-    window = F.substring(F.col("ref"), (F.col("ref_start") + 1).cast("int"), n)
     oriented = F.when(F.col("is_rc"), dna.reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))
-    fits = placed.join(contigs.select("contig_id", F.col("sequence").alias("ref")), "contig_id").where((F.col("ref_end") <= F.length("ref")) & (F.upper(window) == F.upper(oriented)))
+    # compared tile by tile of the contig; a tile that lies beyond its end is missing
+    parts = reference.cut_out(placed.withColumn("oriented", F.upper(oriented)), contigs, F.col("ref_start"), F.col("ref_end"))
+    own = F.substring("oriented", (F.col("piece_start") - F.col("ref_start") + 1).cast("int"), F.length("piece"))
+    each = parts.withColumn("same", F.when(F.upper("piece") == own, F.length("piece")).otherwise(F.lit(0)))
+    fits = each.groupBy("read_ord", "rn", "contig_id", "ref_start", "ref_end", "is_rc").agg(F.sum("same").alias("same")).where("same = ref_end - ref_start")
     best = fits.groupBy("read_ord").agg(F.min(F.struct("rn", "contig_id", "ref_start", "ref_end", "is_rc")).alias("b"))
     return best.select("read_ord", "b.contig_id", "b.ref_start", "b.ref_end", "b.is_rc")
 
@@ -71,13 +75,15 @@ def two_ended_loci(reads: DataFrame, looked_up: DataFrame, index: DataFrame, k:
     return flat.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= loci)
 
 
-def seed_votes(hits: DataFrame, most: int = 250, band: int = 2000, least: int = 2) -> DataFrame:
-    """For each read the (contig, strand, diagonal band) that most seeds vote for: where to look for a stretch that no chain explains.
+def seed_votes(hits: DataFrame, k: int, most: int = 250, band: int = 2000, least: int = 2) -> DataFrame:
+    """For each read the (contig, strand, diagonal band) that most hits vote for: where to look for a stretch that no chain explains.
 
-    hits: columns of ``seed_hits``. Ties go to the lowest contig, forward strand and band."""
+    hits: columns of ``seed_hits``, of the seeds in the stretch. Diagonals are divided towards zero. Ties go to the lowest contig,
+    forward strand and band."""
     rc = F.col("q_rc") != F.col("r_rc")
-    diagonal = F.when(rc, F.col("query_pos") + F.col("ref_pos")).otherwise(F.col("ref_pos") - F.col("query_pos"))
-    own = hits.where(~F.col("capped") & (F.col("total") <= most)).groupBy("read_ord", "contig_id", rc.alias("is_rc"), F.floor(diagonal / band).alias("band"))
-    votes = own.agg(F.count_distinct("query_pos").alias("support")).where(F.col("support") >= least)
+    diagonal = dna.diagonal(F.col("query_pos"), F.col("ref_pos"), rc, F.lit(k))
+    zone = F.expr(f"diagonal div {band}") if band > 0 else F.col("diagonal")
+    own = hits.where(~F.col("capped") & (F.col("total") <= most)).select("read_ord", "contig_id", rc.alias("is_rc"), diagonal.alias("diagonal"))
+    votes = own.groupBy("read_ord", "contig_id", "is_rc", zone.alias("band")).agg(F.count("*").alias("support")).where(F.col("support") >= least)
     best = votes.groupBy("read_ord").agg(F.min(F.struct((-F.col("support")).alias("s"), "contig_id", "is_rc", "band")).alias("b"))
     return best.select("read_ord", "b.contig_id", "b.is_rc", "b.band", (-F.col("b.s")).alias("support"))

@@ -1,12 +1,10 @@
-"""Reads to alignments: windows of candidate loci are joined to reads, and each read's loci compete in one Arrow group.
+"""Reads to alignments: a read's candidate loci are searched in turn, compete, and are assembled into records.
 
-A group is one read with at most ``max_regions`` windows of about its own length, so it is bounded;
-contigs are never shipped whole to the kernel."""
+A read meets at most ``max_regions`` windows of about its own length.  Tasks work on many reads together, so that
+what is sequential in one read is one numpy step for all."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,19 +12,20 @@ from pyspark.sql import functions as F
 
 from ..config import Policy
 from ..functions import kmers
-from . import candidates, chain, dp, index, lookup, probes
+from . import candidates, chain, dp, index, local, lookup, mapq, probes, reference
 from . import cigar as cg
 
 ALIGNMENT = (
     "read_ord long, record_type string, contig_id long, ref_start long, ref_end long, query_start int, query_end int, is_rc boolean, "
     "score int, mapq int, cigar array<struct<op:string,len:int>>, edit_distance int"
 )
-_COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+_TURNED = bytes(next((b"TGCA"["ACGT".index(c)] if c in "ACGT" else b"tgca"["acgt".index(c)]) if c in "ACGTacgt" else 78 for c in [chr(k)]) for k in range(256))
+#: Bases of a reference that is sent to every task whole, and reads that a task works on together.
+SMALL, TOGETHER = 4_000_000, 64
 
 
 def reverse_complement(s: bytes) -> bytes:
-    s = s.translate(_COMPLEMENT)[::-1]
-    return bytes(b if b in b"ACGTacgt" else 78 for b in s)
+    return s.translate(_TURNED)[::-1]
 
 
 def fill(query: bytes, ref: bytes, p: Policy) -> cg.Ops:
@@ -34,7 +33,7 @@ def fill(query: bytes, ref: bytes, p: Policy) -> cg.Ops:
     nq, nr = len(query), len(ref)
     if not nq or not nr:
         return [("I", nq), ("D", nr)]
-    if nq == nr and query == ref:
+    if nq == nr and _no_gap_is_better(query, ref, p):
         return [("M", nq)]
     delta = abs(nq - nr)
     for most, slack, band in ((p.small_gap, p.small_delta, delta + 256), (p.medium_gap, p.medium_delta, delta + 32)):
@@ -51,6 +50,16 @@ def fill(query: bytes, ref: bytes, p: Policy) -> cg.Ops:
     return ops
 
 
+def _no_gap_is_better(query: bytes, ref: bytes, p: Policy) -> bool:
+    """Whether no alignment of two equally long sequences scores more than the one without gaps: any other has an insertion, a deletion and a base less."""
+    if query == ref:
+        return True
+    x, y = dp.encode(query), dp.encode(ref)
+    known = (x < 4) & (y < 4)
+    lost = len(x) * p.match - int(np.where(known, np.where(x == y, p.match, -p.mismatch), 0).sum())
+    return lost <= p.match + 2 * cg.gap_cost(1, p)
+
+
 def _common(a: bytes, b: bytes, most: int) -> int:
     x, y = np.frombuffer(a[:most], np.uint8), np.frombuffer(b[:most], np.uint8)
     different = np.flatnonzero(x != y)
@@ -110,34 +119,6 @@ def terminal(query: bytes, ref: bytes, p: Policy, most: int = 2500) -> tuple[cg.
     return cg.normalized([*got.cigar, ("S", len(query) - got.query_end)]), got.ref_end
 
 
-def mapq_minimap2(best: int, second: int | None, span: float, anchors: int, covered: int, competing: int) -> int:
-    span_factor = 1.0 if span >= 0.5 or covered >= 1000 else min(1.0, max(0.1, span / 0.5))
-    anchor_factor = 1.0 if anchors >= 10 or covered >= 200 else min(1.0, max(0.1, anchors / 10))
-    base = 60.0
-    if second is not None:
-        if best <= second:
-            return 0
-        x = min(1.0, max(second, 0) / max(best, 1))
-        base = min(40 * (1 - x * x) * math.log(max(best / 2, 2)), 3.0 * (best - second))
-    if competing > 1:
-        base -= 4.343 * math.log(competing)
-    q = math.floor(min(60.0, max(0.0, base)) * span_factor * anchor_factor + 0.5)
-    return 1 if second is not None and q == 0 else q
-
-
-def mapq_legacy(best: int, second: int | None, coverage: float) -> int:
-    margin = 1.0 if second is None else min(1.0, max(0, best - second) / best) if best > 0 else 0.0
-    return math.floor(60 * margin * min(min(max(coverage, 0.0), 1.0) / 0.8, 1.0) + 0.5)
-
-
-def calibrated(q: int, score: int, edits: int, ops: cg.Ops) -> int:
-    aligned = sum(n for op, n in ops if op in "MID")
-    if q == 0 or score <= 0 or aligned == 0:
-        return 0
-    d = edits / aligned
-    return math.floor(min(60.0, q * ((1 - min(d, 1.0)) / 0.98) ** 2) + 0.5) if d > 0.02 else q
-
-
 def overlap(a0, a1, b0, b1) -> int:
     return max(0, min(a1, b1) - max(a0, b0))
 
@@ -162,76 +143,206 @@ def _to_read(c: chain.Chain, n: int, rc: bool) -> chain.Chain:
     return replace(c, q_start=n - c.q_end, q_end=n - c.q_start) if rc else c
 
 
-def align_read(read: bytes, loci: list[dict], p: Policy) -> list[dict]:
-    """All alignments of one read from the windows of its candidates, best first."""
-    n = len(read)
-    found = []  # (rank score, chain in read coordinates, oriented chain, locus)
-    for locus in loci:
-        own = reverse_complement(read) if locus["is_rc"] else read
-        anchors = chain.find_anchors(own, locus["window"], locus["offset"], p)
-        if p.snp_anchors:
-            anchors = chain.without_contained(chain.over_mismatches(anchors, own, locus["window"], locus["offset"]), p.max_anchors)
-        made = chain.chains(anchors, n, p)
-        for c in list(made):
-            for other in made:
-                if other is not c and not c.bridged and not other.bridged and (both := chain.bridge(c, other, n, p)) is not None and not any(x.bridged and x.covered >= both.covered for x in made):
+class Search:
+    """One read's way through its candidates: what is placed so far, and what was left undone."""
+
+    def __init__(self, read: bytes, loci: list[dict], p: Policy):
+        self.read, self.loci, self.p, self.n = read, loci, p, len(read)
+        self.turned: bytes | None = None
+        self.placed: list[tuple] = []  # rank, chain on the read as it came, chain on the oriented read, locus
+        self.counts = dict.fromkeys(COUNTERS, 0)
+        top = max((x["score"] for x in loci), default=0)
+        budget = min(p.max_candidates, p.max_regions)
+        near = 0
+        while near < min(budget, len(loci)) and loci[near]["score"] >= int(top * p.ambiguity_score):
+            near += 1
+        self.ambiguous = near >= p.ambiguity_count
+        if self.ambiguous:
+            self.counts["ambiguous_stops"] = 1
+            budget = min(budget, p.ambiguity_budget)
+        self.limited = len(loci) >= p.max_regions or len(loci) > budget
+        self.counts["candidates"] = len(loci)
+        self.todo, self.top, self.over = loci[:budget], top, False
+
+    def oriented(self, rc: bool) -> bytes:
+        if rc and self.turned is None:
+            self.turned = reverse_complement(self.read)
+        return self.turned if rc else self.read
+
+    def explains_more(self, locus: dict) -> bool:
+        """Whether the locus covers enough of the read that no placement does."""
+        start, end = locus["q_start"], locus["q_end"]
+        covered = sum(overlap(start, end, x[1].q_start, x[1].q_end) for x in self.placed)
+        return end - start - min(covered, end - start) >= self.p.supplementary_bases
+
+    def satisfied(self) -> tuple[bool, float]:
+        fraction = max((x[1].covered for x in self.placed), default=0) / max(self.n, 1)
+        span = max((x[1].q_end - x[1].q_start for x in self.placed), default=0) / max(self.n, 1)
+        return fraction >= self.p.high_coverage or (span >= 0.85 and fraction >= 0.30), fraction
+
+    def skip(self, why: str) -> None:
+        self.limited = True
+        self.counts[why] += 1
+
+    def wants(self, k: int) -> tuple[dict, bool] | None:
+        """The k-th candidate and whether it is searched in full; None if it is passed over."""
+        p, locus = self.p, self.todo[k]
+        if k >= 2 and self.placed:
+            new = self.explains_more(locus)
+            if self.loci[0]["support"] == "both" and locus["support"] == "internal" and not new:
+                self.skip("internal_skips")
+                return None
+            if locus["score"] < int(self.top * p.competitive_score):
+                if not new:
+                    self.skip("score_breaks")
+                    self.over = True
+                    return None
+                self.counts["split_kept"] += 1
+            if not new and locus["score"] < int(self.top * p.weak_candidate) and self.satisfied()[0]:
+                self.skip("score_breaks")
+                self.over = True
+                return None
+        if k >= p.without_placement and not self.placed:
+            self.skip("no_placement_breaks")
+            self.over = True
+            return None
+        full = p.full_search_score <= 0 or locus["score"] >= int(self.top * p.full_search_score) or (not self.placed and k < p.without_placement)
+        self.counts["full_searches" if full else "sparse_searches"] += 1
+        if not full:
+            self.limited = True
+        return locus, full
+
+    def anchors(self, locus: dict, full: bool) -> np.ndarray:
+        own = self.oriented(locus["is_rc"])
+        found = chain.find_anchors(own, locus["window"], locus["offset"], self.p, sparse=not full)
+        if self.p.snp_anchors:
+            found = chain.without_contained(chain.over_mismatches(found, own, locus["window"], locus["offset"]), self.p.max_anchors)
+        self.counts["anchors"] += len(found)
+        return found
+
+    def too_thin(self, k: int, locus: dict, anchors: np.ndarray) -> bool:
+        """Whether a late candidate's anchors are far fewer than what is placed covers."""
+        if k < 2 or not self.placed or self.explains_more(locus):
+            return False
+        enough, fraction = self.satisfied()
+        if enough and (anchors[:, chain.QUERY_END] - anchors[:, chain.QUERY]).sum() / max(self.n, 1) < fraction * self.p.low_coverage:
+            self.skip("thin_skips")
+            return True
+        return False
+
+    def place(self, made: list[chain.Chain], locus: dict) -> None:
+        made = list(made)
+        strong = [c for c in made if c.covered >= 500]
+        for c in strong:
+            for other in strong:
+                if other is not c and (both := chain.bridge(c, other, self.n, self.p)) is not None and not any(x.bridged and x.covered >= both.covered for x in made):
                     made.append(both)
         made.sort(key=lambda c: (-c.score, -c.covered, c.q_start))
+        self.counts["chains"] += len(made)
         for c in made[:4]:
-            if c.covered >= max(1, min(300, n // 5)):
-                found.append((c.score + locus["bonus"], _to_read(c, n, locus["is_rc"]), c, locus))
-    found.sort(key=lambda x: (-x[0], -x[1].covered, x[1].q_start, x[3]["contig_id"], x[2].ref_start, x[3]["is_rc"]))
-    placed = []
-    for x in found:  # the same place from two windows counts once
-        key = (x[3]["contig_id"], x[3]["is_rc"])
-        if not any(key == (y[3]["contig_id"], y[3]["is_rc"]) and overlap(x[2].ref_start, x[2].ref_end, y[2].ref_start, y[2].ref_end) > 0.9 * (x[2].ref_end - x[2].ref_start) and compete_for_query(x[1], y[1], 0.9) for y in placed):
-            placed.append(x)
-    if not placed:
-        return []
-    limited = len(loci) >= p.max_regions or len(loci) > p.max_candidates
-
-    def record(kind: str, x) -> dict | None:
+            if 5 * c.covered >= self.n or c.covered >= 300:
+                self.placed.append((c.score + locus["bonus"], _to_read(c, self.n, locus["is_rc"]), c, locus))
+
+    def ranked(self) -> list[tuple]:
+        """Placements best first; the same place from two windows counts once."""
+        self.placed.sort(key=lambda x: (-x[0], -x[1].covered, x[1].q_start, x[3]["contig_id"], x[2].ref_start, x[3]["is_rc"]))
+        out: list[tuple] = []
+        for x in self.placed:
+            key = (x[3]["contig_id"], x[3]["is_rc"])
+            if not any(
+                key == (y[3]["contig_id"], y[3]["is_rc"])
+                and overlap(x[2].ref_start, x[2].ref_end, y[2].ref_start, y[2].ref_end) > 0.9 * (x[2].ref_end - x[2].ref_start)
+                and compete_for_query(x[1], y[1], 0.9)
+                for y in out
+            ):
+                out.append(x)
+        return out
+
+    def uncovered(self) -> list[tuple[int, int]]:
+        """Stretches of the read that no placement covers."""
+        at, out = 0, []
+        for start, end in sorted((x[1].q_start, x[1].q_end) for x in self.placed) + [(self.n, self.n)]:
+            if start - at >= self.p.supplementary_bases:
+                out.append((at, start))
+            at = max(at, end)
+        return out
+
+    def record(self, kind: str, x: tuple, placed: list[tuple]) -> dict:
         rank, view, c, locus = x
-        own = reverse_complement(read) if locus["is_rc"] else read
-        start, ops = assemble(c, own, locus["window"], locus["offset"], p)
+        own = self.oriented(locus["is_rc"])
+        start, ops = assemble(c, own, locus["window"], locus["offset"], self.p)
         lead = ops[0][1] if ops and ops[0][0] == "S" else 0
-        score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[lead:], locus["window"][start - locus["offset"] :], p)
-        rivals = [y for y in placed if y is not x and compete_for_query(view, y[1], p.query_overlap)]
-        second = max((y[0] for y in rivals), default=None)
-        near = 1 + sum(y[0] >= 0.6 * rank for y in rivals)
-        span = (c.q_end - c.q_start) / max(n, 1)
-        q = mapq_minimap2(rank, second, span, len(c.anchors), c.covered, near) if p.mapq_mode == "mm2" else mapq_legacy(rank, second, c.covered / max(n, 1))
-        if limited and second is None:
-            q = min(q, p.limited_cap)
-        q = 0 if kind == "secondary" else calibrated(q, score, edits, ops)
+        score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[lead:], locus["window"][start - locus["offset"] :], self.p)
+        rivals = [y[0] for y in placed if y is not x and compete_for_query(view, y[1], self.p.query_overlap)]
         return {
-            "record_type": kind, "contig_id": locus["contig_id"], "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": n, "is_rc": locus["is_rc"],
-            "score": score, "mapq": q, "cigar": [{"op": o, "len": k} for o, k in ops], "edit_distance": edits,
+            "record_type": kind, "contig_id": locus["contig_id"], "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": self.n, "is_rc": locus["is_rc"],
+            "score": score, "cigar": ops, "edit_distance": edits, "rank": rank, "second": max(rivals, default=None), "near": 1 + sum(r >= 0.6 * rank for r in rivals),
+            "span": (c.q_end - c.q_start) / max(self.n, 1), "anchors": len(c.anchors), "covered": c.covered, "limited": self.limited, "ambiguous": self.ambiguous, "whole": None,
         }
 
-    first = placed[0]
-    out = [record("primary", first)]
-    chosen = [first]
-    rest = sorted((x for x in placed[1:] if x[1].covered >= p.supplementary_bases), key=lambda x: (-x[1].covered, -x[1].score, x[1].q_start))
-    for x in rest:
-        clash = any(
-            compete_for_query(y[1], x[1], p.query_overlap) or compete_for_reference(((y[3]["contig_id"], y[3]["is_rc"]), y[2]), ((x[3]["contig_id"], x[3]["is_rc"]), x[2]), p.ref_overlap) for y in chosen
-        )
-        if not clash and len(chosen) <= p.max_supplementary:
-            chosen.append(x)
-            out.append(record("supplementary", x))
-    for x in [x for x in placed[1:] if not any(x is y for y in chosen)]:
-        longer = max(first[1].q_end - first[1].q_start, x[1].q_end - x[1].q_start)
-        if sum(r["record_type"] == "secondary" for r in out) < p.max_secondary and x[0] >= p.secondary_ratio * first[0] and 2 * overlap(first[1].q_start, first[1].q_end, x[1].q_start, x[1].q_end) >= longer:
-            out.append(record("secondary", x))
-    return out
-
-
-def near_exact_mapq(divergence: float, drift: int, frequency: int, p: Policy) -> int:
-    ceiling = max(p.near_exact_divergence, 0.02 + 1e-6)
-    sequence = min(1.0, max(0.0, (ceiling - divergence) / (ceiling - 0.02)))
-    geometry = 1 - 0.5 * min(1.0, drift / max(p.near_exact_drift, 1))
-    return math.floor(min(60.0, 60 * sequence * geometry * (1.0 if frequency <= 1 else 0.85)) + 0.5)
+    def records(self) -> list[dict]:
+        """The primary, then supplementary and secondary alignments."""
+        p, placed = self.p, self.ranked()
+        if not placed:
+            return []
+        first = placed[0]
+        out, chosen = [self.record("primary", first, placed)], [first]
+        for x in sorted((x for x in placed[1:] if x[1].covered >= p.supplementary_bases), key=lambda x: (-x[1].covered, -x[1].score, x[1].q_start)):
+            here = ((x[3]["contig_id"], x[3]["is_rc"]), x[2])
+            clash = any(compete_for_query(y[1], x[1], p.query_overlap) or compete_for_reference(((y[3]["contig_id"], y[3]["is_rc"]), y[2]), here, p.ref_overlap) for y in chosen)
+            if not clash and len(chosen) <= p.max_supplementary:
+                chosen.append(x)
+                out.append(self.record("supplementary", x, placed))
+        left = p.max_secondary
+        for x in [x for x in placed[1:] if not any(x is y for y in chosen)]:
+            longer = max(first[1].q_end - first[1].q_start, x[1].q_end - x[1].q_start)
+            if left > 0 and x[0] >= p.secondary_ratio * first[0] and 2 * overlap(first[1].q_start, first[1].q_end, x[1].q_start, x[1].q_end) >= longer:
+                left -= 1
+                out.append(self.record("secondary", x, placed))
+        self.counts["records"] = len(out)
+        return out
+
+
+#: What a read's search counts.
+COUNTERS = (
+    "candidates", "ambiguous_stops", "internal_skips", "score_breaks", "split_kept", "no_placement_breaks", "full_searches", "sparse_searches", "promotions", "thin_skips", "anchors", "chains", "reseeded",
+    "exact", "near_exact", "records",
+)
+
+
+def run(searches: list[Search], p: Policy) -> None:
+    """The candidates of all reads in turn: the n-th candidates of all reads are chained together."""
+    for k in range(max((len(s.todo) for s in searches), default=0)):
+        jobs = []
+        for s in searches:
+            if not s.over and k < len(s.todo) and (found := s.wants(k)) is not None:
+                locus, full = found
+                anchors = s.anchors(locus, full)
+                if len(anchors) and not s.too_thin(k, locus, anchors):
+                    jobs.append((s, locus, full, anchors))
+        made = _chained(jobs, p)
+        again = []
+        for (s, locus, full, _), chains in zip(jobs, made, strict=True):
+            if not full and chains:  # a sparse search that threatens what is placed is repeated in full
+                best = max((x[0] for x in s.placed), default=None)
+                if (5 * chains[0].covered >= s.n or chains[0].covered >= 300) and (best is None or chains[0].score + locus["bonus"] >= best):
+                    s.counts["promotions"] += 1
+                    again.append((s, locus, True, s.anchors(locus, True)))
+                    continue
+            s.place(chains, locus)
+        for (s, locus, _, _), chains in zip(again, _chained(again, p), strict=True):
+            s.place(chains, locus)
+
+
+def _chained(jobs: list[tuple], p: Policy) -> list[list[chain.Chain]]:
+    return chain.chains_of_many([a for *_, a in jobs], [s.n for s, *_ in jobs], p, best=4, covered=500)
+
+
+def align_read(read: bytes, loci: list[dict], p: Policy) -> list[dict]:
+    """All records of one read from the windows of its candidates, best first, as ``Search.record`` has them; operations as dictionaries."""
+    s = Search(read, [{"q_start": 0, "q_end": len(read), "support": "internal", "score": 0} | x for x in loci], p)
+    run([s], p)
+    return [r | {"cigar": [{"op": o, "len": n} for o, n in r["cigar"]]} for r in s.records()]
 
 
 def whole_read(read: bytes, locus: dict, p: Policy) -> dict | None:
@@ -241,54 +352,215 @@ def whole_read(read: bytes, locus: dict, p: Policy) -> dict | None:
     own = reverse_complement(read) if locus["is_rc"] else read
     if locus["drift"] > p.near_exact_drift:
         return None
-    got = dp.align_banded(own, locus["window"], locus["drift"] + 64, p)
+    got = dp.align_banded(own, locus["window"], locus["drift"] + p.near_exact_slack, p)
     if isinstance(got, str) or got.edits > p.near_exact_divergence * len(read):
         return None
     ops = cg.left_aligned(cg.merged_gaps(got.cigar, own, locus["window"], p), own, locus["window"])
     ops, start = cg.clean_edges(ops, 0)
     score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[ops[0][1] if ops[0][0] == "S" else 0 :], locus["window"][start:], p)
+    return _whole(read, locus["contig_id"], locus["is_rc"], locus["offset"] + start, ops, score, edits) | {"whole": (edits / max(1, len(read)), locus["drift"], locus["frequency"])}
+
+
+def _whole(read: bytes, contig: int, rc: bool, start: int, ops: cg.Ops, score: int, edits: int) -> dict:
+    """The one record of a read that needed no search."""
     return {
-        "record_type": "primary", "contig_id": locus["contig_id"], "ref_start": locus["offset"] + start, "ref_end": locus["offset"] + start + cg.ref_length(ops), "query_start": 0, "query_end": len(read),
-        "is_rc": locus["is_rc"], "score": score, "mapq": near_exact_mapq(edits / max(1, len(read)), locus["drift"], locus["frequency"], p), "cigar": [{"op": o, "len": k} for o, k in ops], "edit_distance": edits,
+        "record_type": "primary", "contig_id": contig, "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": len(read), "is_rc": rc, "score": score, "cigar": ops,
+        "edit_distance": edits, "rank": None, "second": None, "near": 1, "span": 1.0, "anchors": 1, "covered": len(read), "limited": False, "ambiguous": False, "whole": None,
     }
 
 
+RAW = (
+    "read_ord long, record_type string, contig_id long, ref_start long, ref_end long, query_start int, query_end int, is_rc boolean, score int, cigar array<struct<op:string,len:int>>, edit_distance int, "
+    "rank int, second int, near int, span double, anchors int, covered int, limited boolean, ambiguous boolean, divergence double, drift int, frequency int"
+)
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<struct<op:string,len:int>>": pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))}
+
+
+def _raw(found: list[tuple[int, dict]]) -> pa.RecordBatch:
+    """Records of reads as a batch of RAW."""
+    rows = [r | {"read_ord": k} | dict(zip(("divergence", "drift", "frequency"), r["whole"] or (None, None, None), strict=True)) for k, r in found]
+    names, arrays = [], []
+    for field in RAW.split(", "):
+        name, kind = field.split(" ")
+        names.append(name)
+        if name == "cigar":
+            ops = [o for r in rows for o in r["cigar"]]
+            ends = np.cumsum([0] + [len(r["cigar"]) for r in rows]).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array([o for o, _ in ops], pa.string()), pa.array([n for _, n in ops], pa.int32())], ["op", "len"])
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+        else:
+            arrays.append(pa.array([r[name] for r in rows], _KINDS[kind]))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def judged(raw: DataFrame, p: Policy) -> DataFrame:
+    """ALIGNMENT of RAW: the confidence of each record (``mapq``)."""
+    c, aligned = F.col, F.aggregate("cigar", F.lit(0), lambda s, o: s + F.when(o["op"] == "S", 0).otherwise(o["len"]))
+    rank, second = c("rank"), c("second")
+    if p.mapq_mode == "mm2":
+        q = mapq.minimap2(rank, second, c("span"), c("anchors"), c("covered"), c("near"))
+    else:
+        q = mapq.legacy(rank, second, c("covered") / F.greatest(c("query_end"), F.lit(1)))
+    capped = mapq.calibrated(mapq.capped(q, c("limited"), second.isNotNull(), c("ambiguous"), p.limited_cap, p.ambiguity_cap), c("score"), c("edit_distance"), aligned)
+    near = mapq.near_exact(c("divergence"), c("drift"), c("frequency"), p.near_exact_divergence, p.near_exact_drift)
+    final = F.when(c("record_type") == "secondary", F.lit(0)).when(c("drift").isNotNull(), near).when(rank.isNull(), F.lit(60)).otherwise(capped)
+    return raw.withColumn("mapq", final.cast("int")).select(*(f.split(" ")[0] for f in ALIGNMENT.split(", ")))
+
+
 def windows(reads: DataFrame, found: DataFrame, contigs: DataFrame, p: Policy) -> DataFrame:
-    """Each candidate with the window of its contig that the whole read could lie on."""
+    """Each candidate with the window of its contig that the whole read could lie on, in pieces: a row for every tile of the contig."""
     n = F.length("sequence")
     flank = F.least(F.lit(p.flank), n)
     before = F.when(F.col("is_rc"), n - F.col("q_end")).otherwise(F.col("q_start"))
     after = F.when(F.col("is_rc"), F.col("q_start")).otherwise(n - F.col("q_end"))
-    placed = found.select("read_ord", "contig_id", "is_rc", "q_start", "q_end", "ref_start", "ref_end", "endpoint_support", "rank").join(reads.select("read_ord", "sequence"), "read_ord")
-    start = F.greatest(F.lit(0), F.col("ref_start") - before - flank).cast("long")
-    sized = placed.withColumn("offset", start).withColumn("size", (F.col("ref_end") + after + flank - F.col("offset")).cast("int"))
-    joined = sized.join(contigs.select("contig_id", F.col("sequence").alias("contig")), "contig_id")
-    window = F.substring(F.col("contig"), (F.col("offset") + 1).cast("int"), F.col("size"))
-    return joined.select("read_ord", "sequence", "contig_id", "is_rc", "offset", window.alias("window"), candidates.endpoint_bonus(F.col("endpoint_support"), n).cast("int").alias("bonus"), "rank")
+    about = ["read_ord", "contig_id", "is_rc", "q_start", "q_end", "ref_start", "ref_end", "endpoint_support", "score", "rank"]
+    placed = found.select(*about).join(reads.select("read_ord", "sequence"), "read_ord")
+    placed = placed.withColumn("offset", F.greatest(F.lit(0), F.col("ref_start") - before - flank).cast("long"))
+    parts = reference.cut_out(placed.withColumn("bonus", candidates.endpoint_bonus(F.col("endpoint_support"), n).cast("int")), contigs, F.col("offset"), F.col("ref_end") + after + flank)
+    # the read's own bases travel with its first piece only
+    first = (F.col("rank") == 1) & (F.col("piece_start") == F.col("offset"))
+    return parts.select("read_ord", "rank", "tile", "contig_id", "is_rc", "q_start", "q_end", "offset", "endpoint_support", "score", "bonus", "piece", F.when(first, F.col("sequence")).alias("sequence"))
+
+
+def _searches(batches, p: Policy):
+    """Reads with the windows of their candidates, from rows of ``windows`` sorted by read, rank and tile; TOGETHER at a time."""
+    out, read, rows = [], None, []
+
+    def search():
+        sequence = next(r["sequence"] for r in rows if r["sequence"] is not None).encode()
+        loci: list[dict] = []
+        for r in rows:
+            if not loci or loci[-1]["rank"] != r["rank"]:
+                loci.append(r | {"window": b"", "support": r["endpoint_support"]})
+            loci[-1]["window"] += r["piece"].encode()
+        return read, Search(sequence, loci, p)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["read_ord"] != read:
+                if rows:
+                    out.append(search())
+                    if len(out) == TOGETHER:
+                        yield out
+                        out = []
+                read, rows = r["read_ord"], []
+            rows.append(r)
+    if rows:
+        out.append(search())
+    if out:
+        yield out
 
 
 def align(reads: DataFrame, found: DataFrame, contigs: DataFrame, p: Policy) -> DataFrame:
-    """Alignments (columns of ALIGNMENT) of reads on their candidates."""
-    out = pa.schema([
-        ("read_ord", pa.int64()), ("record_type", pa.string()), ("contig_id", pa.int64()), ("ref_start", pa.int64()), ("ref_end", pa.int64()), ("query_start", pa.int32()), ("query_end", pa.int32()),
-        ("is_rc", pa.bool_()), ("score", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("edit_distance", pa.int32()),
-    ])
-
-    def one(table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["rank"])
-        read = rows[0]["sequence"].encode()
-        loci = [{"contig_id": r["contig_id"], "is_rc": r["is_rc"], "offset": r["offset"], "window": r["window"].encode(), "bonus": r["bonus"]} for r in rows]
-        return pa.Table.from_pylist([{"read_ord": rows[0]["read_ord"], **a} for a in align_read(read, loci, p)], schema=out)
-
-    return windows(reads, found, contigs, p).groupBy("read_ord").applyInArrow(one, ALIGNMENT)
+    """Alignments (columns of ALIGNMENT) of reads on their candidates. Many reads of a task are worked on together."""
+
+    def kernel(batches):
+        for some in _searches(batches, p):
+            run([s for _, s in some], p)
+            yield _raw([(k, r) for k, s in some for r in s.records()])
+
+    n = max(1, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = windows(reads, found, contigs, p).repartition(n, "read_ord").sortWithinPartitions("read_ord", "rank", "tile")
+    return judged(rows.mapInArrow(kernel, RAW), p)
+
+
+def local_search(read: bytes, table: local.SeedTable, p: Policy) -> tuple[dict | None, Search | None, local.Seeds]:
+    """A read's one record if it needs no search, else its candidates."""
+    seeds = local.seeds_of(read, table, p)
+    turned = reverse_complement(read)
+    exact = local.exact_place(read, turned, table, seeds, p)
+    if exact is not None:
+        ops = [("M", len(read))]
+        own = turned if exact["is_rc"] else read
+        score, edits = cg.metrics(ops, own, table.contigs[exact["contig_id"]][exact["ref_start"] :], p)
+        return _whole(read, exact["contig_id"], exact["is_rc"], exact["ref_start"], ops, score, edits) | {"how": "exact"}, None, seeds
+    loci = None
+    if p.near_exact:
+        ended = local.two_ended(len(read), table, seeds, p)
+        if len(ended) == 1:
+            [locus] = ended
+            contig = table.contigs[locus["contig_id"]]
+            found = whole_read(read, locus | {"offset": locus["ref_start"], "window": contig[locus["ref_start"] : locus["ref_end"]]}, p)
+            if found is not None:
+                return found | {"how": "near_exact"}, None, seeds
+            loci = [{"contig_id": locus["contig_id"], "is_rc": locus["is_rc"], "q_start": 0, "q_end": len(read), "ref_start": locus["ref_start"], "ref_end": locus["ref_end"], "support": "both", "bonus": 250, "score": len(read)}]
+    if loci is None:
+        rows = local.probes_of(len(read), seeds, p)
+        loci = local.candidates_of(len(read), local.hits_of(rows, table, seeds, p), p)
+    return None, Search(read, [local.window_of(c, len(read), table.contigs[c["contig_id"]], p) for c in loci], p), seeds
+
+
+def _local(table, p: Policy, counted: bool):
+    """Reads against a small reference, from their seeds to their records; or what each read's search counted."""
+
+    def kernel(batches):
+        for batch in batches:
+            reads = list(zip(batch.column("read_ord").to_pylist(), batch.column("sequence").to_pylist(), strict=True))
+            for at in range(0, len(reads), TOGETHER):
+                done, some, counts = [], [], {}
+                for k, sequence in reads[at : at + TOGETHER]:
+                    record, search, seeds = local_search((sequence or "").encode().upper(), table.value, p)
+                    if record is not None:
+                        done.append((k, record))
+                        counts[k] = dict.fromkeys(COUNTERS, 0) | {record["how"]: 1, "records": 1}
+                    else:
+                        some.append((k, search, seeds))
+                run([s for _, s, _ in some], p)
+                if p.reseed:
+                    for _, s, seeds in some:
+                        s.todo, s.over = local.voted(seeds, table.value, s.uncovered(), p) if s.placed else [], False
+                        s.counts["reseeded"] = len(s.todo)
+                    run([s for _, s, _ in some if s.todo], p)
+                done += [(k, r) for k, s, _ in some for r in s.records()]
+                counts |= {k: s.counts for k, s, _ in some}
+                if counted:
+                    own = sorted(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array([counts[k][c] for k in own], pa.int32()) for c in COUNTERS)], names=["read_ord", *COUNTERS])
+                elif done:
+                    yield _raw(sorted(done, key=lambda x: x[0]))
+
+    return kernel
+
+
+def small_table(contigs: DataFrame, p: Policy):
+    """The reference as a broadcast if it has at most SMALL bases, else None."""
+    size = contigs.agg(F.coalesce(F.sum(F.length("sequence").cast("long")), F.lit(0))).first()[0]
+    if size > SMALL:
+        return None
+    rows = contigs.select("contig_id", "sequence").toArrow()
+    return contigs.sparkSession.sparkContext.broadcast(local.seed_table(list(zip(rows["contig_id"].to_pylist(), rows["sequence"].to_pylist(), strict=True)), p))
 
 
 def map_reads(reads: DataFrame, contigs: DataFrame, p: Policy, seed_index: DataFrame | None = None) -> DataFrame:
-    """Reads to alignments; ``seed_index`` may be one that was built and stored before."""
+    """Reads to alignments; ``seed_index`` may be one that was built and stored before.
+
+    A reference of at most SMALL bases (which is checked) goes to every task, and a read is mapped where it is; a larger
+    one is joined: seeds with the index, candidates with tiles of the contigs.  Both give the same alignments (``near_exact`` and
+    ``reseed`` are only there for small references)."""
+    table = small_table(contigs, p) if seed_index is None else None
+    if table is not None:
+        return judged(reads.select("read_ord", "sequence").mapInArrow(_local(table, p, False), RAW), p)
+    if p.near_exact or p.reseed:
+        raise ValueError(f"near_exact and reseed need a reference of at most {SMALL} bases")
+    reads = reads.withColumn("sequence", F.upper("sequence"))
     seeds = kmers.query_minimizers(reads, p.k, p.window)
     built = seed_index if seed_index is not None else index.build(contigs, p.k, p.max_stored_hits, seeds)
     looked = lookup.seeds_with_totals(seeds, built)
-    found = candidates.find(reads, probes.read_probes(reads, looked, p), built, p)
-    return align(reads, found, contigs, p)
-
-
+    exact = lookup.exact_placements(reads, seeds, built, contigs, p.k)
+    rest = reads.join(exact.select("read_ord"), "read_ord", "left_anti")
+    found = candidates.find(rest, probes.read_probes(rest, looked.join(exact.select("read_ord"), "read_ord", "left_anti"), p), built, p)
+    known = exact.join(reads.select("read_ord", "sequence"), "read_ord").withColumn("n", F.length("sequence"))
+    score = p.match * F.length(F.regexp_replace("sequence", "[^ACGT]", ""))
+    whole = known.select(
+        "read_ord", F.lit("primary").alias("record_type"), "contig_id", "ref_start", "ref_end", F.lit(0).alias("query_start"), F.col("n").alias("query_end"), "is_rc", score.cast("int").alias("score"),
+        F.lit(60).alias("mapq"), F.array(F.struct(F.lit("M").alias("op"), F.col("n").alias("len"))).alias("cigar"), F.lit(0).alias("edit_distance"),
+    )
+    return whole.unionByName(align(rest, found, contigs, p))
+
+
+def diagnostics(reads: DataFrame, contigs: DataFrame, p: Policy) -> DataFrame:
+    """For each read what its search did (COUNTERS); of a small reference."""
+    table = small_table(contigs, p)
+    if table is None:
+        raise ValueError(f"diagnostics need a reference of at most {SMALL} bases")
+    return reads.select("read_ord", "sequence").mapInArrow(_local(table, p, True), "read_ord long, " + ", ".join(f"{c} int" for c in COUNTERS))

@@ -189,10 +189,15 @@ pr as (select a.read_ord, a.contig_id, a.is_rc, a.q as q1, a.r as r1, b.q as q2,
 bd as (select *, abs(far - (q2 - q1)) as drift, floor(case when is_rc then q1 + r1 else r1 - q1 end / 2000.0)::bigint as band from pr where far > 0 and abs(far - (q2 - q1)) <= 1000),
 bs as (select read_ord, contig_id, is_rc, band, min(struct_pack(drift := drift, q1 := q1, r1 := r1, q2 := q2, r2 := r2)) as b from bd group by all)
 """, "select * from (select read_ord, contig_id, is_rc, band, b.drift as drift, b.q1 as q1, b.r1 as r1, b.q2 as q2, b.r2 as r2, row_number() over (partition by read_ord order by b.drift, contig_id, is_rc, band) as rank from bs) where rank <= 8"),
-    "a7_seed_votes": sql(LOOKUP + """,
-v as (select q.read_ord, r.contig_id, q.is_rc <> r.is_rc as is_rc, floor(case when q.is_rc <> r.is_rc then query_pos + ref_pos else ref_pos - query_pos end / 2000.0)::bigint as band, count(distinct query_pos) as support
-  from qseeds q join ranked r using (kmer) where off < 128 and total <= 250 group by all having count(distinct query_pos) >= 2)
-""", "select read_ord, contig_id, is_rc, band, support from (select *, row_number() over (partition by read_ord order by support desc, contig_id, is_rc, band) as k from v) where k = 1"),
+    "a7_seed_votes": sql(
+        LOOKUP
+        + """,
+d as (select q.read_ord, r.contig_id, q.is_rc <> r.is_rc as is_rc, case when q.is_rc <> r.is_rc then query_pos + ref_pos + 14 else query_pos - ref_pos end as diagonal
+  from qseeds q join ranked r using (kmer) where off < 128 and total <= 250),
+v as (select read_ord, contig_id, is_rc, (sign(diagonal) * (abs(diagonal) // 2000))::bigint as band, count(*) as support from d group by all having count(*) >= 2)
+""",
+        "select read_ord, contig_id, is_rc, band, support from (select *, row_number() over (partition by read_ord order by support desc, contig_id, is_rc, band) as k from v) where k = 1",
+    ),
     "c21_cigar_lengths": "with o as (select l_orderkey, l_linenumber, [l_partkey, l_suppkey, l_linenumber] as c from lineitem) select l_orderkey, l_linenumber, list_aggregate(list_transform(c, lambda x: (x % 40 + 1)::varchar || case x % 3 when 0 then 'M' when 1 then 'I' else 'D' end), 'string_agg', '') as cigar, list_sum(list_transform(c, lambda x: case when x % 3 in (0, 1) then x % 40 + 1 else 0 end))::int as query_length, list_sum(list_transform(c, lambda x: case when x % 3 in (0, 2) then x % 40 + 1 else 0 end))::int as ref_length from o",
     "st_event_sessions": "with l as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events), m as (select *, sum(case when gap is null or gap >= interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from l) select user_id, min(ts) as start, max(ts) + interval 30 minutes as \"end\", count(*) as n from m group by user_id, s",
     "b4_indel_kinds": "select a.p_partkey, case when a.p_brand = b.p_brand and a.p_type = b.p_type then 'same' when sign(length(a.p_type) - length(a.p_brand)) <> sign(length(b.p_type) - length(b.p_brand)) then 'direction' when length(a.p_type) - length(a.p_brand) <> length(b.p_type) - length(b.p_brand) then 'length' else 'spelling' end as kind from part a join part b on b.p_partkey = a.p_partkey + 1",

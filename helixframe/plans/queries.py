@@ -209,7 +209,7 @@ def j8_two_ended_loci(spark, d):
 
 
 def a7_seed_votes(spark, d):
-    return lookup.seed_votes(lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits))
+    return lookup.seed_votes(lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits), P.k)
 
 
 def c21_cigar_lengths(spark, d):

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixframe.config import policy
 from helixframe.functions import kmers
-from helixframe.operators import chain, dp, mapper
+from helixframe.operators import chain, dp, local, mapper, mapq
 from helixframe.operators import cigar as cg
 
 from .dna_helpers import lcg32, pseudo_dna, rc
@@ -104,12 +105,14 @@ def test_cigar_passes():
     assert cg.metrics([("M", 4)], b"ACNT", b"ACNA", P) == (0, 1)
 
 
-def test_confidence_fixtures():
+def test_confidence_fixtures(spark):
     cases = [((10000, None, 0.95, 20, 500, 0), 60), ((10000, None, 1, 20, 500, 10), 50), ((15000, 13500, 1, 50, 1000, 1), 60), ((15000, 14980, 1, 50, 1000, 1), None), ((15000, 14500, 1, 50, 1000, 1), 23), ((100, 80, 1, 10, 100, 1), 56), ((100, 95, 1, 10, 100, 1), 15), ((100, 100, 1, 10, 100, 1), 0), ((15000, 14999, 1, 50, 1000, 1), 1)]
-    for args, want in cases:
-        if want is not None:
-            assert mapper.mapq_minimap2(*args) == want, args
-    assert [mapper.mapq_legacy(100, None, c) for c in (1, 0.8, 0.4)] == [60, 60, 30] and mapper.mapq_legacy(100, 99, 1) == 1
+    cases = [(*args[:2], float(args[2]), *args[3:], want) for args, want in cases if want is not None]
+    rows = spark.createDataFrame(cases, "best int, second int, span double, anchors int, covered int, near int, want int")
+    got = rows.select(mapq.minimap2(*(F.col(c) for c in ("best", "second", "span", "anchors", "covered", "near"))).alias("q"), "want").collect()
+    assert [r.q for r in got] == [r.want for r in got]
+    old = spark.createDataFrame([(100, None, 1.0, 60), (100, None, 0.8, 60), (100, None, 0.4, 30), (100, 99, 1.0, 1)], "best int, second int, share double, want int")
+    assert all(r.q == r.want for r in old.select(mapq.legacy(F.col("best"), F.col("second"), F.col("share")).alias("q"), "want").collect())
 
 
 def locus(ref: str, is_rc=False):
@@ -154,7 +157,7 @@ def test_minimizers():
 
 
 @pytest.mark.parametrize("turn", [False, True])
-def test_whole_read_in_a_band(turn):
+def test_whole_read_in_a_band(spark, turn):
     ref = lcg32(6000, 345)
     read = list(ref[200:3200])
     for k in range(50, 2950, 300):
@@ -162,7 +165,10 @@ def test_whole_read_in_a_band(turn):
     read = "".join(read[:1500] + read[1510:])
     locus_ = {"contig_id": 3, "is_rc": turn, "offset": 200, "window": ref[200:3200].encode(), "drift": 10, "frequency": 1}
     got = mapper.whole_read((rc(read) if turn else read).encode(), locus_, P)
-    assert got["ref_start"] == 200 and got["ref_end"] == 3200 and got["edit_distance"] == 20 and got["mapq"] == 59
+    assert got["ref_start"] == 200 and got["ref_end"] == 3200 and got["edit_distance"] == 20
+    raw = mapper._raw([(0, got)])
+    [row] = mapper.judged(spark.range(1).mapInArrow(lambda batches: (raw for _ in batches), mapper.RAW), P).limit(1).collect()
+    assert row.mapq == 59
     assert mapper.whole_read(lcg32(3000, 8).encode(), locus_, P) is None
     assert mapper.whole_read(read.encode(), locus_ | {"drift": 300}, P) is None
 
