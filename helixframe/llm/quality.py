@@ -6,7 +6,8 @@ the one before it, and byte 4-grams of the lower-cased text; the value of a kind
 Two heads: quality (label 1) and toxicity (label 1).  For toxicity the presence of a word, of its first four and of
 its first five bytes, and of a pair of words counts, since one word can decide, and each has three slots of a larger
 table, so that a shared slot alone does not make it toxic.  Slots found in fewer than LEAST training rows, or whose
-log-likelihood ratio against the label is under GAIN (so that rare slots do not pass by chance), have no weight, and values are scaled by the slot's log-odds between the
+log-likelihood ratio against the label is under GAIN (so that rare slots do not pass by chance) or not among the MOST
+highest, have no weight, and values are scaled by the slot's log-odds between the
 classes before the fit.
 
 Heads are trained by full-batch gradient descent on a bounded sample of labelled rows: TRAIN_ROWS labels with the
@@ -41,7 +42,7 @@ TOXIC_SLOTS = 1 << 20
 TRAIN_ROWS, TRAIN_BYTES = 8000, 20_000
 #: Tasks that make the sample's features.
 SAMPLE_PARTS = 16
-LEAST, GAIN = 5, 28.0
+LEAST, GAIN, MOST = 5, 28.0, 4096
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -163,6 +164,8 @@ class Found:
             for times, rows in ((k, seen), (margin - k, n - seen)):
                 gain += 2 * times * np.log(np.maximum(times, 1) * n / np.maximum(rows * float(margin), 1))
         good = (seen >= min(LEAST, max(1, n // 20))) & (gain >= min(GAIN, n / 4))
+        if good.sum() > MOST:
+            good &= gain >= np.partition(gain[good], -MOST)[-MOST]
         return good if good.any() else yes + no > 0
 
 
@@ -312,14 +315,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     label_of = [np.array([r[k] for r in label_rows]) for k in (0, 1)]
     held = np.arange(len(label_rows)) % 5 == 4
     totals = [np.zeros((2, s), np.int64) for s in SIZES]
-    for r in texts.mapInArrow(_counted(label_of, held), "quality binary, toxic binary").toLocalIterator():  # SAMPLE_PARTS rows
+    for r in texts.mapInArrow(_counted(label_of, held), "quality binary, toxic binary").collect():  # SAMPLE_PARTS rows
         for to, name in zip(totals, ("quality", "toxic"), strict=True):
             to += np.frombuffer(pa.decompress(r[name], decompressed_size=to.size * 4, codec="zstd", asbytes=True), np.int32).reshape(to.shape)
     two = [len(np.unique(label[~held])) == 2 for label in label_of]
     found = [Found(t[1], t[0], int((label[~held] == 1).sum()), int((label[~held] == 0).sum())) for t, label in zip(totals, label_of, strict=True)]
     good = [x.good() if ok else np.zeros(s, bool) for x, ok, s in zip(found, two, SIZES, strict=True)]
     parts: tuple[list, list] = ([], [])
-    for r in texts.mapInArrow(_entries(good), "quality binary, toxic binary").toLocalIterator():
+    for r in texts.mapInArrow(_entries(good), "quality binary, toxic binary").collect():
         for to, name in zip(parts, ("quality", "toxic"), strict=True):
             to.append(C.unpack(r[name], row="<i4", slot="<i4", value="<f4"))
     C.forget(texts)
@@ -330,8 +333,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
             continue
         f = C.joined(own)
         own.clear()
-        by = np.lexsort((f["slot"], f["row"]))  # the same sums whatever the order of tasks
-        heads.append(fit((f["row"][by], f["slot"][by], f["value"][by]), x, label, held, slots, what))
+        heads.append(fit((f["row"], f["slot"], f["value"]), x, label, held, slots, what))
+        del f
     return Model(*heads)
 
 
