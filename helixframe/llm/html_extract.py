@@ -271,7 +271,7 @@ def _parse(batches):
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Each row of pages (page_id, url, html) with its elements and blocks: PARSED, written once."""
-    return C.cut(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED), "parsed")
+    return C.cut(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED), "parsed", "zstd")
 
 
 def node_ids(host: np.ndarray, path: np.ndarray) -> np.ndarray:
@@ -437,9 +437,12 @@ def style_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Also all counts, and the hosts with their different pages (MIN_PAGES at least, as for the tree)."""
     n = C.partitions(rows.sparkSession)
-    first = rows.groupBy("host", "same").agg(F.min("uid").alias("uid"), F.count("*").alias("m")).where("m > 1")
-    copies = rows.select("host", "same", "uid").join(first.select("host", "same", F.col("uid").alias("kept")), ["host", "same"]).where("uid <> kept").select("uid")
-    tally = C.cut(rows.join(copies, "uid", "left_anti").select("host", "nodes", "texts", "places").withColumn("kinds", F.col("places")).mapInArrow(_tally(n), TALLY), "tally")
+    first = rows.groupBy("host", "same").agg(F.min("uid").alias("kept"), F.count("*").alias("m")).where("m > 1")
+    copies = C.join_each(rows.select("host", "same", "uid"), first, ["host", "same"], rows.count(), "m").where("uid <> kept").select("uid")
+    copies = C.cut(copies, "copies")
+    if copies.limit(BROADCAST + 1).count() <= BROADCAST:  # else pages are shuffled for them
+        copies = F.broadcast(copies)
+    tally = C.cut(rows.join(copies, "uid", "left_anti").select("host", "nodes", "texts", "places").withColumn("kinds", F.col("places")).mapInArrow(_tally(n), TALLY), "tally", "zstd")
     hosts = tally.where(f"kind = {HOST}").groupBy(F.col("a").alias("host")).agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_PAGES)
     elements = tally.where(f"kind = {ELEMENT}").groupBy(F.col("a").alias("node")).agg(
         F.min("b").alias("parent"), F.min("c").alias("host"), F.sum("n").alias("pages"), F.max("flag").alias("holds")
