@@ -36,7 +36,9 @@ from . import common as C
 
 WINDOW, LEAST, LITERAL, COVER = 8, 5, 4, 0.5
 #: Bits of the filter for each window of the benchmark, and the most it has (32 MB); beyond that more windows pass it, and none is lost.
-FILTER_BITS, FILTER_MOST = 16, 1 << 28
+FILTER_BITS, FILTER_MOST = 32, 1 << 28
+#: Bits that a window sets: one in 40,000 other windows passes.
+FILTER_SETS = 6
 
 # Words for units and for numbers, in English, German, French and Spanish.
 UNITS = (
@@ -188,22 +190,29 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """A Bloom filter with one hash: a bit for the low bits of each window's hash; and the windows' sizes."""
+    """A Bloom filter of the windows' hashes (steps from the low bits by the high ones), and the windows' sizes."""
 
     bits: np.ndarray
     sizes: list[tuple[int, bool]]
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        at = h & (len(self.bits) * 64 - 1)
-        return (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & C.U64(1) == 1
+        """Places of the hashes that pass."""
+        mask = len(self.bits) * 64 - 1
+        left, first, step = np.arange(len(h)), h & mask, ((h >> 32) | 1) & mask
+        for k in range(FILTER_SETS):
+            at = (first + k * step) & mask
+            ok = (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & C.U64(1) == 1
+            left, first, step = left[ok], first[ok], step[ok]
+        return left
 
 
 def window_filter(table: DataFrame) -> Filter:
     """Built by executors: words of 64 bits, of which at most FILTER_MOST / 64 reach the driver."""
     n = table.count()
     size = min(FILTER_MOST, 1 << max(10, int(n * FILTER_BITS).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit(size - 1))
-    words = table.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    low, step = F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftright("h", 32).bitwiseOR(F.lit(1)).bitwiseAND(F.lit(size - 1))
+    places = table.select(F.explode(F.array(*((low + k * step).bitwiseAND(F.lit(size - 1)) for k in range(FILTER_SETS)))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.uint64)
     bits[C.longs(words["word"].combine_chunks())] = C.longs(words["bits"].combine_chunks()).astype(np.uint64)
     return Filter(bits, sorted((r.size, r.exact) for r in table.select("size", "exact").distinct().collect()))
@@ -227,7 +236,7 @@ def _passing(shared):
                 for size, exact in keep.sizes:
                     h, first, own = windows(t, size, exact)
                     h = _mixed(h, size, exact)
-                    hit = np.flatnonzero(keep.passes(h))
+                    hit = keep.passes(h)
                     for k, x, y, r in zip(h[hit].tolist(), first[hit].tolist(), t.at[own[hit]].tolist(), own[hit].tolist(), strict=True):
                         same = (t.value if exact else t.token)[x : x + size].tobytes()
                         held[r].append((k, x - y, same, t.value[x : x + size].tobytes(), t.kind[x : x + size].tobytes()))
