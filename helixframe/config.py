@@ -67,6 +67,18 @@ class Policy:
     near_exact_drift: int = 256
     near_exact_slack: int = 64
     near_exact_divergence: float = 0.10
+    anchor_stages: bool = False
+    paired_emms: bool = False
+    emms_mismatch: int = 1
+    emms_relock: int = 24
+    rarest_first: bool = False
+    overlap_flank: int = 0
+    overlap_flank_min: int = 0
+    dissolve_run: int = 2
+    polish: int = 256
+    phase_repair: bool = True
+    divergent_window: int = 16
+    island_depth: int = 8
     small_gap: int = 1024
     small_delta: int = 256
     medium_gap: int = 2048
@@ -78,9 +90,9 @@ class Policy:
 
 
 _MODES = {
-    "fast": {"max_total_hits": 4000, "max_regions": 8, "max_candidates": 4, "max_anchors": 256, "max_iter": 64},
+    "fast": {"max_total_hits": 4000, "max_regions": 8, "max_candidates": 4, "max_anchors": 256, "max_iter": 64, "dissolve_run": 0},
     "standard": {},
-    "sensitive": {"max_regions": 32, "max_candidates": 32, "max_anchors": 1024, "medium_gap": 4096, "medium_delta": 1024, "limited_cap": 60},
+    "sensitive": {"max_regions": 32, "max_candidates": 32, "max_anchors": 1024, "medium_gap": 4096, "medium_delta": 1024, "limited_cap": 60, "dissolve_run": 4},
 }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Policy
 from ..functions import kmers
-from . import candidates, chain, dp, index, local, lookup, mapq, probes, reference
+from . import anchors, candidates, chain, dp, index, local, lookup, mapq, probes, reference, rewrite
 from . import cigar as cg
 
 ALIGNMENT = (
@@ -28,26 +28,48 @@ def reverse_complement(s: bytes) -> bytes:
     return s.translate(_TURNED)[::-1]
 
 
-def fill(query: bytes, ref: bytes, p: Policy) -> cg.Ops:
-    """Operations for what lies between two anchors."""
+def fill(query: bytes, ref: bytes, p: Policy, depth: int = 0) -> cg.Ops:
+    """Operations for what lies between two anchors.
+
+    In turn: one side is empty; no gap can be better; a small matrix; exact islands with smaller gaps between them; a medium
+    matrix in a narrower band; aligned ends around a middle without detail; matches from both sides and one gap."""
     nq, nr = len(query), len(ref)
     if not nq or not nr:
         return [("I", nq), ("D", nr)]
     if nq == nr and _no_gap_is_better(query, ref, p):
         return [("M", nq)]
     delta = abs(nq - nr)
-    for most, slack, band in ((p.small_gap, p.small_delta, delta + 256), (p.medium_gap, p.medium_delta, delta + 32)):
-        if max(nq, nr) <= most and delta <= slack:
-            got = dp.align_full(query, ref, max(16, min(band, dp.MAX_WINDOW)), p)
-            if not isinstance(got, str):
-                return got.cigar
-    # one long gap: exact matches from both sides, the rest in the middle
-    m = min(nq, nr)
+
+    def matrix(most: int, slack: int, band: int) -> cg.Ops | None:
+        if max(nq, nr) > most or delta > slack:
+            return None
+        got = dp.align_full(query, ref, max(16, min(band, dp.MAX_WINDOW)), p)
+        return None if isinstance(got, str) else got.cigar
+
+    ops = matrix(p.small_gap, p.small_delta, delta + 256)
+    if ops is not None:
+        return _escalated(ops, query, ref, p, depth)
+    split = rewrite.filled_islands(query, ref, p, fill, depth) if depth < p.island_depth else None
+    if split is not None:
+        return split
+    return matrix(p.medium_gap, p.medium_delta, delta + 32) or rewrite.flanked(query, ref, p, dp.align_full) or _one_gap(query, ref)
+
+
+def _escalated(ops: cg.Ops, query: bytes, ref: bytes, p: Policy, depth: int, rate: float = 0.35, least: int = 64) -> cg.Ops:
+    """A small gap that differs a lot may be two events with an exact island between them: the better score holds."""
+    score, edits = cg.metrics(ops, query, ref, p)
+    if min(len(query), len(ref)) < least or edits <= rate * len(query) or depth >= p.island_depth:
+        return ops
+    other = rewrite.filled_islands(query, ref, p, fill, depth)
+    return other if other is not None and cg.metrics(other, query, ref, p)[0] > score else ops
+
+
+def _one_gap(query: bytes, ref: bytes) -> cg.Ops:
+    """One long gap: exact matches from both sides, the rest in the middle."""
+    m = min(len(query), len(ref))
     left = _common(query, ref, m)
     right = _common(query[::-1], ref[::-1], m - left)
-    middle = m - left - right
-    ops: cg.Ops = [("M", left + middle), ("I", nq - m), ("D", nr - m), ("M", right)]
-    return ops
+    return [("M", m - right), ("I", len(query) - m), ("D", len(ref) - m), ("M", right)]
 
 
 def _no_gap_is_better(query: bytes, ref: bytes, p: Policy) -> bool:
@@ -69,8 +91,10 @@ def _common(a: bytes, b: bytes, most: int) -> int:
 def assemble(c: chain.Chain, read: bytes, window: bytes, offset: int, p: Policy) -> tuple[int, cg.Ops]:
     """Reference start and operations of a chain: anchors, what is between them, the ends, then the rewriting passes."""
     a = c.anchors.copy()
-    for k in range(1, len(a)):  # the later anchor gives way where two overlap
+    for k in range(1, len(a)):  # the later anchor gives way where two overlap, and by a flank more if enough of it is left
         over = max(a[k - 1, chain.QUERY_END] - a[k, chain.QUERY], a[k - 1, chain.REF_END] - a[k, chain.REF], 0)
+        if over > p.overlap_flank_min and a[k, chain.QUERY_END] - a[k, chain.QUERY] - over - p.overlap_flank >= 16:
+            over += p.overlap_flank
         a[k, chain.QUERY] += over
         a[k, chain.REF] += over
     a = a[(a[:, chain.QUERY_END] > a[:, chain.QUERY])]
@@ -78,12 +102,13 @@ def assemble(c: chain.Chain, read: bytes, window: bytes, offset: int, p: Policy)
     for k in range(1, len(a)):
         if a[k, chain.QUERY] >= a[keep[-1], chain.QUERY_END] and a[k, chain.REF] >= a[keep[-1], chain.REF_END]:
             keep.append(k)
-    a = a[keep]
+    gaps = rewrite.Gaps(read, window, offset, p, fill)
+    a = rewrite.unlocked(rewrite.without_repeat_runs(a[keep], gaps), gaps)
     ops: cg.Ops = []
     at = lambda s, e: window[s - offset : e - offset]
     for k, row in enumerate(a):
         if k:
-            ops += fill(read[a[k - 1, chain.QUERY_END] : row[chain.QUERY]], at(a[k - 1, chain.REF_END], row[chain.REF]), p)
+            ops += gaps.between(int(a[k - 1, chain.QUERY_END]), int(row[chain.QUERY]), int(a[k - 1, chain.REF_END]), int(row[chain.REF]))[0]
         ops.append(("M", int(row[chain.QUERY_END] - row[chain.QUERY])))
     start, end = int(a[0, chain.REF]), int(a[-1, chain.REF_END])
     head, tail = read[: a[0, chain.QUERY]], read[a[-1, chain.QUERY_END] :]
@@ -91,19 +116,19 @@ def assemble(c: chain.Chain, read: bytes, window: bytes, offset: int, p: Policy)
     right, _ = terminal(tail, at(end, min(offset + len(window), end + len(tail) + 256)), p)
     start -= used
     ops = cg.normalized([*left[::-1], *ops, *right])
-    if ops and ops[0][0] == "S":
-        lead, body, query = ops[0][1], ops[1:], read[ops[0][1] :]
-    else:
-        lead, body, query = 0, ops, read
-    ref = window[start - offset :]
-    for rewrite in (cg.merged_gaps, cg.balanced_as_matches):
-        body = rewrite(body, query, ref, p)
-    body = cg.left_aligned(body, query, ref)
-    body = cg.balanced_as_matches(body, query, ref, p)
-    if lead == 0 and body and body[-1][0] == "M":
-        body, start = cg.clipped_ends(body, query, window, start - offset, p)
-        start += offset
-    return (lambda x: (x[1], x[0]))(cg.clean_edges(cg.normalized([("S", lead), *body]), start))
+    if p.phase_repair:
+        ops = rewrite.phase_repaired(ops, read, window[start - offset :])
+    lead = ops[0][1] if ops and ops[0][0] == "S" else 0
+    body, query, ref = ops[bool(lead) :], read[lead:], window[start - offset :]
+    tail = body.pop()[1] if body and body[-1][0] == "S" else 0
+    body = rewrite.polished(body, query, ref, p, dp.align_full)
+    for edit in (cg.merged_gaps, cg.balanced_as_matches):
+        body = edit(body, query, ref, p)
+    body = cg.balanced_as_matches(cg.left_aligned(body, query, ref), query, ref, p)
+    ops, start = rewrite.without_divergent_ends([("S", lead), *body, ("S", tail)], read, ref, start, p.divergent_window)
+    ops, start = rewrite.score_clipped(ops, read, window[start - offset :], start, p)
+    ops, start = cg.clean_edges(ops, start)
+    return start, ops
 
 
 def terminal(query: bytes, ref: bytes, p: Policy, most: int = 2500) -> tuple[cg.Ops, int]:
@@ -114,9 +139,15 @@ def terminal(query: bytes, ref: bytes, p: Policy, most: int = 2500) -> tuple[cg.
     if n == len(query) and cg.mismatches(query, ref[:n]) <= 0.08 * n:
         return [("M", n)], n
     got = dp.align_local(query[:most], ref[: most + 256], 256, p) if ref else None
-    if got is None or got.score <= 0 or got.edits > 0.15 * max(got.query_end, 1):
-        return [("S", len(query))], 0
-    return cg.normalized([*got.cigar, ("S", len(query) - got.query_end)]), got.ref_end
+    if got is not None and got.score > 0 and got.edits <= 0.15 * max(got.query_end, 1):
+        return cg.normalized([*got.cigar, ("S", len(query) - got.query_end)]), got.ref_end
+    span = rewrite.terminal_span(query, ref, False)  # where the outermost rare k-mer says that the end lies
+    if span is not None and span[1]:
+        ops = fill(query, ref[: span[1]], p)
+        score, edits = cg.metrics(ops, query, ref[: span[1]], p)
+        if score > 0 and edits <= 0.15 * len(query):
+            return ops, span[1]
+    return [("S", len(query))], 0
 
 
 def overlap(a0, a1, b0, b1) -> int:
@@ -214,18 +245,19 @@ class Search:
 
     def anchors(self, locus: dict, full: bool) -> np.ndarray:
         own = self.oriented(locus["is_rc"])
-        found = chain.find_anchors(own, locus["window"], locus["offset"], self.p, sparse=not full)
+        find = anchors.staged if self.p.anchor_stages or self.p.paired_emms else chain.find_anchors
+        found = find(own, locus["window"], locus["offset"], self.p, sparse=not full)
         if self.p.snp_anchors:
             found = chain.without_contained(chain.over_mismatches(found, own, locus["window"], locus["offset"]), self.p.max_anchors)
         self.counts["anchors"] += len(found)
         return found
 
-    def too_thin(self, k: int, locus: dict, anchors: np.ndarray) -> bool:
+    def too_thin(self, k: int, locus: dict, found: np.ndarray) -> bool:
         """Whether a late candidate's anchors are far fewer than what is placed covers."""
         if k < 2 or not self.placed or self.explains_more(locus):
             return False
         enough, fraction = self.satisfied()
-        if enough and (anchors[:, chain.QUERY_END] - anchors[:, chain.QUERY]).sum() / max(self.n, 1) < fraction * self.p.low_coverage:
+        if enough and (found[:, chain.QUERY_END] - found[:, chain.QUERY]).sum() / max(self.n, 1) < fraction * self.p.low_coverage:
             self.skip("thin_skips")
             return True
         return False
@@ -317,9 +349,9 @@ def run(searches: list[Search], p: Policy) -> None:
         for s in searches:
             if not s.over and k < len(s.todo) and (found := s.wants(k)) is not None:
                 locus, full = found
-                anchors = s.anchors(locus, full)
-                if len(anchors) and not s.too_thin(k, locus, anchors):
-                    jobs.append((s, locus, full, anchors))
+                found_anchors = s.anchors(locus, full)
+                if len(found_anchors) and not s.too_thin(k, locus, found_anchors):
+                    jobs.append((s, locus, full, found_anchors))
         made = _chained(jobs, p)
         again = []
         for (s, locus, full, _), chains in zip(jobs, made, strict=True):

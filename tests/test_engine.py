@@ -131,8 +131,7 @@ def test_stream_equals_batch(tmp_path, spark):
     (tmp_path / "in").mkdir()
     for k in range(3):
         (tmp_path / "in" / f"{k}.fa").write_text("".join(f">s{k}_{j}\n{ref[k * 1000 + j * 100 : k * 1000 + j * 100 + 1500]}\n" for j in range(2)))
-    sources.register(spark)
-    stream = spark.readStream.format("fastx").option("maxFilesPerTrigger", "2").load(str(tmp_path / "in"))
+    stream = fastx.stream(spark, str(tmp_path / "in"), 2)
     mapping.map_stream(stream, c, built, str(tmp_path / "out"), str(tmp_path / "cp"), p, once=False).processAllAvailable()
     for q in spark.streams.active:
         q.stop()
