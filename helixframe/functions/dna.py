@@ -46,6 +46,12 @@ def mismatch_count(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
 
 
+def bases_match(a: Column, b: Column, is_rc: Column) -> Column:
+    """Whether two bases pair up, on opposite strands as complements; an ambiguous base matches nothing."""
+    other = F.when(is_rc, F.translate(F.upper(b), "ACGT", "TGCA")).otherwise(F.upper(b))
+    return F.coalesce(F.upper(a).isin("A", "C", "G", "T") & (F.upper(a) == other), F.lit(False))
+
+
 def mismatch_rate(a: Column, b: Column) -> Column:
     """1.0 for empty strings."""
     return F.when(F.length(a) == 0, F.lit(1.0)).otherwise(mismatch_count(a, b) / F.length(a))

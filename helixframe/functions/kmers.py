@@ -153,3 +153,31 @@ def query_minimizers(reads: DataFrame, k: int, w: int, persisted: bool = False)
     """read_ord, query_pos, code, is_rc of each read's minimizers, for the in-memory or the persisted index."""
     hashed = xxh64 if persisted else splitmix
     return _table(reads.select("read_ord", "sequence"), "read_ord", lambda s: minimizers(s, k, w, hashed, persisted), "read_ord long, query_pos long, code long, is_rc boolean")
+
+
+def repeat_periods(contigs: DataFrame, size: int = 24, periods: int = 8) -> DataFrame:
+    """contig_id, start, period: of each window of ``size`` bases, end to end over the whole contig (the last one is shorter), the least
+    period up to ``periods`` at which three quarters of its places repeat; null if there is none, or under six bases."""
+    schema = "contig_id long, start long, period int"
+
+    def run(batches):
+        for batch in batches:
+            ids, starts, found = [], [], []
+            for i, s in zip(batch.column("contig_id").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+                x = np.frombuffer((s or "").encode(), np.uint8)
+                at = np.arange(0, len(x), size)
+                end = np.minimum(at + size, len(x))
+                least = np.zeros(len(at), np.int32)
+                for p in range(periods, 0, -1):
+                    same = np.concatenate([[0], np.cumsum(x[p:] == x[:-p])]) if len(x) > p else np.zeros(1, np.int64)
+                    places = end - at - p
+                    hits = same[np.clip(end - p, 0, len(same) - 1)] - same[np.clip(at, 0, len(same) - 1)]
+                    least[(end - at >= 6) & (places > 0) & (4 * hits >= 3 * places)] = p
+                ids.append(np.full(len(at), i, np.int64))
+                starts.append(at)
+                found.append(least)
+            if ids:
+                period = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(period, mask=period == 0)], names=["contig_id", "start", "period"])
+
+    return contigs.select("contig_id", "sequence").mapInArrow(run, schema)

@@ -29,15 +29,27 @@ def calibration(observations: DataFrame) -> DataFrame:
 
 
 def judged(alignments: DataFrame, truth: DataFrame, tolerance: int = 0) -> DataFrame:
-    """alignments (read, contig, start, strand, mapq) against truth (read, contig, start, end, strand): wrong is 0 or 1."""
-    t = truth.select("read", F.col("contig").alias("t_contig"), F.col("start").alias("t_start"), F.col("strand").alias("t_strand"))
+    """alignments (read, contig, start, strand, mapq) against truth (read, contig, start, end, strand): a row for each read of either.
+
+    wrong is 0 or 1, and null with a null mapq for a read that was not mapped; where both sides have an ``end``, it counts too.  A mapped read
+    that the truth does not know fails the job."""
+    t = truth.select("read", *(F.col(c).alias(f"t_{c}") for c in ("contig", "start", "strand", *(["end"] if {"end"} <= set(truth.columns) & set(alignments.columns) else []))))
     right = (F.col("contig") == F.col("t_contig")) & (F.col("strand") == F.col("t_strand")) & (F.abs(F.col("start") - F.col("t_start")) <= tolerance)
-    return alignments.join(t, "read").select("read", "mapq", F.when(right, 0).otherwise(1).alias("wrong"))
+    if "t_end" in t.columns:
+        right = right & (F.abs(F.col("end") - F.col("t_end")) <= tolerance)
+    known = F.when(F.col("t_contig").isNull(), F.raise_error(F.concat(F.lit("the truth does not know read "), F.col("read").cast("string"))).cast("int"))
+    wrong = F.when(F.col("contig").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(known, F.when(right, 0).otherwise(1)))
+    return alignments.join(t, "read", "full").select("read", "mapq", wrong.alias("wrong"))
 
 
 def bins(placements: DataFrame, size: int = 1_000_000) -> DataFrame:
-    """Placements by contig and bin of the reference, with mean confidence."""
-    return placements.groupBy("contig_id", F.floor(F.col("ref_start") / size).alias("bin")).agg(F.count("*").alias("placements"), F.round(F.avg("mapq"), 6).alias("mean_mapq"))
+    """Placements by contig and bin of the reference, with mean confidence; with ``cigar`` also the share of clipped bases (``clipped``)."""
+    grouped = placements.groupBy("contig_id", F.floor(F.col("ref_start") / size).alias("bin"))
+    extra = []
+    if "cigar" in placements.columns:
+        total = lambda kinds: F.sum(F.aggregate("cigar", F.lit(0), lambda s, o: s + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0)))
+        extra = [F.round(total("S") / total("SM"), 6).alias("clipped")]
+    return grouped.agg(F.count("*").alias("placements"), F.round(F.avg("mapq"), 6).alias("mean_mapq"), *extra)
 
 
 def union_coverage(intervals: DataFrame, *keys: str) -> DataFrame:
@@ -48,12 +60,18 @@ def union_coverage(intervals: DataFrame, *keys: str) -> DataFrame:
     return intervals.withColumn("added", added).groupBy(*keys).agg(F.sum("added").alias("covered"))
 
 
-def uncovered(intervals: DataFrame, lengths: DataFrame, key: str, least: int = 500) -> DataFrame:
-    """Stretches of at least ``least`` that no interval of a key covers; lengths has (key, length)."""
+def uncovered(intervals: DataFrame, lengths: DataFrame, key: str, least: int = 500, stretch: int = 1 << 20) -> DataFrame:
+    """Stretches of at least ``least`` that no interval of a key covers; lengths has (key, length).
+
+    Intervals are worked on by key and part of the key's length, so a long contig is many windows: what the parts before
+    reach is carried in a table of a row for each part."""
     edge = lengths.select(key, F.col("length").alias("start"), F.col("length").alias("end"))
-    order = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gaps = intervals.select(key, "start", "end").unionByName(edge).withColumn("from", reach)
+    own = intervals.select(key, "start", "end").unionByName(edge).withColumn("part", F.floor(F.col("start") / stretch))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy(key, "part").agg(F.max("end").alias("reach")).select(key, "part", F.max("reach").over(before).alias("before"))
+    order = Window.partitionBy(key, "part").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = own.withColumn("inside", F.max("end").over(order)).join(carried, [key, "part"])
+    gaps = gaps.withColumn("from", F.coalesce(F.greatest("inside", "before"), F.lit(0)))
     return gaps.where(F.col("start") - F.col("from") >= least).select(key, F.col("from").alias("start"), F.col("start").alias("end"))
 
 
@@ -77,6 +95,32 @@ def variant_differences(a: DataFrame, b: DataFrame, window: int = 50) -> DataFra
     return met.groupBy("contig", "pos", "ref", "alt").agg(F.min(F.when(close <= window, close)).alias("distance")).withColumn("kind", F.when(F.col("distance").isNull(), "missed").otherwise("shifted"))
 
 
+def unit_of(c):
+    """The least number of letters that a string repeats, a whole number of times; its length if it repeats none."""
+    n = F.length(c)
+    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), lambda p: (n % p == 0) & (F.repeat(F.substring(c, F.lit(1), p), (n / p).cast("int")) == c) & (p < n))
+    return F.coalesce(F.get(fits, F.lit(0)), n)
+
+
+def indel_disagreements(truth: DataFrame, calls: DataFrame, window: int = 50) -> DataFrame:
+    """How calls (contig, pos, ref, alt) disagree with indels of the truth that they lack.
+
+    missed: none within ``window``; fragmented: several; at the place itself copy_number (a whole number of the indel's own
+    units too short or too long), length, or spelling; shifted: one, elsewhere.  The near join is on bins."""
+    key = ["contig", "pos", "ref", "alt"]
+    lost = truth.join(calls, key, "left_anti")
+    near = calls.select("contig", F.col("pos").alias("at"), F.struct("ref", "alt").alias("call"), F.explode(F.array(*(F.floor(F.col("pos") / window) + d for d in (-1, 0, 1)))).alias("bin"))
+    met = lost.withColumn("bin", F.floor(F.col("pos") / window)).join(near, ["contig", "bin"], "left").where("at is null or abs(at - pos) <= " + str(window))
+    some = lost.join(met.where("at is not null").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.when(F.col("at") == F.col("pos"), F.col("call"))).alias("same")), key, "left")
+    grown = F.length("alt") - F.length("ref")
+    payload = F.when(grown > 0, F.substring("alt", 2, 1 << 20)).otherwise(F.substring("ref", 2, 1 << 20))
+    gap = F.abs(grown) - F.abs(F.length("same.alt") - F.length("same.ref"))
+    unit = unit_of(payload)
+    at_place = F.when((unit > 1) & (gap != 0) & (gap % unit == 0), "copy_number").when(gap != 0, "length").otherwise("spelling")
+    kind = F.when(F.col("n").isNull(), "missed").when(F.col("n") > 1, "fragmented").when(F.col("same").isNotNull(), at_place).otherwise("shifted")
+    return some.select(*key, kind.alias("kind"))
+
+
 def indel_kind(ref, alt, other_ref, other_alt):
     """How two indel calls at one place disagree: copy number, length or spelling."""
     grow, other = F.length(alt) - F.length(ref), F.length(other_alt) - F.length(other_ref)

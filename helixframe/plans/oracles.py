@@ -141,11 +141,34 @@ def sql(body: str, select: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "f1_f5_bases": sql(BASE, "select read_ord, strpos('ACGT', substr(sequence, 1, 1)) - 1 as first_code, " + CODE.format("substr(sequence, 1, 15)") + " as code, translate(reverse(sequence), 'ACGT', 'TGCA') as rc, least(substr(sequence, 1, 15), translate(reverse(substr(sequence, 1, 15)), 'ACGT', 'TGCA')) as canonical, translate(reverse(substr(sequence, 1, 15)), 'ACGT', 'TGCA') < substr(sequence, 1, 15) as is_rc from reads where length(sequence) >= 15"),
+    "f1_f5_bases": sql(
+        BASE + ",\n" + QUERY_KMERS,
+        "select read_ord, query_pos, strpos('ACGT', substr(f, 1, 1)) - 1 as first_code, "
+        + CODE.format("f")
+        + """ as code, translate(reverse(f), 'ACGT', 'TGCA') as rc, least(f, translate(reverse(f), 'ACGT', 'TGCA')) as canonical,
+        translate(reverse(f), 'ACGT', 'TGCA') < f as is_rc from qk""",
+    ),
     "f6_hash_code": sql(BASE + ",\n" + QUERY_KMERS + ",\n" + _steps("qh", "select * from qcode", XXH64), "select read_ord, query_pos, code, (case when h >= 9223372036854775808::ubigint then h::hugeint - 18446744073709551616::hugeint else h::hugeint end)::bigint as hash from qh"),
-    "f8_mismatches": sql(BASE, "select a.read_ord, list_sum(list_transform(range(1, 61), lambda i: case when substr(a.sequence, i, 1) = substr(b.sequence, i, 1) then 0 else 1 end))::bigint as mismatches from reads a join reads b on b.read_ord = a.read_ord + 1 where length(a.sequence) >= 60 and length(b.sequence) >= 60"),
+    "f8_mismatches": sql(
+        BASE,
+        """, p as (select a.read_ord, a.sequence as s, b.sequence as t, least(length(a.sequence), length(b.sequence)) as n from reads a join reads b on b.read_ord = a.read_ord + 1),
+        m as (select read_ord, n, coalesce(list_sum(list_transform(range(1, n + 1), lambda i: case when substr(s, i, 1) = substr(t, i, 1) then 0 else 1 end)), 0)::bigint as mismatches from p)
+        select read_ord, mismatches, case when n = 0 then 1.0::double else round(mismatches::double / n, 9) end as rate from m""",
+    ),
+    "f9_bases_match": sql(
+        BASE,
+        """, p as (select a.read_ord, a.sequence as s, 'N' || b.sequence as t from reads a join reads b on b.read_ord = a.read_ord + 1),
+        e as (select read_ord, s, t, unnest(range(1, least(length(s), length(t)) + 1)) as i from p)
+        select read_ord, sum((substr(s, i, 1) = substr(t, i, 1))::int)::bigint as forward, sum((substr(s, i, 1) = translate(substr(t, i, 1), 'ACGT', 'TGCA'))::int)::bigint as reverse
+        from e group by read_ord""",
+    ),
     "f15_f16_intervals": "select l_orderkey, l_linenumber, greatest(0, least(l_partkey + 500, l_suppkey * 100 + 400) - greatest(l_partkey, l_suppkey * 100)) as overlap, case when l_linenumber - 1 > 0 then 6 + (l_linenumber - 1) else 0 end as gap, case when l_linenumber - 1 > 0 then least(6 + 2 * (l_linenumber - 1), 24 + (l_linenumber - 1)) else 0 end as gap_dual from lineitem",
-    "f17_repeat_period": "with t as (select doc_id, substr(" + DNA + ", 1, 24) as s from documents) select doc_id, case when length(s) >= 6 then list_extract(list_filter(range(1, 9), lambda p: length(s) > p and 4 * len(list_filter(range(1, length(s) - p + 1), lambda i: substr(s, i, 1) = substr(s, i + p, 1))) >= 3 * (length(s) - p)), 1) end::int as period from t",
+    "f17_repeat_period": "with c as (select doc_id, "
+    + DNA
+    + """ as c from documents), t as (select doc_id, c, unnest(range(0, length(c), 24)) as start from c), w as (select doc_id, start, substr(c, start + 1, 24) as s from t)
+    select doc_id, start, case when length(s) >= 6 then list_extract(list_filter(range(1, 9), lambda p: length(s) > p
+      and 4 * len(list_filter(range(1, length(s) - p + 1), lambda i: substr(s, i, 1) = substr(s, i + p, 1))) >= 3 * (length(s) - p)), 1) end::int as period from w""",
+    "f18_saturated": "select l_orderkey, l_linenumber, greatest(-2147483648, least(2147483647, (l_partkey - 50) * 100000000))::int as held from lineitem",
     "f20_edit_distance": "select a.p_partkey, levenshtein(a.p_name, b.p_name)::int as distance from part a join part b on b.p_partkey = a.p_partkey + 1",
     "p1_segments": sql(BASE, "select contig_id, i as index, case when n <= 2048 then 0 else least(i * 1536, n - 2048) end as start, case when n <= 2048 then n else least(i * 1536 + 2048, n) end as \"end\" from (select contig_id, length(sequence) as n, unnest(case when length(sequence) <= 2048 then [0] else range(0, ceil((length(sequence) - 2048) / 1536.0)::bigint + 1) end) as i from contigs where length(sequence) > 0)"),
     "p2_minimizers": sql(BASE + ",\n" + seeds(SPLITMIX), "select read_ord, query_pos, code, is_rc from qseeds"),
@@ -175,7 +198,7 @@ kept as (select policy, kmer, off from ranked, pol where total <= 16 or (policy
     "q4_q7_mapq": sql(CANDIDATES + MAPQ, "select * from judged"),
     "q6_q9_calibrated": "select l_orderkey, l_linenumber, round(greatest(0.0, least(60.0, 60.0 * greatest(0.0, least(1.0, (0.1 - l_discount) / 0.08)) * (1 - 0.5 * least(1.0, l_quantity / 256.0)) * case when l_linenumber <= 1 then 1.0 else 0.85 end)))::int as near_exact, case when l_discount > 0.02 then round(greatest(0.0, least(60.0, (l_linenumber + 40) * pow((1 - l_discount) / 0.98, 2))))::int else l_linenumber + 40 end as calibrated from lineitem",
     "t1_sam": sql(EXACT + ", e as (select reads.*, exact.contig_id, ref_start, is_rc from reads left join exact using (read_ord))", "select read_ord, read_name || chr(9) || case when contig_id is null then '4' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' else case when is_rc then '16' else '0' end || chr(9) || 'c' || contig_id || chr(9) || (ref_start + 1) || chr(9) || '60' || chr(9) || length(sequence) || 'M' end || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || case when is_rc then translate(reverse(sequence), 'ACGT', 'TGCA') else sequence end || chr(9) || '*' || case when contig_id is null then '' else chr(9) || 'NM:i:0' || chr(9) || 'AS:i:' || 2 * length(sequence) end || chr(9) || 'RG:Z:g' || read_ord % 3 || chr(9) || 'XI:i:' || read_ord || case when contig_id is null then chr(9) || 'NM:i:9' else '' end as line from e"),
-    "b5_variant_differences": "with a as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber = 1 group by all), b as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber = 2 group by all), lost as (select * from a anti join b using (contig, pos, ref, alt)), n as (select lost.*, min(abs(b.pos - lost.pos)) as distance from lost left join b on b.contig = lost.contig and abs(b.pos - lost.pos) <= 50 group by all) select *, case when distance is null then 'missed' else 'shifted' end as kind from n",
+    "b5_variant_differences": "with a as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber % 2 = 1 group by all), b as (select l_suppkey::bigint as contig, l_partkey as pos, l_returnflag as ref, l_linestatus as alt from lineitem where l_linenumber % 2 = 0 group by all), lost as (select * from a anti join b using (contig, pos, ref, alt)), n as (select lost.*, min(abs(b.pos - lost.pos)) as distance from lost left join b on b.contig = lost.contig and abs(b.pos - lost.pos) <= 50 group by all) select *, case when distance is null then 'missed' else 'shifted' end as kind from n",
 }
 
 ORACLES |= {

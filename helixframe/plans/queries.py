@@ -30,11 +30,20 @@ def _looked(spark, d) -> DataFrame:
     return lookup.seeds_with_totals(_seeds(spark, d), _asked(spark, d))
 
 
+def _kmers_of_reads(spark, d) -> DataFrame:
+    """Every 15-mer of every read as text: read_ord, query_pos, kmer."""
+    r = data.reads(spark, d)
+    at = F.explode(F.when(F.length("sequence") >= P.k, F.sequence(F.lit(0), F.length("sequence") - P.k))).alias("query_pos")
+    return r.select("read_ord", "sequence", at).select("read_ord", "query_pos", F.substring("sequence", F.col("query_pos") + 1, F.lit(P.k)).alias("kmer"))
+
+
 def f1_f5_bases(spark: SparkSession, d: str) -> DataFrame:
-    r = data.reads(spark, d).where(F.length("sequence") >= 15)
-    k = F.substring("sequence", 1, 15)
+    k = F.col("kmer")
     c = dna.canonical(k)
-    return r.select("read_ord", dna.base_code(F.substring("sequence", 1, 1)).alias("first_code"), dna.encode_kmer(k).alias("code"), dna.reverse_complement(F.col("sequence")).alias("rc"), c["kmer"].alias("canonical"), c["is_rc"].alias("is_rc"))
+    return _kmers_of_reads(spark, d).select(
+        "read_ord", F.col("query_pos").cast("long").alias("query_pos"), dna.base_code(F.substring("kmer", 1, 1)).alias("first_code"), dna.encode_kmer(k).alias("code"), dna.reverse_complement(k).alias("rc"),
+        c["kmer"].alias("canonical"), c["is_rc"].alias("is_rc"),
+    )
 
 
 def f6_hash_code(spark, d):
@@ -42,9 +51,12 @@ def f6_hash_code(spark, d):
 
 
 def f8_mismatches(spark, d):
-    r = data.reads(spark, d).where(F.length("sequence") >= 60).select("read_ord", F.substring("sequence", 1, 60).alias("s"))
+    """Neighbouring reads over their whole common length."""
+    r = data.reads(spark, d).select("read_ord", F.col("sequence").alias("s"))
     other = r.select((F.col("read_ord") - 1).alias("read_ord"), F.col("s").alias("t"))
-    return r.join(other, "read_ord").select("read_ord", dna.mismatch_count(F.col("s"), F.col("t")).cast("long").alias("mismatches"))
+    both = r.join(other, "read_ord").withColumn("n", F.least(F.length("s"), F.length("t")))
+    a, b = F.substring("s", F.lit(1), F.col("n")), F.substring("t", F.lit(1), F.col("n"))
+    return both.select("read_ord", dna.mismatch_count(a, b).cast("long").alias("mismatches"), F.round(dna.mismatch_rate(a, b), 9).alias("rate"))
 
 
 def f15_f16_intervals(spark, d):
@@ -54,7 +66,24 @@ def f15_f16_intervals(spark, d):
 
 
 def f17_repeat_period(spark, d):
-    return data.contigs(spark, d).select(F.col("contig_id").alias("doc_id"), dna.repeat_period(F.substring("sequence", 1, 24)).alias("period"))
+    """Windows of 24 bases, end to end over every contig."""
+    return kmers.repeat_periods(data.contigs(spark, d)).withColumnRenamed("contig_id", "doc_id")
+
+
+def f9_bases_match(spark, d):
+    """Every base of neighbouring reads' common length, on one strand or on both."""
+    r = data.reads(spark, d).select("read_ord", F.col("sequence").alias("s"))
+    other = r.select((F.col("read_ord") - 1).alias("read_ord"), F.concat(F.lit("N"), "s").alias("t"))
+    both = r.join(other, "read_ord")
+    i = F.explode(F.sequence(F.lit(1), F.least(F.length("s"), F.length("t")))).alias("i")
+    each = both.select("read_ord", "s", "t", i).select("read_ord", F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("t", F.col("i"), F.lit(1)).alias("b"))
+    same = lambda rc: F.sum(dna.bases_match(F.col("a"), F.col("b"), F.lit(rc)).cast("long"))
+    return each.groupBy("read_ord").agg(same(False).alias("forward"), same(True).alias("reverse"))
+
+
+def f18_saturated(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", dna.saturated((F.col("l_partkey") - 50) * 100_000_000).alias("held"))
 
 
 def f20_edit_distance(spark, d):
@@ -142,17 +171,20 @@ def sam_rows(spark, d) -> DataFrame:
 
 
 def b5_variant_differences(spark, d):
+    """Calls of odd line numbers that those of even ones lack."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    calls = lambda n: li.where(F.col("l_linenumber") == n).select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt")).distinct()
-    return analytics.variant_differences(calls(1), calls(2))
+    calls = lambda n: li.where(F.col("l_linenumber") % 2 == n).select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt")).distinct()
+    return analytics.variant_differences(calls(1), calls(0))
 
 
 QUERIES = {
     "f1_f5_bases": f1_f5_bases,
     "f6_hash_code": f6_hash_code,
     "f8_mismatches": f8_mismatches,
+    "f9_bases_match": f9_bases_match,
     "f15_f16_intervals": f15_f16_intervals,
     "f17_repeat_period": f17_repeat_period,
+    "f18_saturated": f18_saturated,
     "f20_edit_distance": f20_edit_distance,
     "p1_segments": p1_segments,
     "p2_minimizers": lambda s, d: _seeds(s, d),
