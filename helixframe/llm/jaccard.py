@@ -348,5 +348,34 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return keyed.join(joined, ["__jaccard_id", "__jaccard_th"], "left_anti").select(*docs.columns)
 
 
+OP8_SQL = f"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) end)) as s from d
+), named as (
+  select doc_id, s, md5(array_to_string(s, chr(10))) as k from sets
+), classes as (
+  select k, min(doc_id) as c, count(*) as n, any_value(s) as s, len(any_value(s)) as size from named where len(s) > 0 group by k
+), rows_ as (
+  select c, size, unnest(s) as shingle from classes
+), common as (
+  select a.c as a, b.c as b, a.size as na, b.size as nb, count(*) as both_ from rows_ a join rows_ b on a.shingle = b.shingle and a.c <> b.c group by all
+), links as (
+  select a, b from common where 5 * both_ >= 4 * (na + nb - both_)
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), roots as (
+  select a as c, least(a, min(b)) as class_id from reach group by a
+), counted as (
+  select l.a as c, sum(o.n)::bigint as docs, count(*) as texts from links l join classes o on o.c = l.b group by l.a
+)
+select n.doc_id, coalesce(r.class_id, c.c, n.doc_id) as class_id, coalesce(c.c, n.doc_id) as text_id,
+  (coalesce(t.docs, 0) + coalesce(c.n - 1, 0))::bigint as n_links, coalesce(t.texts, 0)::bigint as n_texts
+from named n left join classes c on c.k = n.k and len(n.s) > 0 left join roots r using (c) left join counted t using (c)
+"""
+
+
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -18,5 +18,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
+    "op9_sharding": sharding.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }

@@ -1,6 +1,6 @@
 """Sharding by extendible hashing: a directory of hash prefixes, of which only oversized buckets split.
 
-A row's hash is 62 bits of its id and text; the directory starts with one bucket of depth 0.  A bucket whose
+A row's hash is 60 bits of its id and text; the directory starts with one bucket of depth 0.  A bucket whose
 texts weigh more than the limit is split on its next bit; others stay.  The weights of the prefixes
 come from one aggregate over the hashes (rows combine before the shuffle); each round looks at STEP
 further bits of the rows in oversized buckets only, until every bucket fits.  Rows are then assigned
@@ -22,7 +22,7 @@ from . import common as C
 
 LIMIT = 8 << 20
 ROW_BYTES = 16
-STEP, BITS = 8, 62
+STEP, BITS = 8, 60
 
 
 #: Columns that the operator adds to rows while it works on them.
@@ -32,7 +32,9 @@ _HASH, _BYTES = "__shard_hash", "__shard_bytes"
 def _sized(docs: DataFrame) -> DataFrame:
     """docs with the hash of their id and text, and their weight."""
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + ROW_BYTES).cast("long")
-    return docs.withColumns({_BYTES: size, _HASH: F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), 64 - BITS)})
+    both = F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.col("text"))
+    hashed = F.conv(F.substring(F.md5(both.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    return docs.withColumns({_BYTES: size, _HASH: hashed})
 
 
 def _directory(weights: DataFrame, limit: int) -> DataFrame:
@@ -115,5 +117,19 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     placed.select(*docs.columns, "shard", "volume").repartition("shard", "volume").write.partitionBy("shard", "volume").parquet(path)
 
 
+#: Where no shard is cut into volumes, as one hash never weighs more than a shard.
+OP9_SQL = f"""
+with r as (
+  select row_number() over () as k, doc_id, (strlen(coalesce(text, '')) + {ROW_BYTES})::bigint as n_bytes,
+    ('0x' || substr(md5(concat_ws(':', doc_id, text)), 1, 15))::bigint as h from documents
+), b as (
+  select d, h >> ({BITS} - d) as prefix, sum(n_bytes) as w, count(distinct h) as n from r, range(0, 33) as t(d) group by all
+), f as (
+  select k, doc_id, n_bytes, h, min(b.d) as depth from r, range(0, 33) as t(x) join b on b.d = x and b.prefix = h >> ({BITS} - x) where w <= {LIMIT} or n = 1 group by all
+)
+select doc_id, n_bytes, substr(lpad(bin(h), {BITS}, '0'), 1, depth::int) as shard, depth::int as depth, 0::bigint as volume, n_bytes > {LIMIT} as oversized from f
+"""
+
+
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -519,6 +519,26 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP2_SQL = f"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), windows as (
+  select doc_id, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 0) + 1)) as p,
+    unnest(list_transform(range(1, greatest(len(w) - {WINDOW - 1}, 0) + 1), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) as words from d
+), first as (
+  select words, min(doc_id) as least from windows group by words
+), gone as (
+  select distinct doc_id, unnest(range(p, p + {WINDOW})) as i from windows join first using (words) where doc_id > least
+), every as (
+  select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d
+), kept as (
+  select doc_id, count(*) as n_words, count(gone.i) as n_removed, string_agg(word, ' ' order by i) filter (gone.i is null) as rest
+  from every left join gone using (doc_id, i) group by doc_id
+)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str]]) -> dict[int, tuple[int, int, str]]:
     """The same by a dictionary of all windows (small inputs, distinct ids)."""
     import hashlib

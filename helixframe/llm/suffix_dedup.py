@@ -411,6 +411,29 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = f"""
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, ''))::bigint as n from documents
+), windows as (
+  select doc_id, p, md5(substr(x, 2 * p + 1, {2 * WINDOW})) as m from (select doc_id, x, unnest(range(0, greatest(n - {WINDOW - 1}, 0))) as p from d)
+), first as (
+  select m, min(row(doc_id, p)) as f from windows group by m having count(*) > 1
+), starts as (
+  select doc_id, p, p - lag(p) over (partition by doc_id order by p) as step from windows join first using (m) where row(doc_id, p) > f
+), runs as (
+  select doc_id, p, sum(case when step is null or step > {WINDOW} then 1 else 0 end) over (partition by doc_id order by p rows unbounded preceding) as run from starts
+), spans as (
+  select doc_id, run, min(p) as s, max(p) + {WINDOW} as e from runs group by doc_id, run
+), pieces as (
+  select doc_id, s, e, x, substr(x, 2 * coalesce(lag(e) over (partition by doc_id order by s), 0) + 1, 2 * (s - coalesce(lag(e) over (partition by doc_id order by s), 0))) as piece
+  from spans join d using (doc_id)
+), kept as (
+  select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(piece, '' order by s) || substr(any_value(x), 2 * max(e) + 1) as rest from pieces group by doc_id
+)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, x))) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, bytes]]) -> dict[int, tuple[int, int, int, str]]:
     """The same by a dictionary of all windows (small inputs, distinct ids)."""
     seen: set[bytes] = set()
