@@ -33,9 +33,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the token ids and their number."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang and source (where docs have them), the token ids and their number."""
+    about = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    encoded = bpe.encode(docs.select(*about, "text"), bpe.default_path())
+    return encoded.select(*about, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
