@@ -10,7 +10,9 @@ right id), each word's lowest-ranked pair (leftmost of equal ones) is merged eve
 from left to right, and the array is compacted; rounds end when no pair has a rank.  Words met
 before in the same task come from a bounded memo, so the cost follows the distinct words.
 
-Null texts are empty and have no tokens.  The strings of special tokens in a text are those tokens,
+Null texts are empty and have no tokens.  Every row is encoded by its own text, so rows that repeat an id or a whole row, and
+rows without an id, each give a row; columns called like the results are replaced.  A very long text is encoded whole, in a
+group of its own; of equally ranked pairs the leftmost is merged.  The strings of special tokens in a text are those tokens,
 as in the library.  Decoding joins the tokens' own strings by one space, as the library does for a
 file without a decoder.
 """

@@ -10,13 +10,12 @@ is a window over the sorted union of stack changes and urls, which carries the l
 The url takes the first rule of its stack (longest host, then longest path) whose path its own path
 starts with.
 
-The window is dealt out by top-level label and, inside it, by a hash of the url into as many parts
-as the session shuffles to, so a host or label with many urls fills no task; stack changes, which
-are few beside the urls, are repeated in each part of their label.  No url is compared with all
-rules.
+The window is dealt out by top-level label.  Labels that many urls share (a bounded number of them, which are
+broadcast) are dealt out further, by a hash of the url into as many parts as the session shuffles to, so no host or label
+fills a task; only their stack changes are repeated, in each part.  No url is compared with all rules.
 
 Null urls and urls without ``://`` have an empty host and path and fit no rule.  Rows keep their
-number: repeated urls and ids give repeated rows.  Null rules, or rules with a null host, path or
+number: repeated urls and ids give repeated rows, null ids too.  Urls of any length are matched whole.  Null rules, or rules with a null host, path or
 verdict, are left out; of repeated rules with the same host and path ``block`` wins.
 """
 
@@ -81,9 +80,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     """page_id, host, path, rule (null if none fits) and verdict for each row of pages (page_id, url)."""
     n = C.partitions(pages.sparkSession)
     host, path = parts(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("part"))
+    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("deal"))
     urls = urls.select("*", F.element_at(F.split("host", r"\."), -1).alias("label"), reversed_host(F.col("host")).alias("key"), F.lit(2).alias("kind"))
-    changes = stack_changes(rules).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    limit = C.hot_limit(pages.count())
+    hot = F.broadcast(urls.groupBy("label").count().where(F.col("count") > limit).select("label", F.lit(True).alias("hot")))  # at most C.HOT_KEYS
+    urls = urls.join(hot, "label", "left").withColumn("part", F.when(F.col("hot"), F.col("deal")).otherwise(F.lit(0))).drop("hot", "deal")
+    changes = stack_changes(rules).join(hot, "label", "left")
+    parts_ = F.sequence(F.lit(0), F.when(F.col("hot"), F.lit(n - 1)).otherwise(F.lit(0)))
+    changes = changes.withColumn("part", F.explode(parts_)).drop("hot")
     swept = urls.unionByName(changes, allowMissingColumns=True)
     order = Window.partitionBy("label", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = swept.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 2")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import common as C
-from helixframe.llm import components, ctw, decontam, html_extract, jaccard, quality, sharding, substring_dedup, suffix_dedup
+from helixframe.llm import bpe, components, ctw, decontam, html_extract, jaccard, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 from .test_operators import EDGES, brute_links, frame, text
 
@@ -441,6 +441,24 @@ def test_pages_of_any_kind(spark):
 # -- every operator: clashing columns, null and repeated ids, no rows -----------------------------
 
 
+def test_tokens_of_repeated_and_null_ids(spark):
+    rows = [(1, "some words"), (1, "some words"), (1, "others"), (None, "some words"), (None, None), (2, "word " * 50_000)]
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256[:8]) for r in bpe.digests(frame(spark, rows), bpe.default_path()).collect())
+    assert sum(got.values()) == len(rows) and max(got.values()) == 2 and {k[1] for k in got if k[0] is None} == {0, 2}
+    assert [k[1] for k in got if k[0] == 2][0] >= 50_000
+
+
+def test_urls_of_any_length_and_clashing_columns(spark, monkeypatch):
+    long = "http://" + "a." * 2000 + "example.com/en/" + "x" * 100_000
+    rows = [(1, long, "h", "p", "k", 9), (None, long, "h", "p", "k", 9), (2, None, "h", "p", "k", 9), (3, "http://www.example.com/en/", "h", "p", "k", 9), (3, "http://x.net/fr/", "h", "p", "k", 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, key string, part int")
+    plain = sorted(map(str, url_filter.judge(pages, url_filter.literal_rules(spark)).collect()))
+    monkeypatch.setattr(C, "hot_limit", lambda total: 1)  # every label is dealt out
+    assert sorted(map(str, url_filter.judge(pages, url_filter.literal_rules(spark)).collect())) == plain
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.literal_rules(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "example.com/en/", "block"), (None, "example.com/en/", "block"), (2, None, "allow"), (3, "www.example.com/en/", "allow"), (3, "net/fr/", "block")], key=str)
+
+
 def test_words_of_repeated_and_null_rows(spark):
     long = "w " * 60_000
     rows = [(1, long), (1, long), (2, long), (None, long), (None, None), (3, "")]

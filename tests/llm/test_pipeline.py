@@ -60,3 +60,36 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.ids for r in seen[4][1].collect()} == {i: tok.encode([t])[0].tolist() for i, t in kept.items()}
     whole = pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.collect()) == sorted(kept)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, columns that clash with the operators' own; and no rows at all."""
+    rnd = random.Random(22)
+    long = text(rnd, 30_000)
+    clean = [text(rnd, 90) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(3, clean[3]), (3, clean[3]), (None, clean[4]), (None, None), (50, None), (51, ""), (52, long), (53, long + " " + text(rnd, 5)), (5, text(rnd, 80))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, did string, crc int, windows string, th string, k1 string, row string, removed int, uid int"
+    full = [(i, t, "en", "s", len(t or ""), "d", 1, "w", "t", "k", "r", 2, 3) for i, t in rows]
+    items = [(1, text(rnd, 20)), (None, clean[1]), (2, None), (2, clean[0][:200])]
+    for name, some in (("odd", full), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items if some else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([(0, 1, 0), (None, 0, 1), (3, None, 0), (3, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        count = {}
+        for k, (stage, step) in enumerate(pipeline.STAGES):
+            out = step(spark, docs, f"{tmp_path}/{name}")
+            out.write.parquet(f"{tmp_path}/{name}/{k}")
+            out = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}/{k}")
+            assert k == 4 or out.columns == docs.columns
+            docs, count[stage] = out, out.count()
+        if not some:
+            assert set(count.values()) == {0}
+            continue
+        assert count["quality rules"] == len(rows) - 3  # two nulls and an empty text have no words
+        # the near copies of the long text and of a row without an id: 53 goes, rows without an id take no part
+        assert count["n-gram Jaccard join"] == count["quality rules"] - 1 == count["suffix-array dedup"]
+        assert count["benchmark decontamination"] == count["suffix-array dedup"] - 1 == count["BPE encoding"]
+        assert {r.doc_id for r in docs.collect()} == {*range(1, 12), 52, None}
+    bare = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert pipeline.STAGES[4][1](spark, bare, "").columns == ["doc_id", "n_tokens", "ids"]
