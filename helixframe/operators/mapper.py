@@ -563,12 +563,14 @@ def small_table(contigs: DataFrame, p: Policy):
     return contigs.sparkSession.sparkContext.broadcast(local.seed_table(list(zip(rows["contig_id"].to_pylist(), rows["sequence"].to_pylist(), strict=True)), p))
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, p: Policy, seed_index: DataFrame | None = None) -> DataFrame:
-    """Reads to alignments; ``seed_index`` may be one that was built and stored before.
+def map_reads(reads: DataFrame, contigs: DataFrame, p: Policy, seed_index: DataFrame | None = None, caps: DataFrame | None = None) -> DataFrame:
+    """Reads to alignments; ``seed_index`` may be one that was built and stored before, ``caps`` a table (mapq, cap) that bounds confidences.
 
     A reference of at most SMALL bases (which is checked) goes to every task, and a read is mapped where it is; a larger
     one is joined: seeds with the index, candidates with tiles of the contigs.  Both give the same alignments (``near_exact`` and
     ``reseed`` are only there for small references)."""
+    if caps is not None:
+        return mapq.apply_caps(map_reads(reads, contigs, p, seed_index), caps).select(*(f.split(" ")[0] for f in ALIGNMENT.split(", ")))
     table = small_table(contigs, p) if seed_index is None else None
     if table is not None:
         return judged(reads.select("read_ord", "sequence").mapInArrow(_local(table, p, False), RAW), p)
