@@ -75,10 +75,15 @@ def repeat_period(c: Column, periods: int = 8) -> Column:
 
     def holds(p):
         n = F.length(c) - p
-        same = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when(F.substring(c, i, F.lit(1)) == F.substring(c, i + p, F.lit(1)), 1).otherwise(0))
+        same = F.aggregate(
+            F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when(F.substring(c, i, F.lit(1)) == F.substring(c, i + p, F.lit(1)), 1).otherwise(0)
+        )
         return (n > 0) & (4 * same >= 3 * n)
 
-    return F.when(F.length(c) >= 6, F.get(F.filter(F.sequence(F.lit(1), F.lit(periods)), lambda p: F.when(F.length(c) > p, holds(p)).otherwise(F.lit(False))), F.lit(0)))
+    return F.when(
+        F.length(c) >= 6,
+        F.get(F.filter(F.sequence(F.lit(1), F.lit(periods)), lambda p: F.when(F.length(c) > p, holds(p)).otherwise(F.lit(False))), F.lit(0))
+    )
 
 
 def gap_cost(n: Column, open_: int = 6, extend: int = 1) -> Column:
@@ -127,6 +132,8 @@ def segments(length: Column, size: int = 2048, overlap: int = 512) -> Column:
     last = F.ceil((length - size) / step).cast("int")
     many = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("index"), F.least(i * step, length - size).cast("int").alias("start"), F.least(i * step + size, length).cast("int").alias("end")),
+        lambda i: F.struct(
+            i.alias("index"), F.least(i * step, length - size).cast("int").alias("start"), F.least(i * step + size, length).cast("int").alias("end")
+        ),
     )
     return F.when(length <= 0, F.array().cast("array<struct<index:int,start:int,end:int>>")).when(length <= size, one).otherwise(many)

@@ -133,7 +133,10 @@ def _table(df: DataFrame, key: str, of, schema: str) -> DataFrame:
                 code.append(c.astype(np.int64))
                 rc.append(r)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, code)] + [pa.array(np.concatenate(rc).astype(bool))], names=[x.split(" ")[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (ids, pos, code)] + [pa.array(np.concatenate(rc).astype(bool))],
+                    names=[x.split(" ")[0] for x in schema.split(", ")]
+                )
 
     return df.mapInArrow(run, schema)
 
@@ -152,7 +155,10 @@ def dense_kmers(contigs: DataFrame, k: int) -> DataFrame:
 def query_minimizers(reads: DataFrame, k: int, w: int, persisted: bool = False) -> DataFrame:
     """read_ord, query_pos, code, is_rc of each read's minimizers, for the in-memory or the persisted index."""
     hashed = xxh64 if persisted else splitmix
-    return _table(reads.select("read_ord", "sequence"), "read_ord", lambda s: minimizers(s, k, w, hashed, persisted), "read_ord long, query_pos long, code long, is_rc boolean")
+    return _table(
+        reads.select("read_ord", "sequence"), "read_ord", lambda s: minimizers(s, k, w, hashed, persisted),
+        "read_ord long, query_pos long, code long, is_rc boolean"
+    )
 
 
 def repeat_periods(contigs: DataFrame, size: int = 24, periods: int = 8) -> DataFrame:
@@ -178,6 +184,9 @@ def repeat_periods(contigs: DataFrame, size: int = 24, periods: int = 8) -> Data
                 found.append(least)
             if ids:
                 period = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(period, mask=period == 0)], names=["contig_id", "start", "period"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(period, mask=period == 0)],
+                    names=["contig_id", "start", "period"]
+                )
 
     return contigs.select("contig_id", "sequence").mapInArrow(run, schema)

@@ -37,5 +37,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # done when every edge leads to a node that has no smaller neighbour
         lower = now.select(F.col("a").alias("b")).distinct()
         if not (now.join(lower, "b", "left_semi").limit(1).count() or now.groupBy("a").count().where("count > 1").limit(1).count()):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
     raise RuntimeError(f"components: {rounds} rounds did not finish")

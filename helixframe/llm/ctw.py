@@ -279,7 +279,9 @@ def train(docs: DataFrame) -> Model:
         got = [(C.longs(b.column("gram")).astype(np.uint64), C.longs(b.column("n"))) for b in batches if b.num_rows]
         if got:
             key, *rest = subtrees(*map(np.concatenate, zip(*got, strict=True)))[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(x.astype(float)) for x in rest)], names=["key", "zeros", "ones", "kids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.astype(np.int64)), *(pa.array(x.astype(float)) for x in rest)], names=["key", "zeros", "ones", "kids"]
+            )
 
     first = gathered.repartition(n, "part").select("gram", "n").mapInArrow(nodes, "key long, zeros double, ones double, kids double")
     got = first.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "kids"))).orderBy("key").toArrow()
@@ -446,7 +448,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     names, inverse = np.unique(word[part], return_inverse=True)
                     learnt = np.bincount(inverse, m["out"][row[part]] == 0, len(names)).astype(np.int64)
                     pair, times = np.unique(row[part] * len(names) + inverse, return_counts=True)
-                    rows.append((k, C.pack(name=names, n=learnt), C.pack(uid=own[pair // len(names)], name=(pair % len(names)).astype(np.uint32), times=times.astype(np.uint32))))
+                    rows.append(
+                        (
+                            k, C.pack(name=names, n=learnt),
+                            C.pack(uid=own[pair // len(names)], name=(pair % len(names)).astype(np.uint32), times=times.astype(np.uint32))
+                        )
+                    )
                 yield table("bucket int, a binary, b binary", rows)
 
     def sums(batches):
@@ -471,14 +478,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 known = np.bincount(place, (c > 0) * p["times"].astype(np.int64), len(uids)).astype(np.int64)
                 done.append({"uid": uids, "log": log, "known": known})
             whole = C.joined(done)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(["size"]), pa.array([None], pa.binary()), pa.array([int(learnt.sum())], pa.int64()), pa.array([int((learnt > 0).sum())], pa.int64())], names=["part", "kind", "a", "tokens", "names"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1], pa.int32()), pa.array(["size"]), pa.array([None], pa.binary()), pa.array([int(learnt.sum())], pa.int64()),
+                    pa.array([int((learnt > 0).sum())], pa.int64())
+                ],
+                names=["part", "kind", "a", "tokens", "names"]
+            )
             part = home(whole["uid"])
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(n + 1))
             full = np.flatnonzero(np.diff(cuts))
             packs = [C.pack(**{c: whole[c][by[cuts[i] : cuts[i + 1]]] for c in PART}) for i in full]
             zero = pa.array(np.zeros(len(full), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(["part"] * len(full)), pa.array(packs, pa.binary()), zero, zero], names=["part", "kind", "a", "tokens", "names"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), pa.array(["part"] * len(full)), pa.array(packs, pa.binary()), zero, zero],
+                names=["part", "kind", "a", "tokens", "names"]
+            )
 
     def home(uid):
         """Rows of one block may go to several parts: by their own number."""

@@ -178,7 +178,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                         total = np.diff(np.concatenate([[0], number]))[row]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(_mixed(h, size, exact)), *_spread(t, first, size, exact), pa.array(before + i + row), pa.array(ids[i + row]), pa.array(total.astype(np.int32)),
+                                pa.array(
+                                    _mixed(h, size, exact)
+                                ), *_spread(t, first, size, exact), pa.array(before + i + row), pa.array(ids[i + row]), pa.array(total.astype(np.int32)),
                                 pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, exact)), pa.array((first - t.at[row]).astype(np.int32)),
                             ],
                             names=["h", "same", "values", "kinds", "item_row", "item", "total", "size", "exact", "there"],
@@ -242,7 +244,10 @@ def _passing(shared):
                         held[r].append((k, x - y, same, t.value[x : x + size].tobytes(), t.kind[x : x + size].tobytes()))
                 packs = [pickle.dumps(x) if x else None for x in held]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + j - i)), batch.column("id").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(packs, pa.binary())], names=["row", "id", "tag", "windows"]
+                    [
+                        pa.array(np.arange(row, row + j - i)), batch.column("id").slice(i, j - i), batch.column("tag").slice(i, j - i),
+                        pa.array(packs, pa.binary())
+                    ], names=["row", "id", "tag", "windows"]
                 )
                 row += j - i
 
@@ -255,7 +260,9 @@ def _unpacked(batches):
         for k in range(0, len(rows), 20_000):
             part = list(zip(*rows[k : k + 20_000], strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["row", "h", "here", "d_same", "d_values", "d_kinds"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["row", "h", "here", "d_same", "d_values", "d_kinds"]
+            )
 
 
 def decide(matches: Iterator[tuple]) -> tuple[list[int], list[int], int]:
@@ -297,7 +304,10 @@ def _decided(batches):
     def batch_of(out):
         row, items, changed, n = zip(*out, strict=True)
         lists = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(items, lists), pa.array(changed, lists), pa.array(n, pa.int64())], names=["row", "items", "changed_items", "n_matches"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row, pa.int64()), pa.array(items, lists), pa.array(changed, lists), pa.array(n, pa.int64())],
+            names=["row", "items", "changed_items", "n_matches"]
+        )
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("row", "item_row", "item", "total", "there", "here", "d_values", "d_kinds", "values")]
@@ -306,7 +316,12 @@ def _decided(batches):
                 if held:
                     out.append((row, *decide(held)))
                 row, held = r, []
-            held.append((item_row, item, total, there, here, np.frombuffer(values, np.uint64), np.frombuffer(kinds, np.uint8), np.frombuffer(theirs, np.uint64)))
+            held.append(
+                (
+                    item_row, item, total, there, here, np.frombuffer(values, np.uint64), np.frombuffer(kinds, np.uint8),
+                    np.frombuffer(theirs, np.uint64)
+                )
+            )
         if out:
             yield batch_of(out)
             out = []
@@ -320,7 +335,9 @@ def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     table = item_windows(benchmark)
     shared = spark.sparkContext.broadcast(window_filter(table))  # at most FILTER_MOST bits
     sketch = C.cut(docs.mapInArrow(_passing(shared), SKETCH), "passing")
-    own = sketch.where("windows is not null").select("row", "windows").mapInArrow(_unpacked, "row long, h long, here int, d_same binary, d_values binary, d_kinds binary")
+    own = sketch.where("windows is not null").select("row", "windows").mapInArrow(
+        _unpacked, "row long, h long, here int, d_same binary, d_values binary, d_kinds binary"
+    )
     own = C.cut(own, "windows")
     n = C.partitions(spark)
     met = C.salted_join(own, table, "h", own.count(), "row", n).where("d_same = same")
@@ -334,7 +351,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     none = F.array().cast("array<long>")
     out = rows.join(found, "row", "left").withColumn("items", F.coalesce("items", none))
     return out.select(
-        F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), "items", F.coalesce("changed_items", none).alias("changed_items"), F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches")
+        F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), "items", F.coalesce("changed_items", none).alias("changed_items"), F.coalesce(
+            "n_matches", F.lit(0).cast("long")
+        ).alias("n_matches")
     )
 
 
@@ -345,7 +364,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"__decontam_id": F.xxhash64(text), "__decontam_tag": F.crc32(text.cast("binary"))})
     rows, found = _search(keyed.select(F.col("__decontam_id").alias("id"), F.col("__decontam_tag").alias("tag"), "text"), benchmark)
-    bad = rows.join(found.where(F.size("items") > 0).select("row"), "row", "left_semi").select(F.col("id").alias("__decontam_id"), F.col("tag").alias("__decontam_tag")).distinct()
+    bad = rows.join(found.where(F.size("items") > 0).select("row"), "row", "left_semi").select(
+        F.col("id").alias("__decontam_id"), F.col("tag").alias("__decontam_tag")
+    ).distinct()
     return keyed.join(bad, ["__decontam_id", "__decontam_tag"], "left_anti").select(*docs.columns)
 
 

@@ -50,8 +50,12 @@ MIN_PAGES, BROADCAST, DEPTH = 12, 1_000_000, 64
 UNSEEN = frozenset("script style noscript template link meta input param source track".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROP_TAGS = frozenset("head nav footer aside form script style noscript iframe template svg math canvas button select option input textarea menu dialog object embed video audio map title".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
+DROP_TAGS = frozenset(
+    "head nav footer aside form script style noscript iframe template svg math canvas button select option input textarea menu dialog object embed video audio map title".split()
+)
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menus submenu footer "
     "sidebar sidebars aside widget widgets breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices notification alert popup modal overlay "
@@ -64,7 +68,10 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 #: An element of the left ends an open one of the right before it begins.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
+ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+    "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")
+}
 SCOPE = frozenset("ul ol dl table article section main body html div td th nav aside footer header form".split())
 
 #: Elements of plain text, which the tree does not remove for their small share where priors hold.
@@ -217,7 +224,12 @@ class Page:
 
     def pack(self) -> bytes:
         n = len(self.path)
-        return b"".join((np.int64(n).tobytes(), np.array(self.path, np.uint64).tobytes(), np.array(self.style, np.uint64).tobytes(), np.array(self.parent, np.int32).tobytes(), np.array(self.flags, np.uint8).tobytes()))
+        return b"".join(
+            (
+                np.int64(n).tobytes(), np.array(self.path, np.uint64).tobytes(), np.array(self.style, np.uint64).tobytes(),
+                np.array(self.parent, np.int32).tobytes(), np.array(self.flags, np.uint8).tobytes()
+            )
+        )
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -256,13 +268,20 @@ def _parse(batches):
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(html)
                 places, texts, kinds = zip(*page.blocks, strict=True) if page.blocks else ((), (), ())
-                rows.append((uid, signed(xxhash.xxh64_intdigest(host_of(url))), signed(xxhash.xxh64_intdigest("\0".join(texts))), page.pack(), texts, places, kinds))
+                rows.append(
+                    (
+                        uid, signed(xxhash.xxh64_intdigest(host_of(url))), signed(xxhash.xxh64_intdigest("\0".join(texts))), page.pack(), texts,
+                        places, kinds
+                    )
+                )
                 uid += 1
             uids, host, same, nodes, texts, places, kinds = zip(*rows, strict=True)
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uids, pa.int64()), batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(host, pa.int64()), pa.array(same, pa.int64()), pa.array(nodes, pa.binary()),
+                    pa.array(uids, pa.int64()), batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(host, pa.int64()), pa.array(same, pa.int64()), pa.array(
+                        nodes, pa.binary()
+                    ),
                     pa.array(texts, pa.list_(pa.string())), pa.array(places, ints), pa.array(kinds, ints),
                 ],
                 names=[c.split(" ")[0] for c in PARSED.split(", ")],
@@ -389,7 +408,10 @@ def _tally(n: int):
         size = len(full)
         zero = pa.array(np.zeros(size, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, WORDS, np.int32)), zero, zero, pa.array(full.astype(np.int64)), zero, pa.array(np.zeros(size, np.int32)), pa.array(names_of, pa.binary()), pa.array(packs, pa.binary())], names=_COLUMNS
+            [
+                pa.array(np.full(size, WORDS, np.int32)), zero, zero, pa.array(full.astype(np.int64)), zero, pa.array(np.zeros(size, np.int32)),
+                pa.array(names_of, pa.binary()), pa.array(packs, pa.binary())
+            ], names=_COLUMNS
         )
 
     def run(batches):
@@ -428,7 +450,9 @@ def _word_sums(batches):
         node, _, pages = _summed(parts)
         at = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[at].astype(np.int64)), pa.array(np.add.reduceat(pages, at)), pa.array(np.add.reduceat(pages * np.log(pages), at))], names=["node", "found", "lost"]
+            [
+                pa.array(node[at].astype(np.int64)), pa.array(np.add.reduceat(pages, at)), pa.array(np.add.reduceat(pages * np.log(pages), at))
+            ], names=["node", "found", "lost"]
         )
 
 
@@ -442,17 +466,26 @@ def style_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = C.cut(copies, "copies")
     if copies.limit(BROADCAST + 1).count() <= BROADCAST:  # else pages are shuffled for them
         copies = F.broadcast(copies)
-    tally = C.cut(rows.join(copies, "uid", "left_anti").select("host", "nodes", "texts", "places").withColumn("kinds", F.col("places")).mapInArrow(_tally(n), TALLY), "tally", "zstd")
+    tally = C.cut(
+        rows.join(copies, "uid", "left_anti").select(
+            "host", "nodes", "texts", "places"
+        ).withColumn("kinds", F.col("places")).mapInArrow(_tally(n), TALLY),
+        "tally", "zstd"
+    )
     hosts = tally.where(f"kind = {HOST}").groupBy(F.col("a").alias("host")).agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_PAGES)
     elements = tally.where(f"kind = {ELEMENT}").groupBy(F.col("a").alias("node")).agg(
         F.min("b").alias("parent"), F.min("c").alias("host"), F.sum("n").alias("pages"), F.max("flag").alias("holds")
     )
     elements = elements.join(hosts.select("host"), "host", "left_semi")
-    styles = tally.where(f"kind = {STYLE}").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.log("n")).alias("lost"))
+    styles = tally.where(f"kind = {STYLE}").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy(F.col("a").alias("node")).agg(
+        F.sum("n").alias("times"), F.sum(F.col("n") * F.log("n")).alias("lost")
+    )
     presentation = F.when(F.col("times") > 1, (F.log("times") - F.col("lost") / F.col("times")) / F.log("times")).otherwise(F.lit(1.0))
     words = tally.where(f"kind = {WORDS}").select("c", "names", "words").repartition(n, "c").mapInArrow(_word_sums, "node long, found long, lost double")
     words = words.groupBy("node").agg(F.sum("found").alias("found"), F.sum("lost").alias("lost")).join(elements.select("node", "pages"), "node")
-    carried = words.select(F.col("node").alias("a"), (F.col("found") - F.when(F.col("pages") > 1, F.col("lost") / F.log("pages")).otherwise(F.lit(0.0))).alias("carried"))
+    carried = words.select(
+        F.col("node").alias("a"), (F.col("found") - F.when(F.col("pages") > 1, F.col("lost") / F.log("pages")).otherwise(F.lit(0.0))).alias("carried")
+    )
     under = tally.where(f"kind = {UNDER}").select("a", "b").distinct()
     whole = under.join(carried, "a").groupBy(F.col("b").alias("node")).agg(F.sum("carried").alias("carried"))
     tree = elements.join(whole, "node", "left").join(styles.select("node", presentation.alias("presentation")), "node")
@@ -467,14 +500,20 @@ def decisions(rows: DataFrame) -> DataFrame:
     """host, id, what: the nodes where the main text is, the nodes that go, and the content nodes that go."""
     tree, tally, hosts = style_tree(rows)
     above = tree.select(F.col("node").alias("parent"), F.col("information").alias("outer"))
-    shared = tree.where("node <> parent").join(above, "parent").withColumn("share", F.when(F.col("outer") > 0, F.col("information") / F.col("outer")).otherwise(F.lit(0.0)))
+    shared = tree.where("node <> parent").join(above, "parent").withColumn(
+        "share", F.when(F.col("outer") > 0, F.col("information") / F.col("outer")).otherwise(F.lit(0.0))
+    )
     main = shared.where((F.col("share") >= DOMINANT) & (F.col("holds") == 1))
     inside = main.select("parent").distinct()
-    low = shared.join(inside, "parent", "left_semi").where((F.col("share") * (1 + F.col("presentation")) / 2 < LOW) & ((F.col("share") < DOMINANT) | (F.col("holds") == 0)))
+    low = shared.join(inside, "parent", "left_semi").where(
+        (F.col("share") * (1 + F.col("presentation")) / 2 < LOW) & ((F.col("share") < DOMINANT) | (F.col("holds") == 0))
+    )
     texts = tally.where(f"kind = {CONTENT}").groupBy(F.col("a").alias("id"), F.col("b").alias("host")).agg(F.sum("n").alias("c")).where("c > 1")
     often = C.salted_join(texts, hosts, "host", texts.count(), "id", C.partitions(rows.sparkSession)).where(1 - F.log("c") / F.log("m") < LOW_CONTENT)
     what = lambda df, k: df.select("host", "id", F.lit(k).alias("what"))
-    found = what(main.withColumnRenamed("node", "id"), MAIN_NODE).unionByName(what(low.withColumnRenamed("node", "id"), LOW_NODE)).unionByName(what(often, LOW_TEXT))
+    found = what(main.withColumnRenamed("node", "id"), MAIN_NODE).unionByName(
+        what(low.withColumnRenamed("node", "id"), LOW_NODE)
+    ).unionByName(what(often, LOW_TEXT))
     out = C.cut(found, "low-nodes")
     C.forget(tree)
     C.forget(tally)
@@ -521,8 +560,14 @@ def _texts(batch: pa.RecordBatch, ids: np.ndarray, what: np.ndarray, priors: boo
     x = Nodes(batch)
     stay = _kept(x, ids, what, priors)
     blocks = x.texts.to_pylist()
-    out = ["\n\n".join(t for t, s in zip(blocks[i:j], stay[i:j].tolist(), strict=True) if s) for i, j in zip(x.block_first[:-1].tolist(), x.block_first[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    out = [
+        "\n\n".join(t for t, s in zip(blocks[i:j], stay[i:j].tolist(), strict=True) if s) for i,
+        j in zip(x.block_first[:-1].tolist(), x.block_first[1:].tolist(), strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+        names=["page_id", "url", "text", "n_chars"]
+    )
 
 
 def _sorted(ids: list[int], what: list[int]) -> tuple[np.ndarray, np.ndarray]:

@@ -112,7 +112,9 @@ def _sketch(batches):
             packed = lambda x: pa.array([None if r < 0 else x[r].tobytes() for r in row], pa.binary())
             key = lambda c: pa.array(whole[row, c].astype(np.int64) if len(full) else np.zeros(len(row), np.int64), mask=none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), key(0), key(1), packed(short), packed(keys)], names=["doc_id", "th", "k1", "k2", "sig", "bands"]
+                [
+                    batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), key(0), key(1), packed(short), packed(keys)
+                ], names=["doc_id", "th", "k1", "k2", "sig", "bands"]
             )
 
 
@@ -181,7 +183,10 @@ def _bucket_edges(batches):
     def settle(key, x, y, block, c, sig):
         cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         ends = np.append(cuts[1:], len(key))
-        out = [bucket_edges(c[a:b], sig[a:b], least, block[a:b] != x[a]) for a, b in zip(cuts, ends, strict=True) if b - a > 1 and (x[a] == y[a] or len(set(block[a:b].tolist())) == 2)]
+        out = [
+            bucket_edges(c[a:b], sig[a:b], least, block[a:b] != x[a]) for a,
+            b in zip(cuts, ends, strict=True) if b - a > 1 and (x[a] == y[a] or len(set(block[a:b].tolist())) == 2)
+        ]
         edges = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
@@ -189,7 +194,10 @@ def _bucket_edges(batches):
         n = batch.num_rows
         if not n:
             continue
-        now = (*(C.longs(batch.column(k)) for k in ("key", "x", "y", "block", "c")), np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, HASHES))
+        now = (
+            *(C.longs(batch.column(k)) for k in ("key", "x", "y", "block", "c")),
+            np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, HASHES)
+        )
         if held is not None:
             now = tuple(np.concatenate(z) for z in zip(held, now, strict=True))
         key, x, y = now[:3]
@@ -309,7 +317,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     # one text for each class: rows that repeat it are alike
     texts = slim.join(member.select("c", "doc_id", "th"), ["doc_id", "th"]).select("c", "text").dropDuplicates(["c"])
     held = _block_pairs(member.select("root", "c", "n", "m", "sig").join(texts, "c"), "c", F.ceil(F.col("m") / F.lit(BLOCK)))
-    found = C.cut(held.select("root", "x", "y", "block", "c", "n", "sig", "text").groupBy("root", "x", "y").applyInArrow(_verify, "c long, other long, docs long, texts long"), "links")
+    found = C.cut(
+        held.select("root", "x", "y", "block", "c", "n", "sig", "text").groupBy("root", "x", "y").applyInArrow(
+            _verify, "c long, other long, docs long, texts long"
+        ),
+        "links"
+    )
     linked = found.groupBy("c").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     roots = C.cut(components(found.where("c <> other").select(F.col("c").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "c"), "roots")
     least = roots.join(classes.select("c", "doc_id"), "c").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
@@ -326,7 +339,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     rows = sketch.select("doc_id", "th", "k1", "k2")
     worded = C.join_each(rows.where("k1 is not null"), about, ["k1", "k2"], total, "n").select("doc_id", "th", "class_id", "text_id", "n_links", "n_texts")
     zero = F.lit(0).cast("long")
-    none = rows.where("k1 is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), zero.alias("n_links"), zero.alias("n_texts"))
+    none = rows.where("k1 is null").select(
+        "doc_id", "th", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), zero.alias("n_links"), zero.alias("n_texts")
+    )
     return worded.unionByName(none)
 
 
@@ -361,7 +376,8 @@ with recursive d as (
 ), rows_ as (
   select c, size, unnest(s) as shingle from classes
 ), common as (
-  select a.c as a, b.c as b, a.size as na, b.size as nb, count(*) as both_ from rows_ a join rows_ b on a.shingle = b.shingle and a.c <> b.c group by all
+  select a.c as a, b.c as b, a.size as na, b.size as nb, count(*) as both_ from rows_ a join rows_ b on a.shingle = b.shingle and a.c <> b.c group
+    by all
 ), links as (
   select a, b from common where 5 * both_ >= 4 * (na + nb - both_)
 ), reach(a, b) as (

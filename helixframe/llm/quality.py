@@ -169,7 +169,10 @@ class Found:
         return good if good.any() else yes + no > 0
 
 
-def fit(f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.ndarray, slots: int, what: str, rounds: int = 40, rate: float = 0.2, decay: float = 1e-5) -> Head:
+def fit(
+    f: tuple[np.ndarray, ...], found: Found, label: np.ndarray, held: np.ndarray, slots: int, what: str, rounds: int = 40, rate: float = 0.2,
+    decay: float = 1e-5
+) -> Head:
     """Logistic regression with classes of equal weight (Adagrad steps over all rows), then Platt's calibration on held rows."""
     row, slot, value = f  # of good slots only, as compact() gives them
     n = len(label)
@@ -257,7 +260,9 @@ SIZES = (SLOTS, TOXIC_SLOTS)
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[tuple[int, int]], DataFrame | None]:
     """The labels (quality, toxic) of the sampled rows, and their texts (row, text), written once."""
     spark = docs.sparkSession
-    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).dropna()
+    good = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")
+    ).dropna()
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length(text) <= TRAIN_BYTES)
     drawn = good.join(slim.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "_q", "_t").limit(most).collect()
@@ -278,7 +283,9 @@ def _counted(label_of: list[np.ndarray], held: np.ndarray):
                 own = ~held[row[r]]
                 for k in (0, 1):
                     to[k] += np.bincount(slot[own & (label[row[r]] == k)], minlength=to.shape[1]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(t.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for t in total], names=["quality", "toxic"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pa.compress(t.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for t in total], names=["quality", "toxic"]
+        )
 
     return run
 
@@ -405,7 +412,10 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
                 pq, pt = m.probabilities(b, o)
                 kept = ~failed & (pq >= KEEP) & (pt < TOXIC)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), *(pa.array(np.asarray(x, np.int64)) for x in c.values()), pa.array(failed), pa.array(pq), pa.array(pt), pa.array(kept)],
+                    [
+                        batch.column("doc_id").slice(i, j - i), *(pa.array(np.asarray(x, np.int64)) for x in c.values()), pa.array(failed),
+                        pa.array(pq), pa.array(pt), pa.array(kept)
+                    ],
                     names=["doc_id", *c, "base_failed", "p_quality", "p_toxic", "kept"],
                 )
 

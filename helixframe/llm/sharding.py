@@ -8,7 +8,8 @@ by joining their prefixes with the directory, one equi-join for each STEP of dep
 
 A shard fits the limit unless it is a single row (one text over the limit: a shard of its own,
 ``oversized``) or holds rows with one hash, that is, repeated rows: those are cut into numbered
-volumes by the number of copies that fit (copies are counted in parallel parts, so some volumes are not full).  Null and empty texts weigh ROW_BYTES, as every row does
+volumes by the number of copies that fit (copies are counted in parallel parts, so some volumes are not full).  Null and empty texts weigh
+  ROW_BYTES, as every row does
 beside its text; null ids hash as such.
 """
 
@@ -49,7 +50,9 @@ def _directory(weights: DataFrame, limit: int) -> DataFrame:
         for d in range(depth, depth + step + 1):
             prefix = F.shiftrightunsigned("hash", BITS - d)
             at = at.withColumn(f"p{d}", prefix)
-        sums = at.groupBy(f"p{depth + step}").agg(*(F.first(f"p{d}").alias(f"p{d}") for d in range(depth, depth + step)), F.sum("w").alias("w"), F.count("*").alias("k"))
+        sums = at.groupBy(f"p{depth + step}").agg(
+            *(F.first(f"p{d}").alias(f"p{d}") for d in range(depth, depth + step)), F.sum("w").alias("w"), F.count("*").alias("k")
+        )
         # weights of shorter prefixes are sums of those of longer ones: at most 2**STEP rows for each open bucket
         for d in range(depth, depth + step):
             own = Window.partitionBy(f"p{d}")
@@ -62,7 +65,12 @@ def _directory(weights: DataFrame, limit: int) -> DataFrame:
         leaves = closed if leaves is None else leaves.unionByName(closed)
         still = level.where("depth is null").select("prefix")
         depth += step
-        rest = C.cut(open_.withColumn("prefix", F.shiftrightunsigned("hash", BITS - depth)).join(still, "prefix", "left_semi").select("hash", "w", "n", "depth"), "open")
+        rest = C.cut(
+            open_.withColumn(
+                "prefix", F.shiftrightunsigned("hash", BITS - depth)
+            ).join(still, "prefix", "left_semi").select("hash", "w", "n", "depth"),
+            "open"
+        )
         C.forget(open_)
         open_ = rest
         if open_.limit(1).count() == 0:
@@ -101,7 +109,9 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, shard (bits of the prefix, '' at depth 0), depth, volume, oversized."""
     rows = C.cut(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "rows")
     return _placed(rows, limit).select(
-        "doc_id", F.col(_BYTES).alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__shard_depth").alias("depth"), F.col("__shard_volume").alias("volume"), F.col("__shard_oversized").alias("oversized")
+        "doc_id", F.col(_BYTES).alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__shard_depth").alias("depth"), F.col("__shard_volume").alias("volume"), F.col(
+            "__shard_oversized"
+        ).alias("oversized")
     )
 
 
@@ -125,9 +135,11 @@ with r as (
 ), b as (
   select d, h >> ({BITS} - d) as prefix, sum(n_bytes) as w, count(distinct h) as n from r, range(0, 33) as t(d) group by all
 ), f as (
-  select k, doc_id, n_bytes, h, min(b.d) as depth from r, range(0, 33) as t(x) join b on b.d = x and b.prefix = h >> ({BITS} - x) where w <= {LIMIT} or n = 1 group by all
+  select k, doc_id, n_bytes, h, min(b.d) as depth from r, range(0, 33) as t(x) join b on b.d = x and b.prefix = h >> ({BITS} - x) where w <=
+    {LIMIT} or n = 1 group by all
 )
-select doc_id, n_bytes, substr(lpad(bin(h), {BITS}, '0'), 1, depth::int) as shard, depth::int as depth, 0::bigint as volume, n_bytes > {LIMIT} as oversized from f
+select doc_id, n_bytes, substr(lpad(bin(h), {BITS}, '0'), 1, depth::int) as shard, depth::int as depth, 0::bigint as volume, n_bytes > {LIMIT} as
+  oversized from f
 """
 
 

@@ -132,7 +132,10 @@ def with_pack(rows: pa.RecordBatch, bucket=None) -> pa.RecordBatch:
     """Rows of results carry no pack; they pass through a bucket of their own number, or stay in one."""
     n = rows.num_rows
     own = np.arange(n, dtype=np.int32) if bucket is None else np.full(n, bucket, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), *rows.columns], names=["bucket", "turn", "low", "pack", *rows.schema.names])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(own), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), *rows.columns],
+        names=["bucket", "turn", "low", "pack", *rows.schema.names]
+    )
 
 
 def pack_rows(bucket, low, packs) -> pa.RecordBatch:
@@ -183,7 +186,9 @@ class FingerprintIndex:
         for name, _ in self.runs:
             if not self.spark.catalog.tableExists(name):
                 columns = RUN + ", " + PARTS + ", is_run boolean"
-                self.spark.sql(f"create table {name} ({columns}) using parquet partitioned by (is_run) clustered by (bucket) into {self.buckets} buckets location '{self.path}/{name}'")
+                self.spark.sql(
+                    f"create table {name} ({columns}) using parquet partitioned by (is_run) clustered by (bucket) into {self.buckets} buckets location '{self.path}/{name}'"
+                )
                 self.spark.sql(f"msck repair table {name}")
 
     def _save(self) -> None:
@@ -204,7 +209,9 @@ class FingerprintIndex:
         return name
 
     def _rows(self, name: str, turn: int) -> DataFrame:
-        return self.spark.table(name).where("is_run").select("bucket", F.lit(turn).alias("turn"), "low", "pack", *(F.lit(0).cast(t).alias(c) for c, t in (x.split(" ") for x in PARTS.split(", "))))
+        return self.spark.table(name).where("is_run").select(
+            "bucket", F.lit(turn).alias("turn"), "low", "pack", *(F.lit(0).cast(t).alias(c) for c, t in (x.split(" ") for x in PARTS.split(", ")))
+        )
 
     def add(self, docs: DataFrame, weight: int = 1) -> DataFrame:
         """Merge-join a batch with the runs, write its run, compact; returns decided and open parts (PARTS).
@@ -223,7 +230,9 @@ class FingerprintIndex:
         if len(self.runs) > FANOUT:
             self.compact()
         self._save()
-        return self.spark.read.schema(STEP + ", is_run boolean").parquet(f"{self.path}/{name}").where("not is_run").select(*(x.split(" ")[0] for x in PARTS.split(", ")))
+        return self.spark.read.schema(STEP + ", is_run boolean").parquet(f"{self.path}/{name}").where("not is_run").select(
+            *(x.split(" ")[0] for x in PARTS.split(", "))
+        )
 
     def compact(self) -> None:
         """Merge the two smallest runs, bucket by bucket, without a shuffle. Results that were given out stay readable."""
@@ -401,8 +410,13 @@ def resolve(docs: DataFrame, parts: DataFrame) -> DataFrame:
             text = np.full(int(long.sum()), 32, np.uint8)
             text[C.runs_to_rows(np.cumsum(long) - long, long - 1)] = buf[C.runs_to_rows(starts[w], long - 1)]
             n_bytes = length[first[own] + size[own]] - length[first[own]]
-            head = C.pack(did=did[row[own]], crc=crc[row[own]].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8), gram=gram[own], size=n_bytes.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([text.tobytes()], pa.binary())], names=["bucket", "head", "data"])
+            head = C.pack(
+                did=did[row[own]], crc=crc[row[own]].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8), gram=gram[own],
+                size=n_bytes.astype(np.uint32)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([text.tobytes()], pa.binary())], names=["bucket", "head", "data"]
+            )
 
     def compare(batches):
         held: dict[int, list] = {}
@@ -535,7 +549,8 @@ with d as (
   select doc_id, count(*) as n_words, count(gone.i) as n_removed, string_agg(word, ' ' order by i) filter (gone.i is null) as rest
   from every left join gone using (doc_id, i) group by doc_id
 )
-select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join kept using (doc_id)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from
+  d left join kept using (doc_id)
 """
 
 

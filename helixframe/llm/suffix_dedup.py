@@ -50,7 +50,9 @@ def leading(buf: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [t[:, 0].copy(), t[:, 1].copy(), t[:, 2].copy()]
 
 
-def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> Iterator[
+    tuple[dict[str, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]
+]:
     """Records of each block of texts, with the block's bytes, the windows' places in them and the texts' rows."""
     for i, j in C.blocks(offs, BLOCK):
         long = j == i + 1 and offs[j] - offs[i] > PIECE
@@ -72,7 +74,9 @@ def records(did: np.ndarray, crc: np.ndarray, buf: np.ndarray, offs: np.ndarray)
 
 def earlier_first(r: dict[str, np.ndarray]) -> np.ndarray:
     """Order by (did, crc, first)."""
-    ascending = (r["did"][1:] > r["did"][:-1]) | ((r["did"][1:] == r["did"][:-1]) & ((r["crc"][1:] > r["crc"][:-1]) | ((r["crc"][1:] == r["crc"][:-1]) & (r["first"][1:] >= r["first"][:-1]))))
+    ascending = (r["did"][1:] > r["did"][:-1]) | (
+        (r["did"][1:] == r["did"][:-1]) & ((r["crc"][1:] > r["crc"][:-1]) | ((r["crc"][1:] == r["crc"][:-1]) & (r["first"][1:] >= r["first"][:-1])))
+    )
     return np.arange(len(r["did"])) if ascending.all() else np.lexsort((r["first"], r["crc"], r["did"]))
 
 
@@ -122,7 +126,10 @@ def merged(did: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray)
 def part_rows(did, crc, kind, first, count, back) -> pa.RecordBatch:
     n = len(did)
     return pa.RecordBatch.from_arrays(
-        [pa.array(did, pa.int64()), pa.array(np.asarray(crc, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(first, np.int64)), pa.array(np.asarray(count, np.int32)), pa.array(np.asarray(back, np.int32))],
+        [
+            pa.array(did, pa.int64()), pa.array(np.asarray(crc, np.int64)), pa.array(np.full(n, kind, np.int32)),
+            pa.array(np.asarray(first, np.int64)), pa.array(np.asarray(count, np.int32)), pa.array(np.asarray(back, np.int32))
+        ],
         names=["did", "crc", "kind", "first", "count", "back"],
     )
 
@@ -219,7 +226,10 @@ def removed_parts(docs: DataFrame) -> DataFrame:
         heads, gone, _ = decide(C.joined(parts))
         del parts
         rows = removal_rows(gone)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.num_rows, dtype=np.int32) % n), pa.nulls(rows.num_rows, pa.binary()), *rows.columns], names=["bucket", "blob", *rows.schema.names])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(rows.num_rows, dtype=np.int32) % n), pa.nulls(rows.num_rows, pa.binary()), *rows.columns],
+            names=["bucket", "blob", *rows.schema.names]
+        )
         t = [heads["t1"], heads["t2"], heads["t3"]]
         bucket = np.where(heads["t3"] == C.U64(2**64 - 1), (heads["t2"] % C.U64(n)).astype(np.int64), cuts.bucket(t))
         by = np.argsort(bucket, kind="stable")
@@ -227,7 +237,10 @@ def removed_parts(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(np.diff(ends))
         blobs = [C.pack(**{k: v[by[ends[i] : ends[i + 1]]] for k, v in heads.items()}) for i in full]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(len(full), x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))],
+            [
+                pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()),
+                *(pa.nulls(len(full), x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))
+            ],
             names=["bucket", "blob", "did", "crc", "kind", "first", "count", "back"],
         )
 
@@ -274,8 +287,13 @@ def compare(texts: DataFrame, cuts: Splitters, n: int) -> DataFrame:
                 own = by[ends[i] : ends[i + 1]]
                 size = c[own] - 1 + WINDOW
                 data = buf[C.runs_to_rows(start[own], size)].tobytes()
-                head = C.pack(did=did[own], crc=crc[own].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8), back=k[own].astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([data], pa.binary())], names=["bucket", "head", "data"])
+                head = C.pack(
+                    did=did[own], crc=crc[own].astype(np.uint32), first=f[own].astype(np.uint32), count=c[own].astype(np.uint8),
+                    back=k[own].astype(np.uint8)
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([head], pa.binary()), pa.array([data], pa.binary())], names=["bucket", "head", "data"]
+                )
 
     def sort(batches):
         held: dict[int, list] = {}
@@ -374,7 +392,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             spans = spans_of(batch.column(REMOVED))
             data = [buf[offs[i] : offs[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offs)), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([kept_bytes(d, s) for d, s in zip(data, spans, strict=True)], pa.binary())],
+                [
+                    batch.column("doc_id"), pa.array(np.diff(offs)), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
+                    pa.array([len(s) for s in spans], pa.int64()), pa.array([kept_bytes(d, s) for d, s in zip(data, spans, strict=True)], pa.binary())
+                ],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
@@ -421,16 +442,20 @@ with d as (
 ), starts as (
   select doc_id, p, p - lag(p) over (partition by doc_id order by p) as step from windows join first using (m) where row(doc_id, p) > f
 ), runs as (
-  select doc_id, p, sum(case when step is null or step > {WINDOW} then 1 else 0 end) over (partition by doc_id order by p rows unbounded preceding) as run from starts
+  select doc_id, p, sum(case when step is null or step > {WINDOW} then 1 else 0 end) over (partition by doc_id order by p rows unbounded preceding)
+    as run from starts
 ), spans as (
   select doc_id, run, min(p) as s, max(p) + {WINDOW} as e from runs group by doc_id, run
 ), pieces as (
-  select doc_id, s, e, x, substr(x, 2 * coalesce(lag(e) over (partition by doc_id order by s), 0) + 1, 2 * (s - coalesce(lag(e) over (partition by doc_id order by s), 0))) as piece
+  select doc_id, s, e, x, substr(x, 2 * coalesce(lag(e) over (partition by doc_id order by s), 0) + 1, 2 * (s - coalesce(lag(e) over (partition by
+    doc_id order by s), 0))) as piece
   from spans join d using (doc_id)
 ), kept as (
-  select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(piece, '' order by s) || substr(any_value(x), 2 * max(e) + 1) as rest from pieces group by doc_id
+  select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(piece, '' order by s) || substr(any_value(x), 2 * max(e) + 1) as
+    rest from pieces group by doc_id
 )
-select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, x))) as kept_sha256 from d left join kept using (doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, x)))
+  as kept_sha256 from d left join kept using (doc_id)
 """
 
 

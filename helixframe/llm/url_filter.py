@@ -60,7 +60,12 @@ def stack_changes(rules: DataFrame) -> DataFrame:
         .agg(F.max("verdict").alias("verdict"))  # 'block' sorts after 'allow'
     )
     hosts = own.select("host").distinct().withColumn("labels", F.split("host", r"\."))
-    climb = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("up", "ancestor"))
+    climb = hosts.select(
+        "host",
+        F.posexplode(
+            F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+        ).alias("up", "ancestor")
+    )
     entry = F.struct(
         (-F.length("ancestor")).alias("h"), (-F.length("path")).alias("p"), F.col("path"), F.concat("ancestor", "path").alias("rule"), F.col("verdict")
     )
@@ -80,7 +85,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     """page_id, host, path, rule (null if none fits) and verdict for each row of pages (page_id, url)."""
     n = C.partitions(pages.sparkSession)
     host, path = parts(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("deal"))
+    urls = pages.select("page_id", "url").select(
+        "page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("deal")
+    )
     urls = urls.select("*", F.element_at(F.split("host", r"\."), -1).alias("label"), reversed_host(F.col("host")).alias("key"), F.lit(2).alias("kind"))
     limit = C.hot_limit(pages.count())
     hot = F.broadcast(urls.groupBy("label").count().where(F.col("count") > limit).select("label", F.lit(True).alias("hot")))  # at most C.HOT_KEYS

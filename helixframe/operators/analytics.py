@@ -25,7 +25,10 @@ def mapq_caps(observations: DataFrame, z: float = Z) -> DataFrame:
 
 def calibration(observations: DataFrame) -> DataFrame:
     """One row: placements, errors seen, and errors that the confidences expect."""
-    return observations.agg(F.count("*").alias("mapped"), F.sum("wrong").alias("errors"), F.round(F.sum(F.pow(F.lit(10.0), -F.col("mapq") / 10.0)), 6).alias("expected_errors"))
+    return observations.agg(
+        F.count("*").alias("mapped"), F.sum("wrong").alias("errors"),
+        F.round(F.sum(F.pow(F.lit(10.0), -F.col("mapq") / 10.0)), 6).alias("expected_errors")
+    )
 
 
 def judged(alignments: DataFrame, truth: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -33,7 +36,14 @@ def judged(alignments: DataFrame, truth: DataFrame, tolerance: int = 0) -> DataF
 
     wrong is 0 or 1, and null with a null mapq for a read that was not mapped; where both sides have an ``end``, it counts too.  A mapped read
     that the truth does not know fails the job."""
-    t = truth.select("read", *(F.col(c).alias(f"t_{c}") for c in ("contig", "start", "strand", *(["end"] if {"end"} <= set(truth.columns) & set(alignments.columns) else []))))
+    t = truth.select(
+        "read",
+        *(
+            F.col(c).alias(f"t_{c}") for c in (
+                "contig", "start", "strand", *(["end"] if {"end"} <= set(truth.columns) & set(alignments.columns) else [])
+            )
+        )
+    )
     right = (F.col("contig") == F.col("t_contig")) & (F.col("strand") == F.col("t_strand")) & (F.abs(F.col("start") - F.col("t_start")) <= tolerance)
     if "t_end" in t.columns:
         right = right & (F.abs(F.col("end") - F.col("t_end")) <= tolerance)
@@ -80,7 +90,9 @@ def run_summary(reads: DataFrame, placements: DataFrame) -> DataFrame:
     joined = reads.select("read_ord", F.length("sequence").alias("n")).join(placements.select("read_ord", "ref_start", "ref_end"), "read_ord", "left")
     mapped = F.col("ref_start").isNotNull()
     return joined.agg(
-        F.count("*").alias("reads"), F.sum(mapped.cast("long")).alias("mapped"), F.sum((~mapped).cast("long")).alias("unmapped"), F.sum(F.coalesce(F.col("ref_end") - F.col("ref_start"), F.lit(0))).alias("aligned_bases")
+        F.count("*").alias("reads"), F.sum(mapped.cast("long")).alias("mapped"), F.sum((~mapped).cast("long")).alias("unmapped"), F.sum(
+            F.coalesce(F.col("ref_end") - F.col("ref_start"), F.lit(0))
+        ).alias("aligned_bases")
     )
 
 
@@ -92,13 +104,18 @@ def variant_differences(a: DataFrame, b: DataFrame, window: int = 50) -> DataFra
     near = b.select("contig", F.col("pos").alias("near"), F.explode(F.array(*(F.floor(F.col("pos") / window) + d for d in (-1, 0, 1)))).alias("bin"))
     met = lost.withColumn("bin", F.floor(F.col("pos") / window)).join(near, ["contig", "bin"], "left")
     close = F.abs(F.col("near") - F.col("pos"))
-    return met.groupBy("contig", "pos", "ref", "alt").agg(F.min(F.when(close <= window, close)).alias("distance")).withColumn("kind", F.when(F.col("distance").isNull(), "missed").otherwise("shifted"))
+    return met.groupBy("contig", "pos", "ref", "alt").agg(F.min(F.when(close <= window, close)).alias("distance")).withColumn(
+        "kind", F.when(F.col("distance").isNull(), "missed").otherwise("shifted")
+    )
 
 
 def unit_of(c):
     """The least number of letters that a string repeats, a whole number of times; its length if it repeats none."""
     n = F.length(c)
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), lambda p: (n % p == 0) & (F.repeat(F.substring(c, F.lit(1), p), (n / p).cast("int")) == c) & (p < n))
+    fits = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))),
+        lambda p: (n % p == 0) & (F.repeat(F.substring(c, F.lit(1), p), (n / p).cast("int")) == c) & (p < n)
+    )
     return F.coalesce(F.get(fits, F.lit(0)), n)
 
 
@@ -109,9 +126,17 @@ def indel_disagreements(truth: DataFrame, calls: DataFrame, window: int = 50) ->
     units too short or too long), length, or spelling; shifted: one, elsewhere.  The near join is on bins."""
     key = ["contig", "pos", "ref", "alt"]
     lost = truth.join(calls, key, "left_anti")
-    near = calls.select("contig", F.col("pos").alias("at"), F.struct("ref", "alt").alias("call"), F.explode(F.array(*(F.floor(F.col("pos") / window) + d for d in (-1, 0, 1)))).alias("bin"))
+    near = calls.select(
+        "contig", F.col("pos").alias("at"), F.struct("ref", "alt").alias("call"),
+        F.explode(F.array(*(F.floor(F.col("pos") / window) + d for d in (-1, 0, 1)))).alias("bin")
+    )
     met = lost.withColumn("bin", F.floor(F.col("pos") / window)).join(near, ["contig", "bin"], "left").where("at is null or abs(at - pos) <= " + str(window))
-    some = lost.join(met.where("at is not null").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.when(F.col("at") == F.col("pos"), F.col("call"))).alias("same")), key, "left")
+    some = lost.join(
+        met.where("at is not null").groupBy(*key).agg(
+            F.count("*").alias("n"), F.min(F.when(F.col("at") == F.col("pos"), F.col("call"))).alias("same")
+        ),
+        key, "left"
+    )
     grown = F.length("alt") - F.length("ref")
     payload = F.when(grown > 0, F.substring("alt", 2, 1 << 20)).otherwise(F.substring("ref", 2, 1 << 20))
     gap = F.abs(grown) - F.abs(F.length("same.alt") - F.length("same.ref"))
@@ -124,4 +149,6 @@ def indel_disagreements(truth: DataFrame, calls: DataFrame, window: int = 50) ->
 def indel_kind(ref, alt, other_ref, other_alt):
     """How two indel calls at one place disagree: copy number, length or spelling."""
     grow, other = F.length(alt) - F.length(ref), F.length(other_alt) - F.length(other_ref)
-    return F.when((ref == other_ref) & (alt == other_alt), "same").when(F.signum(grow) != F.signum(other), "direction").when(grow != other, "length").otherwise("spelling")
+    return F.when(
+        (ref == other_ref) & (alt == other_alt), "same"
+    ).when(F.signum(grow) != F.signum(other), "direction").when(grow != other, "length").otherwise("spelling")

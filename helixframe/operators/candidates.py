@@ -50,7 +50,9 @@ def clusters(hits: DataFrame, reads: DataFrame, p: Policy) -> DataFrame:
     some = each.where(F.col("supporting_segments") >= p.min_segments).withColumns({"diagonal_mean": mean, "diagonal_median": median})
 
     def end(which):
-        near = lambda x: F.least(F.abs(x["diagonal"] - F.col("diagonal_mean")), F.abs(x["diagonal"] - F.col("diagonal_median").cast("long"))) <= p.diagonal_tolerance
+        near = lambda x: F.least(
+            F.abs(x["diagonal"] - F.col("diagonal_mean")), F.abs(x["diagonal"] - F.col("diagonal_median").cast("long"))
+        ) <= p.diagonal_tolerance
         return F.exists("ends", lambda x: (x["segment_index"] == which) & near(x))
 
     support = F.when(end(LEFT) & end(RIGHT), "both").when(end(LEFT), "left").when(end(RIGHT), "right").otherwise("internal")
@@ -59,7 +61,9 @@ def clusters(hits: DataFrame, reads: DataFrame, p: Policy) -> DataFrame:
     score = F.col("supporting_segments") * 100 + F.col("unique_probes") * 10 + F.col("n_hits") + bonus
     return sized.select(
         "read_ord", "contig_id", "q_start", "q_end", "ref_start", "ref_end", "is_rc", "supporting_segments", "unique_probes", "n_hits",
-        "sum_frequency", "best_probe_frequency", "diagonal_mean", F.col("diagonal_median").cast("long").alias("diagonal_median"), "endpoint_support", score.alias("score"), "read_len",
+        "sum_frequency", "best_probe_frequency", "diagonal_mean", F.col(
+            "diagonal_median"
+        ).cast("long").alias("diagonal_median"), "endpoint_support", score.alias("score"), "read_len",
     )
 
 

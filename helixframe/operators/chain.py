@@ -73,7 +73,9 @@ def without_contained(anchors: np.ndarray, most: int) -> np.ndarray:
         gone = np.zeros(len(anchors), bool)
         for k in range(0, len(anchors), 512):
             a = anchors[k : k + 512, None]
-            inside = (better[:, QUERY] <= a[..., QUERY]) & (better[:, QUERY_END] >= a[..., QUERY_END]) & (better[:, REF] <= a[..., REF]) & (better[:, REF_END] >= a[..., REF_END])
+            inside = (better[:, QUERY] <= a[..., QUERY]) & (
+                better[:, QUERY_END] >= a[..., QUERY_END]
+            ) & (better[:, REF] <= a[..., REF]) & (better[:, REF_END] >= a[..., REF_END])
             inside &= np.arange(len(better)) < np.arange(k, k + len(a))[:, None]
             gone[k : k + 512] = inside.any(1)
         anchors = anchors[~gone]
@@ -141,7 +143,10 @@ def _joined(sets: list[np.ndarray], p: Policy) -> list[tuple[np.ndarray, np.ndar
         dq, dr = own[..., QUERY] - b[..., QUERY], own[..., REF] - b[..., REF]
         gap = np.abs(dq - dr)
         ok &= (dr > 0) & (dr <= p.max_dist) & (gap <= max(p.diagonal_tolerance, 0))
-        fresh = np.where(own[..., QUERY] >= b[..., QUERY_END], own[..., SCORE], np.clip(np.minimum(own[..., QUERY_END] - b[..., QUERY_END], own[..., SCORE]), 0, None))
+        fresh = np.where(
+            own[..., QUERY] >= b[..., QUERY_END], own[..., SCORE],
+            np.clip(np.minimum(own[..., QUERY_END] - b[..., QUERY_END], own[..., SCORE]), 0, None)
+        )
         cost = np.float32(0.5) * gap.astype(np.float32) + np.float32(0.5) * fast_log2((gap + 1).astype(np.float32))
         total = np.where(ok, dp[row, j] + fresh - np.where(gap > 0, cost.astype(np.int64), 0), -(1 << 60))
         k = total.argmax(1)
@@ -182,7 +187,10 @@ def built(a: np.ndarray, read_length: int) -> Chain:
         score -= min((left + right) // 10, 200)
     size = a[:, QUERY_END] - a[:, QUERY]
     gaps = lambda s, e: int(max(0, (a[1:, s] - a[:-1, e]).max())) if len(a) > 1 else 0
-    return Chain(a, score, left, int(a[-1, QUERY_END]), int(a[:, REF].min()), int(a[:, REF_END].max()), int(size.sum()), int(size.max()), gaps(QUERY, QUERY_END), gaps(REF, REF_END))
+    return Chain(
+        a, score, left, int(a[-1, QUERY_END]), int(a[:, REF].min()), int(a[:, REF_END].max()), int(size.sum()), int(size.max()),
+        gaps(QUERY, QUERY_END), gaps(REF, REF_END)
+    )
 
 
 def bridge(left: Chain, right: Chain, read_length: int, p: Policy, context: int = 512, overlap: int = 256) -> Chain | None:

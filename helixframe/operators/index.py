@@ -63,9 +63,15 @@ def _packed(k: int, most: int, n: int, asked):
         hits = dict(packs.dealt(_home(r["code"], n), n))
         rest = dict(packs.dealt(_home(codes, n), n))
         none = np.empty(0, np.int64)
-        out = [(b, packs.pack(**{c: v[at] for c, v in r.items()}), packs.pack(code=codes[rest.get(b, none)], others=others[rest.get(b, none)])) for b, at in hits.items()]
+        out = [
+            (b, packs.pack(**{c: v[at] for c, v in r.items()}), packs.pack(code=codes[rest.get(b, none)], others=others[rest.get(b, none)])) for b,
+            at in hits.items()
+        ]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "hits", "others"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
+            names=["bucket", "hits", "others"]
+        )
 
     def run(batches):
         parts, held = [], 0
@@ -116,9 +122,14 @@ def _bucket(most: int):
             for i in range(0, len(codes), 20_000):
                 j = min(i + 20_000, len(codes))
                 own = slice(ends[i], ends[j])
-                fields = pa.StructArray.from_arrays([pa.array(r["contig_id"][own]), pa.array(r["ref_pos"][own]), pa.array(r["is_rc"][own].astype(bool))], ["contig_id", "ref_pos", "is_rc"])
+                fields = pa.StructArray.from_arrays(
+                    [pa.array(r["contig_id"][own]), pa.array(r["ref_pos"][own]), pa.array(r["is_rc"][own].astype(bool))],
+                    ["contig_id", "ref_pos", "is_rc"]
+                )
                 lists = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), fields)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i:j]), pa.array(many[i:j]), pa.array(many[i:j] > most), lists], names=["code", "total", "capped", "hits"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes[i:j]), pa.array(many[i:j]), pa.array(many[i:j] > most), lists], names=["code", "total", "capped", "hits"]
+                )
 
     return run
 
@@ -198,6 +209,8 @@ def summary(contigs: DataFrame, index: DataFrame, k: int, cap: int) -> DataFrame
     """One row: contigs, bases, seeds, places, stored places, seeds over the cap."""
     a = contigs.agg(F.count("*").alias("contigs"), F.sum(F.length("sequence")).alias("bases"))
     b = index.agg(
-        F.count("*").alias("seeds"), F.sum("total").alias("places"), F.sum(F.size("hits")).alias("stored"), F.sum(F.col("capped").cast("long")).alias("capped_seeds"), F.max("total").alias("max_total")
+        F.count("*").alias("seeds"), F.sum("total").alias("places"), F.sum(F.size("hits")).alias("stored"), F.sum(
+            F.col("capped").cast("long")
+        ).alias("capped_seeds"), F.max("total").alias("max_total")
     )
     return a.crossJoin(b).withColumns({"k": F.lit(k), "max_stored_hits": F.lit(cap)})  # one row each

@@ -146,7 +146,9 @@ def candidates_of(n: int, hits: tuple[np.ndarray, ...], p: Policy) -> list[dict]
         bonus = endpoint_bonus(support, n)
         different = len(set(zip(code[own].tolist(), place[own].tolist(), strict=True)))
         out.append({
-            "contig_id": int(contig[a]), "is_rc": bool(rc[a]), "q_start": int(place[own].min()), "q_end": int(place[own].max()) + p.k, "ref_start": int(ref[own].min()),
+            "contig_id": int(contig[a]), "is_rc": bool(rc[a]), "q_start": int(
+                place[own].min()
+            ), "q_end": int(place[own].max()) + p.k, "ref_start": int(ref[own].min()),
             "ref_end": int(ref[own].max()) + p.k, "support": support, "bonus": bonus, "score": len(parts) * 100 + different * 10 + (b - a) + bonus,
         })
     out.sort(key=lambda c: (-c["score"], c["contig_id"], c["ref_start"], c["ref_end"], c["is_rc"]))
@@ -236,7 +238,9 @@ def voted(s: Seeds, table: SeedTable, intervals: list[tuple[int, int]], p: Polic
         span, name = end - start, int(keys[k, 0])
         low, high = max(0, int(mine.min()) - span), min(len(table.contigs[name]), int(mine.max()) + p.k + span)
         out.append({
-            "contig_id": name, "is_rc": bool(keys[k, 1]), "q_start": start, "q_end": end, "ref_start": low, "ref_end": high, "support": "internal", "bonus": endpoint_bonus("internal", 0),
+            "contig_id": name, "is_rc": bool(keys[k, 1]), "q_start": start, "q_end": end, "ref_start": low, "ref_end": high, "support": "internal", "bonus": endpoint_bonus(
+                "internal", 0
+            ),
             "score": span, "offset": low, "window": table.contigs[name][low:high],
         })
     return out

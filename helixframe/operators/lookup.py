@@ -14,7 +14,10 @@ def seeds_with_totals(seeds: DataFrame, index: DataFrame) -> DataFrame:
     """Each query seed with total, stored hits and completeness (complete, sampled, absent). No hit list is read."""
     about = index.select("code", "total", F.size("hits").alias("stored"), "capped")
     kind = F.when(F.col("total").isNull(), "absent").when(F.col("capped"), "sampled").otherwise("complete")
-    return seeds.join(about, "code", "left").select("read_ord", "query_pos", "is_rc", "code", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("stored", F.lit(0)).alias("stored"), kind.alias("completeness"))
+    return seeds.join(about, "code", "left").select(
+        "read_ord", "query_pos", "is_rc", "code", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("stored", F.lit(0)).alias("stored"),
+        kind.alias("completeness")
+    )
 
 
 def seed_hits(seeds: DataFrame, index: DataFrame, most: int = 128) -> DataFrame:
@@ -48,7 +51,10 @@ def exact_placements(reads: DataFrame, seeds: DataFrame, index: DataFrame, conti
     return best.select("read_ord", "b.contig_id", "b.ref_start", "b.ref_end", "b.is_rc")
 
 
-def two_ended_loci(reads: DataFrame, looked_up: DataFrame, index: DataFrame, k: int, window: int = 1000, seeds: int = 8, hits: int = 32, drift: int = 1000, band: int = 2000, loci: int = 8) -> DataFrame:
+def two_ended_loci(
+    reads: DataFrame, looked_up: DataFrame, index: DataFrame, k: int, window: int = 1000, seeds: int = 8, hits: int = 32, drift: int = 1000,
+    band: int = 2000, loci: int = 8
+) -> DataFrame:
     """Loci where seeds of both ends of a read lie about as far apart as on the read.
 
     read_ord, contig_id, is_rc, band, drift and the coordinates of the tightest pair; the ``loci`` tightest bands.
@@ -57,19 +63,27 @@ def two_ended_loci(reads: DataFrame, looked_up: DataFrame, index: DataFrame, k:
     usable = looked_up.where((F.col("completeness") == "complete") & F.col("total").between(1, hits)).join(reads.select("read_ord", n.alias("n")), "read_ord")
     sides = usable.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     inside = sides.where(
-        F.when(F.col("side") == 0, F.col("query_pos") + k <= F.least(F.lit(window), F.col("n"))).otherwise(F.col("query_pos") >= F.greatest(F.col("n") - window, F.lit(0)))
+        F.when(
+            F.col("side") == 0, F.col("query_pos") + k <= F.least(F.lit(window), F.col("n"))
+        ).otherwise(F.col("query_pos") >= F.greatest(F.col("n") - window, F.lit(0)))
     )
     order = Window.partitionBy("read_ord", "side").orderBy("total", "query_pos", "code")
     some = inside.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= seeds)
     placed = some.join(index.select("code", F.explode("hits").alias("h")), "code").select(
-        "read_ord", "side", F.col("query_pos").alias("q"), F.col("h.contig_id").alias("contig_id"), F.col("h.ref_pos").alias("r"), (F.col("is_rc") != F.col("h.is_rc")).alias("is_rc")
+        "read_ord", "side", F.col("query_pos").alias("q"), F.col("h.contig_id").alias("contig_id"), F.col("h.ref_pos").alias("r"), (
+            F.col("is_rc") != F.col("h.is_rc")
+        ).alias("is_rc")
     )
     left = placed.where("side = 0").select("read_ord", "contig_id", "is_rc", F.col("q").alias("q1"), F.col("r").alias("r1"))
     right = placed.where("side = 1").select("read_ord", "contig_id", "is_rc", F.col("q").alias("q2"), F.col("r").alias("r2"))
     far = F.when(F.col("is_rc"), F.col("r1") - F.col("r2")).otherwise(F.col("r2") - F.col("r1"))
-    pairs = left.join(right, ["read_ord", "contig_id", "is_rc"]).where("q2 > q1").withColumn("drift", F.abs(far - (F.col("q2") - F.col("q1")))).where((far > 0) & (F.col("drift") <= drift))
+    pairs = left.join(right, ["read_ord", "contig_id", "is_rc"]).where("q2 > q1").withColumn(
+        "drift", F.abs(far - (F.col("q2") - F.col("q1")))
+    ).where((far > 0) & (F.col("drift") <= drift))
     diagonal = F.when(F.col("is_rc"), F.col("q1") + F.col("r1")).otherwise(F.col("r1") - F.col("q1"))
-    best = pairs.groupBy("read_ord", "contig_id", "is_rc", F.floor(diagonal / band).alias("band")).agg(F.min(F.struct("drift", "q1", "r1", "q2", "r2")).alias("b"))
+    best = pairs.groupBy(
+        "read_ord", "contig_id", "is_rc", F.floor(diagonal / band).alias("band")
+    ).agg(F.min(F.struct("drift", "q1", "r1", "q2", "r2")).alias("b"))
     flat = best.select("read_ord", "contig_id", "is_rc", "band", "b.drift", "b.q1", "b.r1", "b.q2", "b.r2")
     rank = Window.partitionBy("read_ord").orderBy("drift", "contig_id", "is_rc", "band")
     return flat.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= loci)

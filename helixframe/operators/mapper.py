@@ -267,7 +267,9 @@ class Search:
         strong = [c for c in made if c.covered >= 500]
         for c in strong:
             for other in strong:
-                if other is not c and (both := chain.bridge(c, other, self.n, self.p)) is not None and not any(x.bridged and x.covered >= both.covered for x in made):
+                if other is not c and (both := chain.bridge(c, other, self.n, self.p)) is not None and not any(
+                    x.bridged and x.covered >= both.covered for x in made
+                ):
                     made.append(both)
         made.sort(key=lambda c: (-c.score, -c.covered, c.q_start))
         self.counts["chains"] += len(made)
@@ -307,9 +309,15 @@ class Search:
         score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[lead:], locus["window"][start - locus["offset"] :], self.p)
         rivals = [y[0] for y in placed if y is not x and compete_for_query(view, y[1], self.p.query_overlap)]
         return {
-            "record_type": kind, "contig_id": locus["contig_id"], "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": self.n, "is_rc": locus["is_rc"],
-            "score": score, "cigar": ops, "edit_distance": edits, "rank": rank, "second": max(rivals, default=None), "near": 1 + sum(r >= 0.6 * rank for r in rivals),
-            "span": (c.q_end - c.q_start) / max(self.n, 1), "anchors": len(c.anchors), "covered": c.covered, "limited": self.limited, "ambiguous": self.ambiguous, "whole": None,
+            "record_type": kind, "contig_id": locus[
+                "contig_id"
+            ], "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": self.n, "is_rc": locus["is_rc"],
+            "score": score, "cigar": ops, "edit_distance": edits, "rank": rank, "second": max(rivals, default=None), "near": 1 + sum(
+                r >= 0.6 * rank for r in rivals
+            ),
+            "span": (
+                c.q_end - c.q_start
+            ) / max(self.n, 1), "anchors": len(c.anchors), "covered": c.covered, "limited": self.limited, "ambiguous": self.ambiguous, "whole": None,
         }
 
     def records(self) -> list[dict]:
@@ -321,7 +329,11 @@ class Search:
         out, chosen = [self.record("primary", first, placed)], [first]
         for x in sorted((x for x in placed[1:] if x[1].covered >= p.supplementary_bases), key=lambda x: (-x[1].covered, -x[1].score, x[1].q_start)):
             here = ((x[3]["contig_id"], x[3]["is_rc"]), x[2])
-            clash = any(compete_for_query(y[1], x[1], p.query_overlap) or compete_for_reference(((y[3]["contig_id"], y[3]["is_rc"]), y[2]), here, p.ref_overlap) for y in chosen)
+            clash = any(
+                compete_for_query(y[1], x[1], p.query_overlap) or compete_for_reference(
+                    ((y[3]["contig_id"], y[3]["is_rc"]), y[2]), here, p.ref_overlap
+                ) for y in chosen
+            )
             if not clash and len(chosen) <= p.max_supplementary:
                 chosen.append(x)
                 out.append(self.record("supplementary", x, placed))
@@ -390,14 +402,20 @@ def whole_read(read: bytes, locus: dict, p: Policy) -> dict | None:
     ops = cg.left_aligned(cg.merged_gaps(got.cigar, own, locus["window"], p), own, locus["window"])
     ops, start = cg.clean_edges(ops, 0)
     score, edits = cg.metrics([o for o in ops if o[0] != "S"], own[ops[0][1] if ops[0][0] == "S" else 0 :], locus["window"][start:], p)
-    return _whole(read, locus["contig_id"], locus["is_rc"], locus["offset"] + start, ops, score, edits) | {"whole": (edits / max(1, len(read)), locus["drift"], locus["frequency"])}
+    return _whole(
+        read, locus["contig_id"], locus["is_rc"], locus["offset"] + start, ops, score, edits
+    ) | {"whole": (edits / max(1, len(read)), locus["drift"], locus["frequency"])}
 
 
 def _whole(read: bytes, contig: int, rc: bool, start: int, ops: cg.Ops, score: int, edits: int) -> dict:
     """The one record of a read that needed no search."""
     return {
-        "record_type": "primary", "contig_id": contig, "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": len(read), "is_rc": rc, "score": score, "cigar": ops,
-        "edit_distance": edits, "rank": None, "second": None, "near": 1, "span": 1.0, "anchors": 1, "covered": len(read), "limited": False, "ambiguous": False, "whole": None,
+        "record_type": "primary", "contig_id": contig, "ref_start": start, "ref_end": start + cg.ref_length(ops), "query_start": 0, "query_end": len(
+            read
+        ), "is_rc": rc, "score": score, "cigar": ops,
+        "edit_distance": edits, "rank": None, "second": None, "near": 1, "span": 1.0, "anchors": 1, "covered": len(
+            read
+        ), "limited": False, "ambiguous": False, "whole": None,
     }
 
 
@@ -405,7 +423,10 @@ RAW = (
     "read_ord long, record_type string, contig_id long, ref_start long, ref_end long, query_start int, query_end int, is_rc boolean, score int, cigar array<struct<op:string,len:int>>, edit_distance int, "
     "rank int, second int, near int, span double, anchors int, covered int, limited boolean, ambiguous boolean, divergence double, drift int, frequency int"
 )
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<struct<op:string,len:int>>": pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))}
+_KINDS = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
+    "array<struct<op:string,len:int>>": pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
+}
 
 
 def _raw(found: list[tuple[int, dict]]) -> pa.RecordBatch:
@@ -433,7 +454,9 @@ def judged(raw: DataFrame, p: Policy) -> DataFrame:
         q = mapq.minimap2(rank, second, c("span"), c("anchors"), c("covered"), c("near"))
     else:
         q = mapq.legacy(rank, second, c("covered") / F.greatest(c("query_end"), F.lit(1)))
-    capped = mapq.calibrated(mapq.capped(q, c("limited"), second.isNotNull(), c("ambiguous"), p.limited_cap, p.ambiguity_cap), c("score"), c("edit_distance"), aligned)
+    capped = mapq.calibrated(
+        mapq.capped(q, c("limited"), second.isNotNull(), c("ambiguous"), p.limited_cap, p.ambiguity_cap), c("score"), c("edit_distance"), aligned
+    )
     near = mapq.near_exact(c("divergence"), c("drift"), c("frequency"), p.near_exact_divergence, p.near_exact_drift)
     final = F.when(c("record_type") == "secondary", F.lit(0)).when(c("drift").isNotNull(), near).when(rank.isNull(), F.lit(60)).otherwise(capped)
     return raw.withColumn("mapq", final.cast("int")).select(*(f.split(" ")[0] for f in ALIGNMENT.split(", ")))
@@ -448,10 +471,16 @@ def windows(reads: DataFrame, found: DataFrame, contigs: DataFrame, p: Policy) -
     about = ["read_ord", "contig_id", "is_rc", "q_start", "q_end", "ref_start", "ref_end", "endpoint_support", "score", "rank"]
     placed = found.select(*about).join(reads.select("read_ord", "sequence"), "read_ord")
     placed = placed.withColumn("offset", F.greatest(F.lit(0), F.col("ref_start") - before - flank).cast("long"))
-    parts = reference.cut_out(placed.withColumn("bonus", candidates.endpoint_bonus(F.col("endpoint_support"), n).cast("int")), contigs, F.col("offset"), F.col("ref_end") + after + flank)
+    parts = reference.cut_out(
+        placed.withColumn("bonus", candidates.endpoint_bonus(F.col("endpoint_support"), n).cast("int")), contigs, F.col("offset"),
+        F.col("ref_end") + after + flank
+    )
     # the read's own bases travel with its first piece only
     first = (F.col("rank") == 1) & (F.col("piece_start") == F.col("offset"))
-    return parts.select("read_ord", "rank", "tile", "contig_id", "is_rc", "q_start", "q_end", "offset", "endpoint_support", "score", "bonus", "piece", F.when(first, F.col("sequence")).alias("sequence"))
+    return parts.select(
+        "read_ord", "rank", "tile", "contig_id", "is_rc", "q_start", "q_end", "offset", "endpoint_support", "score", "bonus", "piece",
+        F.when(first, F.col("sequence")).alias("sequence")
+    )
 
 
 def _searches(batches, p: Policy):
@@ -515,7 +544,12 @@ def local_search(read: bytes, table: local.SeedTable, p: Policy) -> tuple[dict |
             found = whole_read(read, locus | {"offset": locus["ref_start"], "window": contig[locus["ref_start"] : locus["ref_end"]]}, p)
             if found is not None:
                 return found | {"how": "near_exact"}, None, seeds
-            loci = [{"contig_id": locus["contig_id"], "is_rc": locus["is_rc"], "q_start": 0, "q_end": len(read), "ref_start": locus["ref_start"], "ref_end": locus["ref_end"], "support": "both", "bonus": 250, "score": len(read)}]
+            loci = [
+                {
+                    "contig_id": locus["contig_id"], "is_rc": locus["is_rc"], "q_start": 0, "q_end": len(read), "ref_start": locus["ref_start"],
+                    "ref_end": locus["ref_end"], "support": "both", "bonus": 250, "score": len(read)
+                }
+            ]
     if loci is None:
         rows = local.probes_of(len(read), seeds, p)
         loci = local.candidates_of(len(read), local.hits_of(rows, table, seeds, p), p)
@@ -547,7 +581,10 @@ def _local(table, p: Policy, counted: bool):
                 counts |= {k: s.counts for k, s, _ in some}
                 if counted:
                     own = sorted(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array([counts[k][c] for k in own], pa.int32()) for c in COUNTERS)], names=["read_ord", *COUNTERS])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own, pa.int64()), *(pa.array([counts[k][c] for k in own], pa.int32()) for c in COUNTERS)],
+                        names=["read_ord", *COUNTERS]
+                    )
                 elif done:
                     yield _raw(sorted(done, key=lambda x: x[0]))
 
@@ -586,7 +623,9 @@ def map_reads(reads: DataFrame, contigs: DataFrame, p: Policy, seed_index: DataF
     known = exact.join(reads.select("read_ord", "sequence"), "read_ord").withColumn("n", F.length("sequence"))
     score = p.match * F.length(F.regexp_replace("sequence", "[^ACGT]", ""))
     whole = known.select(
-        "read_ord", F.lit("primary").alias("record_type"), "contig_id", "ref_start", "ref_end", F.lit(0).alias("query_start"), F.col("n").alias("query_end"), "is_rc", score.cast("int").alias("score"),
+        "read_ord", F.lit("primary").alias(
+            "record_type"
+        ), "contig_id", "ref_start", "ref_end", F.lit(0).alias("query_start"), F.col("n").alias("query_end"), "is_rc", score.cast("int").alias("score"),
         F.lit(60).alias("mapq"), F.array(F.struct(F.lit("M").alias("op"), F.col("n").alias("len"))).alias("cigar"), F.lit(0).alias("edit_distance"),
     )
     return whole.unionByName(align(rest, found, contigs, p))

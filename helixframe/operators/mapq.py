@@ -63,11 +63,15 @@ def of_candidates(candidates: DataFrame, p) -> DataFrame:
     q = minimap2(F.col("score"), F.col("second"), span, F.col("unique_probes"), F.col("q_end") - F.col("q_start"), F.col("n"))
     limited = search_is_limited(F.col("n"), p.max_regions, p.max_candidates)
     return best.select(
-        "read_ord", "contig_id", "score", "second", F.col("n").alias("n_candidates"), q.alias("mapq_mm2"), legacy(F.col("score"), F.col("second"), span).alias("mapq_legacy"),
+        "read_ord", "contig_id", "score", "second", F.col("n").alias("n_candidates"), q.alias("mapq_mm2"), legacy(
+            F.col("score"), F.col("second"), span
+        ).alias("mapq_legacy"),
         capped(q, limited, F.col("second").isNotNull(), F.lit(False), p.limited_cap, p.ambiguity_cap).alias("mapq"),
     )
 
 
 def apply_caps(alignments: DataFrame, caps: DataFrame) -> DataFrame:
     """Bound mapq by a table (mapq, cap) of at most 61 rows."""
-    return alignments.join(F.broadcast(caps.where("mapq between 0 and 60").groupBy("mapq").agg(F.min("cap").alias("cap"))), "mapq", "left").withColumn("mapq", F.least("mapq", F.coalesce("cap", "mapq"))).drop("cap")
+    return alignments.join(
+        F.broadcast(caps.where("mapq between 0 and 60").groupBy("mapq").agg(F.min("cap").alias("cap"))), "mapq", "left"
+    ).withColumn("mapq", F.least("mapq", F.coalesce("cap", "mapq"))).drop("cap")

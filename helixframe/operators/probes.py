@@ -21,7 +21,9 @@ def backbone(reads: DataFrame, looked_up: DataFrame, p: Policy) -> DataFrame:
     """Per segment the rarest seeds, first those apart from each other by the spacing, then any other place.
 
     The greedy choice is a fold over a segment's sorted seeds: at most a segment's worth of rows in an array."""
-    parts = reads.select("read_ord", F.explode(dna.segments(F.length("sequence"), p.segment, p.overlap)).alias("s")).select("read_ord", "s.index", "s.start", "s.end")
+    parts = reads.select(
+        "read_ord", F.explode(dna.segments(F.length("sequence"), p.segment, p.overlap)).alias("s")
+    ).select("read_ord", "s.index", "s.start", "s.end")
     seeds = usable(looked_up, p.max_probe_frequency)
     inside = parts.join(seeds, "read_ord").where((F.col("query_pos") >= F.col("start")) & (F.col("query_pos") + p.k <= F.col("end")))
     row = F.struct("frequency", F.col("query_pos").alias("pos"), "code", "is_rc")
@@ -39,7 +41,11 @@ def backbone(reads: DataFrame, looked_up: DataFrame, p: Policy) -> DataFrame:
         return F.when(ok, F.array_append(acc, x)).otherwise(acc)
 
     chosen = groups.withColumn("a", F.aggregate("c", empty, apart)).withColumn("b", F.aggregate("c", F.col("a"), relaxed))
-    by_place = F.array_sort(F.transform("b", lambda x: F.struct(x["pos"].alias("pos"), x["code"].alias("code"), x["is_rc"].alias("is_rc"), x["frequency"].alias("frequency"))))
+    by_place = F.array_sort(
+        F.transform(
+            "b", lambda x: F.struct(x["pos"].alias("pos"), x["code"].alias("code"), x["is_rc"].alias("is_rc"), x["frequency"].alias("frequency"))
+        )
+    )
     out = chosen.select("read_ord", F.col("index").alias("segment_index"), F.posexplode(by_place).alias("i", "x"))
     return out.select("read_ord", "segment_index", F.col("x.pos").alias("read_pos"), "x.is_rc", "x.code", "x.frequency", (F.col("i") + 1).alias("rank"))
 
@@ -63,7 +69,9 @@ def deduplicated(probes: DataFrame) -> DataFrame:
     """One probe for each (read, code, strand, place): an endpoint's copy wins, but keeps the first one's turn (``ord``).
 
     Turns: segments in order, then the left end, then the right; inside them by rank."""
-    turn = F.when(F.col("segment_index") == LEFT, 1 << 29).when(F.col("segment_index") == RIGHT, (1 << 29) + 1).otherwise(F.col("segment_index")).cast("long") * 1024 + F.col("rank")
+    turn = F.when(F.col("segment_index") == LEFT, 1 << 29).when(
+        F.col("segment_index") == RIGHT, (1 << 29) + 1
+    ).otherwise(F.col("segment_index")).cast("long") * 1024 + F.col("rank")
     row = F.struct(F.when(F.col("segment_index") < 0, 0).otherwise(1).alias("inner"), turn.alias("turn"), "segment_index", "frequency", "rank")
     best = probes.groupBy("read_ord", "code", "is_rc", "read_pos").agg(F.min(row).alias("b"), F.min(turn).alias("ord"))
     return best.select("read_ord", "b.segment_index", "read_pos", "is_rc", "code", "b.frequency", "b.rank", "ord")

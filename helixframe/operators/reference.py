@@ -12,7 +12,9 @@ def tiles(contigs: DataFrame) -> DataFrame:
     """contig_id, tile, piece: TILE bases each, the last of a contig shorter; empty contigs have none."""
     n = F.length("sequence")
     at = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / TILE).cast("int"))).alias("tile")
-    return contigs.where(n > 0).select("contig_id", "sequence", at).select("contig_id", "tile", F.substring("sequence", F.col("tile") * TILE + 1, F.lit(TILE)).alias("piece"))
+    return contigs.where(n > 0).select("contig_id", "sequence", at).select(
+        "contig_id", "tile", F.substring("sequence", F.col("tile") * TILE + 1, F.lit(TILE)).alias("piece")
+    )
 
 
 def cut_out(places: DataFrame, contigs: DataFrame, start: Column, end: Column) -> DataFrame:

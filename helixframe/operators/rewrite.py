@@ -342,7 +342,13 @@ def protected(ops: cg.Ops, query: bytes, ref: bytes, exact: int = 8) -> list[boo
     for k, (op, n) in enumerate(ops):
         q1, r1 = q + n * (op in "MIS"), r + n * (op in "MD")
         sides = op in "ID" and 0 < k < len(ops) - 1 and ops[k - 1][0] == ops[k + 1][0] == "M" and min(ops[k - 1][1], ops[k + 1][1]) >= exact
-        out.append(bool(sides and query[q - exact : q].upper() == ref[r - exact : r].upper() and query[q1 : q1 + exact].upper() == ref[r1 : r1 + exact].upper()))
+        out.append(
+            bool(
+                sides and query[q - exact : q].upper() == ref[r - exact : r].upper() and query[
+                    q1 : q1 + exact
+                ].upper() == ref[r1 : r1 + exact].upper()
+            )
+        )
         q, r = q1, r1
     return out
 

@@ -35,13 +35,18 @@ def records(reads: DataFrame, alignments: DataFrame, contigs: DataFrame) -> Data
     names = contigs.select("contig_id", "name")
     placed = alignments.join(names, "contig_id").withColumn("cigar_text", cigar_text(F.col("cigar")))
     strand = F.when(F.col("is_rc"), "-").otherwise("+")
-    entry = F.concat_ws(",", "name", (F.col("ref_start") + 1).cast("string"), strand, "cigar_text", F.col("mapq").cast("string"), F.concat(F.col("edit_distance").cast("string"), F.lit(";")))
+    entry = F.concat_ws(
+        ",", "name", (F.col("ref_start") + 1).cast("string"), strand, "cigar_text", F.col("mapq").cast("string"),
+        F.concat(F.col("edit_distance").cast("string"), F.lit(";"))
+    )
     kind = F.when(F.col("record_type") == "primary", 0).when(F.col("record_type") == "secondary", 1).otherwise(2)
     placed = placed.withColumns({"kind": kind, "entry": entry})
     own = F.when(F.col("kind") != 1, F.struct("kind", "contig_id", "ref_start", "entry"))
     placed = placed.withColumn("set", F.array_sort(F.collect_list(own).over(Window.partitionBy("read_ord"))))
     whole = reads.join(placed, "read_ord", "left")
-    flag = F.when(F.col("kind").isNull(), 4).otherwise(F.when(F.col("is_rc"), 16).otherwise(0) + F.when(F.col("kind") == 1, 256).when(F.col("kind") == 2, 2048).otherwise(0))
+    flag = F.when(F.col("kind").isNull(), 4).otherwise(
+        F.when(F.col("is_rc"), 16).otherwise(0) + F.when(F.col("kind") == 1, 256).when(F.col("kind") == 2, 2048).otherwise(0)
+    )
     seq = F.when(F.col("is_rc"), dna.sam_complement(F.col("sequence"))).otherwise(F.col("sequence"))
     others = F.transform(F.filter("set", lambda x: x["entry"] != F.col("entry")), lambda x: x["entry"])
     sa = F.when((F.col("kind") != 1) & (F.size("set") > 1), F.concat(F.lit("SA:Z:"), F.array_join(others, "")))
@@ -71,7 +76,9 @@ def checked(reads: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for c in ("read_name", "sequence", "qualities"):
         bad = bad | F.coalesce(F.col(c).rlike(r"[\t\r\n]"), F.lit(False))
-    fine = F.when(bad, F.raise_error(F.concat(F.lit("a field of read "), F.col("read_ord").cast("string"), F.lit(" holds a tab or a line break")))).otherwise(F.col("read_name"))
+    fine = F.when(
+        bad, F.raise_error(F.concat(F.lit("a field of read "), F.col("read_ord").cast("string"), F.lit(" holds a tab or a line break")))
+    ).otherwise(F.col("read_name"))
     return reads.withColumn("read_name", fine)
 
 
@@ -90,6 +97,8 @@ def split_statistics(alignments: DataFrame) -> DataFrame:
     split = F.col("records") > 1
     count = lambda c: F.sum(c.cast("long"))
     return each.agg(
-        F.count("*").alias("reads"), F.sum("records").alias("records"), count(split).alias("split_reads"), count(split & (F.col("contigs") > 1)).alias("several_contigs"),
+        F.count("*").alias("reads"), F.sum("records").alias("records"), count(split).alias("split_reads"), count(
+            split & (F.col("contigs") > 1)
+        ).alias("several_contigs"),
         count(split & (F.col("strands") > 1)).alias("both_strands"), F.sum(F.col("records") - 1).alias("supplementary"),
     )

@@ -17,7 +17,9 @@ def bases(text: Column) -> Column:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as contigs: contig_id is the doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"), bases(F.col("text")).alias("sequence"))
+    return docs.select(
+        F.col("doc_id").alias("contig_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"), bases(F.col("text")).alias("sequence")
+    )
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     oriented = F.when(F.col("item_id") % 2 == 1, dna.reverse_complement(seq)).otherwise(seq)
     return rows.select(
         F.col("item_id").alias("read_ord"), F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("read_name"), oriented.alias("sequence"),
-        F.lit(None).cast("string").alias("qualities"), F.concat(F.lit("RG:Z:g"), (F.col("item_id") % 3).cast("string"), F.lit(" XI:i:"), F.col("item_id").cast("string"), F.lit(" bad-token NM:i:9")).alias("tags"),
+        F.lit(None).cast("string").alias("qualities"), F.concat(
+            F.lit("RG:Z:g"), (F.col("item_id") % 3).cast("string"), F.lit(" XI:i:"), F.col("item_id").cast("string"), F.lit(" bad-token NM:i:9")
+        ).alias("tags"),
     )
 
 
@@ -36,10 +40,15 @@ def windows(spark: SparkSession, sf_dir: str, length: int = 3000, overlap: int =
     ``overlap`` or more, the last one up to the end; a shorter contig is one window."""
     c = contigs(spark, sf_dir).where(F.length("sequence") > 0)
     rest = F.greatest(F.length("sequence") - length, F.lit(0))
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(rest / (length - overlap)).cast("int")), lambda i: F.least(i * (length - overlap), rest))).alias("turn", "start")
+    at = F.posexplode(
+        F.transform(F.sequence(F.lit(0), F.ceil(rest / (length - overlap)).cast("int")), lambda i: F.least(i * (length - overlap), rest))
+    ).alias("turn", "start")
     c = c.select("contig_id", "sequence", at)
     # a contig has fewer than 2 ** 20 windows, as a text has fewer than 2 ** 31 bytes
-    return c.select("contig_id", (F.col("contig_id") * (1 << 20) + F.col("turn")).alias("read_ord"), "start", F.substring("sequence", F.col("start") + 1, F.lit(length)).alias("s"))
+    return c.select(
+        "contig_id", (F.col("contig_id") * (1 << 20) + F.col("turn")).alias("read_ord"), "start",
+        F.substring("sequence", F.col("start") + 1, F.lit(length)).alias("s")
+    )
 
 
 def long_reads(spark: SparkSession, sf_dir: str, length: int = 3000) -> DataFrame:
@@ -53,4 +62,7 @@ def long_reads(spark: SparkSession, sf_dir: str, length: int = 3000) -> DataFram
     changed = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(grown) - 1) / 211)), lambda i: F.concat(
         F.translate(F.substring(grown, (i * 211 + 1).cast("int"), F.lit(1)), "ACGT", "CGTA"), F.substring(grown, (i * 211 + 2).cast("int"), F.lit(210)))), "")
     name = F.concat(F.lit("l"), F.col("contig_id").cast("string"), F.lit("_"), F.col("start").cast("string"))
-    return c.select("read_ord", name.alias("read_name"), changed.alias("sequence"), F.lit(None).cast("string").alias("qualities"), F.lit(None).cast("string").alias("tags"))
+    return c.select(
+        "read_ord", name.alias("read_name"), changed.alias("sequence"), F.lit(None).cast("string").alias("qualities"),
+        F.lit(None).cast("string").alias("tags")
+    )

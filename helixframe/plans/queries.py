@@ -41,13 +41,17 @@ def f1_f5_bases(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("kmer")
     c = dna.canonical(k)
     return _kmers_of_reads(spark, d).select(
-        "read_ord", F.col("query_pos").cast("long").alias("query_pos"), dna.base_code(F.substring("kmer", 1, 1)).alias("first_code"), dna.encode_kmer(k).alias("code"), dna.reverse_complement(k).alias("rc"),
+        "read_ord", F.col("query_pos").cast("long").alias("query_pos"), dna.base_code(
+            F.substring("kmer", 1, 1)
+        ).alias("first_code"), dna.encode_kmer(k).alias("code"), dna.reverse_complement(k).alias("rc"),
         c["kmer"].alias("canonical"), c["is_rc"].alias("is_rc"),
     )
 
 
 def f6_hash_code(spark, d):
-    return kmers.dense_kmers(data.reads(spark, d).withColumnRenamed("read_ord", "contig_id"), P.k).select(F.col("contig_id").alias("read_ord"), F.col("ref_pos").alias("query_pos"), "code", dna.hash_code(F.col("code")).alias("hash"))
+    return kmers.dense_kmers(data.reads(spark, d).withColumnRenamed("read_ord", "contig_id"), P.k).select(
+        F.col("contig_id").alias("read_ord"), F.col("ref_pos").alias("query_pos"), "code", dna.hash_code(F.col("code")).alias("hash")
+    )
 
 
 def f8_mismatches(spark, d):
@@ -62,7 +66,10 @@ def f8_mismatches(spark, d):
 def f15_f16_intervals(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     a, b, n = F.col("l_partkey"), F.col("l_suppkey") * 100, F.col("l_linenumber") - 1
-    return li.select("l_orderkey", "l_linenumber", dna.interval_overlap(a, a + 500, b, b + 400).alias("overlap"), dna.gap_cost(n).alias("gap"), dna.gap_cost_dual(n).alias("gap_dual"))
+    return li.select(
+        "l_orderkey", "l_linenumber", dna.interval_overlap(a, a + 500, b, b + 400).alias("overlap"), dna.gap_cost(n).alias("gap"),
+        dna.gap_cost_dual(n).alias("gap_dual")
+    )
 
 
 def f17_repeat_period(spark, d):
@@ -76,7 +83,9 @@ def f9_bases_match(spark, d):
     other = r.select((F.col("read_ord") - 1).alias("read_ord"), F.concat(F.lit("N"), "s").alias("t"))
     both = r.join(other, "read_ord")
     i = F.explode(F.sequence(F.lit(1), F.least(F.length("s"), F.length("t")))).alias("i")
-    each = both.select("read_ord", "s", "t", i).select("read_ord", F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("t", F.col("i"), F.lit(1)).alias("b"))
+    each = both.select("read_ord", "s", "t", i).select(
+        "read_ord", F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("t", F.col("i"), F.lit(1)).alias("b")
+    )
     same = lambda rc: F.sum(dna.bases_match(F.col("a"), F.col("b"), F.lit(rc)).cast("long"))
     return each.groupBy("read_ord").agg(same(False).alias("forward"), same(True).alias("reverse"))
 
@@ -88,21 +97,41 @@ def f18_saturated(spark, d):
 
 def f20_edit_distance(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
-    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").alias("distance"))
+    return p.join(
+        p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey"
+    ).select("p_partkey", F.levenshtein("p_name", "other").alias("distance"))
 
 
 def p1_segments(spark, d):
-    return data.contigs(spark, d).select("contig_id", F.explode(dna.segments(F.length("sequence"))).alias("s")).select("contig_id", "s.index", "s.start", "s.end")
+    return data.contigs(spark, d).select(
+        "contig_id", F.explode(dna.segments(F.length("sequence"))).alias("s")
+    ).select("contig_id", "s.index", "s.start", "s.end")
 
 
 def i1_index(spark, d):
-    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["contig_id"].cast("string"), h["ref_pos"].cast("string"), h["is_rc"].cast("int").cast("string"))), ",")
+    hits = F.array_join(
+        F.transform(
+            "hits", lambda h: F.concat_ws(":", h["contig_id"].cast("string"), h["ref_pos"].cast("string"), h["is_rc"].cast("int").cast("string"))
+        ),
+        ","
+    )
     return _index(spark, d).select("code", "total", F.size("hits").cast("long").alias("stored"), "capped", F.md5(hits.cast("binary")).alias("hits"))
 
 
 def i2_i3_cap_policies(spark, d):
     r = index.ranked(data.contigs(spark, d), P.k)
-    out = r.select("code", "offset", F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), index.keeps(p, F.col("offset"), F.col("total"), 16, 32, 128).alias("keep")) for p in ("adaptive", "drop", "first", "sample-spaced")))).alias("k"))
+    out = r.select(
+        "code", "offset",
+        F.explode(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(p).alias("policy"), index.keeps(p, F.col("offset"), F.col("total"), 16, 32, 128).alias("keep")
+                    ) for p in ("adaptive", "drop", "first", "sample-spaced")
+                )
+            )
+        ).alias("k")
+    )
     return out.where("k.keep").groupBy("k.policy").agg(F.count("*").alias("hits"), F.count_distinct("code").alias("seeds"), F.sum("offset").alias("offsets"))
 
 
@@ -120,7 +149,9 @@ def _candidates(spark, d) -> DataFrame:
 
 
 def j5_hits_in_windows(spark, d):
-    hits = lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits).where("not capped").select("read_ord", "contig_id", "ref_pos", (F.col("q_rc") != F.col("r_rc")).alias("is_rc"))
+    hits = lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits).where("not capped").select(
+        "read_ord", "contig_id", "ref_pos", (F.col("q_rc") != F.col("r_rc")).alias("is_rc")
+    )
     c = _candidates(spark, d).select("read_ord", "contig_id", "is_rc", "rank", "ref_start", "ref_end")
     near = F.col("ref_pos").between(F.col("ref_start") - P.flank, F.col("ref_end") + P.flank - P.k)
     return hits.join(c, ["read_ord", "contig_id", "is_rc"]).where(near).groupBy("read_ord", "rank").agg(F.count("*").alias("hits"))
@@ -164,7 +195,9 @@ def sam_rows(spark, d) -> DataFrame:
     r, c = data.reads(spark, d), data.contigs(spark, d)
     n = (F.col("ref_end") - F.col("ref_start")).cast("int")
     placed = _exact(spark, d).select(
-        "read_ord", F.lit("primary").alias("record_type"), "contig_id", "ref_start", "is_rc", F.lit(60).alias("mapq"), F.array(F.struct(F.lit("M").alias("op"), n.alias("len"))).alias("cigar"), F.lit(0).alias("edit_distance"), (2 * n).alias("score")
+        "read_ord", F.lit("primary").alias("record_type"), "contig_id", "ref_start", "is_rc", F.lit(60).alias("mapq"), F.array(
+            F.struct(F.lit("M").alias("op"), n.alias("len"))
+        ).alias("cigar"), F.lit(0).alias("edit_distance"), (2 * n).alias("score")
     )
     # the tags of a FASTX comment are normalised when it is read
     return sam.records(r.withColumn("tags", dna.optional_fields(F.col("tags"))), placed, c)
@@ -173,7 +206,9 @@ def sam_rows(spark, d) -> DataFrame:
 def b5_variant_differences(spark, d):
     """Calls of odd line numbers that those of even ones lack."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    calls = lambda n: li.where(F.col("l_linenumber") % 2 == n).select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt")).distinct()
+    calls = lambda n: li.where(F.col("l_linenumber") % 2 == n).select(
+        F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt")
+    ).distinct()
     return analytics.variant_differences(calls(1), calls(0))
 
 
@@ -222,14 +257,20 @@ def map_long_reads(spark, d):
     from ..operators import mapper
 
     found = mapper.map_reads(data.long_reads(spark, d), data.contigs(spark, d), policy(max_secondary=1))
-    return found.select("read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"), "edit_distance")
+    return found.select(
+        "read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"),
+        "edit_distance"
+    )
 
 
 def map_short_reads(spark, d):
     from ..operators import mapper
 
     found = mapper.map_reads(data.reads(spark, d), data.contigs(spark, d), P)
-    return found.select("read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"), "edit_distance")
+    return found.select(
+        "read_ord", "record_type", "contig_id", "ref_start", "ref_end", "is_rc", "score", "mapq", sam.cigar_text(F.col("cigar")).alias("cigar"),
+        "edit_distance"
+    )
 
 
 QUERIES |= {"k9_map_long_reads": map_long_reads, "k9_map_short_reads": map_short_reads}
@@ -248,21 +289,30 @@ def c21_cigar_lengths(spark, d):
     """Operations made from line items: their text, and the lengths on read and reference."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     op = lambda c: F.when(c % 3 == 0, "M").when(c % 3 == 1, "I").otherwise("D")
-    ops = F.array(*(F.struct(op(c).alias("op"), (c % 40 + 1).cast("int").alias("len")) for c in (F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"))))
+    ops = F.array(
+        *(F.struct(op(c).alias("op"), (c % 40 + 1).cast("int").alias("len")) for c in (F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")))
+    )
     total = lambda kinds: F.aggregate("ops", F.lit(0), lambda s, o: s + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0))
-    return li.withColumn("ops", ops).select("l_orderkey", "l_linenumber", sam.cigar_text(F.col("ops")).alias("cigar"), total("MI").alias("query_length"), total("MD").alias("ref_length"))
+    return li.withColumn("ops", ops).select(
+        "l_orderkey", "l_linenumber", sam.cigar_text(F.col("ops")).alias("cigar"), total("MI").alias("query_length"), total("MD").alias("ref_length")
+    )
 
 
 def st_event_sessions(spark, d):
     """Sessions of the events by user: the batch form of the streaming query."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"), "n")
+    return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select(
+        "user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"),
+        "n"
+    )
 
 
 def b4_indel_kinds(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("ref"), F.col("p_type").alias("alt"))
     other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("ref").alias("other_ref"), F.col("alt").alias("other_alt"))
-    return p.join(other, "p_partkey").select("p_partkey", analytics.indel_kind(F.col("ref"), F.col("alt"), F.col("other_ref"), F.col("other_alt")).alias("kind"))
+    return p.join(other, "p_partkey").select(
+        "p_partkey", analytics.indel_kind(F.col("ref"), F.col("alt"), F.col("other_ref"), F.col("other_alt")).alias("kind")
+    )
 
 
 def j13_truth(spark, d):
@@ -271,12 +321,18 @@ def j13_truth(spark, d):
 
     r = data.long_reads(spark, d)
     found = mapper.map_reads(r, data.contigs(spark, d), P).where("record_type = 'primary'")
-    got = found.select(F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), F.col("ref_start").alias("start"), F.when(F.col("is_rc"), "-").otherwise("+").alias("strand"), "mapq")
+    got = found.select(
+        F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), F.col("ref_start").alias("start"),
+        F.when(F.col("is_rc"), "-").otherwise("+").alias("strand"), "mapq"
+    )
     truth = data.windows(spark, d).select(F.col("read_ord").alias("read"), F.col("contig_id").alias("contig"), "start", F.lit("+").alias("strand"))
     return analytics.judged(got, truth, 5)
 
 
-QUERIES |= {"j8_two_ended_loci": j8_two_ended_loci, "a7_seed_votes": a7_seed_votes, "c21_cigar_lengths": c21_cigar_lengths, "st_event_sessions": st_event_sessions, "b4_indel_kinds": b4_indel_kinds, "j13_truth": j13_truth}
+QUERIES |= {
+    "j8_two_ended_loci": j8_two_ended_loci, "a7_seed_votes": a7_seed_votes, "c21_cigar_lengths": c21_cigar_lengths,
+    "st_event_sessions": st_event_sessions, "b4_indel_kinds": b4_indel_kinds, "j13_truth": j13_truth
+}
 
 
 def a8_diagnostics(spark, d):
@@ -284,11 +340,16 @@ def a8_diagnostics(spark, d):
     r = data.reads(spark, d)
     looked = _looked(spark, d)
     each = looked.groupBy("read_ord").agg(
-        F.count("*").alias("seeds"), F.sum((F.col("completeness") == "complete").cast("long")).alias("complete"), F.sum((F.col("completeness") == "sampled").cast("long")).alias("sampled"), F.sum("stored").alias("hits")
+        F.count("*").alias("seeds"), F.sum(
+            (F.col("completeness") == "complete").cast("long")
+        ).alias("complete"), F.sum((F.col("completeness") == "sampled").cast("long")).alias("sampled"), F.sum("stored").alias("hits")
     )
     probes_ = probes.read_probes(r, looked, P).groupBy("read_ord").agg(F.count("*").alias("probes"))
     joined = r.select("read_ord").join(each, "read_ord", "left").join(probes_, "read_ord", "left").na.fill(0)
-    return joined.agg(F.count("*").alias("reads"), *(F.sum(c).alias(c) for c in ("seeds", "complete", "sampled", "hits", "probes")), F.max("hits").alias("max_hits"), F.max("probes").alias("max_probes"))
+    return joined.agg(
+        F.count("*").alias("reads"), *(F.sum(c).alias(c) for c in ("seeds", "complete", "sampled", "hits", "probes")),
+        F.max("hits").alias("max_hits"), F.max("probes").alias("max_probes")
+    )
 
 
 QUERIES["a8_diagnostics"] = a8_diagnostics

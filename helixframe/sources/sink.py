@@ -23,7 +23,9 @@ def write(records: DataFrame, contigs: DataFrame, path: str, carried: list[str]
         raise ValueError("only BAM is sorted by place")
     spark = records.sparkSession
     top = spark.createDataFrame([(k, line) for k, line in enumerate(header)], "k long, line string")
-    whole = top.select(F.lit(-1).cast("long").alias("read_ord"), F.col("k").alias("turn"), "line").unionByName(records.select("read_ord", F.col("turn").cast("long").alias("turn"), "line"))
+    whole = top.select(F.lit(-1).cast("long").alias("read_ord"), F.col("k").alias("turn"), "line").unionByName(
+        records.select("read_ord", F.col("turn").cast("long").alias("turn"), "line")
+    )
     lines = whole.orderBy("read_ord", "turn").select("line")
     if path == "-":
         for r in lines.toLocalIterator():
