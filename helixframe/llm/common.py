@@ -144,8 +144,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Texts in a sample, and places taken from each: a fixed number in all, whatever the input and its tasks.
-SAMPLE_TEXTS, SAMPLE_EACH = 20_000, 16
+#: Texts in a sample, the share of a text's places that is taken, and the most: a fixed number in all, whatever the input and its tasks.
+SAMPLE_TEXTS, SAMPLE_RATE, SAMPLE_EACH = 20_000, 1 / 8, 256
 
 
 def some_texts(keys: DataFrame) -> DataFrame:
@@ -155,11 +155,12 @@ def some_texts(keys: DataFrame) -> DataFrame:
 
 
 def some_of_each(row: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Random places, at most SAMPLE_EACH for each value of row (ascending)."""
+    """Random places: a share of those of each value of row (ascending), one at least and SAMPLE_EACH at most."""
     by = np.lexsort((rng.random(len(row)), row))
     head = np.flatnonzero(np.append(True, row[by][1:] != row[by][:-1])) if len(row) else np.empty(0, np.int64)
-    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
-    return by[rank < SAMPLE_EACH]
+    many = np.diff(np.append(head, len(row)))
+    rank = np.arange(len(row)) - np.repeat(head, many)
+    return by[rank < np.repeat(np.clip((many * SAMPLE_RATE).astype(np.int64), 1, SAMPLE_EACH), many)]
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -165,7 +165,7 @@ def subtrees(gram: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, ...]
 
 def rarer(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     total = zeros + ones + 1
-    return np.where(ones <= zeros, (ones + 0.5) / total, -(zeros + 0.5) / total).astype(np.float32)
+    return np.where(ones <= zeros, (ones + 0.5) / total, -(zeros + 0.5) / total)
 
 
 def topmost(first: tuple[np.ndarray, ...]) -> Tree:
@@ -175,13 +175,13 @@ def topmost(first: tuple[np.ndarray, ...]) -> Tree:
     names, inverse = np.unique(k & C.U64(255), return_inverse=True)
     zeros, ones, below = (np.bincount(inverse, x, len(names)) if len(names) else np.empty(0) for x in (z, o, log_w))
     _, top = mixed(log_kt(zeros, ones), below)
-    return Tree([names, k], [rarer(zeros, ones), rarer(z, o)], [top.astype(np.float32), w.astype(np.float32)])
+    return Tree([names, k], [rarer(zeros, ones), rarer(z, o)], [top, w])
 
 
 def completed(top: Tree, deep: list[tuple[np.ndarray, ...]]) -> Tree:
     """top with the nodes of depths DEPTH .. 2 as subtrees() gives them."""
     up = deep[::-1]
-    return Tree(top.keys + [x[0] for x in up], top.one + [rarer(x[1], x[2]) for x in up], top.stop + [x[4].astype(np.float32) for x in up])
+    return Tree(top.keys + [x[0] for x in up], top.one + [rarer(x[1], x[2]) for x in up], top.stop + [x[4] for x in up])
 
 
 def grow(gram: np.ndarray, count: np.ndarray) -> Tree:
@@ -206,9 +206,9 @@ def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(names, k), len(names) - 1)
             hit = names[at] == k
             live, at = live[hit], at[hit]
-            rare = tree.one[depth][at].astype(float)
+            rare = tree.one[depth][at]
             last[live] = np.where(bit[live] == (rare > 0), np.abs(rare), 1 - np.abs(rare))
-            stop = tree.stop[depth][at].astype(float)
+            stop = tree.stop[depth][at]
             sure[live] += rest[live] * stop * last[live]
             rest[live] *= 1 - stop
         out += np.log10(sure + rest * last)  # beyond the longest context its own estimate holds
