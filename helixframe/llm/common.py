@@ -73,7 +73,8 @@ def cut(df: DataFrame, what: str = "cut", codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with short_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[id(out)] = path
     return out

@@ -22,22 +22,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     path of n edges takes about log2 n)."""
     now = C.cut(_stars(edges), "edges")
     for _ in range(rounds):
-        total = 2 * now.count()
+        total, most, done = _state(now)
+        if done:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        hubs = most > C.hot_limit(2 * total)
+
+        def met(rows: DataFrame, about: DataFrame, hubs: bool = hubs, total: int = total) -> DataFrame:
+            return C.join_each(rows, about, "a", 2 * total, "n") if hubs else rows.join(about, "a")
+
         # large star: larger neighbours of a node go to its least neighbour (or itself)
-        large = C.join_each(both.where("b > a"), least, "a", total, "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours, and itself, go to the least of them
         down = _stars(large)
         low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = C.join_each(down, low, "a", total, "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = met(down, low).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = C.cut(_stars(small), "edges")
         C.forget(now)
         now = new
-        # done when every edge leads to a node that has no smaller neighbour
-        lower = now.select(F.col("a").alias("b")).distinct()
-        if not (now.join(lower, "b", "left_semi").limit(1).count() or now.groupBy("a").count().where("count > 1").limit(1).count()):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
     raise RuntimeError(f"components: {rounds} rounds did not finish")
+
+
+def _state(edges: DataFrame) -> tuple[int, int, bool]:
+    """The number of edges (larger end first), the widest node, and whether every edge leads to the least node of its component:
+
+    no node has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = each.agg(
+        F.coalesce(F.sum("up"), F.lit(0)).alias("total"), F.coalesce(F.max(F.col("up") + F.col("down")), F.lit(0)).alias("most"),
+        F.coalesce(F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int")), F.lit(0)).alias("open"),
+    ).first()
+    return row.total, row.most, not row.open

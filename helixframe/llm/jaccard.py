@@ -33,8 +33,8 @@ BANDS, ROWS = 28, 4
 #: MinHash values that pairs are compared by, and those compared at a time.
 HASHES, STEP = 60, 12
 TOLERANCE = 1e-6
-#: Classes in a block of exact comparison, and in a block of a band's bucket.
-BLOCK, BUCKET = 512, 1024
+#: Classes in a block of exact comparison (a 64th of a large cluster, up to the second number), and in a block of a band's bucket.
+BLOCK, WIDEST, BUCKET = 256, 2048, 1024
 #: Pairs of a bucket that are compared at once.
 CHUNK = 1 << 20
 
@@ -241,7 +241,7 @@ def _verify(table):
     row, column = row[order], column[order]
     lpos, rpos = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
     lrow, rrow = np.searchsorted(used, left[lpos]), np.searchsorted(used, right[rpos])
-    inter, width = np.zeros((len(lpos), len(rpos))), 1 << 13
+    inter, width = np.zeros((len(lpos), len(rpos))), (1 << 24) // max(len(used), 1 << 11)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(used), min(width, int(column[b - 1]) - lo + 1)), np.float32)
@@ -316,7 +316,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     member = C.join_each(clusters, sizes, "root", many, "m").join(classes.select("c", "n", "doc_id", "th", "sig"), "c")
     # one text for each class: rows that repeat it are alike
     texts = slim.join(member.select("c", "doc_id", "th"), ["doc_id", "th"]).select("c", "text").dropDuplicates(["c"])
-    held = _block_pairs(member.select("root", "c", "n", "m", "sig").join(texts, "c"), "c", F.ceil(F.col("m") / F.lit(BLOCK)))
+    held = _block_pairs(member.select("root", "c", "n", "m", "sig").join(texts, "c"), "c", F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 64, F.lit(BLOCK)), F.lit(WIDEST))))
     found = C.cut(
         held.select("root", "x", "y", "block", "c", "n", "sig", "text").groupBy("root", "x", "y").applyInArrow(
             _verify, "c long, other long, docs long, texts long"
