@@ -229,3 +229,33 @@ def test_n_gapless_rule_is_exact():
             if mapper._no_gap_is_better(q, r, p):
                 got = dp.align_full(q, r, 32, p)
                 assert got.score == cg.metrics([("M", n)], q, r, p)[0]
+
+
+def test_confidence_is_fitted_and_held_out(spark):
+    """Exact reads of two equal contigs have no confidence, so no error of the held-out split is trusted."""
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import analytics, mapq
+    from helixframe.plans import fixtures
+
+    judged = []
+    for held_out in (False, True):
+        reads, contigs, truth = fixtures.confidence(spark, held_out, 90)
+        found = mapper.map_reads(reads, contigs, P).where("record_type = 'primary'").join(reads.select("read_ord", "read_name"), "read_ord").join(contigs.select("contig_id", "name"), "contig_id")
+        own = found.select(F.col("read_name").alias("read"), F.col("name").alias("contig"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), F.when(F.col("is_rc"), "-").otherwise("+").alias("strand"), "mapq")
+        judged.append(analytics.judged(own, truth).persist())
+    caps = analytics.mapq_caps(judged[0].where("mapq is not null")).select("mapq", "cap")
+    bounded = mapq.apply_caps(judged[1], caps)
+    row = analytics.calibration(bounded.where("mapq is not null")).first()
+    assert row.mapped == 90 and row.errors == judged[1].where("wrong = 1 and mapq = 0").count() and 20 <= row.errors <= 40
+    assert judged[1].where("wrong = 1 and mapq > 0").count() == 0
+
+
+def test_digest_does_not_depend_on_partitions(spark):
+    from helixframe.operators import sam
+    from helixframe.plans import fixtures
+
+    reads, contigs = fixtures.review(spark, 12, 800, 6000)
+    one, two = (fixtures.digest(sam.records(r, mapper.map_reads(r, contigs, P), contigs)) for r in (reads, reads.repartition(5)))
+    other = reads.where("read_ord > 0")
+    assert one == two != fixtures.digest(sam.records(other, mapper.map_reads(other, contigs, P), contigs))
