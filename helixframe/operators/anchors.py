@@ -11,7 +11,8 @@ import numpy as np
 from ..config import Policy
 from ..functions import kmers
 from . import chain
-from .rewrite import _run, repeat_period
+from .cigar import repeat_period
+from .rewrite import _run
 
 #: Distances of a pair on the read, and how far its distance on the reference may differ.
 NEAR, FAR, SLACK = 64, 512, 12

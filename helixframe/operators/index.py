@@ -163,6 +163,14 @@ def keeps(policy: str, offset, total, cap: int, medium: int | None = None, high:
     return F.when(total <= cap, F.lit(True)).otherwise(over[policy])
 
 
+def build_capped(contigs: DataFrame, k: int, policy: str, cap: int, medium: int | None = None, high: int | None = None) -> DataFrame:
+    """An index (columns of ``build``) that stores what a cap policy keeps: a dropped seed stays, with its total and no hits."""
+    kept = ranked(contigs, k).withColumn("keep", keeps(policy, F.col("offset"), F.col("total"), cap, medium, high))
+    hit = F.when(F.col("keep"), F.struct("contig_id", "ref_pos", "is_rc"))
+    grouped = kept.groupBy("code").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    return grouped.select("code", "total", (F.size("hits") < F.col("total")).alias("capped"), "hits")
+
+
 def isolated(ranked_hits: DataFrame, cap: int, within: int = 512) -> DataFrame:
     """Hits of groups over the cap that stay under the isolated policy: no place of a group under the cap within ``within`` bases."""
     bin_ = F.floor(F.col("ref_pos") / within)

@@ -20,6 +20,13 @@ def seeds_with_totals(seeds: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def endpoint_seeds(seeds: DataFrame, reads: DataFrame, k: int, window: int = 1000) -> DataFrame:
+    """The seeds of reads' ends only: a filter before the join with the index, for searches that need no others."""
+    n = reads.select("read_ord", F.length("sequence").alias("n"))
+    ends = seeds.join(n, "read_ord").where((F.col("query_pos") + k <= F.least(F.lit(window), F.col("n"))) | (F.col("query_pos") >= F.greatest(F.col("n") - window, F.lit(0))))
+    return ends.drop("n")
+
+
 def seed_hits(seeds: DataFrame, index: DataFrame, most: int = 128) -> DataFrame:
     """Each query seed with its first ``most`` hits as rows: the read's hit cache."""
     hits = index.select("code", "total", "capped", F.slice("hits", 1, most).alias("hits"))

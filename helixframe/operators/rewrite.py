@@ -11,20 +11,12 @@ from ..config import Policy
 from ..functions import kmers
 from . import chain
 from . import cigar as cg
+from .cigar import repeat_period
 
 #: Shifts tried in phase repair, the window in which bases must lock in again, and the mismatch rates before and after.
 SHIFT, RELOCK, TARGET, LOCKED, SHIFTED = 32, 16, 48, 0.06, 0.20
 
 
-def repeat_period(seq: bytes, periods: int = 8) -> int:
-    """The least period up to ``periods`` at which three quarters of the places (of six or more bases) repeat; 0 if there is none."""
-    x = np.frombuffer(seq.upper(), np.uint8)
-    for p in range(1, min(periods, len(x) - 1) + 1) if len(x) >= 6 else ():
-        if 4 * int((x[p:] == x[:-p]).sum()) >= 3 * (len(x) - p):
-            return p
-    return 0
-
-
 def gap_opens(ops: cg.Ops) -> int:
     return sum(op in "ID" for op, _ in cg.normalized(ops))
 

@@ -219,3 +219,38 @@ def test_the_rest_works_without_the_training_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "helixframe.llm" else real(name, *a))
     assert not any(n.startswith("op") or n == "pipeline" for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dropped_seeds_are_sampled_without_hits(spark):
+    contigs = spark.createDataFrame([(0, "A" * 30 + pseudo_dna(200, 17))], "contig_id long, sequence string")
+    whole = {r.code: r for r in index.build(contigs, 15).collect()}
+    for policy_, stored in (("drop", 0), ("first", 4), ("sample-spaced", 4), ("adaptive", 16)):
+        built = index.build_capped(contigs, 15, policy_, 4, 20, 30)
+        got = {r.code: r for r in built.collect()}
+        assert set(got) == set(whole) and got[0].total == 16 and len(got[0].hits) == stored and got[0].capped == (stored < 16)
+        assert all(got[c].hits == whole[c].hits for c in got if whole[c].total <= 4)
+        seeds = spark.createDataFrame([(1, 0, False, 0), (1, 5, False, -5)], "read_ord long, query_pos long, is_rc boolean, code long")
+        kinds = {r.code: (r.completeness, r.stored, r.total) for r in lookup.seeds_with_totals(seeds, built).collect()}
+        assert kinds == {0: ("sampled" if stored < 16 else "complete", stored, 16), -5: ("absent", 0, 0)}
+    reads = spark.createDataFrame([(1, "A" * 3000)], "read_ord long, sequence string")
+    seeds = spark.createDataFrame([(1, p, False, p) for p in (0, 985, 986, 1500, 1999, 2000, 2900)], "read_ord long, query_pos long, is_rc boolean, code long")
+    assert sorted(r.query_pos for r in lookup.endpoint_seeds(seeds, reads, 15).collect()) == [0, 985, 2000, 2900]
+
+
+def test_gaps_move_left():
+    from helixframe.operators import cigar as cg
+
+    rnd = random.Random(18)
+    for _ in range(60):
+        ref = "".join(rnd.choices("ACG", k=60)).encode()
+        n, at = rnd.randint(1, 4), rnd.randint(5, 50)
+        query = ref[:at] + ref[at + n :]
+        ops = cg.left_aligned([("M", at), ("D", n), ("M", 60 - at - n)], query, ref)
+        shift = 0
+        while shift < at and ref[at - 1 - shift] == ref[at + n - 1 - shift]:
+            shift += 1
+        assert ops == cg.normalized([("M", at - shift), ("D", n), ("M", 60 - at - n + shift)])
+    ref, query = b"GGTACACACACATACACACGGTT", b"GGTACACACACATACACGGTT"  # a repeat with one odd base: no more differ further to the left
+    right = [("M", 17), ("D", 2), ("M", 4)]
+    left = cg.left_aligned(right, query, ref)
+    assert left[0][1] < 15 and cg.metrics(left, query, ref, policy())[1] <= cg.metrics(right, query, ref, policy())[1]
