@@ -42,7 +42,7 @@ TOXIC_SLOTS = 1 << 20
 TRAIN_ROWS, TRAIN_BYTES = 8000, 20_000
 #: Tasks that make the sample's features.
 SAMPLE_PARTS = 16
-LEAST, GAIN, MOST = 5, 28.0, 4096
+LEAST, GAIN, MOST = 5, 28.0, 2048
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -179,7 +179,10 @@ def fit(
     head = Head(np.zeros(slots, np.float32), 0.0)
     use = ~held
     weight = np.where(use, np.where(label == 1, 0.5 / max(1, found.ny), 0.5 / max(1, found.nn)), 0.0)
-    names, slot = np.unique(slot, return_inverse=True)
+    names = np.flatnonzero(np.bincount(slot, minlength=slots))
+    number = np.zeros(slots, np.int32)
+    number[names] = np.arange(len(names))
+    slot = number[slot]
     odds = np.log((found.yes[names] + 0.5) / (found.ny + 1)) - np.log((found.no[names] + 0.5) / (found.nn + 1))
     scaled = value * odds.astype(np.float32)[slot]
     w, b = np.zeros(len(names)), 0.0

@@ -63,6 +63,7 @@ def test_links_of_texts_that_share_an_id(spark, monkeypatch):
 def test_hot_hubs_buckets_and_clusters(spark, monkeypatch):
     """Every key that repeats is hot, buckets and clusters are many blocks: the same links."""
     monkeypatch.setattr(C, "hot_limit", lambda total: 1)
+    monkeypatch.setattr(components, "SMALL", 0)
     monkeypatch.setattr(jaccard, "BUCKET", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rnd = random.Random(44)
@@ -82,8 +83,10 @@ def test_hot_hubs_buckets_and_clusters(spark, monkeypatch):
 
 
 def test_components_say_when_rounds_are_too_few(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(7)
     with pytest.raises(RuntimeError):
-        components.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), rounds=1)
+        components.components(path, rounds=1)
+    assert {r.root for r in components.components(path).collect()} == {0}
 
 
 def test_written_shards_hold_every_row_once(spark, tmp_path):
