@@ -106,9 +106,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """For each depth: sorted node keys (context and bit prefix), the rarer bit's probability by KT, and the weight of stopping there.
+    """For each depth: sorted node keys (context and bit prefix), P(one) by KT, and the weight of stopping there.
 
-    ``one`` is P(one) where that is the smaller, else -P(zero): in 1 minus the larger the smaller would be lost."""
+    In double precision, so that 1 - P(one) is not lost beside counts of up to some 10**14."""
 
     keys: list[np.ndarray]
     one: list[np.ndarray]
@@ -163,9 +163,8 @@ def subtrees(gram: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, ...]
     return out
 
 
-def rarer(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    total = zeros + ones + 1
-    return np.where(ones <= zeros, (ones + 0.5) / total, -(zeros + 0.5) / total)
+def p_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
 
 
 def topmost(first: tuple[np.ndarray, ...]) -> Tree:
@@ -175,13 +174,13 @@ def topmost(first: tuple[np.ndarray, ...]) -> Tree:
     names, inverse = np.unique(k & C.U64(255), return_inverse=True)
     zeros, ones, below = (np.bincount(inverse, x, len(names)) if len(names) else np.empty(0) for x in (z, o, log_w))
     _, top = mixed(log_kt(zeros, ones), below)
-    return Tree([names, k], [rarer(zeros, ones), rarer(z, o)], [top, w])
+    return Tree([names, k], [p_one(zeros, ones), p_one(z, o)], [top, w])
 
 
 def completed(top: Tree, deep: list[tuple[np.ndarray, ...]]) -> Tree:
     """top with the nodes of depths DEPTH .. 2 as subtrees() gives them."""
     up = deep[::-1]
-    return Tree(top.keys + [x[0] for x in up], top.one + [rarer(x[1], x[2]) for x in up], top.stop + [x[4] for x in up])
+    return Tree(top.keys + [x[0] for x in up], top.one + [p_one(x[1], x[2]) for x in up], top.stop + [x[4] for x in up])
 
 
 def grow(gram: np.ndarray, count: np.ndarray) -> Tree:
@@ -196,7 +195,7 @@ def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
     for b in range(8):
         bit = ((gram >> C.U64(7 - b)) & C.U64(1)) == 1
         last = np.full(len(gram), 0.5)
-        sure, rest = np.zeros(len(gram)), np.ones(len(gram))  # of P(bit): from nodes so far; weight that is left
+        sure, rest = np.zeros(len(gram)), np.ones(len(gram))  # of P(one): from nodes so far; weight that is left
         live = np.arange(len(gram))
         for depth in range(DEPTH + 1):
             names = tree.keys[depth]
@@ -206,12 +205,12 @@ def log10_probability(tree: Tree, gram: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(names, k), len(names) - 1)
             hit = names[at] == k
             live, at = live[hit], at[hit]
-            rare = tree.one[depth][at]
-            last[live] = np.where(bit[live] == (rare > 0), np.abs(rare), 1 - np.abs(rare))
-            stop = tree.stop[depth][at]
-            sure[live] += rest[live] * stop * last[live]
-            rest[live] *= 1 - stop
-        out += np.log10(sure + rest * last)  # beyond the longest context its own estimate holds
+            one, stop, left = tree.one[depth][at], tree.stop[depth][at], rest[live]
+            last[live] = one
+            sure[live] += left * stop * one
+            rest[live] = left - left * stop
+        p = sure + rest * last  # beyond the longest context its own estimate holds
+        out += np.log10(np.where(bit, p, 1 - p))
     return out
 
 
