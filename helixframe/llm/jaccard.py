@@ -36,7 +36,7 @@ TOLERANCE = 1e-6
 #: Classes in a block of exact comparison (a 64th of a large cluster, up to the second number), and in a block of a band's bucket.
 BLOCK, WIDEST, BUCKET = 256, 2048, 1024
 #: Pairs of a bucket that are compared at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20260101)
 _MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * C.U64(2) + C.U64(1)).astype(np.uint32)
@@ -137,12 +137,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Which pairs of signatures (rows of a and b) are never dropped."""
-    left, agree = np.arange(len(a)), np.zeros(len(a), np.int64)
+def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which pairs of signatures (rows a and b of sig) are never dropped. Only the values that are compared are fetched, of pairs that are left."""
+    left, agree = np.arange(len(a)), np.zeros(len(a), np.int16)
     for n in range(STEP, HASHES + 1, STEP):
-        part = slice(n - STEP, n)
-        agree = agree + (a[left, part] == b[left, part]).sum(1)
+        part = np.ascontiguousarray(sig[:, n - STEP : n])
+        agree = agree + (part[a[left]] == part[b[left]]).sum(1, dtype=np.int16)
         ok = agree >= least[n]
         left, agree = left[ok], agree[ok]
     return left
@@ -166,7 +166,7 @@ def bucket_edges(c: np.ndarray, sig: np.ndarray, least: dict[int, int], side: np
             if two:
                 across = side[a] != side[left[b]]
                 a, b = a[across], b[across]
-            alive = survivors(sig[a], sig[left[b]], least)
+            alive = survivors(sig, a, left[b], least)
             if len(alive):
                 b, first = np.unique(b[alive], return_index=True)
                 edges.append(np.stack([c[a[alive[first]]], c[left[b]]], 1))
@@ -224,7 +224,7 @@ def _verify(table):
     for i in range(0, len(left), max(1, CHUNK // (4 * len(right)))):
         some = left[i : i + max(1, CHUNK // (4 * len(right)))]
         a, b = np.repeat(some, len(right)), np.tile(right, len(some))
-        alive[i : i + len(some)].reshape(-1)[survivors(sig[a], sig[b], least)] = True
+        alive[i : i + len(some)].reshape(-1)[survivors(sig, a, b, least)] = True
     if not two:
         np.fill_diagonal(alive, False)
     used = np.unique(np.concatenate([left[alive.any(1)], right[alive.any(0)]]))  # only these are verified
@@ -311,6 +311,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     met = C.join_each(banded, live, "key", many * BANDS, "m").join(classes.select("c", "sig"), "c")
     dealt = _block_pairs(met, "c", F.ceil(F.col("m") / F.lit(BUCKET))).select("key", "x", "y", "block", "c", "sig")
     edges = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_bucket_edges, "a long, b long")
+    edges = C.cut(edges, "edges")
     clusters = C.cut(components(edges).withColumnRenamed("node", "c"), "clusters")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
     member = C.join_each(clusters, sizes, "root", many, "m").join(classes.select("c", "n", "doc_id", "th", "sig"), "c")
