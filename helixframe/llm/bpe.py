@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Words that a task remembers before it forgets them all.
 MEMO = 400_000
 #: Texts are encoded in groups of about so many characters.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 def byte_alphabet() -> list[str]:

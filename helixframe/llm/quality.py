@@ -42,6 +42,8 @@ TOXIC_SLOTS = 1 << 20
 TRAIN_ROWS, TRAIN_BYTES = 8000, 20_000
 #: Tasks that make the sample's features.
 SAMPLE_PARTS = 16
+#: Bytes of text whose features are held at once (some 250 bytes for each).
+BLOCK = 1 << 18
 LEAST, GAIN, MOST = 5, 28.0, 2048
 KEEP, TOXIC = 0.5, 0.25
 MIN_WORDS = 50
@@ -298,7 +300,7 @@ def _features(batches):
     for batch in batches:
         buf, offs = C.flat(batch.column("text"))
         row = C.longs(batch.column("row"))
-        for i, j in C.blocks(offs, 1 << 19):
+        for i, j in C.blocks(offs, BLOCK):
             quality, toxic = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield row[i:j], (compact(quality, SLOTS), compact(present(toxic), TOXIC_SLOTS))
 
@@ -408,7 +410,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
-            for i, j in C.blocks(offs, 1 << 20):
+            for i, j in C.blocks(offs, BLOCK):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 c = counts(b, o)
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
@@ -434,7 +436,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             buf, offs = C.flat(batch.column("text"))
-            for i, j in C.blocks(offs, 1 << 20):
+            for i, j in C.blocks(offs, BLOCK):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 c = counts(b, o)
                 pq, pt = m.probabilities(b, o)
