@@ -119,6 +119,18 @@ def join_each(rows: DataFrame, about: DataFrame, key: str | list[str], total: in
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+#: Rows of two numbers that may be broadcast, which is checked.
+FEW = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are not among those of gone, which is written first: up to FEW keys are broadcast, so the rows are not shuffled for them."""
+    gone = cut(gone.select(*keys).distinct(), "gone")
+    if gone.limit(FEW + 1).count() <= FEW:
+        gone = F.broadcast(gone)
+    return rows.join(gone, keys, "left_anti")
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, total: int, by: str, salts: int) -> DataFrame:
     """Inner join of ``total`` rows with a table that may have several rows for a key.
 

@@ -366,8 +366,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, found = _search(keyed.select(F.col("__decontam_id").alias("id"), F.col("__decontam_tag").alias("tag"), "text"), benchmark)
     bad = rows.join(found.where(F.size("items") > 0).select("row"), "row", "left_semi").select(
         F.col("id").alias("__decontam_id"), F.col("tag").alias("__decontam_tag")
-    ).distinct()
-    return keyed.join(bad, ["__decontam_id", "__decontam_tag"], "left_anti").select(*docs.columns)
+    )
+    return C.without(keyed, bad, ["__decontam_id", "__decontam_tag"]).select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

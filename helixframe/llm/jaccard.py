@@ -359,9 +359,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each group of linked documents the one with the smallest doc_id.
 
     Rows without an id, and texts without words, stay; rows that repeat an id and its text stay or go together."""
-    joined = _judged(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__jaccard_id"), F.col("th").alias("__jaccard_th")).distinct()
+    joined = _judged(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__jaccard_id"), F.col("th").alias("__jaccard_th"))
     keyed = docs.withColumns({"__jaccard_id": F.col("doc_id").cast("long"), "__jaccard_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return keyed.join(joined, ["__jaccard_id", "__jaccard_th"], "left_anti").select(*docs.columns)
+    return C.without(keyed, joined, ["__jaccard_id", "__jaccard_th"]).select(*docs.columns)
 
 
 OP8_SQL = f"""
