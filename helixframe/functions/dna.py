@@ -61,11 +61,6 @@ def diagonal(query_pos: Column, ref_pos: Column, is_rc: Column, span) -> Column:
     return F.when(is_rc, query_pos + ref_pos + span - 1).otherwise(query_pos - ref_pos).cast("long")
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value of an array, the upper one of two."""
-    return F.get(F.array_sort(values), F.expr("0") + F.floor(F.size(values) / 2).cast("int"))
-
-
 def interval_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 

@@ -27,10 +27,6 @@ class Chain:
     max_ref_gap: int
     bridged: bool = field(default=False)
 
-    @property
-    def span_coverage(self) -> float:
-        return min(1.0, self.covered / max(1, self.q_end - self.q_start))
-
 
 def find_anchors(read: bytes, window: bytes, offset: int, p: Policy, max_bucket: int = 128, sparse: bool = False) -> np.ndarray:
     """Maximal exact matches of at least ``min_anchor`` bases of an oriented read in a window that begins at ``offset``.

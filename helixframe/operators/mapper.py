@@ -193,7 +193,7 @@ class Search:
             budget = min(budget, p.ambiguity_budget)
         self.limited = len(loci) >= p.max_regions or len(loci) > budget
         self.counts["candidates"] = len(loci)
-        self.todo, self.top, self.over = loci[:budget], top, False
+        self.todo, self.top, self.over, self.counting = loci[:budget], top, False, False
 
     def oriented(self, rc: bool) -> bytes:
         if rc and self.turned is None:
@@ -250,6 +250,8 @@ class Search:
         if self.p.snp_anchors:
             found = chain.without_contained(chain.over_mismatches(found, own, locus["window"], locus["offset"]), self.p.max_anchors)
         self.counts["anchors"] += len(found)
+        if self.counting:
+            self.counts["ambiguous_anchors"] += int(anchors.ambiguous(found, own).sum())
         return found
 
     def too_thin(self, k: int, locus: dict, found: np.ndarray) -> bool:
@@ -349,7 +351,7 @@ class Search:
 
 #: What a read's search counts.
 COUNTERS = (
-    "candidates", "ambiguous_stops", "internal_skips", "score_breaks", "split_kept", "no_placement_breaks", "full_searches", "sparse_searches", "promotions", "thin_skips", "anchors", "chains", "reseeded",
+    "candidates", "ambiguous_stops", "internal_skips", "score_breaks", "split_kept", "no_placement_breaks", "full_searches", "sparse_searches", "promotions", "thin_skips", "anchors", "ambiguous_anchors", "chains", "reseeded",
     "exact", "near_exact", "records",
 )
 
@@ -571,6 +573,8 @@ def _local(table, p: Policy, counted: bool):
                         counts[k] = dict.fromkeys(COUNTERS, 0) | {record["how"]: 1, "records": 1}
                     else:
                         some.append((k, search, seeds))
+                for _, s, _ in some:
+                    s.counting = counted
                 run([s for _, s, _ in some], p)
                 if p.reseed:
                     for _, s, seeds in some:
