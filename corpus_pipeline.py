@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, near-duplicate removal, repeated passages, benchmark leaks, tokens.
 
 Each stage is a function of (spark, docs, sf_dir) on what its predecessor kept; ``run`` writes each
-stage's rows as Parquet and reads them again as the next one's docs.
+stage's rows as Parquet and reads them again as the next one's docs.  Stages whose last step is Python work write its rows
+themselves (``common.cut``), in short Arrow batches, so that neither side holds ten thousand texts at once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from helixframe.llm import bpe, common, decontam, jaccard, quality, suffix_dedup
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go: few words, repeated words, low quality, toxic."""
-    return quality.keep(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return common.cut(quality.keep(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that occur earlier go; every document stays with what is left."""
-    return suffix_dedup.deduplicated(docs)
+    return common.cut(suffix_dedup.deduplicated(docs), "passages")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source (where docs have them), the token ids and their number."""
     about = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     encoded = bpe.encode(docs.select(*about, "text"), bpe.default_path())
-    return encoded.select(*about, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return common.cut(encoded.select(*about, F.size("ids").cast("long").alias("n_tokens"), "ids"), "tokens")
 
 
 STAGES = [
@@ -54,5 +55,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
