@@ -80,11 +80,6 @@ def cut(df: DataFrame, what: str = "cut", codec: str = "snappy") -> DataFrame:
     return out
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df itself if ``cut`` has just written it, else cut."""
-    return df if id(df) in _places else cut(df, what)
-
-
 def forget(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for this very frame; nothing may read it, or what was made from it, any more."""
     path = _places.pop(id(df), None)
