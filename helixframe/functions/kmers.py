@@ -15,14 +15,41 @@ for _i, _b in enumerate(b"ACGT"):
 
 def codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical 2-bit code of every k-mer, whether it is the reverse complement's, and whether all its bases are A, C, G, T."""
-    c = _CODE[np.frombuffer(seq, np.uint8)]
-    n = len(c) - k + 1
+    code, rc, ok = _canonical(_CODE[np.frombuffer(seq, np.uint8)], k)
+    return code.astype(U), rc, ok
+
+
+def _canonical(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``codes`` of bases as _CODE has them, in 32 bits where they fit."""
+    n, kind = len(c) - k + 1, np.uint32 if k <= 16 else U
     if n <= 0:
-        return np.empty(0, U), np.empty(0, bool), np.empty(0, bool)
-    x = (c & 3).astype(U)
-    forward, backward = _doubled(x, k, False), _doubled(U(3) - x, k, True)
-    bad = np.concatenate([[0], np.cumsum(c > 3)])
-    return np.minimum(forward, backward), backward < forward, bad[k:] == bad[:-k]
+        return np.empty(0, kind), np.empty(0, bool), np.empty(0, bool)
+    x = (c & 3).astype(kind)
+    forward, backward = _doubled(x, k, False), _doubled(kind(3) - x, k, True)
+    if c.max() <= 3:
+        ok = np.ones(n, bool)
+    else:
+        bad = np.concatenate([np.zeros(1, np.int32), np.cumsum(c > 3, dtype=np.int32)])
+        ok = bad[k:] == bad[:-k]
+    return np.minimum(forward, backward), backward < forward, ok
+
+
+def of_rows(sequences: pa.Array, k: int, most: int = 1 << 20):
+    """(first row, row of each, place in it, code, is_rc) of the unambiguous k-mers of a column, for some rows at a time: rows of up to ``most`` bytes
+    together are one numpy step, so many short rows cost no more than a long one. Null is empty."""
+    sequences = sequences.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(sequences.buffers()[1], np.int64)[sequences.offset : sequences.offset + len(sequences) + 1]
+    raw = np.frombuffer(sequences.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(sequences):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        own = offsets[i : j + 1] - offsets[i]
+        code, rc, ok = _canonical(_CODE[raw[offsets[i] : offsets[j]]], k)
+        row = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(own))[: len(code)]
+        at = np.flatnonzero(ok & (np.arange(len(code)) + k <= own[1:][row])) if len(code) else np.empty(0, np.int64)
+        row = row[at]
+        yield i, row, at - own[:-1][row], code[at], rc[at]
+        i = j
 
 
 def forward(seq: bytes, k: int) -> np.ndarray:
@@ -39,7 +66,7 @@ def _doubled(x: np.ndarray, k: int, turned: bool) -> np.ndarray:
     parts, size = {1: x}, 1
 
     def joined(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
-        return a | (b << U(2 * na)) if turned else (a << U(2 * nb)) | b
+        return a | (b << a.dtype.type(2 * na)) if turned else (a << a.dtype.type(2 * nb)) | b
 
     while size * 2 <= k:
         parts[size * 2] = joined(parts[size][:-size], size, parts[size][size:], size)

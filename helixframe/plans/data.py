@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,22 @@ def bases(text: Column) -> Column:
     return F.translate(F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS.upper(), LETTERS), LETTERS, BASES)
 
 
+_TABLE = bytes.maketrans((LETTERS + LETTERS.upper()).encode(), (BASES * 2).encode())
+_DROPPED = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
+
+
+def _as_bases(batches):
+    """bases() of texts, byte by byte: what is not an ASCII letter goes, whole characters of several bytes too."""
+    for batch in batches:
+        texts = [None if t is None else t.encode().translate(_TABLE, _DROPPED).decode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("contig_id"), batch.column("name"), pa.array(texts, pa.string())], names=["contig_id", "name", "sequence"])
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as contigs: contig_id is the doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select(
-        F.col("doc_id").alias("contig_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"), bases(F.col("text")).alias("sequence")
-    )
+    """Documents as contigs: contig_id is the doc_id. Texts are turned in tasks, where column functions take ten times as long."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"), "text")
+    return named.mapInArrow(_as_bases, "contig_id long, name string, sequence string")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

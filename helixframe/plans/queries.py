@@ -119,24 +119,11 @@ def i1_index(spark, d):
 
 
 def i2_i3_cap_policies(spark, d):
-    r = index.ranked(data.contigs(spark, d), P.k)
-    out = r.select(
-        "code", "offset",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(p).alias("policy"), index.keeps(p, F.col("offset"), F.col("total"), 16, 32, 128).alias("keep")
-                    ) for p in ("adaptive", "drop", "first", "sample-spaced")
-                )
-            )
-        ).alias("k")
-    )
-    return out.where("k.keep").groupBy("k.policy").agg(F.count("*").alias("hits"), F.count_distinct("code").alias("seeds"), F.sum("offset").alias("offsets"))
+    return index.kept_by_policy(index.multiplicity(data.contigs(spark, d), P.k), ["adaptive", "drop", "first", "sample-spaced"], 16, 32, 128)
 
 
 def i2_isolated(spark, d):
-    return index.isolated(index.ranked(data.contigs(spark, d), P.k), 16).groupBy("contig_id").agg(F.count("*").alias("hits"))
+    return index.isolated(data.contigs(spark, d), P.k, 16)
 
 
 def j3_seed_hits(spark, d):
@@ -228,9 +215,9 @@ QUERIES = {
     "i1_index": i1_index,
     "i2_i3_cap_policies": i2_i3_cap_policies,
     "i2_isolated": i2_isolated,
-    "i5_cap_distribution": lambda s, d: index.cap_distribution(_index(s, d), 16),
-    "i6_position_gaps": lambda s, d: index.position_gaps(_index(s, d), 40),
-    "i7_summary": lambda s, d: index.summary(data.contigs(s, d), _index(s, d), P.k, P.max_stored_hits),
+    "i5_cap_distribution": lambda s, d: index.cap_distribution(index.multiplicity(data.contigs(s, d), P.k), 16),
+    "i6_position_gaps": lambda s, d: index.position_gaps(data.contigs(s, d), P.k, 40),
+    "i7_summary": lambda s, d: index.summary(data.contigs(s, d), index.multiplicity(data.contigs(s, d), P.k), P.k, P.max_stored_hits),
     "j1_seed_lookup": _looked,
     "j3_seed_hits": j3_seed_hits,
     "j5_hits_in_windows": j5_hits_in_windows,
