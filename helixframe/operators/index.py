@@ -216,6 +216,26 @@ def _packed(k: int, most: int, m: int, asked):
     return run
 
 
+def places_of(contigs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """contig_id, ref_pos, code, is_rc of the places of wanted k-mers (code): tasks drop the others, up to WANTED codes; more are joined."""
+    codes = wanted.select("code").distinct()
+    asked = asked_codes(codes, k)
+    if asked is None:
+        return kmers.dense_kmers(contigs, k).join(codes, "code")
+
+    def run(batches):
+        among = _Among(asked.value, k)
+        for batch in batches:
+            ids, starts = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("contig_id", "start"))
+            for i, row, at, code, rc in kmers.of_rows(batch.column("sequence"), k):
+                own = np.flatnonzero(among(_mixed(code, k)))
+                row, at = row[own], at[own]
+                columns = [ids[i:][row], at + starts[i:][row], code[own].astype(np.int64), rc[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["contig_id", "ref_pos", "code", "is_rc"])
+
+    return kmers.pieces(contigs, k - 1).mapInArrow(run, "contig_id long, ref_pos long, code long, is_rc boolean")
+
+
 def _bucket(k: int, most: int):
     def run(batches):
         for _, columns in _groups(batches, "bucket"):

@@ -165,8 +165,7 @@ def a12_bins(spark, d):
 
 def p15_uncovered(spark, d):
     c = data.contigs(spark, d)
-    wanted = _seeds(spark, d).select("code").distinct()
-    iv = kmers.dense_kmers(c, P.k).join(wanted, "code").select("contig_id", F.col("ref_pos").alias("start"), (F.col("ref_pos") + P.k).alias("end"))
+    iv = index.places_of(c, P.k, _seeds(spark, d)).select("contig_id", F.col("ref_pos").alias("start"), (F.col("ref_pos") + P.k).alias("end"))
     return analytics.uncovered(iv, c.select("contig_id", F.length("sequence").cast("long").alias("length")), "contig_id")
 
 

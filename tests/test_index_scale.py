@@ -95,3 +95,15 @@ def test_texts_become_bases_as_in_columns(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     want = {r.doc_id: r.s for r in docs.select("doc_id", data.bases(docs.text).alias("s")).collect()}
     assert {r.contig_id: r.sequence for r in data.contigs(spark, str(tmp_path)).collect()} == want
+
+
+def test_places_of_wanted_kmers(spark, small, monkeypatch):
+    rows, contigs = _contigs(spark)
+    value = lambda f: sum("ACGT".index(b) * 4 ** (K - 1 - i) for i, b in enumerate(f))
+    every = sorted((c, p, value(f), rc) for f, c, p, rc in _places(rows))
+    codes = sorted({x[2] for x in every})[::7]
+    wanted = spark.createDataFrame([(c,) for c in [*codes, codes[0], -1, 4**K + 5]], "code long")
+    for most in (500_000, 3):
+        monkeypatch.setattr(index, "WANTED", most)
+        got = index.places_of(contigs, K, wanted).select("contig_id", "ref_pos", "code", "is_rc").collect()
+        assert sorted(map(tuple, got)) == [x for x in every if x[2] in set(codes)]
