@@ -18,16 +18,16 @@ def _index(spark, d) -> DataFrame:
 
 
 def _asked(spark, d) -> DataFrame:
-    """The index's rows that the reads' seeds ask for."""
-    return index.build(data.contigs(spark, d), P.k, P.max_stored_hits, _seeds(spark, d))
+    """The index's rows that the reads' seeds ask for: few, and asked for several times in a query, so they are kept after one pass over the contigs."""
+    return index.build(data.contigs(spark, d), P.k, P.max_stored_hits, _seeds(spark, d)).persist()
 
 
 def _seeds(spark, d, persisted: bool = False, w: int = P.window) -> DataFrame:
     return kmers.query_minimizers(data.reads(spark, d), P.k, w, persisted)
 
 
-def _looked(spark, d) -> DataFrame:
-    return lookup.seeds_with_totals(_seeds(spark, d), _asked(spark, d))
+def _looked(spark, d, asked: DataFrame | None = None) -> DataFrame:
+    return lookup.seeds_with_totals(_seeds(spark, d), asked if asked is not None else _asked(spark, d))
 
 
 def _kmers_of_reads(spark, d) -> DataFrame:
@@ -130,16 +130,17 @@ def j3_seed_hits(spark, d):
     return lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits)
 
 
-def _candidates(spark, d) -> DataFrame:
-    r, i = data.reads(spark, d), _asked(spark, d)
+def _candidates(spark, d, asked: DataFrame | None = None) -> DataFrame:
+    r, i = data.reads(spark, d), asked if asked is not None else _asked(spark, d)
     return candidates.find(r, probes.read_probes(r, lookup.seeds_with_totals(_seeds(spark, d), i), P), i, P)
 
 
 def j5_hits_in_windows(spark, d):
-    hits = lookup.seed_hits(_seeds(spark, d), _asked(spark, d), P.cached_hits).where("not capped").select(
+    asked = _asked(spark, d)
+    hits = lookup.seed_hits(_seeds(spark, d), asked, P.cached_hits).where("not capped").select(
         "read_ord", "contig_id", "ref_pos", (F.col("q_rc") != F.col("r_rc")).alias("is_rc")
     )
-    c = _candidates(spark, d).select("read_ord", "contig_id", "is_rc", "rank", "ref_start", "ref_end")
+    c = _candidates(spark, d, asked).select("read_ord", "contig_id", "is_rc", "rank", "ref_start", "ref_end")
     near = F.col("ref_pos").between(F.col("ref_start") - P.flank, F.col("ref_end") + P.flank - P.k)
     return hits.join(c, ["read_ord", "contig_id", "is_rc"]).where(near).groupBy("read_ord", "rank").agg(F.count("*").alias("hits"))
 
@@ -263,8 +264,8 @@ QUERIES |= {"k9_map_long_reads": map_long_reads, "k9_map_short_reads": map_short
 
 
 def j8_two_ended_loci(spark, d):
-    r = data.reads(spark, d)
-    return lookup.two_ended_loci(r, _looked(spark, d), _asked(spark, d), P.k)
+    asked = _asked(spark, d)
+    return lookup.two_ended_loci(data.reads(spark, d), _looked(spark, d, asked), asked, P.k)
 
 
 def a7_seed_votes(spark, d):
