@@ -430,6 +430,8 @@ def searches(reads: DataFrame, contigs: DataFrame, p: Policy, bases: int, budget
 
     def cut(batches):
         for g, columns in index._groups(batches, "group"):
+            if all(b is None for b in columns["block"]):
+                continue
             where, texts = {}, []
             for about, text in zip(columns["about"], columns["text"], strict=True):
                 if text is not None:
